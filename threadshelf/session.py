@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import threadshelf
+
+# Functions of the package travel to the workers with the task, so that they need no install.
+cloudpickle.register_pickle_by_value(threadshelf)
+
 # Runtime settings only; sizes (memory, cores, shuffle partitions) belong to the cluster.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
@@ -317,7 +318,7 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_thread(values: pd.Series) -> pd.Series:
     return values.map(lambda value: _with_deep_stack(_read_one, value) is not None)
 
