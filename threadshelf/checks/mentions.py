@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
-from threadshelf.functions import text
 from threadshelf.operators import chunks, mentions
+from threadshelf.plans.sizes import spread
 
 # the white space of the texts, for SQL
 BLANKS = "chr(9) || chr(10) || chr(13) || chr(32) || chr(160)"
@@ -211,7 +211,7 @@ WORD_COUNTS = """SELECT {key} AS key, CAST('0x' || left(md5(word), 2) AS INTEGER
     FROM counts"""
 )
 def embed_batch(t: Tables) -> DataFrame:
-    vectors = chunks.embed(t.documents.select("doc_id", "text"), "doc_id")
+    vectors = chunks.embed(spread(t.documents).select("doc_id", "text"), "doc_id")
     return (
         vectors.select("doc_id", F.posexplode("embedding").alias("dimension", "weight"))
         .where(F.col("weight") > 0)

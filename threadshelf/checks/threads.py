@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
-from threadshelf.functions import text
-from threadshelf.plans.lineage import work_path
+from threadshelf.plans.lineage import cut, work_path
+from threadshelf.plans.sizes import spread
 from threadshelf.sources import threads, volumes
 from threadshelf.sources.tables import COMMENTS, Table
 from threadshelf.schemas import SOURCES
@@ -74,7 +74,7 @@ def listing_json(t: Tables) -> DataFrame:
         .when(F.col("lang") == "es", F.left(listing, F.char_length(listing) - 2))
         .otherwise(listing)
     )
-    return t.documents.select(doc.alias("origin"), value.alias("value"))
+    return spread(t.documents).select(doc.alias("origin"), value.alias("value"))
 
 
 HEADERS_SQL = """headers AS (
@@ -115,24 +115,19 @@ def dotted(path: str = "path") -> Column:
        FROM documents"""
 )
 def scan_threads(t: Tables) -> DataFrame:
-    raw = listing_json(t)
-    bad = threads.read_threads(raw).quarantined.select("origin", F.lit(True).alias("quarantined"))
-    return (
-        threads.parse(raw)
-        .select("origin", "layout")
-        .join(bad, "origin", "left")
-        .fillna(False, ["quarantined"])
+    return threads.parse(listing_json(t)).select(
+        "origin", "layout", F.col("value").isNotNull().alias("quarantined")
     )
 
 
 @query("WITH " + HEADERS_SQL + " SELECT external_id, title, selftext, subreddit, url FROM headers")
 def thread_headers(t: Tables) -> DataFrame:
-    return threads.read_threads(listing_json(t)).headers.drop("origin")
+    return threads.split(threads.parse(listing_json(t))).headers.drop("origin")
 
 
 @query("WITH " + COMMENTS_SQL + " SELECT * FROM comments")
 def flatten_comments(t: Tables) -> DataFrame:
-    comments = threads.read_threads(listing_json(t)).comments
+    comments = threads.split(threads.parse(listing_json(t))).comments
     return comments.withColumns({"path": dotted(), "external_id": F.col("origin")}).drop("origin")
 
 
@@ -143,7 +138,7 @@ def flatten_comments(t: Tables) -> DataFrame:
     LEFT JOIN comments c ON c.external_id = d.external_id GROUP BY d.external_id"""
 )
 def comment_count(t: Tables) -> DataFrame:
-    found = threads.read_threads(listing_json(t))
+    found = threads.split(threads.parse(listing_json(t)))
     return threads.comment_counts(found.headers, found.comments).withColumnRenamed(
         "origin", "external_id"
     )
@@ -277,7 +272,7 @@ def incremental_ingest(t: Tables) -> DataFrame:
     comments = Table(spark, f"{base}/comments", COMMENTS)
 
     def index(batch: DataFrame) -> None:
-        found = threads.read_threads(batch)
+        found = threads.split(cut(threads.parse(batch)))
         first = found.headers.dropDuplicates(["external_id"])
         unseen = changes.unseen_sources(first, sources.read())
         fresh = changes.new_sources(

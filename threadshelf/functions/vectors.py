@@ -19,17 +19,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Similarity in [-1, 1]; 0 when a vector has no length."""
-    lengths = norm(a) * norm(b)
-    return F.round(F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0), SCORE_DIGITS)
+def cosine_to_unit(a: Column, unit: Column) -> Column:
+    """Similarity in [-1, 1] to a vector of length 1; 0 when the other has no length."""
+    length = norm(a)
+    return F.round(F.when(length > 0, dot(a, unit) / length).otherwise(0.0), SCORE_DIGITS)
 
 
 def normalised(a: Column) -> Column:
-    length = norm(a)
-    return F.when(
-        length > 0, F.transform(a, lambda x: (x.cast("double") / length).cast("float"))
-    ).otherwise(a)
+    # the length is taken once per row, not once per element
+    lengths = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(
+        a, lengths, lambda x, length: F.when(length > 0, x / length).otherwise(x).cast("float")
+    )
 
 
 def similarity_label(score: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
+from threadshelf.functions.vectors import normalised
 from threadshelf.operators.catalog import first_source_title, searchable, sources_of_books, with_status
 from threadshelf.operators.changes import upsert_chunks
 from threadshelf.plans.skew import PAGE_SIZE, longest_list, paged_lists
@@ -176,10 +177,7 @@ def embed(
         joined = F.array_sort(F.collect_list(F.struct("i", "x")))
         whole = sums.groupBy(key).agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
         single = single.unionByName(whole)
-    squares = F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x)
-    length = F.sqrt(squares)
-    unit = F.transform("raw", lambda x: F.when(length > 0, x / length).otherwise(x).cast("float"))
-    return single.select(key, unit.alias("embedding"))
+    return single.select(key, normalised(F.col("raw")).alias("embedding"))
 
 
 def build_chunks(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadshelf.functions.vectors import SCORE_DIGITS, cosine
+from threadshelf.functions.vectors import SCORE_DIGITS, cosine_to_unit
 
 # Query vectors sent to every task; more are joined block by block.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -185,9 +185,10 @@ def _block_join(
 def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors of one query, as a plain expression and a top-k sort."""
     _check_k(k)
-    literal = F.array(*[F.lit(float(x)) for x in query])
+    direction = _unit_rows(np.asarray([query], np.float64))[0]
+    literal = F.array(*[F.lit(float(x)) for x in direction])
     scored = vectors.where(F.col("embedding").isNotNull()).select(
-        "id", cosine(F.col("embedding"), literal).alias("score")
+        "id", cosine_to_unit(F.col("embedding"), literal).alias("score")
     )
     return scored.orderBy(F.desc("score"), "id").limit(k)
 

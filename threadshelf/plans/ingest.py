@@ -15,8 +15,8 @@ from threadshelf.operators.chunks import Encoder, build_chunks, word_encoder
 from threadshelf.plans.ids import number_rows
 from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import lookup_join
+from threadshelf.sources import threads
 from threadshelf.sources.tables import Store
-from threadshelf.sources.threads import comment_texts, read_threads
 
 KEY = ["title_key", "author_key"]
 ORDER = ["external_id", "path", "mention_pos"]
@@ -238,18 +238,18 @@ def ingest(
     the same threads again adds nothing.
     """
     now = F.current_timestamp() if now is None else now
-    threads = read_threads(raw)
+    read = threads.split(cut(threads.parse(raw)))
     one_copy = (
-        threads.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
+        read.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
         .groupBy("external_id")
-        .agg(F.min_by(F.struct(*threads.headers.columns), "origin").alias("row"))
+        .agg(F.min_by(F.struct(*read.headers.columns), "origin").alias("row"))
         .select("row.*")
     )
     known_sources = store.sources.read()
     headers = cut(changes.unseen_sources(one_copy, known_sources, force))
     ids = headers.select("origin", "external_id")
-    comments = cut(threads.comments.join(ids, "origin").drop("origin"))
-    texts = comment_texts(headers, comments, key="external_id")
+    comments = cut(read.comments.join(ids, "origin").drop("origin"))
+    texts = threads.comment_texts(headers, comments, key="external_id")
     found = extract(texts, models.load_extractor)
     resolved = resolve_batch(
         found, store.books.read(), volumes, store.books.last_id(), live_links, now

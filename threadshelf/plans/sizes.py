@@ -11,3 +11,12 @@ MAX_BROADCAST_ROWS = 500_000
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if the table has no more than the given rows; stops counting just past them."""
     return df.select(*df.columns[:1]).limit(rows + 1).count() <= rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan that comes in fewer partitions than there are cores, dealt out to all.
+
+    For small inputs of costly work; a scan in many partitions is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -2,6 +2,10 @@
 
 Two layouts are read: the site's listing (a two-element array, the comments being a
 recursive tree) and a normalised object with a flat comment list.
+
+Replies nest without bound, which no column type describes, so each document is walked in
+an Arrow batch function. One narrow pass turns it into a row with a comment array; all
+else is column expressions on that.
 """
 
 from __future__ import annotations
@@ -9,26 +13,46 @@ from __future__ import annotations
 import json
 import sys
 import threading
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadshelf.functions import text
-from threadshelf.plans.lineage import cut
-
-# Comment levels expanded per round; deeper trees take further rounds.
-LEVELS_PER_ROUND = 12
 
 HEADER_COLUMNS = ["external_id", "title", "selftext", "subreddit", "url"]
-COMMENT_COLUMNS = ["path", "depth", "comment_id", "body", "score"]
 
-POST = "$[0].data.children[0].data"
-TOP_COMMENTS = "$[1].data.children"
-REPLIES = "$.data.replies.data.children"
+THREAD_ROW = (
+    "origin string, layout string, external_id string, title string, selftext string, "
+    "subreddit string, url string, comments array<struct<path array<int>, depth int, "
+    "comment_id string, body string, score int>>, value string"
+)
+THREAD_BATCH = pa.schema(
+    [
+        ("origin", pa.string()),
+        ("layout", pa.string()),
+        *[(name, pa.string()) for name in HEADER_COLUMNS],
+        (
+            "comments",
+            pa.list_(
+                pa.struct(
+                    [
+                        ("path", pa.list_(pa.int32())),
+                        ("depth", pa.int32()),
+                        ("comment_id", pa.string()),
+                        ("body", pa.string()),
+                        ("score", pa.int32()),
+                    ]
+                )
+            ),
+        ),
+        ("value", pa.string()),
+    ]
+)
 
 
 @dataclass
@@ -43,243 +67,124 @@ class Threads:
 def read_thread_files(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Raw threads, one per file or one per line, as (origin, value)."""
     lines = spark.read.option("wholetext", whole_files).text(path)
+    return with_origin(lines, whole_files)
+
+
+def with_origin(lines: DataFrame, whole_files: bool) -> DataFrame:
+    """Name each raw thread after its file, and the text of the line where a file has many."""
     origin = F.col("_metadata.file_path")
     if not whole_files:
-        origin = F.concat_ws("#", origin, F.xxhash64("value").cast("string"))
+        origin = F.concat_ws("#", origin, F.sha2("value", 256))
     return lines.select(origin.alias("origin"), "value")
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Add the parsed document and its layout: listing, object or unreadable."""
-    parsed = raw.withColumn("doc", F.try_parse_json("value"))
-    opening = F.left(F.btrim("value", F.lit(" \t\r\n")), F.lit(1))
-    top_comments = F.try_variant_get("doc", TOP_COMMENTS, "array<variant>")
-    post = F.try_variant_get("doc", POST, "map<string,variant>")
-    members = F.try_variant_get("doc", "$", "map<string,variant>")
-    layout = (
-        F.when((opening == "[") & top_comments.isNotNull() & post.isNotNull(), "listing")
-        .when((opening == "{") & (F.size(members) > 0), "object")
-        .otherwise("unreadable")
-    )
-    return parsed.withColumn("layout", layout)
-
+    """Raw threads (origin, value) as one row each: layout, header fields and comments.
 
-def read_threads(raw: DataFrame) -> Threads:
-    """Split raw threads (origin, value) into headers, comments and unreadable rows.
-
-    Documents the JSON parser of the engine gives up on (nesting of about two hundred
-    replies, very large files) are read again in Python tasks before they count as
-    unreadable, so no thread is lost.
+    `layout` is listing, object or unreadable; only unreadable rows keep their `value`.
     """
-    parsed = parse(raw)
-    second = parsed.where(F.col("layout") == "unreadable").select("origin", "value")
-    again = second.mapInPandas(_read_again, REREAD_SCHEMA)
-    headers = _headers(parsed).unionByName(
-        again.where("readable").select("origin", *HEADER_COLUMNS)
-    )
-    deep = again.where("readable").select("origin", F.inline("comments"))
-    comments = _comments(parsed).unionByName(deep.select("origin", *COMMENT_COLUMNS))
-    quarantined = again.where(~F.col("readable")).select("origin", "value")
-    return Threads(headers, comments, quarantined)
-
-
-def _headers(parsed: DataFrame) -> DataFrame:
-    def field(base: str, name: str) -> Column:
-        return F.try_variant_get("doc", f"{base}.{name}", "string")
-
-    listing = parsed.where(F.col("layout") == "listing").select(
-        "origin",
-        field(POST, "id").alias("external_id"),
-        field(POST, "title").alias("title"),
-        text.or_empty(field(POST, "selftext")).alias("selftext"),
-        field(POST, "subreddit").alias("subreddit"),
-        F.concat(F.lit(text.THREAD_SITE), text.or_empty(field(POST, "permalink"))).alias("url"),
-    )
-    plain = parsed.where(F.col("layout") == "object").select(
-        "origin",
-        field("$", "id").alias("external_id"),
-        field("$", "title").alias("title"),
-        text.or_empty(field("$", "selftext")).alias("selftext"),
-        field("$", "subreddit").alias("subreddit"),
-        field("$", "url").alias("url"),
-    )
-    return listing.unionByName(plain)
-
 
-def _comments(parsed: DataFrame) -> DataFrame:
-    flat = (
-        parsed.where(F.col("layout") == "object")
-        .select(
-            "origin",
-            F.posexplode(F.try_variant_get("doc", "$.comments", "array<variant>")).alias("i", "c"),
-        )
-        .select(
-            "origin",
-            F.array("i").alias("path"),
-            F.coalesce(F.try_variant_get("c", "$.depth", "int"), F.lit(0)).alias("depth"),
-            *_comment_fields(F.col("c"), "$"),
-        )
-    )
-    return flatten_trees(parsed.where(F.col("layout") == "listing")).unionByName(flat)
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            origins, values = batch.column("origin"), batch.column("value")
+            for origin, value in zip(origins.to_pylist(), values.to_pylist()):
+                found = _read(value)
+                rows.append({"origin": origin, **(found or {"layout": "unreadable", "value": value})})
+            yield pa.RecordBatch.from_pylist(rows, schema=THREAD_BATCH)
 
-
-def _comment_fields(node: Column, base: str) -> list[Column]:
-    return [
-        F.try_variant_get(node, f"{base}.id", "string").alias("comment_id"),
-        text.or_empty(F.try_variant_get(node, f"{base}.body", "string")).alias("body"),
-        F.coalesce(F.try_variant_get(node, f"{base}.score", "int"), F.lit(0)).alias("score"),
-    ]
+    return raw.select("origin", "value").mapInArrow(walk, THREAD_ROW)
 
 
-def flatten_trees(listings: DataFrame, levels: int = LEVELS_PER_ROUND) -> DataFrame:
-    """All comments of the listings, with the path of reply positions that leads to each.
+def split(parsed: DataFrame) -> Threads:
+    """Headers, comments and unreadable documents of parsed threads.
 
-    Ordering by (origin, path) gives the reading order. Nodes that are no comments are
-    left out together with their replies. A round walks several levels inside the row of
-    a top comment, without a shuffle; what lies deeper goes into the next round.
+    Ordering the comments by (origin, path) gives the reading order: `path` holds the
+    positions of a comment and of the comments above it among their siblings.
     """
-    frontier = listings.select(
-        "origin",
-        F.posexplode(F.try_variant_get("doc", TOP_COMMENTS, "array<variant>")).alias("i", "node"),
-    ).select("origin", F.array("i").alias("path"), "node")
-    frontier = frontier.where(F.try_variant_get("node", "$.kind", "string") == "t1")
-    rounds = []
-    while True:
-        walked = cut(_walk(frontier, levels))
-        rounds.append(walked.where(F.col("pending").isNull()).drop("pending"))
-        frontier = walked.where(F.col("pending").isNotNull()).select(
-            "origin", "path", F.col("pending").alias("node")
-        )
-        if frontier.isEmpty():
-            break
-    comments = rounds[0]
-    for later in rounds[1:]:
-        comments = comments.unionByName(later)
-    return comments
-
-
-def _walk(frontier: DataFrame, levels: int) -> DataFrame:
-    """One row per comment down to `levels`; the nodes just below come out as pending."""
-
-    def replies(parent: Column) -> Column:
-        children = F.coalesce(
-            F.try_variant_get(parent["node"], REPLIES, "array<variant>"),
-            F.array().cast("array<variant>"),
-        )
-        placed = F.transform(
-            children,
-            lambda child, i: F.struct(
-                F.concat(parent["path"], F.array(i)).alias("path"), child.alias("node")
-            ),
-        )
-        return F.filter(
-            placed, lambda c: F.try_variant_get(c["node"], "$.kind", "string") == "t1"
-        )
-
-    step = frontier.select("origin", F.array(F.struct("path", "node")).alias("level0"))
-    for level in range(1, levels + 1):
-        step = step.withColumn(
-            f"level{level}", F.flatten(F.transform(F.col(f"level{level - 1}"), replies))
-        )
-    inside = F.concat(*[F.col(f"level{level}") for level in range(levels)])
-    below = F.col(f"level{levels}")
-    tagged = F.concat(
-        F.transform(inside, lambda c: F.struct(c["path"], c["node"], F.lit(False).alias("later"))),
-        F.transform(below, lambda c: F.struct(c["path"], c["node"], F.lit(True).alias("later"))),
-    )
-    nodes = step.select("origin", F.inline(tagged).alias("path", "node", "later"))
-    return nodes.select(
-        "origin",
-        "path",
-        (F.size("path") - 1).alias("depth"),
-        *_comment_fields(F.col("node"), "$.data"),
-        F.when(F.col("later"), F.col("node")).alias("pending"),
+    readable = parsed.where(F.col("layout") != "unreadable")
+    return Threads(
+        headers=readable.select("origin", *HEADER_COLUMNS),
+        comments=readable.select("origin", F.inline("comments")),
+        quarantined=parsed.where(F.col("layout") == "unreadable").select("origin", "value"),
     )
 
 
-REREAD_SCHEMA = (
-    "origin string, value string, readable boolean, external_id string, title string, "
-    "selftext string, subreddit string, url string, comments array<struct<"
-    "path array<int>, depth int, comment_id string, body string, score int>>"
-)
+def _read(value: str) -> dict | None:
+    """One thread as a row, or None if it is malformed."""
+    try:
+        return _walk(json.loads(value))
+    except RecursionError:
+        return _read_deep(value)
+    except (ValueError, KeyError, IndexError, TypeError, AttributeError):
+        return None
 
 
-def _read_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            found = _with_deep_stack(_read_one, row.value)
-            yield pd.DataFrame(
-                [
-                    {
-                        "origin": row.origin,
-                        "value": None if found else row.value,
-                        "readable": found is not None,
-                        "comments": [],
-                        **dict.fromkeys(HEADER_COLUMNS),
-                        **(found or {}),
-                    }
-                ]
-            )
-
-
-def _with_deep_stack(function, argument):
-    """Run in a thread whose stack allows nesting far beyond the usual limit."""
+def _read_deep(value: str) -> dict | None:
+    """Parse nesting far beyond the usual limit, in a thread with a large stack."""
     result = []
+
+    def work() -> None:
+        try:
+            result.append(_walk(json.loads(value)))
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
+            result.append(None)
+
     limit, size = sys.getrecursionlimit(), threading.stack_size(512 * 1024 * 1024)
     sys.setrecursionlimit(1_000_000)
     try:
-        worker = threading.Thread(target=lambda: result.append(function(argument)))
+        worker = threading.Thread(target=work)
         worker.start()
         worker.join()
     finally:
         sys.setrecursionlimit(limit)
         threading.stack_size(size)
-    return result[0] if result else None
+    return result[0]
 
 
-def _read_one(value: str) -> dict | None:
-    """Header fields and comments of one thread, or None if it is malformed."""
-    try:
-        doc = json.loads(value)
-        if isinstance(doc, list) and len(doc) >= 2:
-            post = doc[0]["data"]["children"][0]["data"]
-            url = text.THREAD_SITE + (post.get("permalink") or "")
-            comments = _walk_listing(doc[1]["data"]["children"])
-        elif isinstance(doc, dict) and doc:
-            post, url = doc, doc.get("url")
-            comments = [
-                _comment_row([i], c.get("depth") or 0, c) for i, c in enumerate(doc.get("comments") or [])
-            ]
-        else:
-            return None
-    except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
-        return None
+def _walk(doc) -> dict | None:
+    if isinstance(doc, list) and len(doc) >= 2:
+        post = doc[0]["data"]["children"][0]["data"]
+        row = _header(post, "listing", text.THREAD_SITE + (post.get("permalink") or ""))
+        row["comments"] = _tree(doc[1]["data"]["children"])
+        return row
+    if isinstance(doc, dict) and doc:
+        row = _header(doc, "object", doc.get("url"))
+        listed = doc.get("comments") or []
+        row["comments"] = [_comment([i], c.get("depth") or 0, c) for i, c in enumerate(listed)]
+        return row
+    return None
+
+
+def _header(post: dict, layout: str, url: str | None) -> dict:
     return {
+        "layout": layout,
         "external_id": post.get("id"),
         "title": post.get("title"),
         "selftext": post.get("selftext") or "",
         "subreddit": post.get("subreddit"),
         "url": url,
-        "comments": comments,
     }
 
 
-def _walk_listing(children: list) -> list[dict]:
-    rows, waiting = [], [([i], child) for i, child in reversed(list(enumerate(children)))]
+def _tree(children: list) -> list[dict]:
+    """All comments below; a node that is no comment is left out with its replies."""
+    rows = []
+    waiting = [([i], child) for i, child in enumerate(children)][::-1]
     while waiting:
         path, node = waiting.pop()
         if node.get("kind") != "t1":
             continue
         data = node.get("data") or {}
-        rows.append(_comment_row(path, len(path) - 1, data))
+        rows.append(_comment(path, len(path) - 1, data))
         replies = data.get("replies")
         if isinstance(replies, dict):
             below = replies.get("data", {}).get("children", [])
-            waiting.extend((path + [i], child) for i, child in reversed(list(enumerate(below))))
+            waiting.extend([(path + [i], child) for i, child in enumerate(below)][::-1])
     return rows
 
 
-def _comment_row(path: list[int], depth: int, data: dict) -> dict:
+def _comment(path: list[int], depth: int, data: dict) -> dict:
     return {
         "path": path,
         "depth": depth,
@@ -299,12 +204,9 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
     A supplied file wins over a cached copy, which wins over a fetched one. A cached copy
     that cannot be read is passed over; a malformed supplied file is not.
     """
-    parsed = parse(copies)
     cached = F.col("kind") == "cache"
-    sure = parsed.where(~cached | (F.col("layout") != "unreadable")).drop("doc", "layout")
-    doubtful = parsed.where(cached & (F.col("layout") == "unreadable"))
-    readable = doubtful.drop("doc", "layout").withColumn("_readable", _is_thread("value"))
-    usable = sure.unionByName(readable.where("_readable").drop("_readable"))
+    readable = copies.where(cached).where(_is_thread("value"))
+    usable = copies.where(~cached).unionByName(readable)
     priority = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in COPY_PRIORITY.items()])
     thread = F.coalesce(text.external_id(F.col("source")), F.col("source"))
     return (
@@ -320,7 +222,7 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _is_thread(values: pd.Series) -> pd.Series:
-    return values.map(lambda value: _with_deep_stack(_read_one, value) is not None)
+    return values.map(lambda value: _read(value) is not None)
 
 
 def comment_texts(headers: DataFrame, comments: DataFrame, key: str = "origin") -> DataFrame:

@@ -5,20 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadshelf.plans.ingest import Models, ingest
 from threadshelf.sources.tables import Store
+from threadshelf.sources.threads import with_origin
 
 
 def thread_stream(spark: SparkSession, landing: str, whole_files: bool = True) -> DataFrame:
     """New files of raw threads as (origin, value): one thread per file or per line."""
     lines = spark.readStream.format("text").option("wholetext", whole_files).load(landing)
-    origin = F.col("_metadata.file_path")
-    if not whole_files:
-        origin = F.concat_ws("#", origin, F.xxhash64("value").cast("string"))
-    return lines.select(origin.alias("origin"), "value")
+    return with_origin(lines, whole_files)
 
 
 def start(
