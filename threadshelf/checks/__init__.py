@@ -43,4 +43,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Q
 
 def load() -> None:
     """Import the modules that register queries."""
-    from threadshelf.checks import catalog, changes, mentions, threads, vectors  # noqa: F401
+    from threadshelf.checks import catalog, changes, mentions, resolve, threads, vectors  # noqa: F401
