@@ -138,10 +138,7 @@ def flatten_comments(t: Tables) -> DataFrame:
     LEFT JOIN comments c ON c.external_id = d.external_id GROUP BY d.external_id"""
 )
 def comment_count(t: Tables) -> DataFrame:
-    found = threads.split(threads.parse(listing_json(t)))
-    return threads.comment_counts(found.headers, found.comments).withColumnRenamed(
-        "origin", "external_id"
-    )
+    return threads.comment_counts(threads.parse(listing_json(t))).drop("origin")
 
 
 # system turns stand for comments that were taken away

@@ -140,7 +140,8 @@ def clean_summary(description: Column, response: Column) -> Column:
     branches = None
     for preamble in SUMMARY_PREAMBLES:
         rest = F.ltrim(F.substr(text, F.lit(len(preamble) + 1)), F.lit(": \n"))
-        match = F.startswith(F.lower(text), F.lit(preamble.lower()))
+        opening = F.lower(F.left(text, F.lit(len(preamble))))
+        match = F.startswith(opening, F.lit(preamble.lower()))
         branches = F.when(match, rest) if branches is None else branches.when(match, rest)
     tidy = ellipsis(branches.otherwise(text), 200, 197)
     short = F.char_length(or_empty(description)) < 50

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
-from threadshelf.plans.skew import lookup_join, paged_lists
+from threadshelf.plans.sizes import at_most
+from threadshelf.plans.skew import PAGE_SIZE, lookup_join, paged_lists
 
 NAMES_SHOWN = 10
 
@@ -123,10 +124,16 @@ def books_per_source(links: DataFrame, books: DataFrame, sources: DataFrame) ->
     )
 
 
+def most_sources(sources: DataFrame, page_size: int = PAGE_SIZE) -> int | None:
+    """A bound of the sources a book can have: no more than there are, as no pair of book and
+    source is linked twice. None where that is beyond a page and the links must be counted."""
+    return page_size if at_most(sources, page_size) else None
+
+
 def source_titles(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Titles of each book's sources in link order, as (book_id, page, titles)."""
     rows = sources_of_books(links, sources.select("id", "title"))
-    return paged_lists(rows, "book_id", "link_id", F.col("title"), "titles")
+    return paged_lists(rows, "book_id", "link_id", F.col("title"), "titles", longest=most_sources(sources))
 
 
 def first_source_title(titles: Column) -> Column:
@@ -144,7 +151,7 @@ def book_detail(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataF
         text.ellipsis(F.col("title"), 60, 60).alias("title"),
         text.thread_link(F.col("url"), F.col("external_id")).alias("link"),
     )
-    pages = paged_lists(rows, "book_id", "link_id", shown, "sources")
+    pages = paged_lists(rows, "book_id", "link_id", shown, "sources", longest=most_sources(sources))
     counts = rows.groupBy("book_id").agg(F.count("*").alias("n_sources"))
     return (
         books.withColumnRenamed("id", "book_id")

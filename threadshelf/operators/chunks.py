@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.functions.vectors import normalised
-from threadshelf.operators.catalog import first_source_title, searchable, sources_of_books, with_status
+from threadshelf.operators.catalog import (
+    first_source_title,
+    most_sources,
+    searchable,
+    sources_of_books,
+    with_status,
+)
 from threadshelf.operators.changes import upsert_chunks
+from threadshelf.operators.vectors import unit_rows
 from threadshelf.plans.skew import PAGE_SIZE, longest_list, paged_lists
 
 PART_BREAK = "\n\n"
@@ -62,7 +69,9 @@ def chunk_parts(
     """
     wanted = links.join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
     rows = sources_of_books(wanted, sources.select("id", "title"))
-    longest = longest_list(wanted, "book_id")
+    longest = most_sources(sources, page_size)
+    if longest is None:
+        longest = longest_list(wanted, "book_id")
     pages = paged_lists(
         rows, "book_id", "link_id", F.col("title"), "titles", page_size=page_size, longest=longest
     )
@@ -161,23 +170,44 @@ def embed(
     The encoder is loaded once per task and called with Arrow batches. A text in several
     parts (columns part and n_parts) gets the direction of the sum of its parts' vectors.
     """
+    parted = "n_parts" in texts.columns
+    given = texts.select(key, "text", (F.col("n_parts") if parted else F.lit(1)).alias("n_parts"))
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder()
         for batch in batches:
-            yield pd.Series(list(encoder(batch.fillna("").tolist())))
-
-    n_parts = F.col("n_parts") if "n_parts" in texts.columns else F.lit(1)
-    raw = texts.select(key, n_parts.alias("n_parts"), encode("text").alias("raw"))
-    single = raw.where(F.col("n_parts") == 1).select(key, "raw")
-    if "n_parts" in texts.columns:
-        several = raw.where(F.col("n_parts") > 1).select(key, F.posexplode("raw").alias("i", "x"))
-        sums = several.groupBy(key, "i").agg(F.sum("x").alias("x"))
-        joined = F.array_sort(F.collect_list(F.struct("i", "x")))
-        whole = sums.groupBy(key).agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
-        single = single.unionByName(whole)
-    return single.select(key, normalised(F.col("raw")).alias("embedding"))
+            values = [value or "" for value in batch.column("text").to_pylist()]
+            if not values:
+                continue
+            vectors = np.asarray(encoder(values), np.float64)
+            n_parts = batch.column("n_parts").to_numpy()
+            raw = [v if n > 1 else None for v, n in zip(vectors, n_parts)]
+            units = unit_rows(vectors).astype(np.float32)
+            starts = np.arange(len(values) + 1, dtype=np.int32) * units.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key),
+                    pa.ListArray.from_arrays(starts, units.ravel()),
+                    pa.array(raw, pa.list_(pa.float64())),
+                ],
+                names=[key, "embedding", "raw"],
+            )
+
+    kind = texts.schema[key].dataType.simpleString()
+    encoded = given.mapInArrow(encode, f"{key} {kind}, embedding array<float>, raw array<double>")
+    if not parted:
+        return encoded.drop("raw")
+    sums = (
+        encoded.where(F.col("raw").isNotNull())
+        .select(key, F.posexplode("raw").alias("i", "x"))
+        .groupBy(key, "i")
+        .agg(F.sum("x").alias("x"))
+    )
+    # one entry per dimension
+    joined = F.array_sort(F.collect_list(F.struct("i", "x")))
+    whole = sums.groupBy(key).agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
+    single = encoded.where(F.col("raw").isNull()).select(key, "embedding")
+    return single.unionByName(whole.select(key, normalised(F.col("raw")).alias("embedding")))
 
 
 def build_chunks(

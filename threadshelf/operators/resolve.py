@@ -139,14 +139,14 @@ def metadata_record(best: DataFrame, live_links: DataFrame | None = None) -> Dat
 def enrich(keys: DataFrame, volumes: DataFrame) -> DataFrame:
     """Add `volume`, the best candidate of each (title_key, author_key), or NULL.
 
-    `volumes` has the candidates of landed queries under (title_key, author_key); a query
+    The keys are distinct. `volumes` has the candidates of landed queries under (title_key, author_key); a query
     by title alone has an empty author_key. The query with the author is tried first, the
     one by title alone where that gave nothing.
     """
     best = best_candidates(volumes, ["title_key", "author_key"])
-    # a candidate holds texts of any length, so the number of rows is no bound of their size
-    tried = lookup_join(keys, best, ["title_key", "author_key"], max_broadcast_rows=0)
+    tried = keys.join(best, ["title_key", "author_key"], "left")
     by_title = best.where(F.col("author_key") == "").select("title_key", "volume")
+    # a candidate holds texts of any length, so the number of rows is no bound of their size
     retried = lookup_join(
         tried.where(F.col("volume").isNull() & (F.col("author_key") != "")).drop("volume"),
         by_title,

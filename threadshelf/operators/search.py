@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.functions.vectors import similarity_label
-from threadshelf.operators.catalog import sources_of_books
+from threadshelf.operators.catalog import most_sources, sources_of_books
 from threadshelf.operators.chunks import Encoder, embed, word_encoder
 from threadshelf.operators.vectors import nearest, ranked
 from threadshelf.plans.skew import paged_lists
@@ -112,7 +112,8 @@ def _sources_of_hits(
     found: DataFrame, links: DataFrame, sources: DataFrame, value: Column, name: str
 ) -> DataFrame:
     wanted = links.join(found.select("book_id").distinct(), "book_id", "left_semi")
-    return paged_lists(sources_of_books(wanted, sources), "book_id", "link_id", value, name)
+    rows = sources_of_books(wanted, sources)
+    return paged_lists(rows, "book_id", "link_id", value, name, longest=most_sources(sources))
 
 
 def search_report(found: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ VECTOR_BLOCK = 50_000
 HITS = "qid long, id long, score double"
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
 
@@ -32,7 +32,7 @@ def _matrix(column) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = len(column)
-    return _unit_rows(flat.reshape(rows, -1)) if rows else np.zeros((0, 0))
+    return unit_rows(flat.reshape(rows, -1)) if rows else np.zeros((0, 0))
 
 
 @dataclass
@@ -185,7 +185,7 @@ def _block_join(
 def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors of one query, as a plain expression and a top-k sort."""
     _check_k(k)
-    direction = _unit_rows(np.asarray([query], np.float64))[0]
+    direction = unit_rows(np.asarray([query], np.float64))[0]
     literal = F.array(*[F.lit(float(x)) for x in direction])
     scored = vectors.where(F.col("embedding").isNotNull()).select(
         "id", cosine_to_unit(F.col("embedding"), literal).alias("score")

@@ -76,14 +76,16 @@ def resolve_batch(
         roots.where(F.col("proposal") == F.col("root")).select("proposal"), "proposal", "left_semi"
     )
     numbered = cut(number_rows(kept, ["first_order", "proposal"], last_id))
-    made = (
-        members.join(roots, "proposal")
-        .join(numbered.select(F.col("proposal").alias("root"), F.col("id").alias("book_id")), "root")
-        .select(*KEY, "book_id")
+    made = members.join(roots, "proposal").join(
+        numbered.select(F.col("proposal").alias("root"), F.col("id").alias("book_id")), "root"
     )
     new_books = changes.shaped_books(numbered, now)
-    settled = lookup_join(said, known.unionByName(made), KEY)
-    return Resolution(_with_outcome(settled, new_books, order), new_books)
+    settled = cut(
+        _first_mentions(made, new_books).unionByName(known, allowMissingColumns=True)
+    )
+    outcome = F.when(F.col("made_at") == order, F.col("made")).otherwise(F.lit("existing"))
+    resolved = lookup_join(said, settled, KEY).withColumn("outcome", outcome)
+    return Resolution(resolved.select(*ORDER, "title", "author", "book_id", "outcome"), new_books)
 
 
 def _records(keys: DataFrame, volumes: DataFrame, live_links: DataFrame | None) -> DataFrame:
@@ -121,7 +123,8 @@ def _proposals(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     proposals = named.groupBy("proposal").agg(
         F.min_by(F.struct(*rest), "first_order").alias("row")
     )
-    return cut(proposals.select("proposal", "row.*")), named.select(*KEY, "proposal")
+    members = named.select(*KEY, "proposal", "first_order")
+    return cut(proposals.select("proposal", "row.*")), members
 
 
 def _merge(proposals: DataFrame) -> DataFrame:
@@ -147,10 +150,11 @@ def _merge(proposals: DataFrame) -> DataFrame:
     narrow = proposals.select("proposal", "first_order", *KEY, bare.alias("bare"))
     authored = narrow.where(F.col("author_key") != "")
     untold = narrow.where((F.col("author_key") == "") & ~F.col("bare"))
+    # what was said differs between proposals, so no key is frequent on either side
     targets = [
-        lookup_join(authored, both, KEY),
-        lookup_join(untold, title, ["title_key"]),
-        lookup_join(narrow.where("bare"), told, ["title_key"]),
+        authored.join(both, KEY, "left"),
+        untold.join(title, "title_key", "left"),
+        narrow.where("bare").join(told, "title_key", "left"),
     ]
     linked = targets[0].unionByName(targets[1]).unionByName(targets[2])
     answered = F.col("target").isNotNull() & (F.col("bare") | (F.col("target") < place))
@@ -169,25 +173,13 @@ def _merge(proposals: DataFrame) -> DataFrame:
         parents = moved.select("proposal", F.col("above").alias("root"))
 
 
-def _with_outcome(settled: DataFrame, new_books: DataFrame, order: Column) -> DataFrame:
-    fresh = new_books.select(
-        F.col("id").alias("book_id"),
-        F.when(text.or_empty(F.col("description")) != "", "added")
-        .otherwise("no_description")
-        .alias("made"),
-    )
-    firsts = (
-        settled.join(fresh.select("book_id"), "book_id", "left_semi")
-        .groupBy("book_id")
-        .agg(F.min(order).alias("made_at"))
-        .join(fresh, "book_id")
-    )
-    outcome = F.when(F.col("made_at") == order, F.col("made")).otherwise(F.lit("existing"))
-    return (
-        lookup_join(settled, firsts, ["book_id"])
-        .withColumn("outcome", outcome)
-        .select(*ORDER, "title", "author", "book_id", "outcome")
-    )
+def _first_mentions(made: DataFrame, new_books: DataFrame) -> DataFrame:
+    """Keys of the new books, with the order of the mention each book was made by."""
+    first = made.groupBy("book_id").agg(F.min("first_order").alias("made_at"))
+    described = text.or_empty(F.col("description")) != ""
+    kind = F.when(described, "added").otherwise("no_description").alias("made")
+    told = first.join(new_books.select(F.col("id").alias("book_id"), kind), "book_id")
+    return lookup_join(made.select(*KEY, "book_id"), told, ["book_id"])
 
 
 @dataclass

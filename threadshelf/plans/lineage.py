@@ -10,10 +10,14 @@ from threadshelf.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder, so that lost executors cost no recomputation
-    and every reader sees the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back.
+
+    Lost executors then cost no recomputation, every reader sees the same rows, and the
+    size of the files tells the planner what it may broadcast.
+    """
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def work_path(spark, name: str) -> str:

@@ -37,7 +37,7 @@ def lookup_join(
     fraction of a shuffle partition are split off: their few lookup rows are broadcast
     and the other keys are joined by shuffle.
     """
-    if at_most(lookup, max_broadcast_rows):
+    if max_broadcast_rows and at_most(lookup, max_broadcast_rows):
         return facts.join(F.broadcast(lookup), on, how)
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*on)

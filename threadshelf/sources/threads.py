@@ -239,7 +239,7 @@ def comment_texts(headers: DataFrame, comments: DataFrame, key: str = "origin")
     return posts.unionByName(kept)
 
 
-def comment_counts(headers: DataFrame, comments: DataFrame, key: str = "origin") -> DataFrame:
-    """Number of comments per thread, 0 included."""
-    counted = comments.groupBy(key).agg(F.count("*").alias("n_comments"))
-    return headers.select(key).join(counted, key, "left").fillna(0, ["n_comments"])
+def comment_counts(parsed: DataFrame) -> DataFrame:
+    """Number of comments of each parsed thread."""
+    readable = parsed.where(F.col("layout") != "unreadable")
+    return readable.select("origin", "external_id", F.size("comments").alias("n_comments"))
