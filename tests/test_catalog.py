@@ -1,0 +1,249 @@
+"""Catalogue queries and changes on small tables."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadshelf.operators import catalog, changes
+from threadshelf.sources.tables import Table
+from threadshelf.schemas import BOOKS, LINKS
+
+T0, T1 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+NOW = datetime.datetime(2025, 1, 1)
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+@pytest.fixture
+def books(spark):
+    def make(*rows):
+        """(id, title, author, status), made on T0."""
+        full = [
+            (i, title, author, None, None, None, None, None, None, status, None, T0, T0)
+            for i, title, author, status in rows
+        ]
+        return spark.createDataFrame(full, BOOKS)
+
+    return make
+
+
+@pytest.fixture
+def links(spark):
+    def make(*pairs):
+        rows = [(i, b, s, None, 0) for i, (b, s) in enumerate(pairs, 1)]
+        return spark.createDataFrame(rows, LINKS)
+
+    return make
+
+
+def ids(df, column="id"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_default_listing_leaves_out_deleted_and_statusless(books):
+    shelf = books((1, "a", None, "new"), (2, "b", None, "deleted"), (3, "c", None, None), (4, "d", None, ""))
+    assert ids(catalog.list_books(shelf)) == [1, 4]
+    assert ids(catalog.list_books(shelf, "deleted")) == [2]
+
+
+def test_newest_first_with_id_breaking_ties(books):
+    shelf = books(*[(i, "t", None, "new") for i in (3, 1, 2)])
+    assert [r.id for r in catalog.list_books(shelf, limit=2).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        catalog.list_books(shelf, limit=-1)
+
+
+def test_text_filter_is_no_pattern(books):
+    shelf = books((1, "100% Wolf", None, "new"), (2, "Wolf", "ÉMILE", "new"), (3, "x_y", None, "new"))
+    assert ids(catalog.matching_text(shelf, "%")) == [1]
+    assert ids(catalog.matching_text(shelf, "émile")) == [2]
+    assert ids(catalog.matching_text(shelf, "_")) == [3]
+
+
+def test_total_and_page(books):
+    shelf = books(*[(i, "t", None, "new") for i in range(1, 8)])
+    page = catalog.total_and_page(shelf, 5).collect()
+    assert [(r.id, r.total, r.remaining) for r in page] == [(i, 7, 2) for i in range(1, 6)]
+    assert catalog.total_and_page(shelf, 50).first().remaining == 0
+
+
+def test_lookup_by_key_takes_the_lowest_id(books, table):
+    shelf = books((5, "same", "x", "new"), (2, "same", "y", "new"), (3, "other", None, "new"))
+    found = catalog.by_key(shelf, table("title string", ("same",), ("missing",), (None,)), "title")
+    assert ids(found) == [2]
+
+
+def test_counts_differ_on_orphans(books, links, table):
+    shelf = books((1, "a", None, "new"), (3, "c", None, "new"))
+    linked = links((1, 10), (1, 11), (2, 10))
+    sources = table("id long, title string", (10, "x" * 51), (11, "y"), (12, "z"))
+    counts = {r.book_id: r.n_sources for r in catalog.source_counts(linked, shelf).collect()}
+    assert counts == {1: 2, 3: 0}
+    assert {r.book_id: r.n_sources for r in catalog.source_counts(linked).collect()} == {1: 2, 2: 1}
+    per_source = {r.source_id: r.n_books for r in catalog.books_per_source(linked, shelf, sources).collect()}
+    assert per_source == {10: 1, 11: 1, 12: 0}
+
+
+def test_book_detail(books, links, table):
+    sources = table(
+        "id long, external_id string, title string, url string",
+        (10, "ab", "t" * 61, ""), (11, "cd", "short", "http://u"),
+    )
+    shelf = books((1, "a", "", "new"), (2, "b", "B", None))
+    rows = {r.book_id: r for r in catalog.book_detail(shelf, links((1, 11), (1, 10)), sources).collect()}
+    assert [tuple(s) for s in rows[1].sources] == [
+        ("short", "http://u"), ("t" * 60 + "...", "https://reddit.com/comments/ab")]
+    assert (rows[1].author, rows[1].n_sources, rows[1].updated) == ("Unknown", 2, None)
+    assert (rows[2].status, rows[2].n_sources, rows[2].sources) == ("new", 0, None)
+
+
+def test_appended_books_get_ids_and_defaults(table):
+    batch = table("title string, author string, k int", *[(f"t{i}", None, i) for i in range(50)])
+    added = changes.new_books(batch, ["k"], 7, now())
+    rows = added.orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(8, 58))
+    assert [r.title for r in rows] == [f"t{i}" for i in range(50)]
+    assert {(r.status, r.created_at) for r in rows} == {("new", NOW)}
+
+
+def test_sources_are_inserted_once_and_keep_their_title(table):
+    known = table("id long, external_id string", (4, "a"))
+    batch = table("external_id string, title string, k int", ("a", "x", 1), ("b", "first", 2), ("b", "second", 3))
+    added = changes.new_sources(batch, known, ["k"], 4, now()).collect()
+    assert [(r.id, r.external_id, r.title, r.source_type) for r in added] == [(5, "b", "first", "reddit")]
+
+
+def test_links_are_inserted_once_whatever_their_context(links, table):
+    pairs = table(
+        "book_id long, source_id long, context_id string",
+        (1, 1, "x"), (1, 1, "y"), (2, 1, "z"), (2, 1, None),
+    )
+    added = changes.new_links(pairs, links((1, 1)), 1)
+    assert [(r.id, r.book_id, r.source_id) for r in added.collect()] == [(2, 2, 1)]
+    again = changes.new_links(pairs, links((1, 1)).unionByName(added), 2)
+    assert again.isEmpty()
+
+
+def test_chunk_upsert_replaces_all_parts(table):
+    columns = "doc_id string, part int, text string"
+    stored = table(columns, ("d1", 0, "a"), ("d1", 1, "b"), ("d2", 0, "c"))
+    batch = table(columns + ", k int", ("d1", 0, "old", 1), ("d1", 1, "old", 1), ("d1", 0, "new", 2))
+    rows = changes.upsert_chunks(stored, batch, "k").collect()
+    assert sorted(tuple(r) for r in rows) == [("d1", 0, "new"), ("d2", 0, "c")]
+
+
+def test_legacy_rows_do_not_replace_known_ones(books, table):
+    known = books((1, "known", None, "new"))
+    legacy = table(
+        "id long, title string, author string, description string, summary string, external_id string,"
+        "isbn string, cover_url string, external_url string, status string, metadata string,"
+        "created_at timestamp_ntz, updated_at timestamp_ntz",
+        (1, "other", *[None] * 9, T0, T0), (2, "two", None, None, None, "g", None, None, "u", None, None, T0, T0),
+        (3, *[None] * 10, T0, T0),
+    )
+    rows = {r.id: r for r in changes.migrate_books(legacy, known).collect()}
+    assert sorted(rows) == [1, 2]
+    assert (rows[1].title, rows[2].google_books_id, rows[2].amazon_url, rows[2].status) == (
+        "known", "g", "u", None)
+
+
+def test_legacy_links_without_context_never_clash(table):
+    columns = "id long, book_id long, source_id long, context_id string, score int"
+    known = table(columns, (1, 1, 1, None, 0), (2, 1, 2, "c", 0))
+    legacy = table(
+        columns.replace("book_id", "document_id"),
+        (1, 9, 9, None, 0), (3, 1, 1, None, 0), (4, 1, 2, "c", 0), (5, 2, 2, "d", 0), (6, 2, 2, "d", 0),
+    )
+    assert ids(changes.migrate_links(legacy, known)) == [1, 2, 3, 5]
+
+
+def test_status_requests(books, table):
+    shelf = books((1, "a", None, "new"), (2, "b", None, None))
+    asked = table("book_id long, status string", (1, "reading"), (1, "new"), (1, "lost"), (9, "new"), (2, "new"), (9, None))
+    judged = changes.classify_status_changes(asked, shelf).collect()
+    assert {(r.book_id, r.status): r.outcome for r in judged} == {
+        (1, "reading"): "updated", (1, "new"): "unchanged", (1, "lost"): "invalid",
+        (9, "new"): "not_found", (2, "new"): "updated", (9, None): "invalid"}
+
+
+def test_latest_status_wins_and_only_changes_are_stamped(books, table):
+    shelf = books((1, "a", None, "new"), (2, "b", None, "new"), (3, "c", None, None))
+    asked = table(
+        "book_id long, status string, ts int",
+        (1, "finished", 2), (1, "reading", 1), (1, "bogus", 3), (2, "new", 1),
+    )
+    rows = changes.apply_status_changes(shelf, asked, ["ts"], now()).orderBy("id").collect()
+    assert [(r.status, r.updated_at) for r in rows] == [("finished", NOW), ("new", T0), (None, T0)]
+
+
+def test_bulk_status_leaves_deleted_and_statusless(books):
+    shelf = books((1, "a", None, "new"), (2, "b", None, "deleted"), (3, "c", None, None), (4, "d", None, "reading"))
+    rows = changes.bulk_status(shelf, "reading", now()).orderBy("id").collect()
+    assert [r.status for r in rows] == ["reading", "deleted", None, "reading"]
+    assert [r.updated_at == NOW for r in rows] == [True, False, False, False]
+    assert changes.affected(shelf, changes.bulk_changes("reading")).first().affected == 1
+    with pytest.raises(ValueError):
+        changes.bulk_changes("lost")
+
+
+def test_showing_marks_new_books_viewed(books, table):
+    shelf = books((1, "a", None, "new"), (2, "b", None, None), (3, "c", None, "reading"), (4, "d", None, "new"))
+    shown = table("book_id long", (1,), (1,), (2,), (3,))
+    rows = changes.mark_viewed(shelf, shown, now()).orderBy("id").collect()
+    assert [r.status for r in rows] == ["viewed", "viewed", "reading", "new"]
+
+
+@pytest.fixture
+def whole(books, links, table):
+    return changes.Catalogue(
+        books=books((1, "both gone", None, "new"), (2, "shared", None, "new"), (3, "other", None, "new"),
+                    (4, "unlinked", None, "new")),
+        sources=table("id long, title string", (10, "s"), (11, "t"), (12, "u")),
+        links=links((1, 10), (1, 11), (2, 10), (2, 12), (3, 12), (99, 10), (4, 77)),
+        chunks=table("doc_id string", ("doc_1",), ("doc_2",), ("doc_4",)),
+    )
+
+
+def state(c):
+    links = sorted((r.book_id, r.source_id) for r in c.links.collect())
+    return ids(c.books), ids(c.sources), links, ids(c.chunks, "doc_id")
+
+
+def test_removing_sources_together_or_one_by_one(whole, table):
+    together = changes.remove_sources(whole, table("id long", (10,), (11,), (77,)))
+    first = changes.remove_sources(whole, table("id long", (10,)))
+    second = changes.remove_sources(first, table("id long", (11,)))
+    assert state(together) == state(second)
+    assert state(together) == (
+        [2, 3, 4], [12], [(2, 12), (3, 12), (4, 77)], ["doc_2", "doc_4"])
+
+
+def test_removal_preview(whole, table):
+    preview = catalog.removal_preview(table("id long", (10,), (12,), (5,)), whole.links, whole.books)
+    rows = {r.source_id: (r.to_delete, r.to_keep, r.names) for r in preview.collect()}
+    assert rows == {10: (0, 2, None), 12: (1, 1, ["other by Unknown"]), 5: (0, 0, None)}
+
+
+def test_deleting_a_book_leaves_its_links(whole, table):
+    books, chunks = changes.delete_books(whole.books, whole.chunks, table("id long", (2,), (50,)))
+    assert (ids(books), ids(chunks, "doc_id")) == ([1, 3, 4], ["doc_1", "doc_4"])
+    assert ids(changes.delete_sources(whole.sources, table("id long", (10,)))) == [11, 12]
+    assert changes.delete_links(whole.links, table("id long", (10,))).count() == 4
+
+
+def test_table_versions(spark, books, tmp_path):
+    store = Table(spark, str(tmp_path / "books"), BOOKS)
+    assert store.read().isEmpty() and store.last_id() == 0
+    store.append(books((1, "a", None, "new"), (2, "b", None, "new")))
+    store.append(books((3, "c", None, "new")))
+    assert ids(store.read()) == [1, 2, 3]
+    store.replace(store.read().where("id = 1"))
+    assert ids(store.read()) == [1]
+    assert store.last_id() == 3
+    books((9, "junk", None, "new")).write.parquet(str(tmp_path / "books" / "v=3"))
+    assert ids(store.read()) == [1]
+    store.append(books((4, "d", None, "new")))
+    assert ids(store.read()) == [1, 4]

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import sys
-import threading
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -66,7 +65,7 @@ class Threads:
 
 def read_thread_files(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Raw threads, one per file or one per line, as (origin, value)."""
-    lines = spark.read.option("wholetext", whole_files).text(path)
+    lines = spark.read.text(path, wholetext=whole_files)
     return with_origin(lines, whole_files)
 
 
@@ -120,26 +119,27 @@ def _read(value: str) -> dict | None:
         return None
 
 
-def _read_deep(value: str) -> dict | None:
-    """Parse nesting far beyond the usual limit, in a thread with a large stack."""
-    result = []
+class _DeepDecoder(json.JSONDecoder):
+    """The library's own decoder in Python, whose nesting is bounded by the recursion limit only."""
+
+    def __init__(self):
+        super().__init__()
+        self.parse_object = json.decoder.JSONObject
+        self.parse_array = json.decoder.JSONArray
+        self.parse_string = json.decoder.py_scanstring
+        self.scan_once = json.scanner.py_make_scanner(self)
 
-    def work() -> None:
-        try:
-            result.append(_walk(json.loads(value)))
-        except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
-            result.append(None)
 
-    limit, size = sys.getrecursionlimit(), threading.stack_size(512 * 1024 * 1024)
-    sys.setrecursionlimit(1_000_000)
+def _read_deep(value: str) -> dict | None:
+    """Read nesting beyond what the fast decoder takes."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(10_000_000)
     try:
-        worker = threading.Thread(target=work)
-        worker.start()
-        worker.join()
+        return _walk(_DeepDecoder().decode(value))
+    except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
+        return None
     finally:
         sys.setrecursionlimit(limit)
-        threading.stack_size(size)
-    return result[0]
 
 
 def _walk(doc) -> dict | None:
