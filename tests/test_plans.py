@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.plans import skew
 from threadshelf.plans.ids import high_water_mark, number_rows
-from threadshelf.plans.sizes import at_most, spread
+from threadshelf.plans.sizes import at_most, fits_broadcast, spread
 
 
 @pytest.fixture
@@ -18,10 +18,10 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("bound", [0, 10, 1_000_000])
-def test_lookup_join_equals_join(spark, hot, how, bound):
+@pytest.mark.parametrize("bound, wide", [(0, False), (1_000_000, False), (0, True)])
+def test_lookup_join_equals_join(spark, hot, how, bound, wide):
     lookup = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    found = skew.lookup_join(hot, lookup, ["k"], how, max_broadcast_rows=bound)
+    found = skew.lookup_join(hot, lookup, ["k"], how, wide, bound)
     expected = hot.join(lookup, ["k"], how)
     assert found.count() == expected.count()
     assert found.select(*expected.columns).exceptAll(expected).isEmpty()
@@ -71,6 +71,9 @@ def test_marks_and_sizes(spark):
     assert high_water_mark(spark.range(5)) == 4
     assert high_water_mark(spark.range(0)) == 0
     assert at_most(spark.range(5), 5) and not at_most(spark.range(6), 5)
+    texts = spark.range(5).select(F.repeat(F.lit("x"), 20_000_000).alias("t"))
+    assert fits_broadcast(texts.limit(2)) and not fits_broadcast(texts)
+    assert fits_broadcast(spark.range(5), 5) and not fits_broadcast(spark.range(6), 5)
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
 
 

@@ -9,6 +9,7 @@ from threadshelf.checks.changes import now
 from threadshelf.functions import text
 from threadshelf.operators import resolve
 from threadshelf.plans.ingest import resolve_batch as resolve_mention_batch
+from threadshelf.plans.sizes import spread
 
 
 @query(
@@ -227,7 +228,7 @@ def _batch(t: Tables):
         F.col("p_brand").alias("author"),
         F.lit(None).cast("string").alias("google_books_id"),
     )
-    found = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    found = spread(t.lineitem).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("external_id"),
         F.array(F.col("l_orderkey").cast("int"), F.col("l_linenumber")).alias("path"),
         F.col("l_partkey").cast("int").alias("mention_pos"),

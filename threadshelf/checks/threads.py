@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
-from threadshelf.plans.lineage import cut, work_path
+from threadshelf.plans.lineage import work_path
 from threadshelf.plans.sizes import spread
 from threadshelf.sources import threads, volumes
 from threadshelf.sources.tables import COMMENTS, Table
@@ -18,7 +18,7 @@ def json_text(value: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
-def listing_json(t: Tables) -> DataFrame:
+def listing_json(documents: DataFrame) -> DataFrame:
     """Documents as raw threads (origin, value).
 
     Lines are comments, the sentences of a line its replies. A line with a bar is no
@@ -74,7 +74,7 @@ def listing_json(t: Tables) -> DataFrame:
         .when(F.col("lang") == "es", F.left(listing, F.char_length(listing) - 2))
         .otherwise(listing)
     )
-    return spread(t.documents).select(doc.alias("origin"), value.alias("value"))
+    return spread(documents).select(doc.alias("origin"), value.alias("value"))
 
 
 HEADERS_SQL = """headers AS (
@@ -115,19 +115,19 @@ def dotted(path: str = "path") -> Column:
        FROM documents"""
 )
 def scan_threads(t: Tables) -> DataFrame:
-    return threads.parse(listing_json(t)).select(
+    return threads.parse(listing_json(t.documents)).select(
         "origin", "layout", F.col("value").isNotNull().alias("quarantined")
     )
 
 
 @query("WITH " + HEADERS_SQL + " SELECT external_id, title, selftext, subreddit, url FROM headers")
 def thread_headers(t: Tables) -> DataFrame:
-    return threads.split(threads.parse(listing_json(t))).headers.drop("origin")
+    return threads.split(threads.parse(listing_json(t.documents))).headers.drop("origin")
 
 
 @query("WITH " + COMMENTS_SQL + " SELECT * FROM comments")
 def flatten_comments(t: Tables) -> DataFrame:
-    comments = threads.split(threads.parse(listing_json(t))).comments
+    comments = threads.split(threads.parse(listing_json(t.documents))).comments
     return comments.withColumns({"path": dotted(), "external_id": F.col("origin")}).drop("origin")
 
 
@@ -138,7 +138,7 @@ def flatten_comments(t: Tables) -> DataFrame:
     LEFT JOIN comments c ON c.external_id = d.external_id GROUP BY d.external_id"""
 )
 def comment_count(t: Tables) -> DataFrame:
-    return threads.comment_counts(threads.parse(listing_json(t))).drop("origin")
+    return threads.comment_counts(threads.parse(listing_json(t.documents))).drop("origin")
 
 
 # system turns stand for comments that were taken away
@@ -269,7 +269,7 @@ def incremental_ingest(t: Tables) -> DataFrame:
     comments = Table(spark, f"{base}/comments", COMMENTS)
 
     def index(batch: DataFrame) -> None:
-        found = threads.split(cut(threads.parse(batch)))
+        found = threads.split(threads.parse_once(batch))
         first = found.headers.dropDuplicates(["external_id"])
         unseen = changes.unseen_sources(first, sources.read())
         fresh = changes.new_sources(
@@ -279,10 +279,8 @@ def incremental_ingest(t: Tables) -> DataFrame:
         comments.append(kept)
         sources.append(fresh)
 
-    raw = listing_json(t)
-    english = F.contains("value", F.lit('"subreddit":"en"'))
-    for lot in (raw.where(english), raw):
-        lot.select("value").write.mode("append").text(landing)
+    for lot in (t.documents.where(F.col("lang") == "en"), t.documents):
+        listing_json(lot).select("value").write.mode("append").text(landing)
         stream = streams.thread_stream(spark, landing, whole_files=False)
         streams.start(stream, checkpoint, index).awaitTermination()
     counts = comments.read().groupBy("external_id").agg(F.count("*").alias("n_comments"))

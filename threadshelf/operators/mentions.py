@@ -41,8 +41,7 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
             )
 
     answered = distinct.mapInPandas(run, "_key string, response string, error string")
-    # answers are texts of any length, so their number is no bound of their size
-    return lookup_join(keyed, answered, ["_key"], max_broadcast_rows=0).drop("_key")
+    return lookup_join(keyed, answered, ["_key"], wide=True).drop("_key")
 
 
 def _one(model: Model, value: str) -> tuple[str | None, str | None]:

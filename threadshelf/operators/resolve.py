@@ -146,12 +146,11 @@ def enrich(keys: DataFrame, volumes: DataFrame) -> DataFrame:
     best = best_candidates(volumes, ["title_key", "author_key"])
     tried = keys.join(best, ["title_key", "author_key"], "left")
     by_title = best.where(F.col("author_key") == "").select("title_key", "volume")
-    # a candidate holds texts of any length, so the number of rows is no bound of their size
     retried = lookup_join(
         tried.where(F.col("volume").isNull() & (F.col("author_key") != "")).drop("volume"),
         by_title,
         ["title_key"],
-        max_broadcast_rows=0,
+        wide=True,
     )
     settled = tried.where(F.col("volume").isNotNull() | (F.col("author_key") == ""))
     return settled.unionByName(retried)

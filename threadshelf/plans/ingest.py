@@ -59,10 +59,8 @@ def resolve_batch(
     )
     said = cut(resolve.with_keys(said.where(F.col("title") != "")))
     order = F.struct(*ORDER)
-    keys = said.groupBy(*KEY).agg(
-        F.min(order).alias("first_order"),
-        F.min_by(F.struct("title", "author"), order).alias("said"),
-    )
+    first = F.min(F.struct(order.alias("first_order"), F.struct("title", "author").alias("said")))
+    keys = said.groupBy(*KEY).agg(first.alias("first")).select(*KEY, "first.*")
     matched = cut(resolve.match_titles(keys, books))
     known = matched.where(F.col("book_id").isNotNull()).select(*KEY, "book_id")
     enriched = _records(matched.where(F.col("book_id").isNull()).drop("book_id"), volumes, live_links)
@@ -230,7 +228,7 @@ def ingest(
     the same threads again adds nothing.
     """
     now = F.current_timestamp() if now is None else now
-    read = threads.split(cut(threads.parse(raw)))
+    read = threads.split(threads.parse_once(raw))
     one_copy = (
         read.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
         .groupBy("external_id")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup row is an id and a short key, well under 256 bytes: at most about 128 MB.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -13,6 +15,19 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.select(*df.columns[:1]).limit(rows + 1).count() <= rows
 
 
+def fits_broadcast(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True if a table is small enough, by rows and by bytes, to be sent to every executor;
+    stops counting just past the rows."""
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return size["n"] <= rows and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan that comes in fewer partitions than there are cores, dealt out to all.
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, at_most
+from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, fits_broadcast
 
+# Copies of a frequent key's lookup row where it cannot be broadcast.
+SALTS = 64
 # Members collected into one array cell.
 PAGE_SIZE = 10_000
 # Span of order ids counted as one block when a long list is cut into pages.
@@ -29,15 +31,18 @@ def lookup_join(
     lookup: DataFrame,
     on: list[str],
     how: str = "left",
+    wide: bool = False,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join facts to a lookup that has one row per key.
 
     A lookup of checked size is broadcast. Beyond that, keys that hold more than a
     fraction of a shuffle partition are split off: their few lookup rows are broadcast
-    and the other keys are joined by shuffle.
+    and the other keys are joined by shuffle. Rows of a `wide` lookup hold texts of any
+    length and are never broadcast; the facts of a frequent key are then dealt out to
+    several copies of its lookup row.
     """
-    if max_broadcast_rows and at_most(lookup, max_broadcast_rows):
+    if not wide and fits_broadcast(lookup, max_broadcast_rows):
         return facts.join(F.broadcast(lookup), on, how)
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*on)
@@ -46,10 +51,19 @@ def lookup_join(
         return facts.join(lookup, on, how)
     is_hot = F.xxhash64(key).isin(hot)
     light = facts.where(~is_hot).join(lookup, on, how)
-    heavy = facts.where(is_hot).join(F.broadcast(lookup.where(is_hot)), on, how)
+    if wide:
+        heavy = _salted_join(facts.where(is_hot), lookup.where(is_hot), on, how)
+    else:
+        heavy = facts.where(is_hot).join(F.broadcast(lookup.where(is_hot)), on, how)
     return light.unionByName(heavy)
 
 
+def _salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    salted = facts.withColumn("_salt", F.spark_partition_id() % SALTS)
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def longest_list(rows: DataFrame, key: str) -> int:
     """Rows of the most frequent key, from partial counts."""
     return rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0

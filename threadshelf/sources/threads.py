@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadshelf.functions import text
+from threadshelf.plans.lineage import cut
 
 HEADER_COLUMNS = ["external_id", "title", "selftext", "subreddit", "url"]
 
@@ -65,16 +66,12 @@ class Threads:
 
 def read_thread_files(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Raw threads, one per file or one per line, as (origin, value)."""
-    lines = spark.read.text(path, wholetext=whole_files)
-    return with_origin(lines, whole_files)
+    return with_origin(spark.read.text(path, wholetext=whole_files))
 
 
-def with_origin(lines: DataFrame, whole_files: bool) -> DataFrame:
-    """Name each raw thread after its file, and the text of the line where a file has many."""
-    origin = F.col("_metadata.file_path")
-    if not whole_files:
-        origin = F.concat_ws("#", origin, F.sha2("value", 256))
-    return lines.select(origin.alias("origin"), "value")
+def with_origin(lines: DataFrame) -> DataFrame:
+    """Name each raw thread after its file."""
+    return lines.select(F.col("_metadata.file_path").alias("origin"), "value")
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -95,6 +92,15 @@ def parse(raw: DataFrame) -> DataFrame:
     return raw.select("origin", "value").mapInArrow(walk, THREAD_ROW)
 
 
+def parse_once(raw: DataFrame) -> DataFrame:
+    """Parsed threads, written down, each with an `origin` of its own.
+
+    Several threads may come from one file, and the same one more than once.
+    """
+    row = F.monotonically_increasing_id().cast("string")
+    return cut(parse(raw).withColumn("origin", F.concat_ws("#", "origin", row)))
+
+
 def split(parsed: DataFrame) -> Threads:
     """Headers, comments and unreadable documents of parsed threads.
 

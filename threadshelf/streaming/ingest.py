@@ -15,7 +15,7 @@ from threadshelf.sources.threads import with_origin
 def thread_stream(spark: SparkSession, landing: str, whole_files: bool = True) -> DataFrame:
     """New files of raw threads as (origin, value): one thread per file or per line."""
     lines = spark.readStream.format("text").option("wholetext", whole_files).load(landing)
-    return with_origin(lines, whole_files)
+    return with_origin(lines)
 
 
 def start(
@@ -27,7 +27,7 @@ def start(
     """
 
     def each(batch: DataFrame, _batch_id: int) -> None:
-        process(batch.dropDuplicates(["origin"]))
+        process(batch)
 
     return (
         stream.writeStream.foreachBatch(each)
