@@ -157,7 +157,8 @@ chunk AS (
     + "SELECT book_id, 0 AS part, 1 AS n_parts, text, source_title FROM chunk"
 )
 def chunk_text(t: Tables) -> DataFrame:
-    return chunks.chunk_parts(b.document_books(t), b.part_links(t), b.supplier_sources(t))
+    parts = chunks.chunk_parts(b.document_books(t), b.part_links(t), b.supplier_sources(t))
+    return parts.drop("title", "author")
 
 
 def stored_chunks(t: Tables) -> DataFrame:
@@ -211,7 +212,7 @@ WORD_COUNTS = """SELECT {key} AS key, CAST('0x' || left(md5(word), 2) AS INTEGER
     FROM counts"""
 )
 def embed_batch(t: Tables) -> DataFrame:
-    vectors = chunks.embed(spread(t.documents).select("doc_id", "text"), "doc_id")
+    vectors = chunks.embed(spread(t.documents).select("doc_id", "text"), keep=["doc_id"])
     return (
         vectors.select("doc_id", F.posexplode("embedding").alias("dimension", "weight"))
         .where(F.col("weight") > 0)

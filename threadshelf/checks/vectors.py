@@ -206,5 +206,5 @@ def search_text_tf(t: Tables) -> DataFrame:
     of near ties is not compared, only the scores at each rank."""
     texts = spread(t.benchmark).select(F.col("item_id").alias("qid"), "text")
     documents = spread(t.documents).select(F.col("doc_id").alias("id"), "text")
-    found = vectors.nearest(search.encode_queries(texts), chunks.embed(documents, "id"), 10)
+    found = vectors.nearest(search.encode_queries(texts), chunks.embed(documents, keep=["id"]), 10)
     return found.select("qid", "rank", F.round("score", 4).alias("score"))

@@ -151,12 +151,16 @@ def book_detail(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataF
         text.ellipsis(F.col("title"), 60, 60).alias("title"),
         text.thread_link(F.col("url"), F.col("external_id")).alias("link"),
     )
-    pages = paged_lists(rows, "book_id", "link_id", shown, "sources", longest=most_sources(sources))
-    counts = rows.groupBy("book_id").agg(F.count("*").alias("n_sources"))
+    longest = most_sources(sources)
+    pages = paged_lists(rows, "book_id", "link_id", shown, "sources", longest=longest)
+    if longest is not None:
+        counted = pages.withColumn("n_sources", F.size("sources"))
+    else:
+        counts = rows.groupBy("book_id").agg(F.count("*").alias("n_sources"))
+        counted = pages.join(counts, "book_id")
     return (
         books.withColumnRenamed("id", "book_id")
-        .join(counts, "book_id", "left")
-        .join(pages, "book_id", "left")
+        .join(counted, "book_id", "left")
         .select(
             "book_id",
             "title",
@@ -166,7 +170,7 @@ def book_detail(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataF
                 text.present(F.col(c)).alias(c)
                 for c in ("isbn", "summary", "description", "amazon_url", "cover_url")
             ],
-            F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
+            F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
             F.coalesce("page", F.lit(0)).alias("page"),
             "sources",
             F.col("created_at").alias("added"),

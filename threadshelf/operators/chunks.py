@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadshelf.functions import text
 from threadshelf.functions.vectors import normalised
@@ -20,8 +21,8 @@ from threadshelf.operators.catalog import (
     sources_of_books,
     with_status,
 )
-from threadshelf.operators.changes import upsert_chunks
 from threadshelf.operators.vectors import unit_rows
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import PAGE_SIZE, longest_list, paged_lists
 
 PART_BREAK = "\n\n"
@@ -62,10 +63,10 @@ def chunk_text(
 def chunk_parts(
     books: DataFrame, links: DataFrame, sources: DataFrame, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """Chunk text of each book as (book_id, part, n_parts, text, source_title).
+    """Chunk text of each book: (book_id, part, n_parts, text, title, author, source_title).
 
     The whole text is the concatenation of its parts. Only a book with more sources than
-    `page_size` has more than one; part 0 carries the title of the first source.
+    `page_size` has more than one; part 0 names the first source.
     """
     wanted = links.join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
     rows = sources_of_books(wanted, sources.select("id", "title"))
@@ -89,7 +90,8 @@ def chunk_parts(
     few = pages.join(n_pages.where(F.col("n_pages") == 1), "book_id", "left_semi")
     long_ids = n_pages.where(F.col("n_pages") > 1).select("book_id")
     short = _short_chunks(named.join(long_ids, "book_id", "left_anti"), few)
-    return short.unionByName(_long_chunks(named, many))
+    long = _long_chunks(named, many).join(named.select("book_id", "title", "author"), "book_id")
+    return short.unionByName(long)
 
 
 COLUMNS = ("title", "author", "description", "summary")
@@ -101,6 +103,8 @@ def _short_chunks(named: DataFrame, pages: DataFrame) -> DataFrame:
         F.lit(0).alias("part"),
         F.lit(1).alias("n_parts"),
         chunk_text(*map(F.col, COLUMNS), F.col("titles")).alias("text"),
+        "title",
+        "author",
         first_source_title(F.col("titles")).alias("source_title"),
     )
 
@@ -163,51 +167,72 @@ def word_encoder() -> Encoder:
 
 
 def embed(
-    texts: DataFrame, key: str, load_encoder: Callable[[], Encoder] = word_encoder
+    texts: DataFrame,
+    load_encoder: Callable[[], Encoder] = word_encoder,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Unit vectors of the texts, as (key, embedding).
+    """Add `embedding`, the unit vector of `text`, to the kept columns (all by default).
 
-    The encoder is loaded once per task and called with Arrow batches. A text in several
-    parts (columns part and n_parts) gets the direction of the sum of its parts' vectors.
+    Every text is encoded once, in Arrow batches, by an encoder loaded once per task. A
+    text in several parts (book_id, part, n_parts) gets the direction of the sum of its
+    parts' vectors, on part 0.
     """
-    parted = "n_parts" in texts.columns
-    given = texts.select(key, "text", (F.col("n_parts") if parted else F.lit(1)).alias("n_parts"))
+    keep = keep or texts.columns
+    if "n_parts" not in texts.columns:
+        return _encode(texts, load_encoder, keep, unit=True)
+    single = _encode(texts.where(F.col("n_parts") == 1), load_encoder, keep, unit=True)
+    several = texts.where(F.col("n_parts") > 1)
+    sums = (
+        _encode(several, load_encoder, ["book_id"], unit=False)
+        .select("book_id", F.posexplode("embedding").alias("i", "x"))
+        .groupBy("book_id", "i")
+        .agg(F.sum(F.col("x").cast("double")).alias("x"))
+    )
+    # one entry per dimension
+    joined = F.array_sort(F.collect_list(F.struct("i", "x")))
+    whole = (
+        sums.groupBy("book_id")
+        .agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
+        .select("book_id", F.lit(0).alias("part"), normalised(F.col("raw")).alias("embedding"))
+    )
+    placed = several.join(whole, ["book_id", "part"], "left")
+    return single.unionByName(placed.select(*keep, "embedding"))
+
+
+def _encode(texts: DataFrame, load_encoder, keep: list[str], unit: bool) -> DataFrame:
+    schema = texts.select(*keep).schema
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder()
         for batch in batches:
-            values = [value or "" for value in batch.column("text").to_pylist()]
+            values = [value or "" for value in batch.column("_text").to_pylist()]
             if not values:
                 continue
             vectors = np.asarray(encoder(values), np.float64)
-            n_parts = batch.column("n_parts").to_numpy()
-            raw = [v if n > 1 else None for v, n in zip(vectors, n_parts)]
-            units = unit_rows(vectors).astype(np.float32)
-            starts = np.arange(len(values) + 1, dtype=np.int32) * units.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key),
-                    pa.ListArray.from_arrays(starts, units.ravel()),
-                    pa.array(raw, pa.list_(pa.float64())),
-                ],
-                names=[key, "embedding", "raw"],
+            if unit:
+                vectors = unit_rows(vectors)
+            starts = np.arange(len(values) + 1, dtype=np.int32) * vectors.shape[1]
+            flat = vectors.astype(np.float32).ravel()
+            yield batch.select(keep).append_column(
+                "embedding", pa.ListArray.from_arrays(starts, flat)
             )
 
-    kind = texts.schema[key].dataType.simpleString()
-    encoded = given.mapInArrow(encode, f"{key} {kind}, embedding array<float>, raw array<double>")
-    if not parted:
-        return encoded.drop("raw")
-    sums = (
-        encoded.where(F.col("raw").isNotNull())
-        .select(key, F.posexplode("raw").alias("i", "x"))
-        .groupBy(key, "i")
-        .agg(F.sum("x").alias("x"))
+    given = texts.select(*keep, F.col("text").alias("_text"))
+    fields = [*schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    return given.mapInArrow(encode, T.StructType(fields))
+
+
+def encode_chunks(parts: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
+    """Chunk parts as rows of the chunk table."""
+    metadata = F.struct("title", "author", "source_title")
+    return embed(parts, load_encoder).select(
+        text.chunk_key(F.col("book_id")).alias("doc_id"),
+        "book_id",
+        "part",
+        "text",
+        "embedding",
+        F.when(F.col("part") == 0, metadata).alias("metadata"),
     )
-    # one entry per dimension
-    joined = F.array_sort(F.collect_list(F.struct("i", "x")))
-    whole = sums.groupBy(key).agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
-    single = encoded.where(F.col("raw").isNull()).select(key, "embedding")
-    return single.unionByName(whole.select(key, normalised(F.col("raw")).alias("embedding")))
 
 
 def build_chunks(
@@ -217,27 +242,7 @@ def build_chunks(
     load_encoder: Callable[[], Encoder] = word_encoder,
 ) -> DataFrame:
     """Chunk rows for the given books."""
-    return _encode_parts(books, chunk_parts(books, links, sources), load_encoder)
-
-
-def _encode_parts(books: DataFrame, parts: DataFrame, load_encoder) -> DataFrame:
-    vectors = embed(parts, "book_id", load_encoder).withColumn("part", F.lit(0))
-    named = books.select(
-        F.col("id").alias("book_id"), "title", text.display_author(F.col("author")).alias("author")
-    )
-    metadata = F.struct("title", "author", "source_title")
-    return (
-        parts.join(vectors, ["book_id", "part"], "left")
-        .join(named, "book_id")
-        .select(
-            text.chunk_key(F.col("book_id")).alias("doc_id"),
-            "book_id",
-            "part",
-            "text",
-            "embedding",
-            F.when(F.col("part") == 0, metadata).alias("metadata"),
-        )
-    )
+    return encode_chunks(chunk_parts(books, links, sources), load_encoder)
 
 
 def _same_text(parts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -269,10 +274,13 @@ def reindex(
     """
     eligible = searchable(with_status(books))
     parts = chunk_parts(eligible, links, sources)
+    written = eligible.select(F.col("id").alias("book_id"))
     if prune:
-        chunks = chunks.join(
-            eligible.select(text.chunk_key(F.col("id")).alias("doc_id")), "doc_id", "left_semi"
-        )
+        chunks = chunks.join(written, "book_id", "left_semi")
     if only_changed:
-        parts = parts.join(_same_text(parts, chunks), "book_id", "left_anti")
-    return upsert_chunks(chunks, _encode_parts(eligible, parts, load_encoder))
+        parts = cut(parts)
+        same = cut(_same_text(parts, chunks))
+        parts = parts.join(same, "book_id", "left_anti")
+        written = written.join(same, "book_id", "left_anti")
+    rebuilt = encode_chunks(parts, load_encoder).select(*chunks.columns)
+    return chunks.join(written, "book_id", "left_anti").unionByName(rebuilt)

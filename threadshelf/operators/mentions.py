@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import lookup_join
 
 Model = Callable[[list[str]], list[str]]
@@ -40,7 +41,8 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
                 }
             )
 
-    answered = distinct.mapInPandas(run, "_key string, response string, error string")
+    # written down, so that no later use of the answers runs the model again
+    answered = cut(distinct.mapInPandas(run, "_key string, response string, error string"))
     return lookup_join(keyed, answered, ["_key"], wide=True).drop("_key")
 
 

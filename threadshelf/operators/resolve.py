@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.functions import metadata, text
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import lookup_join
 
 
@@ -143,7 +144,9 @@ def enrich(keys: DataFrame, volumes: DataFrame) -> DataFrame:
     by title alone has an empty author_key. The query with the author is tried first, the
     one by title alone where that gave nothing.
     """
-    best = best_candidates(volumes, ["title_key", "author_key"])
+    asked = keys.select("title_key").distinct()
+    landed = lookup_join(volumes, asked, ["title_key"], "left_semi")
+    best = cut(best_candidates(landed, ["title_key", "author_key"]))
     tried = keys.join(best, ["title_key", "author_key"], "left")
     by_title = best.where(F.col("author_key") == "").select("title_key", "volume")
     retried = lookup_join(

@@ -12,6 +12,7 @@ from threadshelf.functions.vectors import similarity_label
 from threadshelf.operators.catalog import most_sources, sources_of_books
 from threadshelf.operators.chunks import Encoder, embed, word_encoder
 from threadshelf.operators.vectors import nearest, ranked
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import paged_lists
 
 # Results fetched per result shown, before deleted or viewed books drop out.
@@ -25,7 +26,7 @@ def encode_queries(
     queries: DataFrame, load_encoder: Callable[[], Encoder] = word_encoder
 ) -> DataFrame:
     """Query texts (qid, text) to query vectors (qid, embedding)."""
-    return embed(queries, "qid", load_encoder)
+    return embed(queries, load_encoder, keep=["qid"])
 
 
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def search_library(
     limit: int = DEFAULT_LIBRARY_LIMIT,
 ) -> DataFrame:
     """The nearest `limit` chunks whose book exists, whatever its status, with source titles."""
-    hits = nearest(queries, chunk_vectors(chunks), limit)
-    found = hits_to_catalogue(hits, books)
+    # the hits are used twice, the vectors are to be scanned once
+    found = hits_to_catalogue(cut(nearest(queries, chunk_vectors(chunks), limit)), books)
     titles = _sources_of_hits(found, links, sources.select("id", "title"), F.col("title"), "titles")
     return found.join(titles, "book_id", "left").withColumn(
         "page", F.coalesce("page", F.lit(0))
@@ -118,6 +119,7 @@ def _sources_of_hits(
 
 def search_report(found: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """Results as shown to a reader, best match last."""
+    found = cut(found)
     named = sources.select("id", "url", "external_id")
     link = text.thread_link(F.col("url"), F.col("external_id"))
     threads = _sources_of_hits(found, links, named, link, "threads")
