@@ -26,19 +26,16 @@ def with_keys(mentions: DataFrame) -> DataFrame:
 def match_titles(keys: DataFrame, books: DataFrame, name: str = "book_id") -> DataFrame:
     """Add the lowest id of the books with the same title and author.
 
-    Where `author_key` is empty the title alone decides. The two cases are separate
-    equi-joins, each against one row per key.
+    Where `author_key` is empty the title alone decides: every book is also entered under
+    its title with an empty author, so that one equi-join answers both.
     """
-    keyed = books.select("id", title_key().alias("title_key"), author_key().alias("author_key"))
-    both = keyed.where(F.col("author_key") != "").groupBy("title_key", "author_key").agg(
-        F.min("id").alias(name)
+    entries = books.select(
+        "id",
+        title_key().alias("title_key"),
+        F.explode(F.array_distinct(F.array(author_key(), F.lit("")))).alias("author_key"),
     )
-    title = keyed.groupBy("title_key").agg(F.min("id").alias(name))
-    authored = lookup_join(
-        keys.where(F.col("author_key") != ""), both, ["title_key", "author_key"]
-    )
-    untold = lookup_join(keys.where(F.col("author_key") == ""), title, ["title_key"])
-    return authored.unionByName(untold)
+    lowest = entries.groupBy("title_key", "author_key").agg(F.min("id").alias(name))
+    return lookup_join(keys, lowest, ["title_key", "author_key"])
 
 
 def resolve_mentions(mentions: DataFrame, books: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def resolve_batch(
     kept = proposals.join(
         roots.where(F.col("proposal") == F.col("root")).select("proposal"), "proposal", "left_semi"
     )
-    numbered = cut(number_rows(kept, ["first_order", "proposal"], last_id))
+    numbered = number_rows(kept, ["first_order", "proposal"], last_id)
     made = members.join(roots, "proposal").join(
         numbered.select(F.col("proposal").alias("root"), F.col("id").alias("book_id")), "root"
     )
@@ -88,23 +88,16 @@ def resolve_batch(
 
 def _records(keys: DataFrame, volumes: DataFrame, live_links: DataFrame | None) -> DataFrame:
     """One row per key with the record found for it, or with what was said."""
-    tried = cut(resolve.enrich(keys, volumes))
-    record = resolve.metadata_record(
-        tried.where(F.col("volume").isNotNull()).select(*KEY, "first_order", "said", "volume"),
-        live_links,
-    )
-    title = F.coalesce(text.present(F.col("title")), F.col("said.title"))
-    author = F.coalesce(metadata.joined_authors(F.col("authors")), F.col("said.author"))
-    full = record.withColumns({"title": title, "author": author, "enriched": F.lit(True)})
-    bare = tried.where(F.col("volume").isNull()).select(
+    tried = resolve.enrich(keys, volumes).withColumn("enriched", F.col("volume").isNotNull())
+    record = resolve.metadata_record(tried, live_links)
+    return record.select(
         *KEY,
         "first_order",
-        F.col("said.title").alias("title"),
-        F.col("said.author").alias("author"),
-        *[F.lit(None).cast("string").alias(c) for c in RECORD],
-        F.lit(False).alias("enriched"),
+        "enriched",
+        F.coalesce(text.present(F.col("title")), F.col("said.title")).alias("title"),
+        F.coalesce(metadata.joined_authors(F.col("authors")), F.col("said.author")).alias("author"),
+        *RECORD,
     )
-    return full.select(*bare.columns).unionByName(bare)
 
 
 def _proposals(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,6 +155,8 @@ def _merge(proposals: DataFrame) -> DataFrame:
             F.when(answered, F.col("target.proposal")).otherwise(F.col("proposal")).alias("root"),
         )
     )
+    if parents.where(F.col("proposal") != F.col("root")).isEmpty():
+        return parents
     # every step halves the length of the chains
     while True:
         above = parents.select(F.col("proposal").alias("root"), F.col("root").alias("above"))
@@ -172,12 +167,14 @@ def _merge(proposals: DataFrame) -> DataFrame:
 
 
 def _first_mentions(made: DataFrame, new_books: DataFrame) -> DataFrame:
-    """Keys of the new books, with the order of the mention each book was made by."""
-    first = made.groupBy("book_id").agg(F.min("first_order").alias("made_at"))
+    """Keys of the new books; the key whose first mention made its book says when and what."""
+    first = made.groupBy("book_id").agg(
+        F.min(F.struct(F.col("first_order").alias("made_at"), *KEY)).alias("first")
+    )
     described = text.or_empty(F.col("description")) != ""
     kind = F.when(described, "added").otherwise("no_description").alias("made")
     told = first.join(new_books.select(F.col("id").alias("book_id"), kind), "book_id")
-    return lookup_join(made.select(*KEY, "book_id"), told, ["book_id"])
+    return made.select(*KEY, "book_id").join(told.select("first.*", "made"), KEY, "left")
 
 
 @dataclass
