@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 
 from threadshelf.operators import resolve
 from threadshelf.plans.ingest import Models, ingest, resolve_batch
+from threadshelf.plans.isbn import ingest_isbns
 from threadshelf.schemas import VOLUME_INFO
 from threadshelf.sources.tables import Store
 from threadshelf.streaming.ingest import ingest_stream
@@ -249,3 +250,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert contents(store) == EXPECTED
     run()
     assert contents(store) == EXPECTED
+
+
+def by_isbn(spark, *rows):
+    schema = f"isbn string, pos int, v struct<id:string,volumeInfo:{VOLUME_INFO.simpleString()}>"
+    return spark.createDataFrame(list(rows), schema).select("isbn", "pos", "v.*")
+
+
+def identified(name, title, authors, isbn13, description=None):
+    return (name, (title, authors, description, None, [("ISBN_13", isbn13)], None))
+
+
+def test_books_by_isbn(spark, table, tmp_path):
+    store = Store.at(spark, str(tmp_path))
+    landed = by_isbn(
+        spark,
+        ("10", 0, identified("g1", "Dune", ["Herbert"], "9781", "Sand.")),
+        ("11", 0, identified("g1", "Dune, again", ["Herbert"], "9782")),
+        ("9781", 0, identified("g3", "Other Dune", ["H"], "9783")),
+        ("12", 0, identified("g4", "DUNE", ["herbert"], "9784")),
+        ("13", 0, identified("g5", "Emma", None, "9785")),
+    )
+    asked = table(
+        "position long, isbn string",
+        *[(i, isbn) for i, isbn in enumerate(["10", "11", "9781", "12", "13", "99", "10", "13"])],
+    )
+    rows = {r.position: (r.book_id, r.match_kind) for r in ingest_isbns(asked, store, landed).collect()}
+    again = "earlier_request"
+    assert rows == {
+        0: (1, "new"), 1: (1, again), 2: (1, again), 3: (1, again), 4: (2, "new"),
+        5: (None, "not_found"), 6: (1, again), 7: (2, again),
+    }
+    books = {r.id: (r.title, r.author, r.isbn) for r in store.books.read().collect()}
+    assert books == {1: ("Dune", "Herbert", "9781"), 2: ("Emma", "Unknown", "9785")}
+    chunk = store.chunks.read().collect()
+    assert [(c.doc_id, c.text, c.metadata.source_title) for c in chunk] == [
+        ("doc_1", "Dune by Herbert\n\nSand.", "")]
+    assert store.links.read().isEmpty()
+    kinds = {r.match_kind for r in ingest_isbns(asked, store, landed).collect()}
+    assert kinds == {"external_id", "isbn", "title_author", "not_found"}
+    assert store.books.read().count() == 2

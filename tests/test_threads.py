@@ -124,6 +124,8 @@ def test_copies_of_a_thread(table):
         ("/comments/b/x", "3", "cache", good), ("b.json", "4", "file", bad),
         ("/comments/c/x", "5", "cache", good), ("/comments/c/x", "6", "fetch", good),
         ("elsewhere", "7", "fetch", good),
+        ("https://short/x", "8", "fetch", good), ("https://short/x/", "9", "fetch", good),
     )
     rows = threads.latest_raw_copy(copies).collect()
-    assert {(r.thread, r.origin) for r in rows} == {("a", "2"), ("b", "4"), ("c", "5"), ("elsewhere", "7")}
+    assert {(r.thread, r.origin) for r in rows} == {("a", "2"), ("b", "4"), ("c", "5"), ("elsewhere", "7"),
+        ("https://short/x.json", "8")}

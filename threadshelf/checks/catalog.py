@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
 from threadshelf.functions import text
-from threadshelf.operators import catalog
+from threadshelf.operators import catalog, search
 
 
 @query(
@@ -76,6 +76,15 @@ def searchable_books(t: Tables) -> DataFrame:
     return catalog.searchable(b.document_books(t)).select("id", "description")
 
 
+@query(
+    b.ctes(b.DOCUMENT_BOOKS)
+    + """SELECT id, title, coalesce(author, 'Unknown') AS author,
+                coalesce(nullif(status, ''), 'new') AS status FROM document_books"""
+)
+def list_lines(t: Tables) -> DataFrame:
+    return search.list_lines(b.document_books(t))
+
+
 @query(
     b.ctes(b.PART_LINKS, b.SUPPLIER_SOURCES)
     + """SELECT l.book_id, l.id AS link_id, s.id AS source_id, s.title

@@ -1,6 +1,6 @@
 """Matching mentions to books and bibliographic records."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
@@ -9,6 +9,7 @@ from threadshelf.checks.changes import now
 from threadshelf.functions import text
 from threadshelf.operators import resolve
 from threadshelf.plans.ingest import resolve_batch as resolve_mention_batch
+from threadshelf.plans.isbn import resolve_requests
 from threadshelf.plans.sizes import spread
 
 
@@ -110,6 +111,59 @@ def isbn_precedence(t: Tables) -> DataFrame:
     return matched.select("c_custkey", "book_id", "match_kind")
 
 
+@query(
+    """WITH known AS (SELECT 'g' || n_nationkey AS g, n_nationkey AS id FROM nation),
+       landed AS (
+           SELECT 'i' || p_size AS isbn, arg_max(p_name, (length(p_brand), -p_partkey)) AS title,
+                  'g' || arg_max(p_partkey % 100, (length(p_brand), -p_partkey)) AS g
+           FROM part GROUP BY p_size),
+       asked AS (SELECT 'i' || CAST(floor(l_quantity) AS BIGINT) AS isbn FROM lineitem)
+       SELECT a.isbn, count(*) AS requests, min(k.id) AS known_id,
+              bool_and(l.isbn IS NULL) AS not_found
+       FROM asked a LEFT JOIN landed l ON l.isbn = a.isbn LEFT JOIN known k ON k.g = l.g
+       GROUP BY a.isbn"""
+)
+def add_by_isbn(t: Tables) -> DataFrame:
+    """Every line asks for a size as an ISBN; nations are the known books."""
+
+    def numbered(prefix: str, column) -> Column:
+        return F.concat(F.lit(prefix), column.cast("string"))
+
+    known = t.nation.select(
+        F.col("n_nationkey").cast("long").alias("id"),
+        numbered("nation ", F.col("n_nationkey")).alias("title"),
+        F.lit("Nobody").alias("author"),
+        numbered("g", F.col("n_nationkey")).alias("google_books_id"),
+        F.lit(None).cast("string").alias("isbn"),
+    )
+    info = F.struct(
+        F.col("p_name").alias("title"),
+        F.array(F.col("p_name")).alias("authors"),
+        F.col("p_brand").alias("description"),
+        F.lit("en").alias("language"),
+        F.lit(None).cast("array<struct<type:string,identifier:string>>").alias("industryIdentifiers"),
+        F.lit(None).cast("struct<thumbnail:string>").alias("imageLinks"),
+    )
+    landed = t.part.select(
+        numbered("i", F.col("p_size")).alias("isbn"),
+        F.col("p_partkey").alias("pos"),
+        numbered("g", F.col("p_partkey") % 100).alias("id"),
+        info.alias("volumeInfo"),
+    )
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    position = (line * 1_000_000 + F.col("l_partkey")) * 64 + F.floor("l_quantity")
+    asked = spread(t.lineitem).select(
+        position.alias("position"),
+        numbered("i", F.floor("l_quantity")).alias("isbn"),
+    )
+    answers, _ = resolve_requests(asked, known, landed, 1000, now=now())
+    return answers.groupBy("isbn").agg(
+        F.count("*").alias("requests"),
+        F.min(F.when(F.col("book_id") <= 1000, F.col("book_id"))).alias("known_id"),
+        F.bool_and(F.col("match_kind") == "not_found").alias("not_found"),
+    )
+
+
 def candidates(t: Tables) -> DataFrame:
     """Documents as candidates of one query per source; French ones name no language."""
     return t.documents.select(

@@ -155,6 +155,11 @@ def _merge(proposals: DataFrame) -> DataFrame:
             F.when(answered, F.col("target.proposal")).otherwise(F.col("proposal")).alias("root"),
         )
     )
+    return follow(parents)
+
+
+def follow(parents: DataFrame) -> DataFrame:
+    """(proposal, root) with every root followed to the end of its chain."""
     if parents.where(F.col("proposal") != F.col("root")).isEmpty():
         return parents
     # every step halves the length of the chains

@@ -58,6 +58,10 @@ class Table:
         """Make the rows the table's whole content; gives them as written."""
         return self._write(rows, "new base")
 
+    def compact(self) -> DataFrame:
+        """Put the content of many appends into one version."""
+        return self.replace(self.read())
+
     def _write(self, rows: DataFrame, base: str | None) -> DataFrame:
         last, first, last_id = self._state()
         version = last + 1

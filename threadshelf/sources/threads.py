@@ -214,7 +214,9 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
     readable = copies.where(cached).where(_is_thread("value"))
     usable = copies.where(~cached).unionByName(readable)
     priority = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in COPY_PRIORITY.items()])
-    thread = F.coalesce(text.external_id(F.col("source")), F.col("source"))
+    source = F.col("source")
+    address = F.when(F.startswith(source, F.lit("http")), text.json_url(source)).otherwise(source)
+    thread = F.coalesce(text.external_id(source), address)
     return (
         usable.groupBy(thread.alias("thread"))
         .agg(
