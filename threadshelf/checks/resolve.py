@@ -115,7 +115,8 @@ def isbn_precedence(t: Tables) -> DataFrame:
     """WITH known AS (SELECT 'g' || n_nationkey AS g, n_nationkey AS id FROM nation),
        landed AS (
            SELECT 'i' || p_size AS isbn, arg_max(p_name, (length(p_brand), -p_partkey)) AS title,
-                  'g' || arg_max(p_partkey % 100, (length(p_brand), -p_partkey)) AS g
+                  'g' || CAST(arg_max(floor(p_retailprice), (length(p_brand), -p_partkey)) - 900
+                              AS BIGINT) AS g
            FROM part GROUP BY p_size),
        asked AS (SELECT 'i' || CAST(floor(l_quantity) AS BIGINT) AS isbn FROM lineitem)
        SELECT a.isbn, count(*) AS requests, min(k.id) AS known_id,
@@ -147,7 +148,7 @@ def add_by_isbn(t: Tables) -> DataFrame:
     landed = t.part.select(
         numbered("i", F.col("p_size")).alias("isbn"),
         F.col("p_partkey").alias("pos"),
-        numbered("g", F.col("p_partkey") % 100).alias("id"),
+        numbered("g", F.floor("p_retailprice") - 900).alias("id"),
         info.alias("volumeInfo"),
     )
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")

@@ -49,7 +49,36 @@ def knn_topk(t: Tables) -> DataFrame:
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
 
 
-@query()
+@query(
+    "WITH " + SCORED + """,
+    sides AS (
+        SELECT d, bit, CASE WHEN left(md5('7:' || d || ':' || bit), 1) < '8' THEN 1 ELSE -1 END
+                   AS sign
+        FROM range(64) AS a(d), range(6) AS b(bit)),
+    vector_bits AS (
+        SELECT vec_id, bit, sum(x * sign) > 0 AS up
+        FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS d
+              FROM embeddings) JOIN sides USING (d) GROUP BY vec_id, bit),
+    buckets AS (SELECT vec_id, sum(CASE WHEN up THEN 1 << bit ELSE 0 END) AS bucket
+                FROM vector_bits GROUP BY vec_id),
+    margins AS (
+        SELECT qid, bit, sum(x * sign) AS margin
+        FROM (SELECT qid, unnest(v) AS x, unnest(range(64)) AS d FROM means)
+        JOIN sides USING (d) GROUP BY qid, bit),
+    costs AS (
+        SELECT qid, bucket,
+               sum(CASE WHEN (margin > 0) = ((bucket >> bit) & 1 = 1) THEN 0
+                        ELSE margin * margin END) AS cost
+        FROM margins, range(64) AS r(bucket) GROUP BY qid, bucket),
+    probed AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cost, bucket) AS n
+                       FROM costs) WHERE n <= 24),
+    near AS (
+        SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, book_id) AS place
+        FROM scored s JOIN buckets b ON b.vec_id = s.book_id
+        JOIN probed p ON p.qid = s.qid AND p.bucket = b.bucket)
+    SELECT qid, place AS rank, book_id, round(score, 6) AS score FROM near WHERE place <= 10"""
+)
 def knn_lsh(t: Tables) -> DataFrame:
     planes = vectors.Hyperplanes(dimensions=64, bits=6)
     indexed = vectors.with_buckets(search.chunk_vectors(stored_chunks(t)), planes)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import at_most
 from threadshelf.plans.skew import PAGE_SIZE, lookup_join, paged_lists
 
@@ -184,16 +185,19 @@ def removal_preview(source_ids: DataFrame, links: DataFrame, books: DataFrame) -
     wanted = source_ids.select(F.col("id").alias("source_id")).distinct()
     theirs = links.join(wanted, "source_id", "left_semi").select("source_id", "book_id")
     named = books.select(F.col("id").alias("book_id"), "title", "author")
-    judged = theirs.join(named, "book_id").join(source_counts(links), "book_id")
-    goes = F.col("n_sources") <= 1
+    name = F.concat("title", F.lit(" by "), text.display_author(F.col("author")))
+    judged = cut(
+        theirs.join(named, "book_id")
+        .join(source_counts(links), "book_id")
+        .select("source_id", "book_id", name.alias("name"), (F.col("n_sources") <= 1).alias("goes"))
+    )
+    goes = F.col("goes")
     totals = judged.groupBy("source_id").agg(
         F.count_if(goes).alias("to_delete"), F.count_if(~goes).alias("to_keep")
     )
     by_book = Window.partitionBy("source_id").orderBy("book_id")
-    name = F.concat("title", F.lit(" by "), text.display_author(F.col("author")))
     names = (
         judged.where(goes)
-        .select("source_id", "book_id", name.alias("name"))
         .withColumn("place", F.row_number().over(by_book))
         .where(F.col("place") <= NAMES_SHOWN)
         .groupBy("source_id")

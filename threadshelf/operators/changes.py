@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.plans.ids import number_rows
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import lookup_join
 from threadshelf.schemas import BOOKS, LINKS, SOURCES, STATUSES
 
@@ -216,7 +217,7 @@ def remove_sources(catalogue: Catalogue, source_ids: DataFrame) -> Catalogue:
     removed = catalogue.sources.select("id").join(source_ids.select("id"), "id", "left_semi")
     flags = removed.select(F.col("id").alias("source_id"), F.lit(True).alias("_removed"))
     flagged = lookup_join(catalogue.links.select("book_id", "source_id"), flags, ["source_id"])
-    only_there = (
+    only_there = cut(
         flagged.groupBy("book_id")
         .agg(F.bool_and(F.coalesce("_removed", F.lit(False))).alias("gone"))
         .where("gone")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of one scoring step and of one block of the block join.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 50_000
+SCAN_TASKS_PER_CORE = 4
 
 HITS = "qid long, id long, score double"
 
@@ -145,7 +147,9 @@ def _scan(queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None
             _score(best, matrix, ids, _matrix(batch.column("embedding")), allowed)
         yield _hits(best, qids)
 
-    return vectors.mapInArrow(scan, HITS)
+    # every task passes on its best k per query, so many small scan tasks are put together
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return vectors.coalesce(cores * SCAN_TASKS_PER_CORE).mapInArrow(scan, HITS)
 
 
 def _block_join(
@@ -198,14 +202,20 @@ def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hyperplanes:
-    """Random hyperplanes; a vector's bucket is the pattern of sides it lies on."""
+    """Hyperplanes with random signs; a vector's bucket is the pattern of sides it lies on."""
 
     dimensions: int
     bits: int = 8
     seed: int = 7
 
     def matrix(self) -> np.ndarray:
-        return np.random.default_rng(self.seed).standard_normal((self.dimensions, self.bits))
+        def sign(dimension: int, bit: int) -> float:
+            digest = hashlib.md5(f"{self.seed}:{dimension}:{bit}".encode()).hexdigest()
+            return 1.0 if digest[0] < "8" else -1.0
+
+        return np.array(
+            [[sign(d, bit) for bit in range(self.bits)] for d in range(self.dimensions)]
+        )
 
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors @ self.matrix() > 0) @ (1 << np.arange(self.bits))

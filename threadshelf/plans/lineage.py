@@ -21,5 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def work_path(spark, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/threadshelf/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/threadshelf/{application}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 
 from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, fits_broadcast
 
+# freqItems looks for no smaller shares.
+SMALLEST_SHARE = 1e-4
 # Copies of a frequent key's lookup row where it cannot be broadcast.
 SALTS = 64
 # Members collected into one array cell.
@@ -22,7 +24,7 @@ def frequent_keys(facts: DataFrame, key: Column, share: float) -> list[int]:
     One pass without a shuffle of the rows; at most 1/share values come back.
     """
     hashed = facts.select(F.xxhash64(key).alias("h"))
-    found = hashed.stat.freqItems(["h"], share).first()
+    found = hashed.stat.freqItems(["h"], max(share, SMALLEST_SHARE)).first()
     return list(found["h_freqItems"] or [])
 
 
