@@ -28,7 +28,10 @@ def lookup_by_key(t: Tables) -> DataFrame:
     return catalog.by_key(b.part_books(t), wanted, "title").select("title", "id", "author")
 
 
-@query(b.ctes(b.ORDER_BOOKS) + "SELECT id, status, created_at FROM order_books WHERE status <> 'deleted'")
+@query(
+    b.ctes(b.ORDER_BOOKS)
+    + "SELECT id, status, created_at FROM order_books WHERE status <> 'deleted'"
+)
 def list_by_status(t: Tables) -> DataFrame:
     return catalog.list_books(b.order_books(t)).select("id", "status", "created_at")
 
@@ -41,7 +44,8 @@ def list_by_status(t: Tables) -> DataFrame:
 )
 def filter_title_author(t: Tables) -> DataFrame:
     books = b.part_books(t)
-    return catalog.matching_text(books, "RING").unionByName(catalog.matching_text(books, "#2")).distinct()
+    ringing = catalog.matching_text(books, "RING")
+    return ringing.unionByName(catalog.matching_text(books, "#2")).distinct()
 
 
 @query(

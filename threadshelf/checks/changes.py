@@ -68,7 +68,8 @@ def upsert_sources(t: Tables) -> DataFrame:
 
 @query(
     b.ctes(PAGE_SOURCES)
-    + "SELECT page_id, external_id FROM pages_in WHERE external_id NOT IN (SELECT external_id FROM known)"
+    + """SELECT page_id, external_id FROM pages_in
+         WHERE external_id NOT IN (SELECT external_id FROM known)"""
 )
 def new_sources_only(t: Tables) -> DataFrame:
     batch, known = page_sources(t)

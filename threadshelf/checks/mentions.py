@@ -110,7 +110,9 @@ def clean_summaries(t: Tables) -> DataFrame:
         .when(F.col("lang") == "de", F.concat(F.lit(" summary:\n"), "text"))
         .when(F.col("lang") == "fr", F.concat(F.lit("'"), "text", F.lit("'")))
     )
-    answers = t.documents.select("doc_id", F.col("text").alias("description"), response.alias("response"))
+    answers = t.documents.select(
+        "doc_id", F.col("text").alias("description"), response.alias("response")
+    )
     return mentions.clean_summaries(answers).select("doc_id", "summary")
 
 

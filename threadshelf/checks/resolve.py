@@ -167,6 +167,11 @@ def add_by_isbn(t: Tables) -> DataFrame:
 
 def candidates(t: Tables) -> DataFrame:
     """Documents as candidates of one query per source; French ones name no language."""
+
+    def tagged(prefix: str, column: str) -> Column:
+        return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+    longer = F.when(F.col("n_chars") > 1000, "ISBN_13").otherwise("OTHER")
     return t.documents.select(
         "source",
         F.col("doc_id").alias("pos"),
@@ -177,10 +182,10 @@ def candidates(t: Tables) -> DataFrame:
             F.when(F.col("n_chars") < 5000, F.col("text")).alias("description"),
             F.when(F.col("lang") != "fr", F.col("lang")).alias("language"),
             F.array(
-                F.struct(F.lit("ISBN_10").alias("type"), F.concat(F.lit("X"), F.col("n_chars").cast("string")).alias("identifier")),
-                F.struct(F.when(F.col("n_chars") > 1000, "ISBN_13").otherwise("OTHER").alias("type"), F.concat(F.lit("978"), F.col("n_chars").cast("string")).alias("identifier")),
+                F.struct(F.lit("ISBN_10").alias("type"), tagged("X", "n_chars").alias("identifier")),
+                F.struct(longer.alias("type"), tagged("978", "n_chars").alias("identifier")),
             ).alias("industryIdentifiers"),
-            F.struct(F.concat(F.lit("https://img/"), F.col("doc_id").cast("string")).alias("thumbnail")).alias("imageLinks"),
+            F.struct(tagged("https://img/", "doc_id").alias("thumbnail")).alias("imageLinks"),
         ).alias("volumeInfo"),
     )
 

@@ -27,48 +27,52 @@ def listing_json(documents: DataFrame) -> DataFrame:
     """
     doc = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
 
-    def reply(line: Column):
-        return lambda sentence, j: F.struct(
-            F.lit("t1").alias("kind"),
-            F.struct(
-                F.concat(line, F.lit("_"), j.cast("string")).alias("id"),
-                sentence.alias("body"),
-                F.char_length(sentence).alias("score"),
-            ).alias("data"),
-        )
+    def numbered(name: Column, i: Column) -> Column:
+        return F.concat(name, F.lit("_"), i.cast("string"))
+
+    def fields(name: Column, body: Column) -> list[Column]:
+        return [name.alias("id"), body.alias("body"), F.char_length(body).alias("score")]
+
+    def children(nodes: Column) -> Column:
+        return F.struct(F.struct(nodes.alias("children")).alias("data"))
 
     def comment(line: Column, i: Column) -> Column:
-        name = F.concat(doc, F.lit("_"), i.cast("string"))
+        name = numbered(doc, i)
         sentences = F.split(line, r"\. ")
-        replies = F.struct(
-            F.struct(F.transform(sentences, reply(name)).alias("children")).alias("data")
+        replies = F.transform(
+            sentences,
+            lambda sentence, j: F.struct(
+                F.lit("t1").alias("kind"), F.struct(*fields(numbered(name, j), sentence)).alias("data")
+            ),
         )
+        below = F.when(F.size(sentences) > 1, children(replies))
         return F.struct(
             F.when(F.contains(line, F.lit("|")), "more").otherwise("t1").alias("kind"),
-            F.struct(
-                name.alias("id"),
-                line.alias("body"),
-                F.char_length(line).alias("score"),
-                F.when(F.size(sentences) > 1, replies).alias("replies"),
-            ).alias("data"),
+            F.struct(*fields(name, line), below.alias("replies")).alias("data"),
         )
 
     def flat(line: Column, i: Column) -> Column:
-        name = F.concat(doc, F.lit("_"), i.cast("string"))
-        return F.struct(name.alias("id"), line.alias("body"), F.char_length(line).alias("score"), F.lit(0).alias("depth"))
+        return F.struct(*fields(numbered(doc, i), line), F.lit(0).alias("depth"))
 
     lines = F.split("text", "\n")
+    permalink = F.concat(F.lit("/r/"), "lang", F.lit("/comments/"), doc, F.lit("/"))
     header = [
         doc.alias("id"),
         F.concat("source", F.lit(" "), doc).alias("title"),
         F.when(F.col("lang") == "fr", F.lit("  ")).alias("selftext"),
         F.col("lang").alias("subreddit"),
     ]
-    permalink = F.concat(F.lit("/r/"), "lang", F.lit("/comments/"), doc, F.lit("/"))
-    post = F.struct(F.struct(F.array(F.struct(F.struct(*header, permalink.alias("permalink")).alias("data"))).alias("children")).alias("data"))
-    tree = F.struct(F.struct(F.transform(lines, comment).alias("children")).alias("data"))
-    listing = F.concat(F.lit("["), F.to_json(post), F.lit(","), F.to_json(tree), F.lit("]"))
-    plain = F.to_json(F.struct(*header, F.concat(F.lit("https://example.com"), permalink).alias("url"), F.transform(lines, flat).alias("comments")))
+    post = F.struct(F.struct(*header, permalink.alias("permalink")).alias("data"))
+    listing = F.concat(
+        F.lit("["),
+        F.to_json(children(F.array(post))),
+        F.lit(","),
+        F.to_json(children(F.transform(lines, comment))),
+        F.lit("]"),
+    )
+    url = F.concat(F.lit("https://example.com"), permalink)
+    flat_comments = F.transform(lines, flat)
+    plain = F.to_json(F.struct(*header, url.alias("url"), flat_comments.alias("comments")))
     value = (
         F.when(F.col("lang") == "de", plain)
         .when(F.col("lang") == "es", F.left(listing, F.char_length(listing) - 2))

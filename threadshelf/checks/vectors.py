@@ -43,7 +43,10 @@ def _rounded() -> Column:
     return F.round("score", 6).alias("score")
 
 
-@query("WITH " + SCORED + " SELECT qid, rank, book_id, round(score, 6) AS score FROM hits WHERE rank <= 10")
+@query(
+    "WITH " + SCORED + """
+    SELECT qid, rank, book_id, round(score, 6) AS score FROM hits WHERE rank <= 10"""
+)
 def knn_topk(t: Tables) -> DataFrame:
     found = vectors.nearest(label_means(t), search.chunk_vectors(stored_chunks(t)), 10)
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())

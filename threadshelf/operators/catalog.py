@@ -134,7 +134,8 @@ def most_sources(sources: DataFrame, page_size: int = PAGE_SIZE) -> int | None:
 def source_titles(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Titles of each book's sources in link order, as (book_id, page, titles)."""
     rows = sources_of_books(links, sources.select("id", "title"))
-    return paged_lists(rows, "book_id", "link_id", F.col("title"), "titles", longest=most_sources(sources))
+    longest = most_sources(sources)
+    return paged_lists(rows, "book_id", "link_id", F.col("title"), "titles", longest=longest)
 
 
 def first_source_title(titles: Column) -> Column:

@@ -115,7 +115,9 @@ def _long_chunks(named: DataFrame, many: DataFrame) -> DataFrame:
         "book_id",
         F.col("page").alias("part"),
         n_parts.alias("n_parts"),
-        F.concat(F.concat_ws(PART_BREAK, _recommendations(F.col("titles"))), F.lit(PART_BREAK)).alias("text"),
+        F.concat(
+            F.concat_ws(PART_BREAK, _recommendations(F.col("titles"))), F.lit(PART_BREAK)
+        ).alias("text"),
         F.when(F.col("page") == 0, first_source_title(F.col("titles"))).alias("source_title"),
     )
     opening = F.when(F.col("page") == 0, F.lit("Tags: ")).otherwise(F.lit(", "))

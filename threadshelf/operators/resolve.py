@@ -10,6 +10,9 @@ from threadshelf.plans.lineage import cut
 from threadshelf.plans.skew import lookup_join
 
 
+KEY = ["title_key", "author_key"]
+
+
 def title_key(column: str = "title") -> Column:
     return text.ascii_fold(F.col(column))
 
@@ -34,13 +37,13 @@ def match_titles(keys: DataFrame, books: DataFrame, name: str = "book_id") -> Da
         title_key().alias("title_key"),
         F.explode(F.array_distinct(F.array(author_key(), F.lit("")))).alias("author_key"),
     )
-    lowest = entries.groupBy("title_key", "author_key").agg(F.min("id").alias(name))
-    return lookup_join(keys, lowest, ["title_key", "author_key"])
+    lowest = entries.groupBy(*KEY).agg(F.min("id").alias(name))
+    return lookup_join(keys, lowest, KEY)
 
 
 def resolve_mentions(mentions: DataFrame, books: DataFrame) -> DataFrame:
     """Mentions (title, author, ...) with the `book_id` they mean, or NULL."""
-    return match_titles(with_keys(mentions), books).drop("title_key", "author_key")
+    return match_titles(with_keys(mentions), books).drop(*KEY)
 
 
 def match_column(rows: DataFrame, books: DataFrame, column: str, name: str) -> DataFrame:
@@ -137,14 +140,14 @@ def metadata_record(best: DataFrame, live_links: DataFrame | None = None) -> Dat
 def enrich(keys: DataFrame, volumes: DataFrame) -> DataFrame:
     """Add `volume`, the best candidate of each (title_key, author_key), or NULL.
 
-    The keys are distinct. `volumes` has the candidates of landed queries under (title_key, author_key); a query
-    by title alone has an empty author_key. The query with the author is tried first, the
-    one by title alone where that gave nothing.
+    The keys are distinct. `volumes` has the candidates of landed queries under
+    (title_key, author_key); a query by title alone has an empty author_key. The query with
+    the author is tried first, the one by title alone where that gave nothing.
     """
     asked = keys.select("title_key").distinct()
     landed = lookup_join(volumes, asked, ["title_key"], "left_semi")
-    best = cut(best_candidates(landed, ["title_key", "author_key"]))
-    tried = keys.join(best, ["title_key", "author_key"], "left")
+    best = cut(best_candidates(landed, KEY))
+    tried = keys.join(best, KEY, "left")
     by_title = best.where(F.col("author_key") == "").select("title_key", "volume")
     retried = lookup_join(
         tried.where(F.col("volume").isNull() & (F.col("author_key") != "")).drop("volume"),

@@ -18,7 +18,7 @@ from threadshelf.plans.skew import lookup_join
 from threadshelf.sources import threads
 from threadshelf.sources.tables import Store
 
-KEY = ["title_key", "author_key"]
+KEY = resolve.KEY
 ORDER = ["external_id", "path", "mention_pos"]
 RECORD = ["description", "google_books_id", "isbn", "cover_url", "amazon_url"]
 

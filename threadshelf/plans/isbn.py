@@ -59,7 +59,11 @@ def resolve_requests(
     numbered = number_rows(kept.select("position", "title", "author", *RECORD), ["position"], last_id)
     made = roots.join(
         numbered.select(F.col("position").alias("root"), F.col("id").alias("new_id")), "root"
-    ).select(F.col("proposal").alias("position"), "new_id", (F.col("proposal") == F.col("root")).alias("first"))
+    ).select(
+        F.col("proposal").alias("position"),
+        "new_id",
+        (F.col("proposal") == F.col("root")).alias("first"),
+    )
     settled = (
         matched.select("position", "requested_isbn", "book_id", "match_kind")
         .join(made, "position", "left")
@@ -103,7 +107,7 @@ def _answered_by_earlier(fresh: DataFrame) -> DataFrame:
     matches = (
         offered(earliest(F.col("google_books_id")), "google_books_id")
         .unionByName(offered(earliest(F.col("isbn")), "requested_isbn"))
-        .unionByName(offered(earliest(F.col("title_key"), F.col("author_key")), "title_key", "author_key"))
+        .unionByName(offered(earliest(*map(F.col, resolve.KEY)), *resolve.KEY))
     )
     first = matches.where(F.col("earlier") < F.col("position")).groupBy("position").agg(
         F.min("earlier").alias("earlier")
