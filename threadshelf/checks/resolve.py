@@ -211,7 +211,8 @@ def best_candidate(t: Tables) -> DataFrame:
            source || ', ' || lang AS authors, CASE WHEN n_chars < 5000 THEN text END AS description,
            CASE WHEN n_chars > 1000 THEN '978' || n_chars ELSE 'X' || n_chars END AS isbn,
            'https://img/' || doc_id AS cover_url,
-           CASE WHEN lang = 'en' THEN 'https://www.amazon.com/dp/X' || n_chars
+           CASE WHEN n_chars IN (SELECT n_chars FROM documents WHERE lang = 'en')
+                THEN 'https://www.amazon.com/dp/X' || n_chars
                 ELSE 'https://www.amazon.com/s?k=T' || doc_id || '%20' || source END AS amazon_url
     FROM best"""
 )

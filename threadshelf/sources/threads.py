@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
 
+# Threads held as Python objects at a time.
+THREADS_AT_ONCE = 256
+
 HEADER_COLUMNS = ["external_id", "title", "selftext", "subreddit", "url"]
 
 THREAD_ROW = (
@@ -82,12 +85,10 @@ def parse(raw: DataFrame) -> DataFrame:
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            origins, values = batch.column("origin"), batch.column("value")
-            for origin, value in zip(origins.to_pylist(), values.to_pylist()):
-                found = _read(value)
-                rows.append({"origin": origin, **(found or {"layout": "unreadable", "value": value})})
-            yield pa.RecordBatch.from_pylist(rows, schema=THREAD_BATCH)
+            for start in range(0, batch.num_rows, THREADS_AT_ONCE):
+                some = batch.slice(start, THREADS_AT_ONCE).to_pylist()
+                rows = [{"origin": r["origin"], **_row(r["value"])} for r in some]
+                yield pa.RecordBatch.from_pylist(rows, schema=THREAD_BATCH)
 
     return raw.select("origin", "value").mapInArrow(walk, THREAD_ROW)
 
@@ -115,6 +116,10 @@ def split(parsed: DataFrame) -> Threads:
     )
 
 
+def _row(value: str) -> dict:
+    return _read(value) or {"layout": "unreadable", "value": value}
+
+
 def _read(value: str) -> dict | None:
     """One thread as a row, or None if it is malformed."""
     try:
