@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadshelf.operators import catalog, changes
-from threadshelf.sources.tables import Table
+from threadshelf.sources.tables import Store
 from threadshelf.schemas import BOOKS, LINKS
 
 T0, T1 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
@@ -234,16 +234,29 @@ def test_deleting_a_book_leaves_its_links(whole, table):
     assert changes.delete_links(whole.links, table("id long", (10,))).count() == 4
 
 
-def test_table_versions(spark, books, tmp_path):
-    store = Table(spark, str(tmp_path / "books"), BOOKS)
-    assert store.read().isEmpty() and store.last_id() == 0
-    store.append(books((1, "a", None, "new"), (2, "b", None, "new")))
-    store.append(books((3, "c", None, "new")))
-    assert ids(store.read()) == [1, 2, 3]
-    store.replace(store.read().where("id = 1"))
-    assert ids(store.read()) == [1]
-    assert store.last_id() == 3
-    books((9, "junk", None, "new")).write.parquet(str(tmp_path / "books" / "v=3"))
-    assert ids(store.read()) == [1]
-    store.append(books((4, "d", None, "new")))
-    assert ids(store.read()) == [1, 4]
+def test_commits(spark, books, links, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.read("books").isEmpty() and store.snapshot().last_id("books") == 0
+    with store.commit() as commit:
+        commit.append("books", books((1, "a", None, "new"), (2, "b", None, "new")))
+        commit.append("links", links((1, 1)))
+        with pytest.raises(ValueError):
+            commit.append("links", links((1, 1)))
+    before = store.snapshot()
+    with store.commit() as commit:
+        commit.append("books", books((3, "c", None, "new")))
+    assert ids(store.read("books")) == [1, 2, 3]
+    assert ids(before.read("books")) == [1, 2]
+    with store.commit() as commit:
+        commit.replace("books", commit.before.read("books").where("id = 1"))
+    assert ids(store.read("books")) == [1]
+    assert store.snapshot().last_id("books") == 3
+    with pytest.raises(RuntimeError), store.commit() as commit:
+        commit.append("books", books((9, "lost", None, "new")))
+        raise RuntimeError
+    assert ids(store.read("books")) == [1]
+    with store.commit() as commit:
+        commit.append("books", books((4, "d", None, "new")))
+    store.compact("books")
+    assert ids(store.read("books")) == [1, 4]
+    assert ids(store.read("links")) == [1]

@@ -201,10 +201,10 @@ def models():
 
 
 def contents(store):
-    books = {r.id: (r.title, r.author, r.summary, r.status) for r in store.books.read().collect()}
-    links = {(r.book_id, r.source_id) for r in store.links.read().collect()}
-    sources = {r.external_id: (r.id, r.title, r.metadata) for r in store.sources.read().collect()}
-    chunks = {r.doc_id: r.text for r in store.chunks.read().collect()}
+    books = {r.id: (r.title, r.author, r.summary, r.status) for r in store.read("books").collect()}
+    links = {(r.book_id, r.source_id) for r in store.read("links").collect()}
+    sources = {r.external_id: (r.id, r.title, r.metadata) for r in store.read("sources").collect()}
+    chunks = {r.doc_id: r.text for r in store.read("chunks").collect()}
     return books, links, sources, chunks
 
 
@@ -219,7 +219,7 @@ EXPECTED = (
 
 
 def test_ingest_is_whole_and_repeatable(spark, table, tmp_path):
-    store = Store.at(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path))
     raw = table("origin string, value string", *THREADS.items(), ("bad", "{"))
     outcomes = ingest(raw, store, volumes_for(spark), models())
     assert sorted(r.outcome for r in outcomes.collect()) == ["added", "added", "existing", "no_description"]
@@ -229,13 +229,29 @@ def test_ingest_is_whole_and_repeatable(spark, table, tmp_path):
     forced = ingest(raw, store, volumes_for(spark), models(), force=True)
     assert {r.outcome for r in forced.collect()} == {"existing"}
     assert contents(store) == EXPECTED
-    assert store.comments.read().count() == 5
+    assert store.read("comments").count() == 5
+
+
+def test_a_run_that_stops_leaves_nothing(spark, table, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    raw = table("origin string, value string", *THREADS.items())
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("threadshelf.plans.ingest.build_chunks", stop)
+        with pytest.raises(RuntimeError):
+            ingest(raw, store, volumes_for(spark), models())
+    assert contents(store) == ({}, set(), {}, {})
+    ingest(raw, store, volumes_for(spark), models())
+    assert contents(store) == EXPECTED
 
 
 def test_stream_equals_batch(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
-    store = Store.at(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"))
 
     def run():
         ingest_stream(
@@ -262,7 +278,7 @@ def identified(name, title, authors, isbn13, description=None):
 
 
 def test_books_by_isbn(spark, table, tmp_path):
-    store = Store.at(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path))
     landed = by_isbn(
         spark,
         ("10", 0, identified("g1", "Dune", ["Herbert"], "9781", "Sand.")),
@@ -281,12 +297,12 @@ def test_books_by_isbn(spark, table, tmp_path):
         0: (1, "new"), 1: (1, again), 2: (1, again), 3: (1, again), 4: (2, "new"),
         5: (None, "not_found"), 6: (1, again), 7: (2, again),
     }
-    books = {r.id: (r.title, r.author, r.isbn) for r in store.books.read().collect()}
+    books = {r.id: (r.title, r.author, r.isbn) for r in store.read("books").collect()}
     assert books == {1: ("Dune", "Herbert", "9781"), 2: ("Emma", "Unknown", "9785")}
-    chunk = store.chunks.read().collect()
+    chunk = store.read("chunks").collect()
     assert [(c.doc_id, c.text, c.metadata.source_title) for c in chunk] == [
         ("doc_1", "Dune by Herbert\n\nSand.", "")]
-    assert store.links.read().isEmpty()
+    assert store.read("links").isEmpty()
     kinds = {r.match_kind for r in ingest_isbns(asked, store, landed).collect()}
     assert kinds == {"external_id", "isbn", "title_author", "not_found"}
-    assert store.books.read().count() == 2
+    assert store.read("books").count() == 2

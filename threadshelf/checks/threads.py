@@ -4,11 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
-from threadshelf.plans.lineage import work_path
+from threadshelf.plans.lineage import cut, work_path
 from threadshelf.plans.sizes import spread
 from threadshelf.sources import threads, volumes
-from threadshelf.sources.tables import COMMENTS, Table
-from threadshelf.schemas import SOURCES
+from threadshelf.sources.tables import Store
 from threadshelf.streaming import ingest as streams
 from threadshelf.operators import changes
 
@@ -269,27 +268,29 @@ def incremental_ingest(t: Tables) -> DataFrame:
     spark = t.spark
     base = work_path(spark, "incremental-ingest")
     landing, checkpoint = f"{base}/landing", f"{base}/checkpoint"
-    sources = Table(spark, f"{base}/sources", SOURCES)
-    comments = Table(spark, f"{base}/comments", COMMENTS)
+    store = Store(spark, f"{base}/store")
 
     def index(batch: DataFrame) -> None:
         found = threads.split(threads.parse_once(batch))
-        first = found.headers.dropDuplicates(["external_id"])
-        unseen = changes.unseen_sources(first, sources.read())
-        fresh = changes.new_sources(
-            unseen, sources.read(), ["external_id"], sources.last_id(), F.current_timestamp()
-        )
-        kept = found.comments.join(unseen.select("origin", "external_id"), "origin")
-        comments.append(kept)
-        sources.append(fresh)
+        with store.commit() as commit:
+            known = commit.before.read("sources")
+            first = found.headers.groupBy("external_id").agg(
+                F.min_by(F.struct(*found.headers.columns), "origin").alias("row")
+            )
+            unseen = cut(changes.unseen_sources(first.select("row.*"), known))
+            used = commit.before.last_id("sources")
+            stamp = F.current_timestamp()
+            commit.append("sources", changes.new_sources(unseen, known, ["external_id"], used, stamp))
+            ids = unseen.select("origin", "external_id")
+            commit.append("comments", found.comments.join(ids, "origin"))
 
     for lot in (t.documents.where(F.col("lang") == "en"), t.documents):
         listing_json(lot).select("value").write.mode("append").text(landing)
         stream = streams.thread_stream(spark, landing, whole_files=False)
         streams.start(stream, checkpoint, index).awaitTermination()
-    counts = comments.read().groupBy("external_id").agg(F.count("*").alias("n_comments"))
+    counts = store.read("comments").groupBy("external_id").agg(F.count("*").alias("n_comments"))
     return (
-        sources.read()
+        store.read("sources")
         .select("external_id", "title", "url")
         .join(counts, "external_id", "left")
         .fillna(0, ["n_comments"])

@@ -225,57 +225,62 @@ def ingest(
 ) -> DataFrame:
     """Add raw threads (origin, value) to the store and give the outcome of each mention.
 
-    Threads already indexed are skipped unless forced. The source rows are written last:
-    a thread counts as indexed only when everything read from it is stored, and running
-    the same threads again adds nothing.
+    Threads already indexed are skipped unless forced. All tables change in one commit: a
+    run that stops leaves nothing behind, and running the same threads again adds nothing.
     """
     now = F.current_timestamp() if now is None else now
-    read = threads.split(threads.parse_once(raw))
-    one_copy = (
-        read.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
-        .groupBy("external_id")
-        .agg(F.min_by(F.struct(*read.headers.columns), "origin").alias("row"))
-        .select("row.*")
-    )
-    known_sources = store.sources.read()
-    headers = cut(changes.unseen_sources(one_copy, known_sources, force))
-    ids = headers.select("origin", "external_id")
-    comments = cut(read.comments.join(ids, "origin").drop("origin"))
-    texts = threads.comment_texts(headers, comments, key="external_id")
-    found = extract(texts, models.load_extractor)
-    resolved = resolve_batch(
-        found, store.books.read(), volumes, store.books.last_id(), live_links, now
-    )
-    outcomes = cut(resolved.mentions)
-    added = store.books.append(summarise(resolved.books, models.load_summariser))
-
-    described = headers.withColumn(
-        "metadata", metadata.encoded_metadata(subreddit=F.col("subreddit"))
-    ).select("external_id", "title", "url", "metadata")
-    fresh = cut(
-        changes.new_sources(
-            described, known_sources, ["external_id"], store.sources.last_id(), now
+    with store.commit() as commit:
+        before = commit.before
+        read = threads.split(threads.parse_once(raw))
+        one_copy = (
+            read.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
+            .groupBy("external_id")
+            .agg(F.min_by(F.struct(*read.headers.columns), "origin").alias("row"))
+            .select("row.*")
         )
-    )
-    source_ids = known_sources.unionByName(fresh).select(
-        F.col("id").alias("source_id"), "external_id", F.col("title").alias("source_title")
-    )
-    placed = outcomes.join(source_ids, "external_id")
-    pairs = placed.select("book_id", "source_id").distinct()
-    store.links.append(changes.new_links(pairs, store.links.read(), store.links.last_id()))
-
-    first_links = (
-        placed.where(F.col("outcome") != "existing")
-        .select("book_id", "source_id")
-        .withColumn("id", F.col("source_id"))
-    )
-    sources = source_ids.select(F.col("source_id").alias("id"), F.col("source_title").alias("title"))
-    store.chunks.append(build_chunks(searchable(added), first_links, sources, models.load_encoder))
-    known_comments = ids.select("external_id")
-    if force:
-        kept = store.comments.read().join(known_comments, "external_id", "left_anti")
-        store.comments.replace(kept.unionByName(comments))
-    else:
-        store.comments.append(comments)
-    store.sources.append(fresh)
+        known_sources = before.read("sources")
+        headers = cut(changes.unseen_sources(one_copy, known_sources, force))
+        ids = headers.select("origin", "external_id")
+        comments = cut(read.comments.join(ids, "origin").drop("origin"))
+        texts = threads.comment_texts(headers, comments, key="external_id")
+        resolved = resolve_batch(
+            extract(texts, models.load_extractor),
+            before.read("books"),
+            volumes,
+            before.last_id("books"),
+            live_links,
+            now,
+        )
+        outcomes = cut(resolved.mentions)
+        added = commit.append("books", summarise(resolved.books, models.load_summariser))
+
+        described = headers.withColumn(
+            "metadata", metadata.encoded_metadata(subreddit=F.col("subreddit"))
+        ).select("external_id", "title", "url", "metadata")
+        fresh = commit.append(
+            "sources",
+            changes.new_sources(
+                described, known_sources, ["external_id"], before.last_id("sources"), now
+            ),
+        )
+        sources = known_sources.unionByName(fresh).select("id", "external_id", "title")
+        placed = outcomes.join(
+            sources.select(F.col("id").alias("source_id"), "external_id"), "external_id"
+        )
+        pairs = placed.select("book_id", "source_id").distinct()
+        commit.append("links", changes.new_links(pairs, before.read("links"), before.last_id("links")))
+
+        # a new book's chunk names the thread that made it
+        first_links = placed.where(F.col("outcome") != "existing").select(
+            "book_id", "source_id", F.col("source_id").alias("id")
+        )
+        commit.append(
+            "chunks", build_chunks(searchable(added), first_links, sources, models.load_encoder)
+        )
+        if force:
+            again = headers.select("external_id")
+            kept = lookup_join(before.read("comments"), again, ["external_id"], "left_anti")
+            commit.replace("comments", kept.unionByName(comments))
+        else:
+            commit.append("comments", comments)
     return outcomes

@@ -132,13 +132,15 @@ def ingest_isbns(
     now: Column | None = None,
 ) -> DataFrame:
     """Add the requested books to the store, with a chunk each but no source; gives the outcomes."""
-    answers, books = resolve_requests(
-        requests, store.books.read(), volumes, store.books.last_id(), live_links, now
-    )
-    answers = cut(answers)
-    added = store.books.append(books)
     spark = requests.sparkSession
     no_sources = spark.createDataFrame([], SOURCES)
     no_links = spark.createDataFrame([], "id long, book_id long, source_id long")
-    store.chunks.append(build_chunks(searchable(added), no_links, no_sources, load_encoder))
+    with store.commit() as commit:
+        before = commit.before
+        answers, books = resolve_requests(
+            requests, before.read("books"), volumes, before.last_id("books"), live_links, now
+        )
+        answers = cut(answers)
+        added = commit.append("books", books)
+        commit.append("chunks", build_chunks(searchable(added), no_links, no_sources, load_encoder))
     return answers

@@ -1,4 +1,4 @@
-"""Catalogue tables as Parquet versions."""
+"""The catalogue's tables as Parquet versions that become visible together."""
 
 from __future__ import annotations
 
@@ -11,101 +11,126 @@ from pyspark.sql import types as T
 
 from threadshelf import schemas
 
-LOG = "version long, base long, last_id long"
+COMMENTS = T.StructType(
+    [
+        T.StructField("external_id", T.StringType()),
+        T.StructField("path", T.ArrayType(T.IntegerType())),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("comment_id", T.StringType()),
+        T.StructField("body", T.StringType()),
+        T.StructField("score", T.IntegerType()),
+    ]
+)
+
+TABLES = {
+    "books": schemas.BOOKS,
+    "sources": schemas.SOURCES,
+    "links": schemas.LINKS,
+    "chunks": schemas.CHUNKS,
+    "comments": COMMENTS,
+}
 
+LOG = "version long, name string, replaces boolean, last_id long"
 
-class Table:
-    """A table whose changes are written beside the current files, never over them.
 
-    Each version is a folder; a log table names the finished ones. An append adds a folder
-    to those read, a replacement starts a new base. One writer at a time; a version that
-    was not finished is never read.
+class Store:
+    """The tables of one catalogue under one folder.
+
+    A change writes new files beside the current ones, in a folder per table and version. A
+    log names the finished versions; its rows for one commit are written as one file, so all
+    tables of a commit change at once, and files of a commit that did not finish are never
+    read. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, T.StructType] = TABLES):
+        self.spark, self.path, self.tables = spark, path.rstrip("/"), tables
 
-    def _state(self) -> tuple[int, int, int]:
-        """Last version, first version to read, and highest id ever given out."""
+    def snapshot(self) -> Snapshot:
+        """The tables as of now; later commits do not show in it."""
         try:
             log = self.spark.read.schema(LOG).parquet(f"{self.path}/log")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return -1, 0, 0
-        state = log.agg(F.max("version"), F.max_by("base", "version"), F.max("last_id")).first()
-        return state[0], state[1], state[2] or 0
+            return Snapshot(self, -1, {}, {})
+        # a few numbers per commit
+        rows = log.orderBy("version").collect()
+        versions: dict[str, list[int]] = {}
+        last_ids: dict[str, int] = {}
+        for row in rows:
+            older = [] if row.replaces else versions.get(row.name, [])
+            versions[row.name] = [*older, row.version]
+            last_ids[row.name] = max(last_ids.get(row.name, 0), row.last_id)
+        return Snapshot(self, max((r.version for r in rows), default=-1), versions, last_ids)
+
+    def read(self, name: str) -> DataFrame:
+        return self.snapshot().read(name)
+
+    def commit(self) -> Commit:
+        """Use as a context manager; what it writes shows when the block ends without error."""
+        return Commit(self)
+
+    def compact(self, name: str) -> None:
+        """Put the content of many appends into one version."""
+        with self.commit() as commit:
+            commit.replace(name, commit.before.read(name))
 
-    def _files(self, first: int, last: int) -> DataFrame:
-        if last < first:
-            return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.path}/v={version}" for version in range(first, last + 1)]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def _files(self, name: str, versions: list[int]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], self.tables[name])
+        paths = [f"{self.path}/{name}/v={version}" for version in versions]
+        return self.spark.read.schema(self.tables[name]).parquet(*paths)
 
-    def read(self) -> DataFrame:
-        last, base, _ = self._state()
-        return self._files(base, last)
 
-    def last_id(self) -> int:
-        """Ids of deleted rows stay used up."""
-        return self._state()[2]
+@dataclass
+class Snapshot:
+    store: Store
+    version: int
+    versions: dict[str, list[int]]
+    last_ids: dict[str, int]
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Add rows; gives the rows as written."""
-        return self._write(rows, None)
+    def read(self, name: str) -> DataFrame:
+        return self.store._files(name, self.versions.get(name, []))
 
-    def replace(self, rows: DataFrame) -> DataFrame:
-        """Make the rows the table's whole content; gives them as written."""
-        return self._write(rows, "new base")
+    def last_id(self, name: str) -> int:
+        """Highest id ever given out; ids of deleted rows stay used up."""
+        return self.last_ids.get(name, 0)
 
-    def compact(self) -> DataFrame:
-        """Put the content of many appends into one version."""
-        return self.replace(self.read())
-
-    def _write(self, rows: DataFrame, base: str | None) -> DataFrame:
-        last, first, last_id = self._state()
-        version = last + 1
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        written = self._files(version, version)
-        if "id" in self.schema.names:
-            last_id = max(last_id, written.agg(F.max("id")).first()[0] or 0)
-        entry = [(version, version if base else first, last_id)]
-        self.spark.createDataFrame(entry, LOG).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/log"
-        )
-        return written
 
+class Commit:
+    """Changes to some tables, each written once; `before` is the state they start from."""
 
-COMMENTS = T.StructType(
-    [
-        T.StructField("external_id", T.StringType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
-        T.StructField("depth", T.IntegerType()),
-        T.StructField("comment_id", T.StringType()),
-        T.StructField("body", T.StringType()),
-        T.StructField("score", T.IntegerType()),
-    ]
-)
+    def __init__(self, store: Store):
+        self.store, self.before = store, store.snapshot()
+        self.entries: dict[str, tuple[int, str, bool, int]] = {}
 
+    def __enter__(self) -> Commit:
+        return self
 
-@dataclass
-class Store:
-    """The tables of one catalogue under one folder."""
-
-    books: Table
-    sources: Table
-    links: Table
-    chunks: Table
-    comments: Table
-
-    @classmethod
-    def at(cls, spark: SparkSession, path: str) -> Store:
-        layouts = {
-            "books": schemas.BOOKS,
-            "sources": schemas.SOURCES,
-            "links": schemas.LINKS,
-            "chunks": schemas.CHUNKS,
-            "comments": COMMENTS,
-        }
-        return cls(**{n: Table(spark, f"{path}/{n}", layout) for n, layout in layouts.items()})
+    def __exit__(self, kind, _error, _trace) -> None:
+        if kind is None and self.entries:
+            spark = self.store.spark
+            entries = spark.createDataFrame(list(self.entries.values()), LOG).coalesce(1)
+            entries.write.mode("append").parquet(f"{self.store.path}/log")
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add rows; gives the rows as written."""
+        return self._write(name, rows, False)
+
+    def replace(self, name: str, rows: DataFrame) -> DataFrame:
+        """Make the rows the table's whole content; gives them as written."""
+        return self._write(name, rows, True)
+
+    def _write(self, name: str, rows: DataFrame, replaces: bool) -> DataFrame:
+        if name in self.entries:
+            raise ValueError(f"{name} is already written in this commit")
+        version = self.before.version + 1
+        schema = self.store.tables[name]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.store.path}/{name}/v={version}")
+        written = self.store._files(name, [version])
+        last_id = 0
+        if "id" in schema.names:
+            last_id = written.agg(F.max("id")).first()[0] or 0
+        self.entries[name] = (version, name, replaces, last_id)
+        return written
