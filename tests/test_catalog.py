@@ -260,3 +260,26 @@ def test_commits(spark, books, links, tmp_path):
     store.compact("books")
     assert ids(store.read("books")) == [1, 4]
     assert ids(store.read("links")) == [1]
+
+
+def test_removal_on_random_links(books, links, table):
+    import random
+
+    rng = random.Random(1)
+    pairs = {(rng.randint(1, 30), rng.randint(1, 6)) for _ in range(60)}
+    catalogue = changes.Catalogue(
+        books=books(*[(i, f"b{i}", None, "new") for i in range(1, 31)]),
+        sources=table("id long, title string", *[(i, f"s{i}") for i in range(1, 7)]),
+        links=links(*pairs),
+        chunks=table("doc_id string", *[(f"doc_{i}",) for i in range(1, 31)]),
+    )
+    gone = {1, 4}
+    left = state(changes.remove_sources(catalogue, table("id long", *[(i,) for i in gone])))
+    of_book = {b: {s for x, s in pairs if x == b} for b in range(1, 31)}
+    kept = sorted(b for b, s in of_book.items() if not s or s - gone)
+    assert left == (
+        kept,
+        [2, 3, 5, 6],
+        sorted(p for p in pairs if p[1] not in gone),
+        sorted(f"doc_{b}" for b in kept),
+    )

@@ -129,3 +129,31 @@ def test_copies_of_a_thread(table):
     rows = threads.latest_raw_copy(copies).collect()
     assert {(r.thread, r.origin) for r in rows} == {("a", "2"), ("b", "4"), ("c", "5"), ("elsewhere", "7"),
         ("https://short/x.json", "8")}
+
+
+def test_random_trees_equal_a_recursive_walk(read):
+    import random
+
+    rng = random.Random(5)
+
+    def grow(depth):
+        nodes = []
+        for _ in range(rng.randint(0, 4 - depth) if depth else 4):
+            kind = "t1" if rng.random() < 0.85 else "more"
+            below = grow(depth + 1) if depth < 4 else ""
+            nodes.append(comment(f"c{rng.random()}", below or rng.choice(["", None]), kind))
+        return nodes
+
+    def walk(nodes, depth=0):
+        for node in nodes:
+            if node["kind"] == "t1":
+                yield node["data"]["id"], depth
+                replies = node["data"]["replies"]
+                if isinstance(replies, dict):
+                    yield from walk(replies["data"]["children"], depth + 1)
+
+    trees = [grow(0) for _ in range(30)]
+    rows = ordered(read(*[listing(*tree) for tree in trees]))
+    for i, tree in enumerate(trees):
+        found = [(r.comment_id, r.depth) for r in rows if r.origin == f"f{i}"]
+        assert found == list(walk(tree))
