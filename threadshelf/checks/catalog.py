@@ -38,14 +38,16 @@ def list_by_status(t: Tables) -> DataFrame:
 
 @query(
     b.ctes(b.PART_BOOKS)
-    + """SELECT id, title, author FROM part_books
-         WHERE contains(lower(title), 'ring') OR contains(lower(author), 'ring')
-            OR contains(lower(title), '#2') OR contains(lower(author), '#2')"""
+    + """SELECT q AS query, id, title, author FROM part_books, (VALUES ('RING'), ('#2')) AS v(q)
+         WHERE contains(lower(title), lower(q)) OR contains(lower(author), lower(q))"""
 )
 def filter_title_author(t: Tables) -> DataFrame:
     books = b.part_books(t)
-    ringing = catalog.matching_text(books, "RING")
-    return ringing.unionByName(catalog.matching_text(books, "#2")).distinct()
+
+    def matching(query: str) -> DataFrame:
+        return catalog.matching_text(books, query).withColumn("query", F.lit(query))
+
+    return matching("RING").unionByName(matching("#2"))
 
 
 @query(

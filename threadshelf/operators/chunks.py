@@ -23,6 +23,7 @@ from threadshelf.operators.catalog import (
 )
 from threadshelf.operators.vectors import unit_rows
 from threadshelf.plans.lineage import cut
+from threadshelf.plans.sizes import deal_out
 from threadshelf.plans.skew import PAGE_SIZE, longest_list, paged_lists
 
 PART_BREAK = "\n\n"
@@ -227,7 +228,7 @@ def _encode(texts: DataFrame, load_encoder, keep: list[str], unit: bool) -> Data
 def encode_chunks(parts: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
     """Chunk parts as rows of the chunk table."""
     metadata = F.struct("title", "author", "source_title")
-    return embed(parts, load_encoder).select(
+    return embed(deal_out(parts), load_encoder).select(
         text.chunk_key(F.col("book_id")).alias("doc_id"),
         "book_id",
         "part",

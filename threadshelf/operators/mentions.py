@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
+from threadshelf.plans.sizes import deal_out
 from threadshelf.plans.skew import lookup_join
 
 Model = Callable[[list[str]], list[str]]
@@ -42,7 +43,8 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
             )
 
     # written down, so that no later use of the answers runs the model again
-    answered = cut(distinct.mapInPandas(run, "_key string, response string, error string"))
+    answers = deal_out(distinct).mapInPandas(run, "_key string, response string, error string")
+    answered = cut(answers)
     return lookup_join(keyed, answered, ["_key"], wide=True).drop("_key")
 
 

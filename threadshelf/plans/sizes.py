@@ -35,3 +35,14 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def deal_out(df: DataFrame) -> DataFrame:
+    """Rows in as many partitions as a shuffle has, and no fewer than there are cores.
+
+    Before a model runs: adaptive execution sizes partitions by bytes and would leave a few
+    tasks with all the inference.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(partitions, spark.sparkContext.defaultParallelism))
