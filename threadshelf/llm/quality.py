@@ -14,6 +14,8 @@ from threadshelf.llm.common import let, words
 
 # Signs that end a sentence, and what may close behind them.
 SENTENCE_END = r"[.!?…:;。！？]+[\"'”’»)\]]*\s*$"
+# A sentence that ends inside the line: the line is then a paragraph that was cut short.
+SENTENCE_INSIDE = r"[.!?…。！？][\"'”’»)\]]*\s"
 # Signs between the entries of a menu or of a path of pages.
 SEPARATORS = "|›»•·→"
 # The symbols counted per document.
@@ -61,8 +63,8 @@ def has_word(line: Column) -> Column:
 
 
 def punctuation_fails(line: Column) -> Column:
-    """The line does not end as a sentence does."""
-    return ~line.rlike(SENTENCE_END)
+    """The line neither ends as a sentence does nor has a whole sentence in it."""
+    return ~line.rlike(SENTENCE_END) & ~line.rlike(SENTENCE_INSIDE)
 
 
 def navigation_fails(line: Column, rules: Rules) -> Column:

@@ -16,6 +16,7 @@ line AS (
 judged AS (
     SELECT r, line, chars,
         NOT regexp_matches(line, '[.!?…:;。！？]+["''”’»)\]]*\s*$')
+        AND NOT regexp_matches(line, '[.!?…。！？]["''”’»)\]]*\s')
         OR length(line) - length(translate(line, '|›»•·→', '')) >= 3
         OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in to|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of use|use of cookies')
         OR length(line) - length(translate(line, '#*$%&|<>', '')) > len(lw) * 0.5
