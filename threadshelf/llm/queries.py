@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables
-from threadshelf.llm import chat, quality, sql, tokens
+from threadshelf.llm import chat, mixing, neardup, quality, sql, tokens, warc
 from threadshelf.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def register(function: Callable[[Tables], DataFrame]) -> Callable[[Tables], Data
     return function
 
 
+@register
+def op1_near_duplicates(t: Tables) -> DataFrame:
+    return neardup.near_duplicates(t.documents)
+
+
+@register
+def op3_warc_round_trip(t: Tables) -> DataFrame:
+    return warc.round_trip(t.pages)
+
+
 @register
 def op5_token_counts(t: Tables) -> DataFrame:
     import public_tokenizers
@@ -30,6 +40,12 @@ def op5_token_counts(t: Tables) -> DataFrame:
     return tokens.count_tokens(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op8_mixture(t: Tables) -> DataFrame:
+    mixed = mixing.Mixture(t.documents).documents()
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @register
 def op9_quality_rules(t: Tables) -> DataFrame:
     return quality.judge_documents(t.documents).drop("loss", "clean_text")

@@ -1,5 +1,39 @@
 """DuckDB SQL of the queries, by the query's name in capitals."""
 
+OP1_NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+    SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS spot FROM d UNION SELECT id, b FROM reach JOIN edge ON spot = a),
+c AS (SELECT id, min(spot) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id
+"""
+
+OP3_WARC_ROUND_TRIP = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+h AS (SELECT *, sha1(html) AS hex FROM f),
+bits AS (
+    SELECT page_id, first, html, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ('0b' || substr(b, 5 * i + 1, 5))::INT, 1), '' ORDER BY i) AS payload_digest
+    FROM (SELECT *, array_to_string(list_transform(string_split(hex, ''),
+        lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS b FROM h), range(32) AS t(i)
+    GROUP BY ALL)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, NULL::VARCHAR AS error
+FROM bits
+"""
+
 OP9_QUALITY_RULES = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
