@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed value: words are runs of anything but the ASCII space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +21,7 @@ SLICE_BYTES = 8 << 20
 
 def words(text: Column) -> Column:
     """The words of a text as a list; none for a null text."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def let(value: Column, use) -> Column:
@@ -32,6 +33,11 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema; needs a session, so call it on the driver."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

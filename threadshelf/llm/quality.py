@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadshelf.llm.common import let, words
 
 # Signs that end a sentence, and what may close behind them.
-SENTENCE_END = r"[.!?…:;。！？]+[\"'”’»)\]]*\s*$"
+SENTENCE_END = r"(?s)^.*[.!?…:;。！？][\"'”’»)\]]*\s*\z"
 # A sentence that ends inside the line: the line is then a paragraph that was cut short.
 SENTENCE_INSIDE = r"[.!?…。！？][\"'”’»)\]]*\s"
 # Signs between the entries of a menu or of a path of pages.
@@ -41,25 +41,33 @@ BOILERPLATE = (
 class Rules:
     """Limits of the line rules and of the loss a document may have."""
 
-    menu_entries: int = 3  # separators that stand alone make a line a menu
+    menu_entries: int = 3  # separators make a line a menu
     symbols_per_word: float = 0.5  # more make a line boilerplate
-    capitals: float = 0.7  # share of letters in lines of five words or more
-    repeated_marks: float = 0.5  # share of words that end in two marks like !!
-    largest_loss: float = 0.5  # share of the word characters in lines that failed
+    marks_per_word: float = 0.5  # double exclamation marks; more make a line boilerplate
+    shouted_words: int = 5  # a line of as many words without a small letter is shouted
+    largest_loss: float = 0.5  # share of the characters in lines that failed
     least_words: int = 50
     most_repeated: float = 0.5  # share of words in three-word windows found again
 
 
 def _count(text: Column, signs: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, signs, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{signs}]+", ""))
 
 
-def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def _count_pairs(text: Column, pair: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(pair), F.lit("")))) / len(pair)
 
 
 def has_word(line: Column) -> Column:
-    return _word_chars(line) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def has_notice(text: Column) -> Column:
+    """One of the phrases is in the text, in any case."""
+    small, found = F.lower(text), F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | F.contains(small, F.lit(phrase))
+    return found
 
 
 def punctuation_fails(line: Column) -> Column:
@@ -67,39 +75,47 @@ def punctuation_fails(line: Column) -> Column:
     return ~line.rlike(SENTENCE_END) & ~line.rlike(SENTENCE_INSIDE)
 
 
+def has_signs(text: Column) -> Column:
+    """Anything in the text that a menu or a boilerplate line is made of."""
+    return text.rlike(f"[{SEPARATORS}{SYMBOLS}]|!!")
+
+
 def navigation_fails(line: Column, rules: Rules) -> Column:
     """The line is a list of entries with separators between them."""
     return _count(line, SEPARATORS) >= rules.menu_entries
 
 
 def boilerplate_fails(line: Column, rules: Rules) -> Column:
-    """A notice, mostly symbols, or shouted."""
-
-    def judge(w: Column) -> Column:
-        n = F.size(w)
-        letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-        capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
-        marked = F.size(F.filter(w, lambda x: x.rlike(r"[!?*#]{2,}$")))
-        return (
-            (_count(line, SYMBOLS) > n * F.lit(rules.symbols_per_word))
-            | ((n >= 5) & (capitals > letters * F.lit(rules.capitals)))
-            | ((n >= 5) & (marked > n * F.lit(rules.repeated_marks)))
+    """The line is mostly symbols or marks."""
+
+    def strange(w: Column) -> Column:
+        return (_count(line, SYMBOLS) > F.size(w) * F.lit(rules.symbols_per_word)) | (
+            _count_pairs(line, "!!") > F.size(w) * F.lit(rules.marks_per_word)
         )
 
-    notice = F.lower(line).rlike("|".join(BOILERPLATE))
-    return notice | let(words(line), judge)
+    return let(words(line), strange)
+
 
+def shouting_fails(line: Column, rules: Rules) -> Column:
+    """Several words with capitals and without a small letter."""
+    capitals = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
+    return F.when(capitals, F.size(words(line)) >= rules.shouted_words).otherwise(False)
 
-def line_fails(line: Column, rules: Rules) -> Column:
+
+def line_fails(line: Column, rules: Rules, signs: Column, notices: Column) -> Column:
+    """`signs` and `notices` tell whether the whole text has any; if not, no line needs a look."""
     return (
-        punctuation_fails(line) | navigation_fails(line, rules) | boilerplate_fails(line, rules)
+        punctuation_fails(line)
+        | shouting_fails(line, rules)
+        | F.when(signs, navigation_fails(line, rules) | boilerplate_fails(line, rules)).otherwise(False)
+        | F.when(notices, has_notice(line)).otherwise(False)
     )
 
 
 def repeated_words(w: Column) -> Column:
     """Words inside three-word windows whose sequence is found twice or more in the list.
 
-    Windows are sorted with their places; equal neighbours are repeats, and their places,
+    Where all window hashes differ, nothing repeats. Elsewhere windows are sorted with their places; equal neighbours are repeats, and their places,
     sorted again, tell how many words they cover together.
     """
 
@@ -122,8 +138,12 @@ def repeated_words(w: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.get(p, k + 1) - x))
         return F.aggregate(steps, F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(3)))
 
+    hashes = F.transform(
+        F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))
+    )
+    differ = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
     found = let(F.sort_array(windows(w)), lambda s: let(places(s), covered))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
+    return F.when(F.size(w) < 4, F.lit(0)).when(differ, F.lit(0)).otherwise(found)
 
 
 def judge_documents(
@@ -133,58 +153,59 @@ def judge_documents(
 
     Lines without words stay and count for nothing. A document fails with few words, with
     most words in repeated windows, or where the lines that failed hold more than
-    `largest_loss` of its word characters. A null or empty text has no words and is rejected.
+    `largest_loss` of the characters of its lines with words. A null or empty text has no words and is rejected.
     Each row is judged by itself: no shuffle, repeated rows get equal verdicts, and other
     columns are left out, whatever their names.
     """
-    base = docs.select(
-        F.col(id_col),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    )
-    lines = base.withColumn(
-        "_lines",
-        F.transform(
-            F.split("_text", "\n"),
-            lambda line: F.struct(
-                line.alias("line"),
-                has_word(line).alias("full"),
-                (has_word(line) & line_fails(line, rules)).alias("fails"),
-                _word_chars(line).alias("chars"),
-            ),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    judge = lambda has: F.transform(
+        F.split(text, "\n"),
+        lambda line: F.struct(
+            line.alias("line"),
+            has_word(line).alias("full"),
+            F.when(has_word(line), line_fails(line, rules, has["signs"], has["notices"])).otherwise(False).alias("fails"),
         ),
     )
-    full_lines = F.transform(F.filter("_lines", lambda x: x["full"]), lambda x: x["line"])
-    passed = F.filter("_lines", lambda x: ~x["fails"])
-    lost = F.aggregate(
-        "_lines", F.lit(0), lambda total, x: total + F.when(x["fails"], x["chars"]).otherwise(0)
-    )
-    counted = lines.select(
-        id_col,
-        let(
-            words(F.col("_text")),
-            lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                repeated_words(w).cast("long").alias("n_repeat_words"),
-            ),
-        ).alias("_w"),
-        _word_chars(F.col("_text")).cast("long").alias("word_chars"),
-        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
-        let(full_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.array_join(F.transform(passed, lambda x: x["line"]), "\n").alias("clean_text"),
-        lost.cast("long").alias("lost_chars"),
+
+    has = F.struct(has_signs(text).alias("signs"), has_notice(text).alias("notices"))
+
+    def only(lines: Column, keep, sep: str) -> Column:
+        return F.array_join(F.transform(F.filter(lines, keep), lambda x: x["line"]), sep)
+
+    def line_results(lines: Column) -> Column:
+        full = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"])
+        return F.struct(
+            let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            only(lines, lambda x: ~x["fails"], "\n").alias("clean_text"),
+            F.length(only(lines, lambda x: x["fails"], "")).alias("lost"),
+            F.length(only(lines, lambda x: x["full"], "")).alias("all"),
+        )
+
+    def word_results(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).cast("long").alias("n_repeat_words"),
+        )
+
+    counted = docs.select(
+        F.col(id_col),
+        let(words(text), word_results).alias("_w"),
+        let(let(has, judge), line_results).alias("_l"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     n_words, n_repeat = F.col("_w.n_words"), F.col("_w.n_repeat_words")
     failed = (n_words < rules.least_words) | (n_repeat > n_words * F.lit(rules.most_repeated))
-    loss = F.when(F.col("word_chars") > 0, F.col("lost_chars") / F.col("word_chars")).otherwise(0.0)
+    loss = F.when(F.col("_l.all") > 0, F.col("_l.lost") / F.col("_l.all")).otherwise(0.0)
     return counted.select(
         id_col,
         n_words.alias("n_words"),
-        "word_chars",
+        "_w.word_chars",
         "n_symbols",
-        "n_dup_lines",
+        "_l.n_dup_lines",
         n_repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & (loss <= rules.largest_loss)).alias("kept"),
         loss.alias("loss"),
-        "clean_text",
+        "_l.clean_text",
     )
