@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables
-from threadshelf.llm import chat, mixing, neardup, quality, sql, tokens, warc
+from threadshelf.llm import chat, decontaminate, extract, mixing, neardup, quality, sql, substring, tokens, urls, warc
 from threadshelf.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,22 @@ def op1_near_duplicates(t: Tables) -> DataFrame:
     return neardup.near_duplicates(t.documents)
 
 
+@register
+def op2_html_extraction(t: Tables) -> DataFrame:
+    model = extract.fit_frame(extract.labelled_pages(t.spark))
+    return extract.extract_text(t.pages, model)
+
+
 @register
 def op3_warc_round_trip(t: Tables) -> DataFrame:
     return warc.round_trip(t.pages)
 
 
+@register
+def op4_decontamination(t: Tables) -> DataFrame:
+    return decontaminate.contaminated(t.documents, t.benchmark)
+
+
 @register
 def op5_token_counts(t: Tables) -> DataFrame:
     import public_tokenizers
@@ -40,6 +51,31 @@ def op5_token_counts(t: Tables) -> DataFrame:
     return tokens.count_tokens(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op6_url_filter(t: Tables) -> DataFrame:
+    """Every page is a capture and, on another day, an entry for its host or the domain above.
+
+    The tables have no lists and no times; both follow from the page's number.
+    """
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    page = F.col("page_id")
+    captures = t.pages.select("page_id", "url", day(page * 7919 % 730).alias("fetched_at"))
+    name = urls.host(F.col("url"))
+    above = F.regexp_replace(name, r"^[^.]+\.(.+\.)", "$1")
+    log = t.pages.select(
+        F.when(page % 4 == 0, above).otherwise(name).alias("domain"),
+        F.element_at(F.array(*map(F.lit, urls.ACTIONS)), (F.floor(page / 7) % 3).cast("int") + 1).alias("action"),
+        day(page * 104729 % 730).alias("listed_on"),
+    )
+    return urls.filter_captures(captures, log)
+
+
+@register
+def op7_substring_dedup(t: Tables) -> DataFrame:
+    found = substring.dedup_substrings(t.documents)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register
 def op8_mixture(t: Tables) -> DataFrame:
     mixed = mixing.Mixture(t.documents).documents()

@@ -34,6 +34,44 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
 FROM bits
 """
 
+OP6_URL_FILTER = r"""
+WITH c AS (
+    SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)),
+               '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1), '\.+$', ''), '') AS host,
+           DATE '2023-01-01' + (page_id * 7919 % 730)::INT AS day FROM pages),
+log AS (
+    SELECT CASE WHEN page_id % 4 = 0 THEN regexp_replace(host, '^[^.]+\.(.+\.)', '\1') ELSE host END AS domain,
+           (page_id // 7) % 3 AS rank, DATE '2023-01-01' + (page_id * 104729 % 730)::INT AS since FROM c),
+daily AS (SELECT domain, since, min(rank) AS rank FROM log WHERE domain IS NOT NULL GROUP BY ALL),
+held AS (SELECT *, lead(since, 1, DATE '9999-12-31') OVER (PARTITION BY domain ORDER BY since) AS until FROM daily),
+label AS (
+    SELECT page_id, host, day, string_split(host, '.') AS parts, unnest(generate_series(1, len(string_split(host, '.')))) AS i
+    FROM c WHERE host IS NOT NULL),
+asked AS (SELECT *, array_to_string(parts[i:], '.') AS domain, len(parts) - i AS labels FROM label),
+hit AS (
+    SELECT page_id, CASE rank WHEN 0 THEN 'block' ELSE 'allow' END AS verdict, a.domain AS listed_domain, since AS listed_on
+    FROM asked a JOIN held h ON a.domain = h.domain AND since <= day AND day < until AND rank < 2
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY labels DESC) = 1)
+SELECT c.page_id, host, day AS fetched_on, coalesce(verdict, 'none') AS verdict, listed_domain, listed_on
+FROM c LEFT JOIN hit USING (page_id)
+"""
+
+OP7_SUBSTRING_DEDUP = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+p AS (SELECT r, doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM d WHERE len(ws) >= 13),
+win AS (SELECT r, doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM p),
+again AS (SELECT r, i FROM win QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+gone AS (SELECT DISTINCT r, i + o AS k FROM again, range(13) AS t(o)),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
+kept AS (
+    SELECT r, string_agg(w, ' ' ORDER BY k) AS kept, count(*) AS n
+    FROM word ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 OP9_QUALITY_RULES = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -45,7 +83,7 @@ cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) AS
 split AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 line AS (
     SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
-           length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
+           length(line) AS chars
     FROM split),
 judged AS (
     SELECT r, line, chars,
@@ -54,24 +92,23 @@ judged AS (
         OR length(line) - length(translate(line, '|›»•·→', '')) >= 3
         OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in to|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of use|use of cookies')
         OR length(line) - length(translate(line, '#*$%&|<>', '')) > len(lw) * 0.5
-        OR (len(lw) >= 5 AND length(regexp_replace(line, '\P{Lu}', '', 'g'))
-            > length(regexp_replace(line, '\P{L}', '', 'g')) * 0.7)
-        OR (len(lw) >= 5 AND len(list_filter(lw, lambda x: regexp_matches(x, '[!?*#]{2,}$'))) > len(lw) * 0.5)
+        OR (length(line) - length(replace(line, '!!', ''))) / 2 > len(lw) * 0.5
+        OR (len(lw) >= 5 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
         AS fails
-    FROM line WHERE chars > 0),
+    FROM line WHERE len(lw) > 0),
 lines AS (
-    SELECT r, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost
+    SELECT r, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost, sum(chars) AS total
     FROM judged GROUP BY r),
 counts AS (
     SELECT doc_id, len(ws) AS n_words,
            length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
            length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
            coalesce(dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-           coalesce(lost, 0) AS lost
+           coalesce(lost, 0) AS lost, coalesce(total, 0) AS total
     FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 * word_chars AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 * total AS kept
 FROM counts
 """
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadshelf.llm.common import slices, type_of
+from threadshelf.llm.common import arrow_schema, slices, type_of
 from threadshelf.plans.lineage import cut, work_path
 
 # Fixed values of the formats.
@@ -286,10 +286,6 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
             yield (path, at, *[None] * 6, str(error), None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(out_schema)
-
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[i], target.field(i).type) for i in range(len(names))], schema=target)
@@ -306,9 +302,7 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    from pyspark.sql.types import StructType
-
-    out_schema = StructType.fromDDL(schema)
+    target = arrow_schema(schema)
     return files.select("path", "content").mapInArrow(read, schema)
 
 
