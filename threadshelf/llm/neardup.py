@@ -304,3 +304,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The documents, with all their columns, of which each group has only the smallest id left.
+
+    Of rows with equal ids one stays, that with the smallest text. Rows with a null id stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col, settings).where(F.col(id_col).isNotNull()).select(id_col, "kept"))
+    gone = cut(found.where("NOT kept").select(id_col).distinct())
+    left = docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, id_col, "left_anti").select(docs.columns)
+    again = cut(found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col))
+    if again.isEmpty():
+        return left
+    several = left.join(again, id_col, "left_semi").select(docs.columns)
+    others = [F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce(F.col(text_col), F.lit(""))).alias("_row")]
+    one = several.groupBy(id_col).agg(*others).select([F.col("_row")[c].alias(c) for c in docs.columns])
+    return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(one)

@@ -146,18 +146,9 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).when(differ, F.lit(0)).otherwise(found)
 
 
-def judge_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()
-) -> DataFrame:
-    """Per row: id, counts, `clean_text` (the lines that passed), `loss` and `kept`.
-
-    Lines without words stay and count for nothing. A document fails with few words, with
-    most words in repeated windows, or where the lines that failed hold more than
-    `largest_loss` of the characters of its lines with words. A null or empty text has no words and is rejected.
-    Each row is judged by itself: no shuffle, repeated rows get equal verdicts, and other
-    columns are left out, whatever their names.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def verdict(text: Column, rules: Rules) -> Column:
+    """Everything the rules say about a text, as a struct."""
+    text = F.coalesce(text, F.lit(""))
     judge = lambda has: F.transform(
         F.split(text, "\n"),
         lambda line: F.struct(
@@ -188,24 +179,55 @@ def judge_documents(
             repeated_words(w).cast("long").alias("n_repeat_words"),
         )
 
-    counted = docs.select(
-        F.col(id_col),
-        let(words(text), word_results).alias("_w"),
-        let(let(has, judge), line_results).alias("_l"),
+    return F.struct(
+        let(words(text), word_results).alias("w"),
+        let(let(has, judge), line_results).alias("l"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
-    n_words, n_repeat = F.col("_w.n_words"), F.col("_w.n_repeat_words")
-    failed = (n_words < rules.least_words) | (n_repeat > n_words * F.lit(rules.most_repeated))
-    loss = F.when(F.col("_l.all") > 0, F.col("_l.lost") / F.col("_l.all")).otherwise(0.0)
-    return counted.select(
-        id_col,
-        n_words.alias("n_words"),
-        "_w.word_chars",
-        "n_symbols",
-        "_l.n_dup_lines",
-        n_repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        (~failed & (loss <= rules.largest_loss)).alias("kept"),
-        loss.alias("loss"),
-        "_l.clean_text",
+
+
+def judged(docs: DataFrame, text_col: str, rules: Rules) -> DataFrame:
+    """(row, found, base_failed, loss, kept): the row as it came as one struct, and the verdict."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), verdict(F.col(text_col), rules).alias("found"))
+    n_words, repeated = F.col("found.w.n_words"), F.col("found.w.n_repeat_words")
+    failed = (n_words < rules.least_words) | (repeated > n_words * F.lit(rules.most_repeated))
+    every, lost = F.col("found.l.all"), F.col("found.l.lost")
+    loss = F.when(every > 0, lost / every).otherwise(0.0)
+    return rows.select("row", "found", failed.alias("base_failed"), loss.alias("loss"), (~failed & (loss <= rules.largest_loss)).alias("kept"))
+
+
+def judge_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()
+) -> DataFrame:
+    """Per row: id, counts, `clean_text` (the lines that passed), `loss` and `kept`.
+
+    Lines without words stay and count for nothing. A document fails with few words, with
+    most words in repeated windows, or where the lines that failed hold more than
+    `largest_loss` of the characters of its lines with words. A null or empty text has no words
+    and is rejected. Each row is judged by itself: no shuffle, repeated rows get equal verdicts,
+    and other columns are left out, whatever their names.
+    """
+    found = judged(docs.select(id_col, text_col), text_col, rules)
+    return found.select(
+        F.col("row")[id_col].alias(id_col),
+        "found.w.n_words",
+        "found.w.word_chars",
+        "found.n_symbols",
+        "found.l.n_dup_lines",
+        "found.w.n_repeat_words",
+        "base_failed",
+        "kept",
+        "loss",
+        "found.l.clean_text",
     )
+
+
+def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: Rules = Rules()) -> DataFrame:
+    """The documents that are kept, with all their columns, their text without the lines that
+    failed and its length anew."""
+    found = judged(docs, text_col, rules)
+    clean = F.col("found.l.clean_text")
+    new = {text_col: clean, chars_col: F.length(clean).cast("long")}
+    row = F.struct(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    # a filter would be moved below the verdict and find it again
+    return found.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("row")).select("row.*")

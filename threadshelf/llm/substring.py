@@ -10,6 +10,7 @@ one by one. Matching windows that touch make the maximal repeats.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ GROUP = 5
 # Bytes of text whose anchors are compared before the shuffle.
 BLOCK_BYTES = 16 << 20
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEEDS = "anchor long, around long, doc long, pos int, full boolean"
 
 
@@ -136,21 +138,34 @@ def _valid(own: Anchored, listed: list[dict] | None) -> tuple[np.ndarray, np.nda
     return pos[fits & full], pos[fits & ~full]
 
 
+def without_words(text: str | None, gone: list[bool]) -> str:
+    """The text without some of its words and the white space behind them."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    starts = [m.start() for m in _WORD.finditer(raw)]
+    ends = [*starts[1:], len(raw)]
+    kept = b"".join(raw[a:b] for a, b, x in zip(starts, ends, gone, strict=True) if not x)
+    return (raw[: starts[0]] + kept).decode("utf-8", "surrogatepass")
+
+
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, layout: bool = False,
 ) -> DataFrame:
-    """(id, n_words, n_removed, spans, kept) of every row.
+    """(id, n_words, n_removed, spans, kept) of every row, and the columns named in `carry`.
 
     A window of `length` words is removed where its word sequence also starts in a document with
     a smaller id. `spans` are the removed maximal repeats as (first, words); `kept` is the rest,
-    one space between words, empty for a null text. All windows are judged on the input, and
+    one space between words, empty for a null text; with `layout` it is the text as it was, only
+    without the removed words. All windows are judged on the input, and
     repeats inside one document stay. Rows with equal ids are compared with smaller ids only; a
     row with a null id is kept whole and compared with nothing. Window hashes have 64 bits.
 
     Texts cross the network once: both joins below use the same exchange.
     """
-    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    whole = docs.select(
+        F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), carried.alias("carried")
+    )
     texts = whole.where("doc IS NOT NULL")
     listed = marks(seeds(texts, length, group, block_bytes)).groupBy("doc").agg(
         F.collect_list(F.struct("pos", "around", "full")).alias("marks")
@@ -161,7 +176,7 @@ def dedup_substrings(
         known = WordHashes()
         for batch in slices(batches, 1):
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, text, own_marks in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+            for doc, text, own_marks in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if not own_marks or all(m["full"] for m in own_marks):
                     continue
                 own = Anchored(known.of(split_words(text)), length, group)
@@ -177,14 +192,16 @@ def dedup_substrings(
     windows = marked.mapInArrow(close, "win long, doc long, start int")
     repeated = windows.withColumn("first", F.min("doc").over(Window.partitionBy("win"))).where("doc > first")
     starts = repeated.groupBy("doc").agg(F.collect_list(F.struct("start", "win")).alias("starts"))
-    schema = "doc long, n_words long, n_removed long, spans array<struct<first: int, words: int>>, kept string"
+    schema = (
+        f"doc long, n_words long, n_removed long, spans array<struct<first: int, words: int>>, kept string, carried {type_of(whole, 'carried')}"
+    )
     target = arrow_schema(schema)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, 1):
             rows = []
-            for doc, text, own_marks, own_starts in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+            for doc, text, own_marks, own_starts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                 found = split_words(text)
                 gone = np.zeros(len(found) + 1, np.int64)
                 if own_marks:
@@ -202,17 +219,22 @@ def dedup_substrings(
                 mask = np.cumsum(gone)[:-1] > 0
                 turn = np.flatnonzero(np.diff(np.r_[0, mask, 0]))
                 spans = [{"first": int(a), "words": int(b - a)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-                kept = b" ".join([w for w, x in zip(found, mask.tolist(), strict=True) if not x] if spans else found)
-                rows.append((doc, len(found), int(mask.sum()), spans, kept.decode("utf-8", "surrogatepass")))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target
-            )
+                if layout:
+                    kept = without_words(text, mask.tolist()) if spans else text or ""
+                else:
+                    left = [w for w, x in zip(found, mask.tolist(), strict=True) if not x] if spans else found
+                    kept = b" ".join(left).decode("utf-8", "surrogatepass")
+                rows.append((doc, len(found), int(mask.sum()), spans, kept))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], names=target.names)
 
     known_ids = marked.join(starts, "doc", "left")
     no_ids = whole.where("doc IS NULL").select(
-        "doc", "text", F.lit(None).cast(listed.schema["marks"].dataType).alias("marks"),
+        "doc", "text", "carried", F.lit(None).cast(listed.schema["marks"].dataType).alias("marks"),
         F.lit(None).cast(starts.schema["starts"].dataType).alias("starts"),
     )
     done = known_ids.mapInArrow(remove, schema).unionByName(no_ids.mapInArrow(remove, schema))
-    return done.select(F.col("doc").cast(type_of(docs, id_col)).alias(id_col), "n_words", "n_removed", "spans", "kept")
+    return done.select(
+        F.col("doc").cast(type_of(docs, id_col)).alias(id_col), "n_words", "n_removed", "spans", "kept",
+        *[F.col("carried")[c].alias(c) for c in carry or []],
+    )
