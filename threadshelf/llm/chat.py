@@ -60,24 +60,26 @@ def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         .select("n.tree", "n.node", "p.up", "n.total", F.lit(1).cast("long").alias("depth"))
     )
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps = []
+    jumps, ended = [], step.where(F.col("up").isNull())
     while True:
         open_rows = step.where(F.col("up").isNotNull())
         if (1 << len(jumps)) > largest or open_rows.isEmpty():
-            return jumps, step.where(F.col("up").isNull()).drop("up")
+            return jumps, ended.drop("up")
         jumps.append(open_rows.select("tree", "node", "up"))
-        above = step.select("tree", F.col("node").alias("at"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        # only messages that have not reached their root go on; those above may have
+        above = open_rows.unionByName(ended).select("tree", F.col("node").alias("at"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
         step = cut(
-            step.alias("s")
-            .join(above.alias("a"), _same("s", "a") & (F.col("s.up") == F.col("a.at")), "left")
+            open_rows.alias("s")
+            .join(above.alias("a"), _same("s", "a") & (F.col("s.up") == F.col("a.at")))
             .select(
                 "s.tree",
                 "s.node",
                 F.col("a.next").alias("up"),
-                (F.col("s.total") + F.coalesce("a.more", F.lit(0.0))).alias("total"),
-                (F.col("s.depth") + F.coalesce("a.deeper", F.lit(0))).alias("depth"),
+                (F.col("s.total") + F.col("a.more")).alias("total"),
+                (F.col("s.depth") + F.col("a.deeper")).alias("depth"),
             )
         )
+        ended = ended.unionByName(step.where(F.col("up").isNull()))
 
 
 def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
