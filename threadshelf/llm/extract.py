@@ -134,7 +134,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
                 if stack[i].tag in SCOPES and stack[i].tag not in ends:
                     break
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID:
             continue
         new = {"in:" + tag} | _hints(found[3]) if tag not in INLINE else set()
         path = stack[-1].path

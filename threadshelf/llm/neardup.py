@@ -47,13 +47,14 @@ class Settings:
         """Bits in which the sketches of a pair at the least similarity differ, at most.
 
         With m samples of which a share 1 - J differs, 2m(1 - J) elements are folded into n bits;
-        each bit is odd with probability (1 - exp(-4m(1 - J) / n)) / 2.
+        each bit is odd with probability (1 - exp(-4m(1 - J) / n)) / 2. Both the number of
+        samples that differ and the bits they meet in vary.
         """
-        n = 64 * self.sketch_words
-        differ = self.samples * (1 - self.percent / 100)
-        differ += self.deviations * sqrt(differ * self.percent / 100)
-        odd = (1 - exp(-4 * min(differ, self.samples) / n)) / 2
-        return int(n * odd + self.deviations * sqrt(n * odd * (1 - odd)))
+        n, j = 64 * self.sketch_words, self.percent / 100
+        differ = self.samples * (1 - j)
+        odd = (1 - exp(-4 * differ / n)) / 2
+        drawn = 2 * exp(-4 * differ / n) * sqrt(differ * j)
+        return int(n * odd + self.deviations * sqrt(drawn**2 + n * odd * (1 - odd)))
 
 
 def shingle_set(text: str | None, known: WordHashes, k: int = 5) -> np.ndarray:
