@@ -94,10 +94,12 @@ def test_book_detail(books, links, table):
     )
     shelf = books((1, "a", "", "new"), (2, "b", "B", None))
     rows = {r.book_id: r for r in catalog.book_detail(shelf, links((1, 11), (1, 10)), sources).collect()}
-    assert [tuple(s) for s in rows[1].sources] == [
+    listed = catalog.book_sources(shelf, links((1, 11), (1, 10)), sources).orderBy("position").collect()
+    assert all(r.book_id == 1 for r in listed)
+    assert [(r.title, r.link) for r in listed] == [
         ("short", "http://u"), ("t" * 60 + "...", "https://reddit.com/comments/ab")]
     assert (rows[1].author, rows[1].n_sources, rows[1].updated) == ("Unknown", 2, None)
-    assert (rows[2].status, rows[2].n_sources, rows[2].sources) == ("new", 0, None)
+    assert (rows[2].status, rows[2].n_sources) == ("new", 0)
 
 
 def test_appended_books_get_ids_and_defaults(table):

@@ -1,5 +1,7 @@
 """Helpers that keep plans balanced."""
 
+import os
+import random
 from collections import defaultdict
 
 import pytest
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 
 from threadshelf.plans import skew
 from threadshelf.plans.ids import high_water_mark, number_rows
-from threadshelf.plans.sizes import at_most, fits_broadcast, spread
+from threadshelf.plans.lineage import cut, scratch, work_path
+from threadshelf.plans.settle import Rule, settle
+from threadshelf.plans.sizes import fits_broadcast, spread
 
 
 @pytest.fixture
@@ -27,11 +31,10 @@ def test_lookup_join_equals_join(spark, hot, how, bound, wide):
     assert found.select(*expected.columns).exceptAll(expected).isEmpty()
 
 
-def test_frequent_keys_finds_the_hot_key(spark, hot):
-    found = skew.frequent_keys(hot, F.struct("k"), 1 / 32)
-    assert hot.where(F.xxhash64(F.struct("k")).isin(found)).where("k = 0").count() == 1000
-    assert len(found) <= 32
-    assert skew.frequent_keys(hot.limit(0), F.struct("k"), 1 / 32) == []
+def test_lookup_join_is_one_join(spark, hot):
+    lookup = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plan = skew.lookup_join(hot, lookup, ["k"], max_broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Union") == 0
 
 
 def test_null_keys_match_nothing(table):
@@ -42,22 +45,42 @@ def test_null_keys_match_nothing(table):
         assert {(r.n, r.v) for r in rows} == {(1, None), (2, 6)}
 
 
-@pytest.mark.parametrize("page_size, span", [(10_000, 1 << 16), (50, 16), (7, 3)])
-def test_pages_hold_whole_lists_in_order(spark, hot, page_size, span):
-    pages = skew.paged_lists(
-        hot, "k", "n", F.col("n"), page_size=page_size, block_span=span
-    ).collect()
-    lists = defaultdict(list)
-    for page in sorted(pages, key=lambda p: (p.k, p.page)):
-        assert len(page["items"]) < page_size + span
-        lists[page.k] += page["items"]
-    numbers = defaultdict(list)
-    for page in pages:
-        numbers[page.k].append(page.page)
-    assert all(sorted(found) == list(range(len(found))) for found in numbers.values())
-    assert lists[0] == list(range(0, 3000, 3))
-    assert sum(map(len, lists.values())) == 3000
-    assert (len(numbers[0]) > 1) == (page_size < 1000)
+def test_lists_are_numbered_whole_and_in_order(spark, hot):
+    rows = skew.numbered_lists(hot, "k", "n", F.col("n") * 2, "value").collect()
+    lists = defaultdict(dict)
+    for row in rows:
+        lists[row.k][row.position] = row.value
+    assert len(rows) == 3000
+    assert [lists[0][i] for i in range(1, 1001)] == list(range(0, 6000, 6))
+    assert all(sorted(found) == list(range(1, len(found) + 1)) for found in lists.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_settling_is_going_through_the_entries_in_order(table, seed):
+    r = random.Random(seed)
+    name = lambda: r.choice([*"abcdefgh", None])
+    entries = [(i, name(), name(), name(), name()) for i in range(60)]
+    kept, want = [], {}
+    for place, ask1, offer1, ask2, offer2 in entries:
+        by_first = [k for k in kept if ask1 and k[2] == ask1]
+        by_second = [k for k in kept if ask2 and k[4] == ask2]
+        answer = (by_first or by_second or [None])[0]
+        want[place] = answer[0] if answer else place
+        if not answer:
+            kept.append((place, ask1, offer1, ask2, offer2))
+    df = table("place int, a string, b string, c string, d string", *entries)
+    rules = [Rule(F.col("a"), F.col("b")), Rule(F.col("c"), F.col("d"))]
+    assert {x.place: x.root for x in settle(df, "place", rules).collect()} == want
+    assert settle(df.limit(0), "place", rules).isEmpty()
+
+
+def test_scratch_is_deleted(spark):
+    with scratch(spark):
+        path = cut(spark.range(3)).inputFiles()[0]
+        assert "/job-" in path
+        inside = work_path(spark, "x")
+    assert not os.path.exists(path.split(":", 1)[-1].replace("///", "/"))
+    assert work_path(spark, "x").rsplit("/", 1)[0] != inside.rsplit("/", 1)[0]
 
 
 def test_rows_are_numbered_densely_in_order(spark):
@@ -70,7 +93,6 @@ def test_rows_are_numbered_densely_in_order(spark):
 def test_marks_and_sizes(spark):
     assert high_water_mark(spark.range(5)) == 4
     assert high_water_mark(spark.range(0)) == 0
-    assert at_most(spark.range(5), 5) and not at_most(spark.range(6), 5)
     texts = spark.range(5).select(F.repeat(F.lit("x"), 20_000_000).alias("t"))
     assert fits_broadcast(texts.limit(2)) and not fits_broadcast(texts)
     assert fits_broadcast(spark.range(5), 5) and not fits_broadcast(spark.range(6), 5)
@@ -78,7 +100,6 @@ def test_marks_and_sizes(spark):
 
 
 def test_a_named_shared_folder_is_used(spark):
-    from threadshelf.plans.lineage import cut
     from threadshelf.session import shared_dir
 
     written = cut(spark.range(3))

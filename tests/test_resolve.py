@@ -1,6 +1,7 @@
 """Matching mentions to books and records."""
 
 import json
+import random
 import sys
 
 import pytest
@@ -151,13 +152,47 @@ def test_batch_external_id_of_a_known_book(run):
     assert rows == [(1, "existing")] and made == {}
 
 
-def test_batch_follows_chains(run):
+def test_only_books_that_are_kept_answer(run):
     volumes = [
         ("b", "y", 0, volume("g2", "d", "en", "C", ["Z"])),
         ("a", "x", 0, volume("g1", "d", "en", "B", ["Y"])),
     ]
-    rows, _ = run([("A", "X"), ("B", "Y"), ("C", "Z")], volumes)
-    assert [b for b, _ in rows] == [101, 101, 101]
+    # "B" by "Y" is found as the first book and never looked up, so "C" by "Z" is a book of its own
+    rows, made = run([("A", "X"), ("B", "Y"), ("C", "Z")], volumes)
+    assert [b for b, _ in rows] == [101, 101, 102]
+    assert made == {101: ("B", "Y"), 102: ("C", "Z")}
+
+
+def test_records_of_one_external_id_are_one_book_only_if_the_first_is_kept(run):
+    volumes = [
+        ("t", "a", 0, volume("g1", "d", "en", "X", ["B"])),
+        ("x", "b", 0, volume("g2", "d", "en", "Y", ["C"])),
+        ("y", "c", 0, volume("g2", "d", "en", "Y", ["C"])),
+    ]
+    rows, made = run([("T", "a"), ("X", "b"), ("Y", "c")], volumes)
+    assert [b for b, _ in rows] == [101, 101, 102] and made[102] == ("Y", "C")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_batches_equal_a_sequence(run, seed):
+    r = random.Random(seed)
+    titles, authors = "abcde", ["x", "y", "z"]
+    said = list(dict.fromkeys((r.choice(titles), r.choice(authors)) for _ in range(14)))
+    records = {k: (f"g{r.randrange(4)}", r.choice(titles), r.choice(authors)) for k in said if r.random() < 0.7}
+    volumes = [(t, a, 0, volume(g, "d", "en", ft, [fa])) for (t, a), (g, ft, fa) in records.items()]
+    books, want = [], []
+    for key in said:
+        known = [i for i, (t, a, g) in enumerate(books) if (t, a) == key]
+        g, title, author = records.get(key, (None, *key))
+        if not known and g:
+            known = [i for i, book in enumerate(books) if book[2] == g]
+        if not known:
+            known = [len(books)]
+            books.append((title, author, g))
+        want.append(101 + known[0])
+    rows, made = run(said, volumes)
+    assert [b for b, _ in rows] == want
+    assert made == {101 + i: (t, a) for i, (t, a, _) in enumerate(books)}
 
 
 def extractor():

@@ -1,12 +1,18 @@
 """Vector searches against brute force."""
 
+import hashlib
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from threadshelf.functions.vectors import normalised
 from threadshelf.operators import chunks, search, vectors
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIMENSIONS = 16
 
 
@@ -45,13 +51,12 @@ def test_nearest_is_exact_and_ties_go_by_id(data, k):
     assert hits == {q: brute(matrix, matrix[q], k) for q in (0, 1, 2, 399)}
 
 
-def test_block_join_equals_broadcast(data, monkeypatch):
+def test_queries_in_parts_equal_queries_at_once(data, monkeypatch):
     _, df = data
     queries = df.withColumnRenamed("id", "qid")
     whole = found(vectors.nearest(queries, df, 5))
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 1)
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 20_000)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 90)
-    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 70)
     assert found(vectors.nearest(queries, df, 5)) == whole
 
 
@@ -70,6 +75,18 @@ def test_missing_vectors_and_queries(data, table):
         vectors.nearest(empty, df, 0)
 
 
+def test_vectors_without_id_and_of_other_lengths(table):
+    query = table("qid long, embedding array<float>", (1, [1.0, 0.0]))
+    stored = table("id long, embedding array<float>", (None, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None))
+    assert found(vectors.nearest(query, stored, 5)) == {1: [2]}
+    ragged = table("id long, embedding array<float>", (4, [1.0]), (5, [0.0, 1.0, 0.0]))
+    with pytest.raises(Exception, match="vector [45] has [13] dimensions, the queries have 2"):
+        vectors.nearest(query, ragged, 5).collect()
+    uneven = table("qid long, embedding array<float>", (1, [1.0, 0.0]), (2, [1.0]))
+    with pytest.raises(ValueError):
+        vectors.nearest(uneven, stored, 5)
+
+
 def test_approximate_search(data, monkeypatch):
     matrix, df = data
     planes = vectors.Hyperplanes(DIMENSIONS, bits=4)
@@ -80,7 +97,8 @@ def test_approximate_search(data, monkeypatch):
     some = found(vectors.nearest_approximate(queries, indexed, 10, planes, 6))
     recall = np.mean([len(set(some[q]) & set(exact[q])) / 10 for q in exact])
     assert recall > 0.6
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 1)
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 2_000)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
     assert found(vectors.nearest_approximate(queries, indexed, 10, planes, 6)) == some
 
 
@@ -107,9 +125,9 @@ def library(table):
     """Vectors at growing angles from the query: book 1 is nearest."""
     places = [(i, [float(np.cos(i / 10)), float(np.sin(i / 10))]) for i in range(1, 21)]
     stored = table(
-        "book_id long, document_id long, embedding array<float>, "
+        "doc_id string, book_id long, document_id long, text string, embedding array<float>, "
         "metadata struct<title:string,author:string,source_title:string>",
-        *[(0 if i == 4 else i, 4 if i == 4 else None, v, (f"t{i}", None, None)) for i, v in places],
+        *[(f"doc_{i}", 0 if i == 4 else i, 4 if i == 4 else None, f"text {i}", v, (f"t{i}", None, None)) for i, v in places],
     )
     status = {1: "deleted", 2: None, 3: "viewed", 5: "", 6: "reading"}
     books = table(
@@ -144,15 +162,23 @@ def test_postfilter_may_give_fewer_than_the_limit(library):
 
 def test_raw_and_library_search(library, table):
     query, stored, books = library
-    raw = search.search_raw(query, stored.where("book_id <> 0"), 2).orderBy("rank").collect()
-    assert [(r.book_id, r.title, r.author) for r in raw][:2] == [(1, "t1", "Unknown"), (2, "t2", "Unknown")]
-    assert len(raw) == 6
+    # a second chunk of book 2, and one that points to no book
+    more = stored.where("book_id IN (2, 9)").withColumns(
+        {"doc_id": F.concat("doc_id", F.lit("_b")), "book_id": F.when(F.col("book_id") == 2, 2)}
+    )
+    raw = search.search_raw(query, stored.unionByName(more), 2).orderBy("rank").collect()
+    assert [(r.book_id, r.doc_id) for r in raw] == [
+        (1, "doc_1"), (2, "doc_2"), (2, "doc_2_b"), (3, "doc_3"), (4, "doc_4"), (5, "doc_5")
+    ]
+    assert (raw[0].title, raw[0].author, raw[0].text) == ("t1", "Unknown", "text 1")
     links = table("id long, book_id long, source_id long", (2, 1, 11), (1, 1, 10), (3, 2, 99))
     sources = table("id long, title string, url string, external_id string", (10, "A", "", "x"), (11, "B", "u", "y"))
-    hits = search.search_library(query, stored, books, links, sources, 8).orderBy("rank").collect()
+    library_hits = search.search_library(query, stored, books, 8)
+    hits = library_hits.orderBy("rank").collect()
     assert [(r.book_id, r.rank) for r in hits] == [(i, i) for i in (1, 2, 3, 4, 5, 6, 8)]
-    assert [r.titles for r in hits][:2] == [["A", "B"], None]
-    report = search.search_report(search.search(query, stored, books, 3), links, sources).collect()
+    listed = search.hit_sources(library_hits, links, sources).orderBy("position").collect()
+    assert [(r.book_id, r.position, r.title) for r in listed] == [(1, 1, "A"), (1, 2, "B")]
+    report = search.search_report(search.search(query, stored, books, 3)).collect()
     assert [r["rank"] for r in report] == [3, 2, 1]
     assert (report[2].blurb, report[2].author, report[2].status) == ("First 2.", "Unknown", "new")
     assert report[2].purchase_link == "https://www.amazon.com/s?k=T2"
@@ -187,28 +213,30 @@ def shelf(table):
     return books, links, sources
 
 
-@pytest.mark.parametrize("page_size, parts", [(10_000, 1), (2, 9)])
-def test_long_chunks_go_on_over_parts(shelf, page_size, parts, monkeypatch):
-    from threadshelf.plans import skew
-
-    monkeypatch.setattr(skew.paged_lists, "__defaults__", ("items", page_size, 3, None))
+def test_a_book_has_one_chunk_however_many_sources(shelf):
     books, links, sources = shelf
-    whole = chunks.chunk_parts(books, links, sources)
-    cut = chunks.chunk_parts(books, links, sources, page_size=page_size)
+    rows = {r.book_id: r for r in chunks.chunk_texts(books, links, sources).collect()}
+    assert len(rows) == 5 and rows[1].source_title == "thread 1"
+    assert rows[1].text.endswith("Tags: " + ", ".join(f"thread {i}" for i in range(1, 12)))
 
-    def texts(df):
-        rows = df.orderBy("book_id", "part").collect()
-        return {b: "".join(r.text for r in rows if r.book_id == b) for b in {r.book_id for r in rows}}
 
-    assert texts(cut) == texts(whole)
-    assert (cut.where("book_id = 1").count() > 1) == (parts > 1)
-    assert cut.where("book_id = 1 and part = 0").first().source_title == "thread 1"
+def counting_encoder(texts):
+    counts = np.zeros((len(texts), 8))
+    for row, value in enumerate(texts):
+        for word in value.split():
+            counts[row, len(word) % 8] += 1
+    return counts
 
-    def embedded(df):
-        return {r.book_id: r.embedding for r in chunks.embed(df).where("part = 0").collect()}
 
-    one, several = embedded(whole), embedded(cut)
-    assert all(several[b] == pytest.approx(one[b], abs=1e-6) for b in one) and one.keys() == several.keys()
+def test_offline_encoder_counts_words(table):
+    texts = table("id long, text string", (1, "a b a"), (2, ""), (3, None))
+    rows = {r.id: r.embedding for r in chunks.embed(texts, keep=["id"]).collect()}
+    places = {w: int(hashlib.md5(w.encode()).hexdigest()[:2], 16) for w in "ab"}
+    want = np.zeros(256)
+    want[places["a"]] += 2
+    want[places["b"]] += 1
+    assert rows[1] == pytest.approx(list(want / np.linalg.norm(want)))
+    assert rows[2] == rows[3] == [0.0] * 256
 
 
 def test_reindex(shelf, table):
@@ -216,18 +244,16 @@ def test_reindex(shelf, table):
     calls = []
 
     def load():
-        encoder = chunks.word_encoder()
-
         def encode(texts):
             calls.append(len(texts))
-            return encoder(texts)
+            return counting_encoder(texts)
 
         return encode
 
     empty = table(
-        "doc_id string, book_id long, part int, text string, embedding array<float>, "
+        "doc_id string, book_id long, text string, embedding array<float>, "
         "metadata struct<title:string,author:string,source_title:string>",
-        ("doc_4", 4, 0, "old", [1.0], None), ("doc_1", 1, 0, "old", [1.0], None),
+        ("doc_4", 4, "old", [1.0], None), ("doc_1", 1, "old", [1.0], None),
     )
     rebuilt = chunks.reindex(books, links, sources, empty, load)
     rows = {r.doc_id: r for r in rebuilt.collect()}

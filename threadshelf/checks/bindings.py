@@ -90,13 +90,14 @@ def document_books(t: Tables) -> DataFrame:
         .when(F.col("lang") == "de", "viewed")
         .when(F.col("lang") == "es", "deleted")
     )
-    short = F.when(F.col("n_chars") < 500, F.col("text"))
+    # some sources have summaries, one language has no descriptions
+    summary = F.when(F.col("source") < "src3", F.col("text"))
     return t.documents.select(
         F.col("doc_id").alias("id"),
         F.concat("source", F.lit(" no. "), F.col("doc_id").cast("string")).alias("title"),
         F.when(F.col("lang") != "fr", F.col("lang")).alias("author"),
-        F.when(F.col("n_chars") >= 50, F.col("text")).alias("description"),
-        short.alias("summary"),
+        F.when(F.col("lang") != "es", F.col("text")).alias("description"),
+        summary.alias("summary"),
         F.lit("").alias("amazon_url"),
         status.alias("status"),
     )
@@ -105,8 +106,8 @@ def document_books(t: Tables) -> DataFrame:
 DOCUMENT_BOOKS = """document_books AS (
     SELECT doc_id AS id, source || ' no. ' || doc_id AS title,
            CASE WHEN lang <> 'fr' THEN lang END AS author,
-           CASE WHEN n_chars >= 50 THEN text END AS description,
-           CASE WHEN n_chars < 500 THEN text END AS summary, '' AS amazon_url,
+           CASE WHEN lang <> 'es' THEN text END AS description,
+           CASE WHEN source < 'src3' THEN text END AS summary, '' AS amazon_url,
            CASE lang WHEN 'en' THEN 'new' WHEN 'de' THEN 'viewed' WHEN 'es' THEN 'deleted' END
                AS status
     FROM documents)"""

@@ -51,16 +51,20 @@ def filter_title_author(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS id, o_orderpriority AS source_type, o_orderdate AS created_at
-       FROM orders WHERE o_orderpriority = '1-URGENT'"""
+    """SELECT o_orderkey AS id, 'reddit' AS source_type, o_orderdate AS created_at
+       FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"""
 )
 def list_sources(t: Tables) -> DataFrame:
+    """Sources of some priorities have no type, and are threads by default."""
+    missing = F.when(F.col("o_orderpriority") == "1-URGENT", None).when(
+        F.col("o_orderpriority") == "5-LOW", ""
+    )
     sources = t.orders.select(
         F.col("o_orderkey").alias("id"),
-        F.col("o_orderpriority").alias("source_type"),
+        missing.otherwise(F.col("o_orderpriority")).alias("source_type"),
         F.col("o_orderdate").alias("created_at"),
     )
-    return catalog.list_sources(sources, "1-URGENT")
+    return catalog.list_sources(sources, "reddit")
 
 
 @query(
@@ -143,18 +147,12 @@ def books_per_source(t: Tables) -> DataFrame:
 
 @query(
     b.ctes(b.PART_LINKS, b.SUPPLIER_SOURCES)
-    + """SELECT l.book_id, 0 AS page, string_agg(s.title, '; ' ORDER BY l.id, s.title) AS titles,
-                arg_min(s.title, (l.id, s.title)) AS first_title
-         FROM part_links l JOIN supplier_sources s ON s.id = l.source_id GROUP BY l.book_id"""
+    + """SELECT l.book_id, row_number() OVER (PARTITION BY l.book_id ORDER BY l.id, s.title) AS position,
+                s.title
+         FROM part_links l JOIN supplier_sources s ON s.id = l.source_id"""
 )
 def source_titles(t: Tables) -> DataFrame:
-    pages = catalog.source_titles(b.part_links(t), b.supplier_sources(t))
-    return pages.select(
-        "book_id",
-        "page",
-        F.array_join("titles", "; ").alias("titles"),
-        catalog.first_source_title(F.col("titles")).alias("first_title"),
-    )
+    return catalog.source_titles(b.part_links(t), b.supplier_sources(t))
 
 
 DETAIL_BOOKS = """detail_books AS (
@@ -191,10 +189,6 @@ def detail_books(t: Tables) -> DataFrame:
     + """SELECT d.id AS book_id, d.title, coalesce(d.author, 'Unknown') AS author,
                 coalesce(nullif(d.status, ''), 'new') AS status, d.isbn,
                 nullif(d.summary, '') AS summary, d.description, count(s.id) AS n_sources,
-                0 AS page,
-                string_agg(s.title || ' @ ' || coalesce(nullif(s.url, ''),
-                    'https://reddit.com/comments/' || s.external_id), '; '
-                    ORDER BY l.id, s.title) AS sources,
                 d.created_at AS added,
                 CASE WHEN d.updated_at <> d.created_at THEN d.updated_at END AS updated
          FROM detail_books d LEFT JOIN part_links l ON l.book_id = d.id
@@ -203,8 +197,19 @@ def detail_books(t: Tables) -> DataFrame:
 )
 def book_detail(t: Tables) -> DataFrame:
     detail = catalog.book_detail(detail_books(t), b.part_links(t), b.supplier_sources(t))
-    line = F.transform("sources", lambda s: F.concat(s["title"], F.lit(" @ "), s["link"]))
-    return detail.withColumn("sources", F.array_join(line, "; ")).drop("amazon_url", "cover_url")
+    return detail.drop("amazon_url", "cover_url")
+
+
+@query(
+    b.ctes(b.PART_LINKS, b.SUPPLIER_SOURCES)
+    + """SELECT l.book_id, row_number() OVER (PARTITION BY l.book_id ORDER BY l.id, s.title) AS position,
+                s.title, coalesce(nullif(s.url, ''), 'https://reddit.com/comments/' || s.external_id)
+                    AS link
+         FROM part_links l JOIN supplier_sources s ON s.id = l.source_id
+         WHERE l.book_id IN (SELECT p_partkey FROM part)"""
+)
+def book_detail_sources(t: Tables) -> DataFrame:
+    return catalog.book_sources(detail_books(t), b.part_links(t), b.supplier_sources(t))
 
 
 @query(

@@ -156,11 +156,11 @@ chunk AS (
 
 @query(
     b.ctes(b.DOCUMENT_BOOKS, b.PART_LINKS, b.SUPPLIER_SOURCES, CHUNK_TEXT)
-    + "SELECT book_id, 0 AS part, 1 AS n_parts, text, source_title FROM chunk"
+    + "SELECT book_id, text, source_title FROM chunk"
 )
 def chunk_text(t: Tables) -> DataFrame:
-    parts = chunks.chunk_parts(b.document_books(t), b.part_links(t), b.supplier_sources(t))
-    return parts.drop("title", "author")
+    made = chunks.chunk_texts(b.document_books(t), b.part_links(t), b.supplier_sources(t))
+    return made.drop("title", "author")
 
 
 def stored_chunks(t: Tables) -> DataFrame:
@@ -170,7 +170,6 @@ def stored_chunks(t: Tables) -> DataFrame:
     return t.embeddings.select(
         doc.alias("doc_id"),
         F.col("vec_id").alias("book_id"),
-        F.lit(0).alias("part"),
         F.lit("stored").alias("text"),
         "embedding",
         F.struct(

@@ -179,7 +179,7 @@ def candidates(t: Tables) -> DataFrame:
         F.struct(
             F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"),
             F.array("source", "lang").alias("authors"),
-            F.when(F.col("n_chars") < 5000, F.col("text")).alias("description"),
+            F.when(F.col("source") != "src3", F.col("text")).alias("description"),
             F.when(F.col("lang") != "fr", F.col("lang")).alias("language"),
             F.array(
                 F.struct(F.lit("ISBN_10").alias("type"), tagged("X", "n_chars").alias("identifier")),
@@ -191,7 +191,7 @@ def candidates(t: Tables) -> DataFrame:
 
 
 BEST = """english AS (
-    SELECT *, CASE WHEN n_chars < 5000 THEN n_chars ELSE 0 END AS length FROM documents
+    SELECT *, CASE WHEN source <> 'src3' THEN length(text) ELSE 0 END AS length FROM documents
     WHERE lang IN ('en', 'fr')),
 best AS (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length DESC, doc_id)
@@ -208,7 +208,7 @@ def best_candidate(t: Tables) -> DataFrame:
 @query(
     "WITH " + BEST + """
     SELECT source, CAST(doc_id AS VARCHAR) AS google_books_id, 'T' || doc_id AS title,
-           source || ', ' || lang AS authors, CASE WHEN n_chars < 5000 THEN text END AS description,
+           source || ', ' || lang AS authors, CASE WHEN source <> 'src3' THEN text END AS description,
            CASE WHEN n_chars > 1000 THEN '978' || n_chars ELSE 'X' || n_chars END AS isbn,
            'https://img/' || doc_id AS cover_url,
            CASE WHEN n_chars IN (SELECT n_chars FROM documents WHERE lang = 'en')

@@ -1,15 +1,18 @@
 """Thread ingest: documents are turned into thread JSON, which is then read back."""
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
-from threadshelf.plans.lineage import cut, work_path
+from threadshelf.plans.ingest import Models
+from threadshelf.plans.lineage import work_path
 from threadshelf.plans.sizes import spread
 from threadshelf.sources import threads, volumes
 from threadshelf.sources.tables import Store
 from threadshelf.streaming import ingest as streams
-from threadshelf.operators import changes
+from threadshelf.schemas import VOLUME_INFO
 
 
 def json_text(value: Column) -> Column:
@@ -257,10 +260,27 @@ def scan_volumes(t: Tables) -> DataFrame:
     return candidates.unionByName(errors, allowMissingColumns=True)
 
 
+def _first_words():
+    """A stand-in for a model: the first word of a text is the title of a book."""
+
+    def model(texts):
+        found = [value.split() for value in texts]
+        return [json.dumps([{"title": w[0], "author": ""}] if w else []) for w in found]
+
+    return model
+
+
 @query(
-    "WITH " + HEADERS_SQL + ", " + COMMENTS_SQL + """
+    "WITH " + HEADERS_SQL + ", " + COMMENTS_SQL + """,
+    said AS (
+        SELECT external_id, translate(regexp_extract(trim(body), '^[^ ]+'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS title
+        FROM comments WHERE trim(body) <> '')
     SELECT h.external_id, h.title, h.url,
-           (SELECT count(*) FROM comments c WHERE c.external_id = h.external_id) AS n_comments
+           (SELECT count(*) FROM comments c WHERE c.external_id = h.external_id) AS n_comments,
+           (SELECT count(DISTINCT s.title) FROM said s WHERE s.external_id = h.external_id) AS n_books,
+           (SELECT count(DISTINCT s.title) FROM said s) AS all_books,
+           (SELECT count(*) FROM documents WHERE lang = 'es') AS n_unreadable
     FROM headers h"""
 )
 def incremental_ingest(t: Tables) -> DataFrame:
@@ -269,29 +289,29 @@ def incremental_ingest(t: Tables) -> DataFrame:
     base = work_path(spark, "incremental-ingest")
     landing, checkpoint = f"{base}/landing", f"{base}/checkpoint"
     store = Store(spark, f"{base}/store")
-
-    def index(batch: DataFrame) -> None:
-        found = threads.split(threads.parse_once(batch))
-        with store.commit() as commit:
-            known = commit.before.read("sources")
-            first = found.headers.groupBy("external_id").agg(
-                F.min_by(F.struct(*found.headers.columns), "origin").alias("row")
-            )
-            unseen = cut(changes.unseen_sources(first.select("row.*"), known))
-            used = commit.before.last_id("sources")
-            stamp = F.current_timestamp()
-            commit.append("sources", changes.new_sources(unseen, known, ["external_id"], used, stamp))
-            ids = unseen.select("origin", "external_id")
-            commit.append("comments", found.comments.join(ids, "origin"))
-
+    info = VOLUME_INFO.simpleString()
+    no_volumes = spark.createDataFrame(
+        [], f"title_key string, author_key string, pos int, id string, volumeInfo {info}"
+    )
     for lot in (t.documents.where(F.col("lang") == "en"), t.documents):
         listing_json(lot).select("value").write.mode("append").text(landing)
-        stream = streams.thread_stream(spark, landing, whole_files=False)
-        streams.start(stream, checkpoint, index).awaitTermination()
+        streams.ingest_stream(
+            spark, landing, checkpoint, store, no_volumes, Models(_first_words), whole_files=False
+        ).awaitTermination()
     counts = store.read("comments").groupBy("external_id").agg(F.count("*").alias("n_comments"))
+    books = store.read("links").groupBy(F.col("source_id").alias("id")).agg(
+        F.countDistinct("book_id").alias("n_books")
+    )
     return (
         store.read("sources")
-        .select("external_id", "title", "url")
         .join(counts, "external_id", "left")
-        .fillna(0, ["n_comments"])
+        .join(books, "id", "left")
+        .fillna(0, ["n_comments", "n_books"])
+        .withColumns(
+            {
+                "all_books": store.read("books").agg(F.count("*")).scalar(),
+                "n_unreadable": store.read("set_aside").agg(F.count("*")).scalar(),
+            }
+        )
+        .select("external_id", "title", "url", "n_comments", "n_books", "all_books", "n_unreadable")
     )

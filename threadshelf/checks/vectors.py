@@ -8,6 +8,7 @@ from threadshelf.checks import bindings as b
 from threadshelf.checks.changes import NOW, now
 from threadshelf.checks.mentions import WORD_COUNTS, stored_chunks
 from threadshelf.operators import changes, chunks, search, vectors
+from threadshelf.plans.lineage import work_path
 from threadshelf.plans.sizes import spread
 
 
@@ -84,7 +85,9 @@ def knn_topk(t: Tables) -> DataFrame:
 )
 def knn_lsh(t: Tables) -> DataFrame:
     planes = vectors.Hyperplanes(dimensions=64, bits=6)
-    indexed = vectors.with_buckets(search.chunk_vectors(stored_chunks(t)), planes)
+    index = work_path(t.spark, "index")
+    vectors.with_buckets(search.chunk_vectors(stored_chunks(t)), planes).write.partitionBy("bucket").parquet(index)
+    indexed = t.spark.read.parquet(index)
     found = vectors.nearest_approximate(label_means(t), indexed, 10, planes, probes=24)
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
 
@@ -139,33 +142,62 @@ def search_prefilter(t: Tables) -> DataFrame:
 
 @query(
     "WITH " + SCORED + """
-    SELECT qid, rank, book_id, 'Title ' || book_id AS title, 'Unknown' AS author,
+    , chunk AS (
+        SELECT 'doc_' || vec_id AS doc_id, vec_id, vec_id AS book_id FROM embeddings WHERE vec_id % 7 <> 3
+        UNION ALL SELECT 'doc_' || vec_id || '_b', vec_id, vec_id FROM embeddings WHERE vec_id % 5 = 0),
+    raw AS (
+        SELECT qid, c.doc_id, c.book_id, score,
+               row_number() OVER (PARTITION BY qid ORDER BY score DESC, c.book_id, c.doc_id) AS rank
+        FROM scored s JOIN chunk c ON c.vec_id = s.book_id)
+    SELECT qid, rank, doc_id, raw.book_id, 'Title ' || raw.book_id AS title, 'Unknown' AS author,
            'Label ' || label AS source_title, printf('%.3f', score) AS similarity
-    FROM hits JOIN embeddings ON vec_id = book_id WHERE rank <= 15"""
+    FROM raw JOIN embeddings ON vec_id = raw.book_id WHERE rank <= 15"""
 )
 def search_raw(t: Tables) -> DataFrame:
-    found = search.search_raw(label_means(t), stored_chunks(t))
+    """Some chunks carry their book under the older name, some point to none, some books have two."""
+    vec, chunk = F.col("book_id"), stored_chunks(t)
+    older = F.when(vec % 2 == 0, vec)
+    named = chunk.withColumns(
+        {
+            "document_id": F.when(vec % 7 == 3, None).otherwise(older),
+            "book_id": F.when(vec % 7 == 3, None).when(vec % 2 == 0, 0).otherwise(vec),
+        }
+    )
+    second = chunk.where(vec % 5 == 0).withColumns(
+        {"document_id": F.lit(None).cast("long"), "doc_id": F.concat("doc_id", F.lit("_b"))}
+    )
+    found = search.search_raw(label_means(t), named.unionByName(second))
     similarity = search.similarity_label(F.col("score")).alias("similarity")
-    return found.select("qid", "rank", "book_id", "title", "author", "source_title", similarity)
+    return found.select("qid", "rank", "doc_id", "book_id", "title", "author", "source_title", similarity)
 
 
 LIBRARY = b.ctes(b.DOCUMENT_BOOKS, b.PART_LINKS, b.SUPPLIER_SOURCES, SCORED)
 
 
+FOUND = """found AS (
+    SELECT qid, rank, book_id, d.title, round(score, 6) AS score
+    FROM hits JOIN document_books d ON d.id = book_id WHERE rank <= 10)"""
+
+
+def _library(t: Tables) -> DataFrame:
+    return search.search_library(label_means(t), stored_chunks(t), b.document_books(t))
+
+
+@query(LIBRARY + ", " + FOUND + " SELECT * FROM found")
+def search_library(t: Tables) -> DataFrame:
+    return _library(t).select("qid", "rank", "book_id", "title", _rounded())
+
+
 @query(
-    LIBRARY
-    + """SELECT qid, rank, book_id, d.title, round(score, 6) AS score, 0 AS page,
-                (SELECT string_agg(s.title, '; ' ORDER BY l.id, s.title)
-                 FROM part_links l JOIN supplier_sources s ON s.id = l.source_id
-                 WHERE l.book_id = hits.book_id) AS titles
-         FROM hits JOIN document_books d ON d.id = book_id WHERE rank <= 10"""
+    LIBRARY + ", " + FOUND
+    + """ SELECT l.book_id, row_number() OVER (PARTITION BY l.book_id ORDER BY l.id, s.title) AS position,
+                 s.title, coalesce(nullif(s.url, ''), 'https://reddit.com/comments/' || s.external_id)
+                     AS link
+          FROM part_links l JOIN supplier_sources s ON s.id = l.source_id
+          WHERE l.book_id IN (SELECT book_id FROM found)"""
 )
-def search_library(t: Tables) -> DataFrame:
-    found = search.search_library(
-        label_means(t), stored_chunks(t), b.document_books(t), b.part_links(t), b.supplier_sources(t)
-    )
-    titles = F.array_join("titles", "; ").alias("titles")
-    return found.select("qid", "rank", "book_id", "title", _rounded(), "page", titles)
+def search_library_sources(t: Tables) -> DataFrame:
+    return search.hit_sources(_library(t), b.part_links(t), b.supplier_sources(t))
 
 
 @query(
@@ -183,18 +215,11 @@ def search_library(t: Tables) -> DataFrame:
                 'https://www.amazon.com/s?k='
                     || replace(trim(title || ' ' || coalesce(author, '')), ' ', '%20')
                     AS purchase_link,
-                (SELECT string_agg(CASE WHEN s.url <> '' THEN s.url
-                                        ELSE 'https://reddit.com/comments/' || s.external_id END,
-                                   '; ' ORDER BY l.id, CASE WHEN s.url <> '' THEN s.url
-                                        ELSE 'https://reddit.com/comments/' || s.external_id END)
-                 FROM part_links l JOIN supplier_sources s ON s.id = l.source_id
-                 WHERE l.book_id = ranked.book_id) AS threads,
-                0 AS page, printf('%.3f', score) AS score, coalesce(status, 'new') AS status
+                printf('%.3f', score) AS score, coalesce(status, 'new') AS status
          FROM ranked WHERE rank <= 5"""
 )
 def search_report(t: Tables) -> DataFrame:
-    report = search.search_report(_search(t), b.part_links(t), b.supplier_sources(t))
-    return report.withColumn("threads", F.array_join("threads", "; "))
+    return search.search_report(_search(t))
 
 
 @query(
@@ -220,23 +245,24 @@ def mark_viewed(t: Tables) -> DataFrame:
 @query(
     "WITH q AS (" + WORD_COUNTS.format(key="item_id", table="benchmark") + "), d AS ("
     + WORD_COUNTS.format(key="doc_id", table="documents") + """),
-    qn AS (SELECT key, sqrt(sum(n * n)) AS length FROM q GROUP BY key),
-    dn AS (SELECT key, sqrt(sum(n * n)) AS length FROM d GROUP BY key),
+    qf AS (SELECT key, i, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS n FROM q),
+    df AS (SELECT key, i, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS n FROM d),
+    qn AS (SELECT key, sqrt(sum(n * n)) AS length FROM qf GROUP BY key),
+    dn AS (SELECT key, sqrt(sum(n * n)) AS length FROM df GROUP BY key),
     dots AS (SELECT q.key AS qid, d.key AS id, sum(q.n * d.n) AS dot
-             FROM q JOIN d ON d.i = q.i GROUP BY q.key, d.key),
+             FROM qf q JOIN df d ON d.i = q.i GROUP BY q.key, d.key),
     every AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents),
     scored AS (
-        SELECT e.qid, e.id, coalesce(dot / (qn.length * dn.length), 0) AS score
+        SELECT e.qid, e.id, round(coalesce(dot / (qn.length * dn.length), 0), 9) AS score
         FROM every e LEFT JOIN dots USING (qid, id)
         LEFT JOIN qn ON qn.key = e.qid LEFT JOIN dn ON dn.key = e.id)
-    SELECT qid, rank, round(score, 4) AS score
-    FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS rank FROM scored)
+    SELECT qid, rank, id, round(score, 6) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored)
     WHERE rank <= 10"""
 )
 def search_text_tf(t: Tables) -> DataFrame:
-    """Benchmark texts as queries over all documents. Stored vectors are FLOAT, so the order
-    of near ties is not compared, only the scores at each rank."""
+    """Benchmark texts as queries over all documents. Stored vectors are FLOAT in both engines."""
     texts = spread(t.benchmark).select(F.col("item_id").alias("qid"), "text")
     documents = spread(t.documents).select(F.col("doc_id").alias("id"), "text")
     found = vectors.nearest(search.encode_queries(texts), chunks.embed(documents, keep=["id"]), 10)
-    return found.select("qid", "rank", F.round("score", 4).alias("score"))
+    return found.select("qid", "rank", "id", _rounded())

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.sizes import at_most
-from threadshelf.plans.skew import PAGE_SIZE, lookup_join, paged_lists
+from threadshelf.plans.skew import lookup_join, numbered_lists
 
 NAMES_SHOWN = 10
 
 
 def by_id(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is asked for."""
-    return table.join(ids.select("id").distinct(), "id", "left_semi")
+    return lookup_join(table, ids.select("id").distinct(), ["id"], "left_semi")
 
 
 def by_key(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -73,6 +72,7 @@ def total_and_page(listing: DataFrame, limit: int = 50) -> DataFrame:
 def list_sources(
     sources: DataFrame, source_type: str | None = None, limit: int | None = None
 ) -> DataFrame:
+    sources = sources.withColumn("source_type", text.default_source_type(F.col("source_type")))
     if source_type:
         sources = sources.where(F.col("source_type") == source_type)
     return newest_first(sources, limit)
@@ -125,71 +125,62 @@ def books_per_source(links: DataFrame, books: DataFrame, sources: DataFrame) ->
     )
 
 
-def most_sources(sources: DataFrame, page_size: int = PAGE_SIZE) -> int | None:
-    """A bound of the sources a book can have: no more than there are, as no pair of book and
-    source is linked twice. None where that is beyond a page and the links must be counted."""
-    return page_size if at_most(sources, page_size) else None
-
-
 def source_titles(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Titles of each book's sources in link order, as (book_id, page, titles)."""
+    """Titles of each book's sources in link order, as rows (book_id, position, title)."""
     rows = sources_of_books(links, sources.select("id", "title"))
-    longest = most_sources(sources)
-    return paged_lists(rows, "book_id", "link_id", F.col("title"), "titles", longest=longest)
+    return numbered_lists(rows, "book_id", "link_id", F.col("title"), "title")
 
 
 def first_source_title(titles: Column) -> Column:
     return F.coalesce(F.try_element_at(titles, F.lit(1)), F.lit(""))
 
 
+def links_of(links: DataFrame, books: DataFrame) -> DataFrame:
+    """Links of the given books (book_id)."""
+    return lookup_join(links, books.select("book_id").distinct(), ["book_id"], "left_semi")
+
+
 def book_detail(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Books with their sources; a book with very many sources goes on over several pages."""
-    named = sources.select("id", "title", "url", "external_id")
-    rows = sources_of_books(
-        links.join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi"),
-        named,
+    """Books as shown, one row each, with the number of their sources; `book_sources` lists those."""
+    named = books.withColumnRenamed("id", "book_id")
+    rows = sources_of_books(links_of(links, named), sources.select("id"))
+    counts = rows.groupBy("book_id").agg(F.count("*").alias("n_sources"))
+    return named.join(counts, "book_id", "left").select(
+        "book_id",
+        "title",
+        text.display_author(F.col("author")).alias("author"),
+        text.default_status(F.col("status")).alias("status"),
+        *[
+            text.present(F.col(c)).alias(c)
+            for c in ("isbn", "summary", "description", "amazon_url", "cover_url")
+        ],
+        F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
+        F.col("created_at").alias("added"),
+        F.when(F.col("updated_at") != F.col("created_at"), F.col("updated_at")).alias("updated"),
     )
+
+
+def book_sources(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The sources of the books shown, in link order: (book_id, position, title, link)."""
+    named = sources.select("id", "title", "url", "external_id")
+    rows = sources_of_books(links_of(links, books.select(F.col("id").alias("book_id"))), named)
     shown = F.struct(
         text.ellipsis(F.col("title"), 60, 60).alias("title"),
         text.thread_link(F.col("url"), F.col("external_id")).alias("link"),
     )
-    longest = most_sources(sources)
-    pages = paged_lists(rows, "book_id", "link_id", shown, "sources", longest=longest)
-    if longest is not None:
-        counted = pages.withColumn("n_sources", F.size("sources"))
-    else:
-        counts = rows.groupBy("book_id").agg(F.count("*").alias("n_sources"))
-        counted = pages.join(counts, "book_id")
-    return (
-        books.withColumnRenamed("id", "book_id")
-        .join(counted, "book_id", "left")
-        .select(
-            "book_id",
-            "title",
-            text.display_author(F.col("author")).alias("author"),
-            text.default_status(F.col("status")).alias("status"),
-            *[
-                text.present(F.col(c)).alias(c)
-                for c in ("isbn", "summary", "description", "amazon_url", "cover_url")
-            ],
-            F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            "sources",
-            F.col("created_at").alias("added"),
-            F.when(F.col("updated_at") != F.col("created_at"), F.col("updated_at")).alias("updated"),
-        )
-    )
+    listed = numbered_lists(rows, "book_id", "link_id", shown, "source")
+    return listed.select("book_id", "position", "source.*")
 
 
 def removal_preview(source_ids: DataFrame, links: DataFrame, books: DataFrame) -> DataFrame:
     """What removing each source would delete and keep, with the first names to go."""
     wanted = source_ids.select(F.col("id").alias("source_id")).distinct()
-    theirs = links.join(wanted, "source_id", "left_semi").select("source_id", "book_id")
+    theirs = cut(lookup_join(links, wanted, ["source_id"], "left_semi").select("source_id", "book_id"))
     named = books.select(F.col("id").alias("book_id"), "title", "author")
     name = F.concat("title", F.lit(" by "), text.display_author(F.col("author")))
     judged = cut(
         theirs.join(named, "book_id")
-        .join(source_counts(links), "book_id")
+        .join(source_counts(links_of(links, theirs)), "book_id")
         .select("source_id", "book_id", name.alias("name"), (F.col("n_sources") <= 1).alias("goes"))
     )
     goes = F.col("goes")

@@ -214,14 +214,15 @@ class Catalogue:
 
 def remove_sources(catalogue: Catalogue, source_ids: DataFrame) -> Catalogue:
     """The catalogue without some sources, their links, and the books only they mention."""
-    removed = catalogue.sources.select("id").join(source_ids.select("id"), "id", "left_semi")
-    flags = removed.select(F.col("id").alias("source_id"), F.lit(True).alias("_removed"))
-    flagged = lookup_join(catalogue.links.select("book_id", "source_id"), flags, ["source_id"])
+    removed = cut(catalogue.sources.select("id").join(source_ids.select("id"), "id", "left_semi"))
+    pairs = catalogue.links.select("book_id", "source_id")
+    flags = removed.select(F.col("id").alias("source_id"))
+    touched = cut(lookup_join(pairs, flags, ["source_id"], "left_semi").select("book_id").distinct())
+    # only books of the removed sources can lose their last one
+    theirs = lookup_join(pairs, touched, ["book_id"], "left_semi")
+    staying = lookup_join(theirs, flags, ["source_id"], "left_anti").select("book_id").distinct()
     only_there = cut(
-        flagged.groupBy("book_id")
-        .agg(F.bool_and(F.coalesce("_removed", F.lit(False))).alias("gone"))
-        .where("gone")
-        .select(F.col("book_id").alias("id"))
+        touched.join(staying, "book_id", "left_anti").select(F.col("book_id").alias("id"))
     )
     books, chunks = delete_books(catalogue.books, catalogue.chunks, only_there)
     return Catalogue(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,15 +14,14 @@ from threadshelf.functions import text
 from threadshelf.functions.vectors import normalised
 from threadshelf.operators.catalog import (
     first_source_title,
-    most_sources,
+    links_of,
     searchable,
     sources_of_books,
     with_status,
 )
 from threadshelf.operators.vectors import unit_rows
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.sizes import deal_out
-from threadshelf.plans.skew import PAGE_SIZE, longest_list, paged_lists
+from threadshelf.plans.sizes import spread
 
 PART_BREAK = "\n\n"
 
@@ -61,22 +58,11 @@ def chunk_text(
     )
 
 
-def chunk_parts(
-    books: DataFrame, links: DataFrame, sources: DataFrame, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """Chunk text of each book: (book_id, part, n_parts, text, title, author, source_title).
+def chunk_texts(books: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The one chunk of each book: (book_id, text, title, author, source_title).
 
-    The whole text is the concatenation of its parts. Only a book with more sources than
-    `page_size` has more than one; part 0 names the first source.
+    The text names every source of the book, so the titles of a book meet in its row.
     """
-    wanted = links.join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
-    rows = sources_of_books(wanted, sources.select("id", "title"))
-    longest = most_sources(sources, page_size)
-    if longest is None:
-        longest = longest_list(wanted, "book_id")
-    pages = paged_lists(
-        rows, "book_id", "link_id", F.col("title"), "titles", page_size=page_size, longest=longest
-    )
     named = books.select(
         F.col("id").alias("book_id"),
         "title",
@@ -84,25 +70,11 @@ def chunk_parts(
         "description",
         "summary",
     )
-    if longest <= page_size:
-        return _short_chunks(named, pages)
-    n_pages = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n_pages"))
-    many = pages.join(n_pages.where(F.col("n_pages") > 1), "book_id")
-    few = pages.join(n_pages.where(F.col("n_pages") == 1), "book_id", "left_semi")
-    long_ids = n_pages.where(F.col("n_pages") > 1).select("book_id")
-    short = _short_chunks(named.join(long_ids, "book_id", "left_anti"), few)
-    long = _long_chunks(named, many).join(named.select("book_id", "title", "author"), "book_id")
-    return short.unionByName(long)
-
-
-COLUMNS = ("title", "author", "description", "summary")
-
-
-def _short_chunks(named: DataFrame, pages: DataFrame) -> DataFrame:
-    return named.join(pages, "book_id", "left").select(
+    rows = sources_of_books(links_of(links, named), sources.select("id", "title"))
+    ordered = F.array_sort(F.collect_list(F.struct("link_id", "title")))
+    titles = rows.groupBy("book_id").agg(F.transform(ordered, lambda x: x["title"]).alias("titles"))
+    return named.join(titles, "book_id", "left").select(
         "book_id",
-        F.lit(0).alias("part"),
-        F.lit(1).alias("n_parts"),
         chunk_text(*map(F.col, COLUMNS), F.col("titles")).alias("text"),
         "title",
         "author",
@@ -110,63 +82,38 @@ def _short_chunks(named: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def _long_chunks(named: DataFrame, many: DataFrame) -> DataFrame:
-    n_parts = 2 * F.col("n_pages") + 1
-    lead = many.select(
-        "book_id",
-        F.col("page").alias("part"),
-        n_parts.alias("n_parts"),
-        F.concat(
-            F.concat_ws(PART_BREAK, _recommendations(F.col("titles"))), F.lit(PART_BREAK)
-        ).alias("text"),
-        F.when(F.col("page") == 0, first_source_title(F.col("titles"))).alias("source_title"),
-    )
-    opening = F.when(F.col("page") == 0, F.lit("Tags: ")).otherwise(F.lit(", "))
-    tags = many.select(
-        "book_id",
-        (F.col("n_pages") + 1 + F.col("page")).alias("part"),
-        n_parts.alias("n_parts"),
-        F.concat(opening, F.array_join("titles", ", ")).alias("text"),
-        F.lit(None).cast("string").alias("source_title"),
-    )
-    totals = many.where(F.col("page") == 0).select("book_id", "n_pages")
-    body = named.join(totals, "book_id").select(
-        "book_id",
-        F.col("n_pages").alias("part"),
-        n_parts.alias("n_parts"),
-        F.concat(
-            F.concat_ws(PART_BREAK, *_body(*map(F.col, COLUMNS))), F.lit(PART_BREAK)
-        ).alias("text"),
-        F.lit(None).cast("string").alias("source_title"),
-    )
-    return lead.unionByName(body).unionByName(tags)
-
-
-WORD_DIMENSIONS = 256
+COLUMNS = ("title", "author", "description", "summary")
+# Fixed values of the offline encoder: letters and digits of words, and the number of places.
 WORD_PATTERN = r"[a-z0-9ß-öø-ÿ]+"
+WORD_DIMENSIONS = 256
 
 
-def word_encoder() -> Encoder:
-    """Offline default: counts of words hashed to a fixed number of dimensions."""
-    word = re.compile(WORD_PATTERN)
-    places: dict[str, int] = {}
+def word_counts(texts: Column) -> Column:
+    """The offline encoder as an expression: counts of words by the first byte of their MD5."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(texts, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int"))
+    # sorted, equal places stand together; each count is the distance of two bounds
+    ordered = F.array_sort(F.concat(places, F.sequence(F.lit(0), F.lit(WORD_DIMENSIONS - 1))))
+
+    def counted(sorted_places: Column) -> Column:
+        ends = F.filter(
+            F.transform(
+                sorted_places,
+                lambda x, i: F.when(
+                    F.coalesce(F.get(sorted_places, i + 1), F.lit(WORD_DIMENSIONS)) != x, i
+                ),
+            ),
+            lambda i: i.isNotNull(),
+        )
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda x, k: (
+            x - F.coalesce(F.get(e, k - 1), F.lit(-1)) - 1).cast("double")))[0]
 
-    def place(w: str) -> int:
-        if len(places) > 1_000_000:
-            places.clear()
-        places[w] = found = int(hashlib.md5(w.encode()).hexdigest()[:2], 16)
-        return found
+    return F.transform(F.array(ordered), counted)[0]
 
-    def encode(texts: list[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), WORD_DIMENSIONS))
-        for row, value in enumerate(texts):
-            known = places.get
-            found = [p if (p := known(w)) is not None else place(w) for w in word.findall(value.lower())]
-            if found:
-                counts[row] = np.bincount(found, minlength=WORD_DIMENSIONS)
-        return counts
 
-    return encode
+def word_encoder() -> Encoder:
+    """The offline default as a model: counts of words hashed to a fixed number of dimensions."""
+    raise TypeError("the offline encoder is an expression; `embed` computes it without a model")
 
 
 def embed(
@@ -176,33 +123,15 @@ def embed(
 ) -> DataFrame:
     """Add `embedding`, the unit vector of `text`, to the kept columns (all by default).
 
-    Every text is encoded once, in Arrow batches, by an encoder loaded once per task. A
-    text in several parts (book_id, part, n_parts) gets the direction of the sum of its
-    parts' vectors, on part 0.
+    The offline encoder is an expression. Any other encodes in Arrow batches, every text once,
+    and is loaded once per task.
     """
     keep = keep or texts.columns
-    if "n_parts" not in texts.columns:
-        return _encode(texts, load_encoder, keep, unit=True)
-    single = _encode(texts.where(F.col("n_parts") == 1), load_encoder, keep, unit=True)
-    several = texts.where(F.col("n_parts") > 1)
-    sums = (
-        _encode(several, load_encoder, ["book_id"], unit=False)
-        .select("book_id", F.posexplode("embedding").alias("i", "x"))
-        .groupBy("book_id", "i")
-        .agg(F.sum(F.col("x").cast("double")).alias("x"))
-    )
-    # one entry per dimension
-    joined = F.array_sort(F.collect_list(F.struct("i", "x")))
-    whole = (
-        sums.groupBy("book_id")
-        .agg(F.transform(joined, lambda e: e["x"]).alias("raw"))
-        .select("book_id", F.lit(0).alias("part"), normalised(F.col("raw")).alias("embedding"))
-    )
-    placed = several.join(whole, ["book_id", "part"], "left")
-    return single.unionByName(placed.select(*keep, "embedding"))
-
-
-def _encode(texts: DataFrame, load_encoder, keep: list[str], unit: bool) -> DataFrame:
+    if load_encoder is word_encoder:
+        counts = word_counts(F.col("text"))
+        return texts.select(*keep, counts.alias("_counts")).select(
+            *keep, normalised(F.col("_counts")).alias("embedding")
+        )
     schema = texts.select(*keep).schema
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +140,7 @@ def _encode(texts: DataFrame, load_encoder, keep: list[str], unit: bool) -> Data
             values = [value or "" for value in batch.column("_text").to_pylist()]
             if not values:
                 continue
-            vectors = np.asarray(encoder(values), np.float64)
-            if unit:
-                vectors = unit_rows(vectors)
+            vectors = unit_rows(np.asarray(encoder(values), np.float64))
             starts = np.arange(len(values) + 1, dtype=np.int32) * vectors.shape[1]
             flat = vectors.astype(np.float32).ravel()
             yield batch.select(keep).append_column(
@@ -225,16 +152,19 @@ def _encode(texts: DataFrame, load_encoder, keep: list[str], unit: bool) -> Data
     return given.mapInArrow(encode, T.StructType(fields))
 
 
-def encode_chunks(parts: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
-    """Chunk parts as rows of the chunk table."""
+def encode_chunks(made: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
+    """Chunk texts as rows of the chunk table.
+
+    They are written down first: the encoder then has one task per part of a file, however
+    few partitions the joins before it were put together to.
+    """
     metadata = F.struct("title", "author", "source_title")
-    return embed(deal_out(parts), load_encoder).select(
+    return embed(spread(cut(made)), load_encoder).select(
         text.chunk_key(F.col("book_id")).alias("doc_id"),
         "book_id",
-        "part",
         "text",
         "embedding",
-        F.when(F.col("part") == 0, metadata).alias("metadata"),
+        metadata.alias("metadata"),
     )
 
 
@@ -245,20 +175,14 @@ def build_chunks(
     load_encoder: Callable[[], Encoder] = word_encoder,
 ) -> DataFrame:
     """Chunk rows for the given books."""
-    return encode_chunks(chunk_parts(books, links, sources), load_encoder)
-
-
-def _same_text(parts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Books whose stored parts equal the rebuilt ones."""
-    rebuilt = parts.select("book_id", "part", F.sha2("text", 256).alias("_new"))
-    stored = chunks.select("book_id", "part", F.sha2("text", 256).alias("_old"))
-    return (
-        rebuilt.join(stored, ["book_id", "part"], "full_outer")
-        .groupBy("book_id")
-        .agg(F.bool_and(F.col("_new").eqNullSafe(F.col("_old"))).alias("same"))
-        .where("same")
-        .select("book_id")
-    )
+    return encode_chunks(chunk_texts(books, links, sources), load_encoder)
+
+
+def _same_text(made: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Books whose stored text equals the rebuilt one."""
+    rebuilt = made.select("book_id", F.sha2("text", 256).alias("_hash"))
+    stored = chunks.select("book_id", F.sha2("text", 256).alias("_hash"))
+    return rebuilt.join(stored, ["book_id", "_hash"], "left_semi").select("book_id")
 
 
 def reindex(
@@ -276,14 +200,14 @@ def reindex(
     drops chunks of books that are no longer eligible.
     """
     eligible = searchable(with_status(books))
-    parts = chunk_parts(eligible, links, sources)
+    made = chunk_texts(eligible, links, sources)
     written = eligible.select(F.col("id").alias("book_id"))
     if prune:
         chunks = chunks.join(written, "book_id", "left_semi")
     if only_changed:
-        parts = cut(parts)
-        same = cut(_same_text(parts, chunks))
-        parts = parts.join(same, "book_id", "left_anti")
+        made = cut(made)
+        same = cut(_same_text(made, chunks))
+        made = made.join(same, "book_id", "left_anti")
         written = written.join(same, "book_id", "left_anti")
-    rebuilt = encode_chunks(parts, load_encoder).select(*chunks.columns)
+    rebuilt = encode_chunks(made, load_encoder).select(*chunks.columns)
     return chunks.join(written, "book_id", "left_anti").unionByName(rebuilt)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.sizes import deal_out
+from threadshelf.plans.sizes import spread
 from threadshelf.plans.skew import lookup_join
 
 Model = Callable[[list[str]], list[str]]
@@ -42,10 +42,10 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
                 }
             )
 
-    # written down, so that no later use of the answers runs the model again
-    answers = deal_out(distinct).mapInPandas(run, "_key string, response string, error string")
-    answered = cut(answers)
-    return lookup_join(keyed, answered, ["_key"], wide=True).drop("_key")
+    # the texts lie in files of the size of a scan task; only few small ones are dealt out
+    answers = spread(cut(distinct)).mapInPandas(run, "_key string, response string, error string")
+    # `lookup_join` writes the answers down, so that no later use runs the model again
+    return lookup_join(keyed, answers, ["_key"], wide=True).drop("_key")
 
 
 def _one(model: Model, value: str) -> tuple[str | None, str | None]:

@@ -30,14 +30,16 @@ def match_titles(keys: DataFrame, books: DataFrame, name: str = "book_id") -> Da
     """Add the lowest id of the books with the same title and author.
 
     Where `author_key` is empty the title alone decides: every book is also entered under
-    its title with an empty author, so that one equi-join answers both.
+    its title with an empty author, so that one equi-join answers both. Only books with a key
+    that is asked for are grouped.
     """
     entries = books.select(
         "id",
         title_key().alias("title_key"),
         F.explode(F.array_distinct(F.array(author_key(), F.lit("")))).alias("author_key"),
     )
-    lowest = entries.groupBy(*KEY).agg(F.min("id").alias(name))
+    asked = lookup_join(entries, keys.select(*KEY).distinct(), KEY, "left_semi")
+    lowest = asked.groupBy(*KEY).agg(F.min("id").alias(name))
     return lookup_join(keys, lowest, KEY)
 
 
@@ -48,7 +50,9 @@ def resolve_mentions(mentions: DataFrame, books: DataFrame) -> DataFrame:
 
 def match_column(rows: DataFrame, books: DataFrame, column: str, name: str) -> DataFrame:
     """Add the lowest id of the books that carry the same value in a column."""
-    lowest = books.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias(name))
+    wanted = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    asked = lookup_join(books.select(column, "id"), wanted, [column], "left_semi")
+    lowest = asked.groupBy(column).agg(F.min("id").alias(name))
     return lookup_join(rows, lowest, [column])
 
 

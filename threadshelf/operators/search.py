@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.functions.vectors import similarity_label
-from threadshelf.operators.catalog import most_sources, sources_of_books
+from threadshelf.operators.catalog import links_of, sources_of_books
 from threadshelf.operators.chunks import Encoder, embed, word_encoder
 from threadshelf.operators.vectors import nearest, ranked
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.skew import paged_lists
+from threadshelf.plans.sizes import fits_broadcast
+from threadshelf.plans.skew import numbered_lists
 
 # Results fetched per result shown, before deleted or viewed books drop out.
 FETCH_FACTOR = 3
@@ -31,10 +32,13 @@ def encode_queries(
 
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
     """Vectors to search, as (id, embedding), id being the book."""
-    book = F.col("book_id")
+    return chunks.where(F.col("embedding").isNotNull()).select(_book(chunks).alias("id"), "embedding")
+
+
+def _book(chunks: DataFrame) -> Column:
     if "document_id" in chunks.columns:
-        book = book_reference(book, F.col("document_id"))
-    return chunks.where(F.col("embedding").isNotNull()).select(book.alias("id"), "embedding")
+        return book_reference(F.col("book_id"), F.col("document_id"))
+    return F.col("book_id")
 
 
 def book_reference(book_id: Column, document_id: Column) -> Column:
@@ -43,9 +47,15 @@ def book_reference(book_id: Column, document_id: Column) -> Column:
 
 
 def hits_to_catalogue(hits: DataFrame, books: DataFrame) -> DataFrame:
-    """Hits (qid, rank, id, score) with their book's columns; hits on missing books drop out."""
+    """Hits (qid, rank, id, score) with their book's columns; hits on missing books drop out.
+
+    The few hits go to the books, not the books to the hits.
+    """
     named = books.withColumn("status", text.default_status(F.col("status")))
-    return hits.where(F.col("id").isNotNull()).join(named, "id").withColumnRenamed("id", "book_id")
+    few = cut(hits.where(F.col("id").isNotNull()))
+    found = named.join(F.broadcast(few) if fits_broadcast(few) else few, "id")
+    columns = [*hits.columns, *[c for c in named.columns if c != "id"]]
+    return found.select(*columns).withColumnRenamed("id", "book_id")
 
 
 def _showable(new_only: bool) -> Column:
@@ -80,49 +90,46 @@ def search(
 
 
 def search_raw(queries: DataFrame, chunks: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """All fetched rows with what the chunk itself says about them."""
-    hits = nearest(queries, chunk_vectors(chunks), limit * FETCH_FACTOR)
-    said = chunks.where(F.col("embedding").isNotNull()).select(
-        F.col("book_id").alias("id"),
+    """All fetched chunks with what the chunk itself says about them.
+
+    A hit is a chunk: its document, its text, the book it points to, title, author and source.
+    """
+    known = chunks.where(F.col("embedding").isNotNull())
+    vectors = known.select(_book(chunks).alias("id"), "embedding", "doc_id")
+    hits = cut(nearest(queries, vectors, limit * FETCH_FACTOR))
+    said = known.select(
+        "doc_id",
+        "text",
         *[
             F.coalesce(F.col("metadata")[name], F.lit("Unknown")).alias(name)
             for name in ("title", "author", "source_title")
         ],
     )
-    return hits.join(said, "id").withColumnRenamed("id", "book_id")
+    found = said.join(F.broadcast(hits) if fits_broadcast(hits) else hits, "doc_id")
+    return found.withColumnRenamed("id", "book_id")
 
 
 def search_library(
-    queries: DataFrame,
-    chunks: DataFrame,
-    books: DataFrame,
-    links: DataFrame,
-    sources: DataFrame,
-    limit: int = DEFAULT_LIBRARY_LIMIT,
+    queries: DataFrame, chunks: DataFrame, books: DataFrame, limit: int = DEFAULT_LIBRARY_LIMIT
 ) -> DataFrame:
-    """The nearest `limit` chunks whose book exists, whatever its status, with source titles."""
-    # the hits are used twice, the vectors are to be scanned once
-    found = hits_to_catalogue(cut(nearest(queries, chunk_vectors(chunks), limit)), books)
-    titles = _sources_of_hits(found, links, sources.select("id", "title"), F.col("title"), "titles")
-    return found.join(titles, "book_id", "left").withColumn(
-        "page", F.coalesce("page", F.lit(0))
-    )
+    """The nearest `limit` chunks whose book exists, whatever its status: one row per hit.
 
+    `hit_sources` lists the sources of their books.
+    """
+    return hits_to_catalogue(nearest(queries, chunk_vectors(chunks), limit), books)
 
-def _sources_of_hits(
-    found: DataFrame, links: DataFrame, sources: DataFrame, value: Column, name: str
-) -> DataFrame:
-    wanted = links.join(found.select("book_id").distinct(), "book_id", "left_semi")
-    rows = sources_of_books(wanted, sources)
-    return paged_lists(rows, "book_id", "link_id", value, name, longest=most_sources(sources))
 
+def hit_sources(found: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The sources of the books that were found, in link order: (book_id, position, title, link)."""
+    named = sources.select("id", "title", "url", "external_id")
+    shown = F.struct("title", text.thread_link(F.col("url"), F.col("external_id")).alias("link"))
+    rows = sources_of_books(links_of(links, found), named)
+    listed = numbered_lists(rows, "book_id", "link_id", shown, "source")
+    return listed.select("book_id", "position", "source.*")
 
-def search_report(found: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Results as shown to a reader, best match last."""
-    found = cut(found)
-    named = sources.select("id", "url", "external_id")
-    link = text.thread_link(F.col("url"), F.col("external_id"))
-    threads = _sources_of_hits(found, links, named, link, "threads")
+
+def search_report(found: DataFrame) -> DataFrame:
+    """Results as shown to a reader, best match last, one row each; `hit_sources` has the threads."""
     described = F.coalesce(
         text.present(F.col("summary")), text.present(F.col("description")), F.lit("")
     )
@@ -130,23 +137,17 @@ def search_report(found: DataFrame, links: DataFrame, sources: DataFrame) -> Dat
         text.present(F.col("amazon_url")),
         text.product_search_url(F.col("title"), F.col("author")),
     )
-    return (
-        found.join(threads, "book_id", "left")
-        .select(
-            "qid",
-            "rank",
-            "book_id",
-            "title",
-            text.display_author(F.col("author")).alias("author"),
-            text.present(text.first_sentence(described)).alias("blurb"),
-            purchase.alias("purchase_link"),
-            "threads",
-            F.coalesce("page", F.lit(0)).alias("page"),
-            similarity_label(F.col("score")).alias("score"),
-            "status",
-        )
-        .orderBy("qid", F.desc("rank"), "page")
-    )
+    return found.select(
+        "qid",
+        "rank",
+        "book_id",
+        "title",
+        text.display_author(F.col("author")).alias("author"),
+        text.present(text.first_sentence(described)).alias("blurb"),
+        purchase.alias("purchase_link"),
+        similarity_label(F.col("score")).alias("score"),
+        "status",
+    ).orderBy("qid", F.desc("rank"))
 
 
 def list_lines(books: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.functions.vectors import SCORE_DIGITS, cosine_to_unit
+from threadshelf.plans.lineage import cut
 
-# Query vectors sent to every task; more are joined block by block.
+# Query vectors sent to every task at a time; more are looked for in further scans.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of one scoring step and of one block of the block join.
+# Queries of one scoring step.
 QUERY_BLOCK = 1024
-VECTOR_BLOCK = 50_000
-SCAN_TASKS_PER_CORE = 4
-
-HITS = "qid long, id long, score double"
-
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -29,7 +26,7 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    """A list column as unit rows; all lists must have the same length."""
+    """A list column as unit rows; the lists have the same length, as `checked` sees to."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -37,81 +34,94 @@ def _matrix(column) -> np.ndarray:
     return unit_rows(flat.reshape(rows, -1)) if rows else np.zeros((0, 0))
 
 
+def checked(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """The vectors that have an id and an embedding; one of another length fails by its id."""
+    size = F.size("embedding")
+    said = F.concat(
+        F.lit("vector "), F.col("id").cast("string"), F.lit(" has "), size.cast("string"),
+        F.lit(f" dimensions, the queries have {dimensions}"),
+    )
+    kind = vectors.schema["embedding"].dataType
+    fitting = F.when(size == dimensions, F.col("embedding")).otherwise(F.raise_error(said).cast(kind))
+    known = vectors.where(F.col("id").isNotNull() & F.col("embedding").isNotNull())
+    return known.withColumn("embedding", fitting)
+
+
 @dataclass
 class Best:
-    """Running k best rows of each query: higher score first, then lower id."""
+    """Running k best rows of each query: higher score first, then lower id, then document."""
 
     k: int
     q: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
+    docs: np.ndarray
 
     @classmethod
     def none(cls, k: int) -> Best:
-        return cls(k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return cls(k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1"))
 
-    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
         q = np.concatenate([self.q, q])
         ids = np.concatenate([self.ids, ids])
         scores = np.concatenate([self.scores, scores])
-        order = np.lexsort((ids, -scores, q))
+        docs = np.concatenate([self.docs, docs])
+        order = np.lexsort((docs, ids, -scores, q))
         q = q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         kept = order[place < self.k]
-        self.q, self.ids, self.scores = q[place < self.k], ids[kept], scores[kept]
+        self.q, self.ids = q[place < self.k], ids[kept]
+        self.scores, self.docs = scores[kept], docs[kept]
+
+
+# Gives, for a matrix of queries, the (query, bucket) pairs to score.
+Probes = Callable[[np.ndarray], np.ndarray]
 
 
 def _score(
-    best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, allowed=None
+    best: Best, start: int, queries: np.ndarray, batch: pa.RecordBatch, vectors: np.ndarray,
+    allowed: np.ndarray | None,
 ) -> None:
-    """Offer one batch of vectors to all queries; `allowed` masks (query, vector) pairs."""
-    if not len(ids):
-        return
-    for start in range(0, len(queries), QUERY_BLOCK):
-        block = queries[start : start + QUERY_BLOCK]
-        scores = np.round(block @ vectors.T, SCORE_DIGITS)
-        if allowed is not None:
-            scores[~allowed[start : start + QUERY_BLOCK]] = -np.inf
-        if scores.shape[1] > best.k:
-            last = scores.shape[1] - best.k
-            cutoff = np.partition(scores, last, axis=1)[:, last]
-            wanted = (scores >= cutoff[:, None]) & np.isfinite(scores)
-        else:
-            wanted = np.isfinite(scores)
-        q, v = np.nonzero(wanted)
-        best.add(q + start, ids[v], scores[q, v])
-
-
-def _hits(best: Best, qids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(qids[best.q], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.scores)],
-        names=["qid", "id", "score"],
-    )
+    """Offer a batch of vectors to a block of queries; `allowed` masks (query, bucket) pairs."""
+    scores = np.round(queries @ vectors.T, SCORE_DIGITS)
+    if allowed is not None:
+        scores[~allowed[:, batch.column("bucket").to_numpy()]] = -np.inf
+    if scores.shape[1] > best.k:
+        last = scores.shape[1] - best.k
+        cutoff = np.partition(scores, last, axis=1)[:, last]
+        wanted = (scores >= cutoff[:, None]) & np.isfinite(scores)
+    else:
+        wanted = np.isfinite(scores)
+    q, v = np.nonzero(wanted)
+    docs = np.full(len(v), "", "U1")
+    if "doc_id" in batch.schema.names and len(v):
+        docs = np.array(batch.column("doc_id").take(pa.array(v)).to_pylist(), dtype=str)
+    best.add(q + start, batch.column("id").to_numpy()[v], scores[q, v], docs)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
     """Number the hits of each query from 1 and keep the first k."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    ties = ["id", "doc_id"] if "doc_id" in hits.columns else ["id"]
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), *ties)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors (id, embedding) of every query (qid, embedding).
 
-    Gives (qid, rank, id, score). Vectors are scored where they lie, by matrix product;
-    each task passes on its k best per query.
+    Gives (qid, rank, id, score), and doc_id where the vectors have one; vectors without an id
+    are passed over. Vectors are scored where they lie, by matrix product; each task passes on
+    its k best per query. Queries beyond the size sent to every task take further scans.
     """
     _check_k(k)
-    queries = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-    vectors = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    size = queries.agg(
-        F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimensions")
-    ).first()
-    if not size["n"]:
-        return _no_hits(queries)
-    if size["n"] * size["dimensions"] * 8 > MAX_BROADCAST_BYTES:
-        return ranked(_block_join(queries, vectors, k), k)
-    return ranked(_scan(queries, vectors, k), k)
+    queries = _known_queries(queries)
+    dimensions = _dimensions(queries)
+    if dimensions is None:
+        return _no_hits(queries, vectors)
+    found = [
+        _scan(part, checked(vectors, dimensions), k) for part in _parts(queries, dimensions)
+    ]
+    return ranked(reduce(DataFrame.unionByName, found), k)
 
 
 def _check_k(k: int) -> None:
@@ -119,9 +129,35 @@ def _check_k(k: int) -> None:
         raise ValueError("k must be at least 1")
 
 
-def _no_hits(queries: DataFrame) -> DataFrame:
-    spark = queries.sparkSession
-    return spark.createDataFrame([], "qid long, id long, score double, rank int")
+def _known_queries(queries: DataFrame) -> DataFrame:
+    """The queries, encoded once however often they are read."""
+    return cut(queries.where(F.col("embedding").isNotNull()).select("qid", "embedding"))
+
+
+def _dimensions(queries: DataFrame) -> int | None:
+    size = F.size("embedding")
+    least, most = queries.agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"queries have between {least} and {most} dimensions")
+    return most
+
+
+def _parts(queries: DataFrame, dimensions: int) -> list[DataFrame]:
+    """The queries in parts of a size that can be sent to every task."""
+    n = max(1, -(-queries.count() * dimensions * 8 // MAX_BROADCAST_BYTES))
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def _hit_columns(vectors: DataFrame) -> list[str]:
+    return ["id", "embedding", *[c for c in ("doc_id", "bucket") if c in vectors.columns]]
+
+
+def _schema(vectors: DataFrame) -> str:
+    return "qid long, id long, score double" + (", doc_id string" if "doc_id" in vectors.columns else "")
+
+
+def _no_hits(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], _schema(vectors) + ", rank int")
 
 
 def _query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -129,61 +165,38 @@ def _query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("qid").to_numpy(), _matrix(table.column("embedding"))
 
 
-# Gives, for a matrix of queries, the (query, bucket) pairs to score.
-Probes = Callable[[np.ndarray], np.ndarray]
-
-
 def _scan(queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None = None) -> DataFrame:
     """Score every vector against a query matrix of checked size that all tasks hold."""
-    sent = queries.sparkSession.sparkContext.broadcast(_query_matrix(queries))
+    vectors = vectors.select(*_hit_columns(vectors))
+    qids, matrix = _query_matrix(queries)
+    if probes and len(matrix):
+        # buckets that no query probes are not read
+        reached = np.zeros(0, np.int64)
+        for start in range(0, len(matrix), QUERY_BLOCK):
+            some = probes(matrix[start : start + QUERY_BLOCK]).any(axis=0)
+            reached = np.union1d(reached, np.flatnonzero(some))
+        vectors = vectors.where(F.col("bucket").isin(reached.tolist()))
+    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+    named = "doc_id" in vectors.columns
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = sent.value
-        mask = probes(matrix) if probes else None
+        starts = range(0, len(matrix), QUERY_BLOCK)
+        blocks = [matrix[start : start + QUERY_BLOCK] for start in starts]
+        masks = [probes(block) if probes else None for block in blocks]
         best = Best.none(k)
         for batch in batches:
-            allowed = None if mask is None else mask[:, batch.column("bucket").to_numpy()]
-            ids = batch.column("id").to_numpy()
-            _score(best, matrix, ids, _matrix(batch.column("embedding")), allowed)
-        yield _hits(best, qids)
-
-    # every task passes on its best k per query, so many small scan tasks are put together
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    return vectors.coalesce(cores * SCAN_TASKS_PER_CORE).mapInArrow(scan, HITS)
+            if batch.num_rows:
+                rows = _matrix(batch.column("embedding"))
+                for start, block, mask in zip(starts, blocks, masks):
+                    _score(best, start, block, batch, rows, mask)
+        columns = [pa.array(qids[best.q], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.scores)]
+        names = ["qid", "id", "score"]
+        if named:
+            columns, names = [*columns, pa.array(best.docs.tolist(), pa.string())], [*names, "doc_id"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
-
-def _block_join(
-    queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None = None
-) -> DataFrame:
-    """Score blocks of queries against blocks of vectors; only the k best leave a block pair."""
-    query_blocks = -(-queries.count() // QUERY_BLOCK)
-    vector_blocks = -(-vectors.count() // VECTOR_BLOCK) or 1
-
-    def spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = spread(queries, "qid", "qb", query_blocks, "vb", vector_blocks)
-    right = spread(vectors, "id", "vb", vector_blocks, "qb", query_blocks)
-
-    def score(_key, some_queries: pa.Table, some_vectors: pa.Table) -> pa.Table:
-        best = Best.none(k)
-        if some_queries.num_rows and some_vectors.num_rows:
-            matrix = _matrix(some_queries.column("embedding"))
-            ids = some_vectors.column("id").to_numpy()
-            allowed = None
-            if probes:
-                allowed = probes(matrix)[:, some_vectors.column("bucket").to_numpy()]
-            _score(best, matrix, ids, _matrix(some_vectors.column("embedding")), allowed)
-        qids = some_queries.column("qid").to_numpy()
-        return pa.Table.from_batches([_hits(best, qids)])
-
-    return (
-        left.groupBy(F.col("qb").cast("long"), F.col("vb").cast("long"))
-        .cogroup(right.groupBy(F.col("qb").cast("long"), F.col("vb").cast("long")))
-        .applyInArrow(score, HITS)
-    )
+    return vectors.mapInArrow(scan, _schema(vectors))
 
 
 def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
@@ -263,18 +276,14 @@ def nearest_approximate(
     `indexed` has (id, embedding, bucket). With all buckets probed the result is exact.
     """
     _check_k(k)
-    queries = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-    n = queries.count()
-    if not n:
-        return _no_hits(queries)
-    vectors = indexed.select("id", "embedding", "bucket")
+    queries = _known_queries(queries)
+    dimensions = _dimensions(queries)
+    if dimensions is None:
+        return _no_hits(queries, indexed)
 
     def reached(matrix: np.ndarray) -> np.ndarray:
         return planes.probes(matrix, probes)
 
-    if n * planes.dimensions * 8 > MAX_BROADCAST_BYTES:
-        return ranked(_block_join(queries, vectors, k, reached), k)
-    _, matrix = _query_matrix(queries)
-    buckets = np.flatnonzero(reached(matrix).any(axis=0)).tolist()
-    near = vectors.where(F.col("bucket").isin(buckets))
-    return ranked(_scan(queries, near, k, reached), k)
+    vectors = checked(indexed, dimensions)
+    found = [_scan(part, vectors, k, reached) for part in _parts(queries, dimensions)]
+    return ranked(reduce(DataFrame.unionByName, found), k)

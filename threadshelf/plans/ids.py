@@ -7,29 +7,38 @@ from pyspark.sql import functions as F
 
 from threadshelf.plans.lineage import cut
 
+# `monotonically_increasing_id` has the partition above so many bits of the row's place in it.
+PLACE_BITS = 33
+
 
 def number_rows(df: DataFrame, order_by: list[str], start_after: int, name: str = "id") -> DataFrame:
     """Number rows 1, 2, ... above `start_after`, in the order of the given columns.
 
-    The rows are range-partitioned, numbered inside their partition and shifted by the
-    count of the partitions before it; nothing passes through a single task.
+    The rows are range-partitioned once, numbered inside their sorted partition as they are
+    written, and shifted by the count of the partitions before it; nothing passes through a
+    single task.
     """
-    ranged = cut(df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order_by)
+    ranged = cut(
+        cut(df)
+        .repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    placed = ranged.withColumn("_part", F.shiftright("_place", PLACE_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition
     offsets = (
-        ranged.groupBy("_part")
+        placed.groupBy("_part")
         .agg(F.count("*").alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select("_part", "_offset")
     )
-    numbered = ranged.withColumn("_row", F.row_number().over(inside)).join(
-        F.broadcast(offsets), "_part"
+    row = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, (F.lit(start_after) + F.col("_offset") + row).cast("long"))
+        .drop("_part", "_place", "_offset")
     )
-    return numbered.withColumn(
-        name, (F.lit(start_after) + F.col("_offset") + F.col("_row")).cast("long")
-    ).drop("_part", "_row", "_offset")
 
 
 def high_water_mark(table: DataFrame, column: str = "id") -> int:

@@ -14,9 +14,11 @@ from threadshelf.operators.catalog import searchable
 from threadshelf.operators.chunks import Encoder, build_chunks, word_encoder
 from threadshelf.plans.ids import number_rows
 from threadshelf.plans.lineage import cut
+from threadshelf.plans.settle import Rule, settle
 from threadshelf.plans.skew import lookup_join
 from threadshelf.sources import threads
 from threadshelf.sources.tables import Store
+from threadshelf.sources.volumes import Volumes
 
 KEY = resolve.KEY
 ORDER = ["external_id", "path", "mention_pos"]
@@ -31,7 +33,7 @@ class Resolution:
     books: DataFrame
 
     def counters(self) -> DataFrame:
-        """Mentions per outcome: added, no_description (stored, not searchable), existing."""
+        """Mentions per outcome: added, no_description (stored, not searchable), existing, held."""
         return self.mentions.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -42,6 +44,7 @@ def resolve_batch(
     last_id: int = 0,
     live_links: DataFrame | None = None,
     now: Column | None = None,
+    over_quota: DataFrame | None = None,
 ) -> Resolution:
     """Resolve mentions (external_id, path, mention_pos, title, author) against the catalogue.
 
@@ -49,6 +52,9 @@ def resolve_batch(
     enriched once per distinct title and author, matched by external catalogue id, and
     merged where it means the same new book. The order of the mentions decides which one
     a new book is made from.
+
+    `over_quota` (title_key, author_key) are lookups that were refused. A mention that would
+    have needed one has the outcome `held`: it makes no book, as its record is not known.
     """
     now = F.current_timestamp() if now is None else now
     said = found.withColumns(
@@ -64,24 +70,38 @@ def resolve_batch(
     matched = cut(resolve.match_titles(keys, books))
     known = matched.where(F.col("book_id").isNotNull()).select(*KEY, "book_id")
     enriched = _records(matched.where(F.col("book_id").isNull()).drop("book_id"), volumes, live_links)
+    if over_quota is not None:
+        enriched = _not_refused(cut(enriched), over_quota)
     enriched = cut(resolve.match_column(enriched, books, "google_books_id", "book_id"))
     known = known.unionByName(
         enriched.where(F.col("book_id").isNotNull()).select(*KEY, "book_id")
     )
-    proposals, members = _proposals(enriched.where(F.col("book_id").isNull()).drop("book_id"))
-    roots = _merge(proposals)
-    kept = proposals.join(
-        roots.where(F.col("proposal") == F.col("root")).select("proposal"), "proposal", "left_semi"
-    )
-    numbered = number_rows(kept, ["first_order", "proposal"], last_id)
-    made = members.join(roots, "proposal").join(
-        numbered.select(F.col("proposal").alias("root"), F.col("id").alias("book_id")), "root"
+    fresh = cut(
+        enriched.where(F.col("book_id").isNull())
+        .drop("book_id")
+        .withColumns(
+            {
+                "final_title": resolve.title_key(),
+                "final_author": resolve.author_key(),
+                "place": F.struct("first_order", *KEY),
+            }
+        )
     )
+    roots = cut(_settled(fresh))
+    kept = fresh.join(roots.where(F.col("place") == F.col("root")).select("place"), "place", "left_semi")
+    numbered = cut(number_rows(kept.drop(*KEY, "final_title", "final_author"), ["place"], last_id))
+    made = roots.join(
+        numbered.select(F.col("place").alias("root"), F.col("id").alias("book_id")), "root"
+    ).select(F.col("place.first_order").alias("first_order"), *[F.col("place")[k].alias(k) for k in KEY], "book_id")
     new_books = changes.shaped_books(numbered, now)
     settled = cut(
         _first_mentions(made, new_books).unionByName(known, allowMissingColumns=True)
     )
-    outcome = F.when(F.col("made_at") == order, F.col("made")).otherwise(F.lit("existing"))
+    outcome = (
+        F.when(F.col("book_id").isNull(), "held")
+        .when(F.col("made_at") == order, F.col("made"))
+        .otherwise("existing")
+    )
     resolved = lookup_join(said, settled, KEY).withColumn("outcome", outcome)
     return Resolution(resolved.select(*ORDER, "title", "author", "book_id", "outcome"), new_books)
 
@@ -100,75 +120,42 @@ def _records(keys: DataFrame, volumes: DataFrame, live_links: DataFrame | None)
     )
 
 
-def _proposals(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New books to be: one per external id, else one per final title and author."""
-    keyed = fresh.withColumns(
-        {"final_title": resolve.title_key(), "final_author": resolve.author_key()}
-    )
-    by_key = F.concat_ws("\x1f", F.lit("key"), "final_title", "final_author")
-    by_external = F.concat_ws("\x1f", F.lit("external"), "google_books_id")
-    named = keyed.withColumn(
-        "proposal", F.when(F.col("google_books_id").isNotNull(), by_external).otherwise(by_key)
-    )
-    rest = [c for c in named.columns if c != "proposal"]
-    proposals = named.groupBy("proposal").agg(
-        F.min_by(F.struct(*rest), "first_order").alias("row")
-    )
-    members = named.select(*KEY, "proposal", "first_order")
-    return cut(proposals.select("proposal", "row.*")), members
+def _not_refused(enriched: DataFrame, over_quota: DataFrame) -> DataFrame:
+    """Keys without those that have no record because a lookup for them was refused.
+
+    A key is looked up with its author, then by title alone.
+    """
+    refused = over_quota.select(*KEY).distinct()
+    missing = enriched.where(~F.col("enriched"))
+    told = lookup_join(missing, refused, KEY, "left_semi")
+    alone = refused.where(F.col("author_key") == "").select("title_key")
+    untold = lookup_join(missing, alone, ["title_key"], "left_semi")
+    held = told.select(*KEY).unionByName(untold.select(*KEY)).distinct()
+    return lookup_join(enriched, held, KEY, "left_anti")
 
 
-def _merge(proposals: DataFrame) -> DataFrame:
-    """(proposal, root): proposals that an earlier new book already answers.
+def _settled(fresh: DataFrame) -> DataFrame:
+    """(place, root) of what was said and is no known book: the first mention of its new book.
 
-    A proposal is answered by the first earlier one whose final title and author equal what
-    was said, or whose title does if no author was said. A proposal without author and
-    record is answered by any other of its title, earlier or not.
+    What was said is answered by the first earlier new book with that title and author, or
+    with that title if no author was said, and else by one with its record's external id. A
+    title without author and record is answered by any new book of that title, earlier or not.
     """
-    place = F.struct("first_order", "proposal")
-    both = proposals.groupBy(
-        F.col("final_title").alias("title_key"), F.col("final_author").alias("author_key")
-    ).agg(F.min(place).alias("target"))
-    title = proposals.groupBy(F.col("final_title").alias("title_key")).agg(
-        F.min(place).alias("target")
-    )
     bare = ~F.col("enriched") & (F.col("author_key") == "")
-    told = (
-        proposals.where(~bare)
-        .groupBy(F.col("final_title").alias("title_key"))
-        .agg(F.min(place).alias("target"))
-    )
-    narrow = proposals.select("proposal", "first_order", *KEY, bare.alias("bare"))
-    authored = narrow.where(F.col("author_key") != "")
-    untold = narrow.where((F.col("author_key") == "") & ~F.col("bare"))
-    # what was said differs between proposals, so no key is frequent on either side
-    targets = [
-        authored.join(both, KEY, "left"),
-        untold.join(title, "title_key", "left"),
-        narrow.where("bare").join(told, "title_key", "left"),
+    final = F.struct("final_title", "final_author")
+    rules = [
+        Rule(F.when(F.col("author_key") != "", F.struct(*KEY)), final),
+        Rule(F.when(F.col("author_key") == "", F.col("title_key")), F.col("final_title")),
+        Rule(F.col("google_books_id"), F.col("google_books_id")),
     ]
-    linked = targets[0].unionByName(targets[1]).unionByName(targets[2])
-    answered = F.col("target").isNotNull() & (F.col("bare") | (F.col("target") < place))
-    parents = cut(
-        linked.select(
-            "proposal",
-            F.when(answered, F.col("target.proposal")).otherwise(F.col("proposal")).alias("root"),
-        )
+    told = settle(fresh.where(~bare), "place", rules)
+    # no other asks for what a bare title offers: that would be the same key
+    kept = fresh.where(~bare).join(
+        told.where(F.col("place") == F.col("root")).select("place"), "place", "left_semi"
     )
-    return follow(parents)
-
-
-def follow(parents: DataFrame) -> DataFrame:
-    """(proposal, root) with every root followed to the end of its chain."""
-    if parents.where(F.col("proposal") != F.col("root")).isEmpty():
-        return parents
-    # every step halves the length of the chains
-    while True:
-        above = parents.select(F.col("proposal").alias("root"), F.col("root").alias("above"))
-        moved = cut(lookup_join(parents, above, ["root"]))
-        if moved.where(F.col("root") != F.col("above")).isEmpty():
-            return parents
-        parents = moved.select("proposal", F.col("above").alias("root"))
+    first = kept.groupBy(F.col("final_title").alias("title_key")).agg(F.min("place").alias("root"))
+    untold = fresh.where(bare).join(first, "title_key", "left")
+    return told.unionByName(untold.select("place", F.coalesce("root", "place").alias("root")))
 
 
 def _first_mentions(made: DataFrame, new_books: DataFrame) -> DataFrame:
@@ -217,7 +204,7 @@ def summarise(books: DataFrame, load_summariser: Callable[[], mentions.Model] |
 def ingest(
     raw: DataFrame,
     store: Store,
-    volumes: DataFrame,
+    volumes: DataFrame | Volumes,
     models: Models,
     live_links: DataFrame | None = None,
     force: bool = False,
@@ -225,20 +212,31 @@ def ingest(
 ) -> DataFrame:
     """Add raw threads (origin, value) to the store and give the outcome of each mention.
 
-    Threads already indexed are skipped unless forced. All tables change in one commit: a
-    run that stops leaves nothing behind, and running the same threads again adds nothing.
+    Raw copies (source, origin, kind, value) are also taken; one copy of each thread is read.
+    Threads already indexed are skipped unless forced, those whose source names them before
+    they are parsed. All tables change in one commit: a run that stops leaves nothing behind,
+    and running the same threads again adds nothing.
+
+    The table `set_aside` gets the threads that are unreadable or have no id or title, and
+    those with mentions held back because a lookup was over quota; these are indexed but for
+    the held mentions, and can be run again with `force`.
     """
     now = F.current_timestamp() if now is None else now
+    refused = volumes.quota_errors if isinstance(volumes, Volumes) else None
+    candidates = volumes.candidates if isinstance(volumes, Volumes) else volumes
     with store.commit() as commit:
         before = commit.before
-        read = threads.split(threads.parse_once(raw))
+        known_sources = before.read("sources")
+        if "kind" in raw.columns:
+            raw = threads.latest_raw_copy(_unread(raw, known_sources, force))
+        read = threads.split(threads.parse_once(raw.select("origin", "value")))
+        named = F.col("external_id").isNotNull() & F.col("title").isNotNull()
         one_copy = (
-            read.headers.where(F.col("external_id").isNotNull() & F.col("title").isNotNull())
+            read.headers.where(named)
             .groupBy("external_id")
             .agg(F.min_by(F.struct(*read.headers.columns), "origin").alias("row"))
             .select("row.*")
         )
-        known_sources = before.read("sources")
         headers = cut(changes.unseen_sources(one_copy, known_sources, force))
         ids = headers.select("origin", "external_id")
         comments = cut(read.comments.join(ids, "origin").drop("origin"))
@@ -246,10 +244,11 @@ def ingest(
         resolved = resolve_batch(
             extract(texts, models.load_extractor),
             before.read("books"),
-            volumes,
+            candidates,
             before.last_id("books"),
             live_links,
             now,
+            refused,
         )
         outcomes = cut(resolved.mentions)
         added = commit.append("books", summarise(resolved.books, models.load_summariser))
@@ -264,7 +263,7 @@ def ingest(
             ),
         )
         sources = known_sources.unionByName(fresh).select("id", "external_id", "title")
-        placed = outcomes.join(
+        placed = outcomes.where(F.col("book_id").isNotNull()).join(
             sources.select(F.col("id").alias("source_id"), "external_id"), "external_id"
         )
         pairs = placed.select("book_id", "source_id").distinct()
@@ -283,4 +282,43 @@ def ingest(
             commit.replace("comments", kept.unionByName(comments))
         else:
             commit.append("comments", comments)
+        aside = cut(_set_aside(read, read.headers.where(~named), outcomes, before.read("set_aside")))
+        if not aside.isEmpty():
+            commit.append("set_aside", aside)
     return outcomes
+
+
+def _unread(copies: DataFrame, sources: DataFrame, force: bool) -> DataFrame:
+    """Raw copies of threads that are not indexed yet, as far as their source names them."""
+    if force:
+        return copies
+    named = copies.withColumn("_thread", text.external_id(F.col("source")))
+    known = sources.select(F.col("external_id").alias("_thread"))
+    return named.join(known, "_thread", "left_anti").drop("_thread")
+
+
+def _set_aside(
+    read: threads.Threads, nameless: DataFrame, outcomes: DataFrame, known: DataFrame
+) -> DataFrame:
+    """Threads that were not, or not wholly, indexed, and are not set aside yet."""
+    nothing = F.lit(None).cast("string")
+
+    def row(origin: Column, external_id: Column, reason: str, value: Column) -> list[Column]:
+        return [
+            origin.alias("origin"), external_id.alias("external_id"), F.lit(reason).alias("reason"),
+            value.alias("value"),
+        ]
+
+    source, name = F.col("origin"), F.col("external_id")
+    unreadable = read.quarantined.select(*row(source, nothing, "unreadable", F.col("value")))
+    unnamed = nameless.select(*row(source, name, "no id or title", nothing))
+    held = outcomes.where(F.col("outcome") == "held").select("external_id").distinct()
+    waiting = held.select(*row(nothing, name, "over quota", nothing))
+    found = unreadable.unionByName(unnamed).unionByName(waiting)
+    # a thread keeps its reason and text, whichever file it comes in again
+    same = ["external_id", "reason", "value"]
+    old = known.select(*[F.col(c).alias(f"_{c}") for c in same]).distinct()
+    match = F.lit(True)
+    for c in same:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return found.join(old, match, "left_anti")

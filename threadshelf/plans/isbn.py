@@ -12,8 +12,9 @@ from threadshelf.operators import changes, resolve
 from threadshelf.operators.catalog import searchable
 from threadshelf.operators.chunks import Encoder, build_chunks, word_encoder
 from threadshelf.plans.ids import number_rows
-from threadshelf.plans.ingest import RECORD, follow
+from threadshelf.plans.ingest import RECORD
 from threadshelf.plans.lineage import cut
+from threadshelf.plans.settle import Rule, settle
 from threadshelf.plans.skew import lookup_join
 from threadshelf.schemas import SOURCES
 from threadshelf.sources.tables import Store
@@ -49,21 +50,17 @@ def resolve_requests(
         }
     ).drop("authors")
     matched = cut(resolve.match_isbn_request(named, books))
-    fresh = matched.where(F.col("book_id").isNull()).drop("book_id", "match_kind")
-    roots = _answered_by_earlier(fresh)
+    fresh = cut(matched.where(F.col("book_id").isNull()).drop("book_id", "match_kind"))
+    roots = cut(_answered_by_earlier(fresh))
     kept = fresh.join(
-        roots.where(F.col("proposal") == F.col("root")).select(F.col("root").alias("position")),
-        "position",
-        "left_semi",
+        roots.where(F.col("position") == F.col("root")).select("position"), "position", "left_semi"
+    )
+    numbered = cut(
+        number_rows(kept.select("position", "title", "author", *RECORD), ["position"], last_id)
     )
-    numbered = number_rows(kept.select("position", "title", "author", *RECORD), ["position"], last_id)
     made = roots.join(
         numbered.select(F.col("position").alias("root"), F.col("id").alias("new_id")), "root"
-    ).select(
-        F.col("proposal").alias("position"),
-        "new_id",
-        (F.col("proposal") == F.col("root")).alias("first"),
-    )
+    ).select("position", "new_id", (F.col("position") == F.col("root")).alias("first"))
     settled = (
         matched.select("position", "requested_isbn", "book_id", "match_kind")
         .join(made, "position", "left")
@@ -89,38 +86,17 @@ def resolve_requests(
 
 
 def _answered_by_earlier(fresh: DataFrame) -> DataFrame:
-    """(proposal, root): positions of new requests and of the request that makes their book."""
-    keyed = resolve.with_keys(fresh).select(
-        "position", "google_books_id", "requested_isbn", "isbn", "title_key", "author_key"
-    )
-
-    def earliest(*keys: Column) -> DataFrame:
-        names = [f"k{i}" for i in range(len(keys))]
-        given = keyed.select("position", *[k.alias(n) for k, n in zip(keys, names)])
-        return given.dropna().groupBy(*names).agg(F.min("position").alias("earlier"))
-
-    def offered(lookup: DataFrame, *keys: str) -> DataFrame:
-        names = [f"k{i}" for i in range(len(keys))]
-        asked = keyed.select("position", *[F.col(k).alias(n) for k, n in zip(keys, names)])
-        return lookup_join(asked, lookup, names).select("position", "earlier")
+    """(position, root): positions of new requests and of the request that makes their book.
 
-    matches = (
-        offered(earliest(F.col("google_books_id")), "google_books_id")
-        .unionByName(offered(earliest(F.col("isbn")), "requested_isbn"))
-        .unionByName(offered(earliest(*map(F.col, resolve.KEY)), *resolve.KEY))
-    )
-    first = matches.where(F.col("earlier") < F.col("position")).groupBy("position").agg(
-        F.min("earlier").alias("earlier")
-    )
-    parents = keyed.select("position").join(first, "position", "left")
-    return follow(
-        cut(
-            parents.select(
-                F.col("position").alias("proposal"),
-                F.coalesce("earlier", "position").alias("root"),
-            )
-        )
-    )
+    Like a known book, a new one answers by external id, requested ISBN, or title and author.
+    """
+    name = F.struct(*resolve.KEY)
+    rules = [
+        Rule(F.col("google_books_id"), F.col("google_books_id")),
+        Rule(F.col("requested_isbn"), F.col("isbn")),
+        Rule(name, name),
+    ]
+    return settle(resolve.with_keys(fresh), "position", rules)
 
 
 def ingest_isbns(

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from threadshelf.session import shared_dir
 
+# Folders of the jobs that run now, innermost last; each is deleted when its job ends.
+_scopes: list[str] = []
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back.
@@ -20,7 +25,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def work_path(spark, name: str) -> str:
-    """A fresh path in the shared folder, below one folder per application."""
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, below one folder per application and job."""
     application = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/threadshelf/{application}/{name}-{uuid.uuid4().hex}"
+    base = _scopes[-1] if _scopes else f"{shared_dir(spark).rstrip('/')}/threadshelf/{application}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate results written inside are deleted at the end.
+
+    For a job that leaves its results in tables of their own, such as one micro-batch.
+    """
+    path = work_path(spark, "job")
+    _scopes.append(path)
+    try:
+        yield
+    finally:
+        _scopes.remove(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -10,11 +10,6 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if the table has no more than the given rows; stops counting just past them."""
-    return df.select(*df.columns[:1]).limit(rows + 1).count() <= rows
-
-
 def fits_broadcast(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True if a table is small enough, by rows and by bytes, to be sent to every executor;
     stops counting just past the rows."""
@@ -35,14 +30,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def deal_out(df: DataFrame) -> DataFrame:
-    """Rows in as many partitions as a shuffle has, and no fewer than there are cores.
-
-    Before a model runs: adaptive execution sizes partitions by bytes and would leave a few
-    tasks with all the inference.
-    """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(partitions, spark.sparkContext.defaultParallelism))

@@ -1,32 +1,13 @@
-"""Joins and list aggregates that stay balanced when one key holds a large share of the rows."""
+"""Joins and lists that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, fits_broadcast
 
-# freqItems looks for no smaller shares.
-SMALLEST_SHARE = 1e-4
-# Copies of a frequent key's lookup row where it cannot be broadcast.
-SALTS = 64
-# Members collected into one array cell.
-PAGE_SIZE = 10_000
-# Span of order ids counted as one block when a long list is cut into pages.
-BLOCK_SPAN = 1 << 16
-
-
-def frequent_keys(facts: DataFrame, key: Column, share: float) -> list[int]:
-    """Hashes of all keys that hold more than `share` of the rows (and perhaps of some others).
-
-    One pass without a shuffle of the rows; at most 1/share values come back.
-    """
-    hashed = facts.select(F.xxhash64(key).alias("h"))
-    found = hashed.stat.freqItems(["h"], max(share, SMALLEST_SHARE)).first()
-    return list(found["h_freqItems"] or [])
-
 
 def lookup_join(
     facts: DataFrame,
@@ -38,77 +19,23 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a lookup that has one row per key.
 
-    A lookup of checked size is broadcast. Beyond that, keys that hold more than a
-    fraction of a shuffle partition are split off: their few lookup rows are broadcast
-    and the other keys are joined by shuffle. Rows of a `wide` lookup hold texts of any
-    length and are never broadcast; the facts of a frequent key are then dealt out to
-    several copies of its lookup row.
+    The lookup is written down, so that its plan runs once and its size can be measured. One
+    of checked size is broadcast. Beyond that both sides are plain exchanges, and adaptive
+    execution splits the partitions of a frequent key and copies its few lookup rows. Rows of
+    a `wide` lookup hold texts of any length and are never broadcast.
     """
+    lookup = cut(lookup)
     if not wide and fits_broadcast(lookup, max_broadcast_rows):
-        return facts.join(F.broadcast(lookup), on, how)
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*on)
-    hot = frequent_keys(facts, key, 1.0 / (4 * partitions))
-    if not hot:
-        return facts.join(lookup, on, how)
-    is_hot = F.xxhash64(key).isin(hot)
-    light = facts.where(~is_hot).join(lookup, on, how)
-    if wide:
-        heavy = _salted_join(facts.where(is_hot), lookup.where(is_hot), on, how)
-    else:
-        heavy = facts.where(is_hot).join(F.broadcast(lookup.where(is_hot)), on, how)
-    return light.unionByName(heavy)
+        lookup = F.broadcast(lookup)
+    return facts.join(lookup, on, how)
 
 
-def _salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    salted = facts.withColumn("_salt", F.spark_partition_id() % SALTS)
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def longest_list(rows: DataFrame, key: str) -> int:
-    """Rows of the most frequent key, from partial counts."""
-    return rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-
-
-def paged_lists(
-    rows: DataFrame,
-    key: str,
-    order_id: str,
-    value: Column,
-    name: str = "items",
-    page_size: int = PAGE_SIZE,
-    block_span: int = BLOCK_SPAN,
-    longest: int | None = None,
-) -> DataFrame:
-    """Ordered list of values per key, as (key, page, items).
+def numbered_lists(rows: DataFrame, key: str, order_id: str, value: Column, name: str) -> DataFrame:
+    """Ordered lists as rows: (key, position, value), position counting from 1.
 
-    A key with at most `page_size` members has one page, number 0. Longer lists go on
-    over several pages, so no group is collected whole. `order_id` is a number that is
-    unique within the key, ties being broken by the value. `longest` is the known bound of
-    the list lengths; it is counted where not given.
+    `order_id` is unique within the key; ties are broken by the value. A list of any length is
+    sorted in one run that can spill, and nothing of it is held in one cell.
     """
-    members = rows.select(key, F.col(order_id).cast("long").alias("_order"), value.alias("_value"))
-    if longest is None:
-        longest = longest_list(members, key)
-    if longest <= page_size:
-        grouped = members.withColumn("_page", F.lit(0))
-    else:
-        blocked = members.withColumn("_block", F.floor(F.col("_order") / block_span))
-        earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        pages = (
-            blocked.groupBy(key, "_block")
-            .agg(F.count("*").alias("_n"))
-            .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-            .select(key, "_block", F.floor(F.col("_before") / page_size).alias("_packed"))
-        )
-        # pages are numbered without gaps
-        numbering = Window.partitionBy(key).orderBy("_packed")
-        pages = pages.withColumn("_page", F.dense_rank().over(numbering) - 1).drop("_packed")
-        grouped = blocked.join(pages, [key, "_block"])
-    ordered = F.array_sort(F.collect_list(F.struct("_order", "_value")))
-    return grouped.groupBy(key, F.col("_page").cast("int").alias("page")).agg(
-        F.transform(ordered, lambda x: x["_value"]).alias(name)
-    )
+    members = rows.select(key, F.col(order_id).alias("_order"), value.alias(name))
+    order = Window.partitionBy(key).orderBy("_order", name)
+    return members.withColumn("position", F.row_number().over(order)).select(key, "position", name)

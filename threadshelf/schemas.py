@@ -46,8 +46,6 @@ CHUNKS = T.StructType(
     [
         T.StructField("doc_id", T.StringType(), False),
         T.StructField("book_id", T.LongType()),
-        # a chunk has one row, or several for a text too long for one; part 0 has the vector
-        T.StructField("part", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField(

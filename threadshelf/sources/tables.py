@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,24 +21,36 @@ COMMENTS = T.StructType(
     ]
 )
 
+# Threads that could not be indexed, or not wholly: what the reason is, and the text of
+# unreadable ones.
+SET_ASIDE = T.StructType(
+    [
+        T.StructField("origin", T.StringType()),
+        T.StructField("external_id", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("value", T.StringType()),
+    ]
+)
+
 TABLES = {
     "books": schemas.BOOKS,
     "sources": schemas.SOURCES,
     "links": schemas.LINKS,
     "chunks": schemas.CHUNKS,
     "comments": COMMENTS,
+    "set_aside": SET_ASIDE,
 }
 
-LOG = "version long, name string, replaces boolean, last_id long"
+LOG = "name string, versions array<long>, last_id long"
 
 
 class Store:
     """The tables of one catalogue under one folder.
 
-    A change writes new files beside the current ones, in a folder per table and version. A
-    log names the finished versions; its rows for one commit are written as one file, so all
-    tables of a commit change at once, and files of a commit that did not finish are never
-    read. One writer at a time.
+    A change writes new files beside the current ones, in a folder per table and version. The
+    log has one file per commit, which names the versions every table consists of from then
+    on: all tables of a commit change at once, files of a commit that did not finish are never
+    read, and only the newest file of the log is. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, T.StructType] = TABLES):
@@ -47,21 +58,18 @@ class Store:
 
     def snapshot(self) -> Snapshot:
         """The tables as of now; later commits do not show in it."""
-        try:
-            log = self.spark.read.schema(LOG).parquet(f"{self.path}/log")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        log = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        files = log.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/v=*/part-*"))
+        names = [str(x.getPath().getParent().getName()) for x in found or []]
+        if not names:
             return Snapshot(self, -1, {}, {})
-        # a few numbers per commit
-        rows = log.orderBy("version").collect()
-        versions: dict[str, list[int]] = {}
-        last_ids: dict[str, int] = {}
-        for row in rows:
-            older = [] if row.replaces else versions.get(row.name, [])
-            versions[row.name] = [*older, row.version]
-            last_ids[row.name] = max(last_ids.get(row.name, 0), row.last_id)
-        return Snapshot(self, max((r.version for r in rows), default=-1), versions, last_ids)
+        version = max(int(name.removeprefix("v=")) for name in names)
+        # one row per table
+        rows = self.spark.read.schema(LOG).parquet(f"{self.path}/log/v={version}").collect()
+        return Snapshot(
+            self, version, {r.name: list(r.versions) for r in rows}, {r.name: r.last_id for r in rows}
+        )
 
     def read(self, name: str) -> DataFrame:
         return self.snapshot().read(name)
@@ -102,7 +110,7 @@ class Commit:
 
     def __init__(self, store: Store):
         self.store, self.before = store, store.snapshot()
-        self.entries: dict[str, tuple[int, str, bool, int]] = {}
+        self.entries: dict[str, tuple[str, list[int], int]] = {}
 
     def __enter__(self) -> Commit:
         return self
@@ -110,8 +118,12 @@ class Commit:
     def __exit__(self, kind, _error, _trace) -> None:
         if kind is None and self.entries:
             spark = self.store.spark
-            entries = spark.createDataFrame(list(self.entries.values()), LOG).coalesce(1)
-            entries.write.mode("append").parquet(f"{self.store.path}/log")
+            state = {
+                name: (name, versions, self.before.last_id(name))
+                for name, versions in self.before.versions.items()
+            }
+            rows = spark.createDataFrame(list((state | self.entries).values()), LOG).coalesce(1)
+            rows.write.mode("overwrite").parquet(f"{self.store.path}/log/v={self.before.version + 1}")
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Add rows; gives the rows as written."""
@@ -132,5 +144,6 @@ class Commit:
         last_id = 0
         if "id" in schema.names:
             last_id = written.agg(F.max("id")).first()[0] or 0
-        self.entries[name] = (version, name, replaces, last_id)
+        older = [] if replaces else self.before.versions.get(name, [])
+        self.entries[name] = (name, [*older, version], max(last_id, self.before.last_id(name)))
         return written

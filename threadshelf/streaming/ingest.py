@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from threadshelf.plans.ingest import Models, ingest
+from threadshelf.plans.lineage import scratch
 from threadshelf.sources.tables import Store
 from threadshelf.sources.threads import with_origin
+from threadshelf.sources.volumes import Volumes
 
 
 def thread_stream(spark: SparkSession, landing: str, whole_files: bool = True) -> DataFrame:
@@ -27,7 +29,9 @@ def start(
     """
 
     def each(batch: DataFrame, _batch_id: int) -> None:
-        process(batch)
+        # nothing of a batch stays but what it commits
+        with scratch(batch.sparkSession):
+            process(batch)
 
     return (
         stream.writeStream.foreachBatch(each)
@@ -42,7 +46,7 @@ def ingest_stream(
     landing: str,
     checkpoint: str,
     store: Store,
-    volumes: DataFrame,
+    volumes: DataFrame | Volumes,
     models: Models,
     whole_files: bool = True,
     force: bool = False,
