@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
+from threadshelf.functions.metadata import encoded_metadata
 from threadshelf.operators import changes
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -18,14 +19,17 @@ def now():
     f"""SELECT (SELECT max(c_custkey) FROM customer)
                + row_number() OVER (ORDER BY p_name, p_partkey) AS id,
                p_name AS title, p_brand AS author, 'new' AS status,
-               '{{"size":' || p_size || '}}' AS metadata, {NOW} AS created_at
+               '{{"size":' || p_size || ',"type":' || CASE WHEN p_type = 'PROMO' THEN 'null'
+                   ELSE '"' || p_type || '"' END || '}}' AS metadata, {NOW} AS created_at
         FROM part"""
 )
 def append_books(t: Tables) -> DataFrame:
     batch = t.part.select(
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("author"),
-        F.to_json(F.struct(F.col("p_size").alias("size"))).alias("metadata"),
+        encoded_metadata(
+            size=F.col("p_size"), type=F.when(F.col("p_type") != "PROMO", F.col("p_type"))
+        ).alias("metadata"),
         "p_partkey",
     )
     used = t.customer.agg(F.max("c_custkey")).first()[0]

@@ -57,16 +57,20 @@ def grounded_mentions(t: Tables) -> DataFrame:
 
 @query(
     r"""WITH said AS (
-            SELECT conv_id, turn, role, trim(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g')) AS words
-            FROM conversations)
+            SELECT conv_id, turn, role, text || ' "é" \ ' ||
+                CASE role WHEN 'user' THEN '[1]' ELSE '{1}' END || chr(9) AS words FROM conversations)
         SELECT conv_id, turn, 0 AS mention_pos, words AS title, role AS author
         FROM said WHERE role IN ('user', 'assistant')
         UNION ALL
         SELECT conv_id, turn, 2, 'Second Title', NULL FROM said WHERE role = 'user'"""
 )
 def parse_extractions(t: Tables) -> DataFrame:
-    """Turns as model answers: an array among other words, a single object, or broken JSON."""
-    words = F.trim(F.regexp_replace("text", "[^a-zA-Z ]+", " "))
+    """Turns as model answers: an array among other words, a single object, or broken JSON.
+
+    Brackets in a title make the answer with a single object unreadable, so those are in arrays.
+    """
+    brackets = F.when(F.col("role") == "user", "[1]").otherwise("{1}")
+    words = F.concat("text", F.lit(' "é" \\ '), brackets, F.lit("\t"))
     entry = F.to_json(F.struct(words.alias("title"), F.col("role").alias("author")))
     response = (
         F.when(

@@ -171,7 +171,9 @@ def comment_texts(t: Tables) -> DataFrame:
 
 @query(
     """WITH copies AS (
-           SELECT page_id, coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), url) AS thread,
+           SELECT page_id, CASE WHEN page_id % 3 = 0
+                      THEN 'https://example.com/t/' || regexp_extract(url, '/([0-9]+)', 1) || '.json?a=1'
+                      ELSE regexp_extract(url, '/([0-9]+)', 1) END AS thread,
                   CASE WHEN url LIKE 'https://m.%' THEN 0 WHEN url LIKE 'https%' THEN 1 ELSE 2 END
                       AS priority,
                   contains(url, '?') AS broken
@@ -185,7 +187,8 @@ def comment_texts(t: Tables) -> DataFrame:
        GROUP BY thread, priority"""
 )
 def latest_raw_copy(t: Tables) -> DataFrame:
-    """Pages as copies of threads: the number in the address is the thread."""
+    """Pages as copies of threads: the number in the address is the thread, or, for a third of
+    them, the address names no thread and stands for itself."""
     number = F.regexp_extract("url", "/([0-9]+)", 1)
     kind = (
         F.when(F.startswith("url", F.lit("https://m.")), "file")
@@ -195,7 +198,11 @@ def latest_raw_copy(t: Tables) -> DataFrame:
     whole = F.concat(F.lit('{"id":"x","title":'), json_text(F.col("html")), F.lit("}"))
     broken = F.contains("url", F.lit("?"))
     copies = t.pages.select(
-        F.concat(F.lit("https://example.com/comments/"), number, F.lit("/x")).alias("source"),
+        F.when(
+            F.col("page_id") % 3 == 0, F.concat(F.lit("https://example.com/t/"), number, F.lit("/?a=1"))
+        )
+        .otherwise(F.concat(F.lit("https://example.com/comments/"), number, F.lit("/x")))
+        .alias("source"),
         F.col("page_id").alias("origin"),
         kind.alias("kind"),
         F.when(broken, F.concat(F.lit("<"), whole)).otherwise(whole).alias("value"),
