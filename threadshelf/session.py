@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     # also split a skewed side when that costs one more shuffle after the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # rows with whole texts: a batch is held by the JVM, in transit and by the Python worker
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
