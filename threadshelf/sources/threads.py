@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
+from threadshelf.plans.skew import lookup_join
 
 # Threads held as Python objects at a time.
 THREADS_AT_ONCE = 256
@@ -213,24 +214,24 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
     """One raw copy per thread from (source, origin, kind, value).
 
     A supplied file wins over a cached copy, which wins over a fetched one. A cached copy
-    that cannot be read is passed over; a malformed supplied file is not.
+    that cannot be read is passed over; a malformed supplied file is not. A copy is known by
+    its source, origin and kind.
     """
     cached = F.col("kind") == "cache"
-    readable = copies.where(cached).where(_is_thread("value"))
-    usable = copies.where(~cached).unionByName(readable)
+    copy = ["source", "origin", "kind"]
+    # each cached copy is read once, and only names are compared
+    readable = copies.where(cached).where(_is_thread("value")).select(*copy)
+    usable = copies.where(~cached).select(*copy).unionByName(readable)
     priority = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in COPY_PRIORITY.items()])
     source = F.col("source")
     address = F.when(F.startswith(source, F.lit("http")), text.json_url(source)).otherwise(source)
     thread = F.coalesce(text.external_id(source), address)
-    return (
+    best = (
         usable.groupBy(thread.alias("thread"))
-        .agg(
-            F.min_by(
-                F.struct("source", "origin", "kind", "value"), F.struct(priority, "origin")
-            ).alias("best")
-        )
+        .agg(F.min_by(F.struct(*copy), F.struct(priority, "origin")).alias("best"))
         .select("thread", "best.*")
     )
+    return lookup_join(copies, best, copy, "inner").select("thread", *copy, "value")
 
 
 @F.pandas_udf(T.BooleanType())
