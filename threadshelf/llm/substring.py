@@ -15,18 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadshelf.llm.common import WordHashes, arrow_schema, gram_hashes, mix64, slices, type_of
+from threadshelf.llm.common import Grams, arrow_schema, mix64, slices, type_of, word_hashes
 from threadshelf.plans.lineage import cut
 
 LENGTH = 13
 # Words of an anchor. A window has LENGTH - GROUP + 1 groups, about 2 in 10 of all become anchors.
 GROUP = 5
 # Bytes of text whose anchors are compared before the shuffle.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEEDS = "anchor long, around long, doc long, pos int, full boolean"
@@ -54,27 +55,46 @@ class Anchored:
     """Anchors of one document: `of` gives each window's anchor, `around` the anchors' surroundings."""
 
     def __init__(self, hashes: np.ndarray, length: int, group: int):
-        self.hashes, self.length = hashes, length
+        self.length = length
         if len(hashes) < length:
             self.of = self.places = np.empty(0, np.int64)
             self.anchors = self.around = np.empty(0, np.uint64)
             return
-        groups = gram_hashes(hashes, group)
-        self.of = least_positions(groups, length - group + 1)
-        self.places = self.of[np.r_[True, self.of[1:] != self.of[:-1]]]
-        self.anchors = groups[self.places]
         side = length - group
         # beyond the ends stand values of their own, so that an end only equals an end
         edge = mix64(np.array([length, length + 1], np.uint64))
-        padded = np.concatenate([np.repeat(edge[:1], side), hashes, np.repeat(edge[1:], side)])
-        self.around = gram_hashes(padded, 2 * side + group)[self.places]
+        self.side, self.n = side, len(hashes)
+        self.grams = Grams(np.concatenate([np.repeat(edge[:1], side), hashes, np.repeat(edge[1:], side)]))
+        groups = self.grams.of(group)[side : side + len(hashes) - group + 1]
+        self.of = least_positions(groups, length - group + 1)
+        self.places = self.of[np.r_[True, self.of[1:] != self.of[:-1]]]
+        self.anchors = groups[self.places]
+        self.around = self.grams.of(2 * side + group, self.places)
 
-    def windows(self) -> np.ndarray:
-        return gram_hashes(self.hashes, self.length)
+    def windows(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at the given starts."""
+        return self.grams.of(self.length, starts + self.side) if len(starts) else np.empty(0, np.uint64)
 
     def with_anchor(self, places: np.ndarray) -> np.ndarray:
         """Starts of the windows whose anchor is at one of the places."""
-        return np.flatnonzero(np.isin(self.of, places))
+        wanted = np.zeros(len(self.of) + self.length, bool)
+        wanted[places] = True
+        return np.flatnonzero(wanted[self.of])
+
+
+def anchored(texts: pa.Array, length: int, group: int) -> Iterator[Anchored]:
+    hashes, begins = word_hashes(texts)
+    for start, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        yield Anchored(hashes[start:end], length, group)
+
+
+def lists(column: pa.ListArray) -> tuple[list[int], dict[str, np.ndarray]]:
+    """A column of lists of structs: where each row's list begins, and the fields of all."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    kind = column.type.value_type
+    fields = {kind.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(kind.num_fields)}
+    return np.concatenate([[0], np.cumsum(sizes)]).tolist(), fields
 
 
 def seeds(docs: DataFrame, length: int, group: int, block_bytes: int) -> DataFrame:
@@ -82,10 +102,9 @@ def seeds(docs: DataFrame, length: int, group: int, block_bytes: int) -> DataFra
     surroundings are full matches already, and need to meet no other."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 1, block_bytes):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [Anchored(known.of(split_words(t.as_py())), length, group) for t in batch.column(1)]
+            found = list(anchored(batch.column(1), length, group))
             counts = [len(f.places) for f in found]
             if not sum(counts):
                 continue
@@ -126,16 +145,13 @@ def marks(found: DataFrame) -> DataFrame:
     return cut(met.where(full | (F.col("low") != F.col("high"))).select("doc", "pos", "around", full.alias("full")))
 
 
-def _valid(own: Anchored, listed: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the marks that fit this text: (full, close). Rows may share an id."""
-    if not listed or not len(own.places):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pos = np.array([m["pos"] for m in listed], np.int64)
-    around = np.array([m["around"] for m in listed], np.int64).view(np.uint64)
-    full = np.array([m["full"] for m in listed], bool)
+def _valid(own: Anchored, pos: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Places of the marks that fit this text. Rows may share an id."""
+    if not len(pos) or not len(own.places):
+        return np.empty(0, np.int64)
     at = np.minimum(np.searchsorted(own.places, pos), len(own.places) - 1)
-    fits = (own.places[at] == pos) & (own.around[at] == around)
-    return pos[fits & full], pos[fits & ~full]
+    fits = (own.places[at] == pos) & (own.around[at] == around.view(np.uint64))
+    return pos[fits].astype(np.int64)
 
 
 def without_words(text: str | None, gone: list[bool]) -> str:
@@ -173,15 +189,19 @@ def dedup_substrings(
     marked = texts.join(listed, "doc", "left")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 1):
+            begins, mark = lists(batch.column(3))
+            near = ~mark["full"].astype(bool)
+            some = np.add.reduceat(np.r_[near, False], begins[:-1]) if len(near) else np.zeros(batch.num_rows)
+            some = np.flatnonzero((np.diff(begins) > 0) & (some > 0))
+            rows = batch.take(pa.array(some))
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, text, own_marks in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                if not own_marks or all(m["full"] for m in own_marks):
-                    continue
-                own = Anchored(known.of(split_words(text)), length, group)
-                starts = own.with_anchor(_valid(own, own_marks)[1])
-                out.append((own.windows()[starts] if len(starts) else np.empty(0, np.uint64), np.full(len(starts), doc), starts))
+            docs = rows.column(0).to_numpy(zero_copy_only=False)
+            for i, doc, own in zip(some.tolist(), docs, anchored(rows.column(1), length, group), strict=True):
+                a, b = begins[i], begins[i + 1]
+                which = near[a:b]
+                starts = own.with_anchor(_valid(own, mark["pos"][a:b][which], mark["around"][a:b][which]))
+                out.append((own.windows(starts), np.full(len(starts), doc), starts))
             if out:
                 window, doc, start = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -197,34 +217,47 @@ def dedup_substrings(
     )
     target = arrow_schema(schema)
 
+    def unchanged(doc, text: str | None, n: int) -> tuple:
+        kept = (text or "") if layout else b" ".join(split_words(text)).decode("utf-8", "surrogatepass")
+        return doc, n, 0, [], kept
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 1):
             rows = []
-            for doc, text, own_marks, own_starts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                found = split_words(text)
-                gone = np.zeros(len(found) + 1, np.int64)
-                if own_marks:
-                    own = Anchored(known.of(found), length, group)
-                    first = own.with_anchor(_valid(own, own_marks)[0])
-                    if own_starts:
-                        win = own.windows()
-                        at = np.array([s["start"] for s in own_starts], np.int64)
-                        is_ = np.array([s["win"] for s in own_starts], np.int64).view(np.uint64)
-                        inside = at < len(win)
-                        at, is_ = at[inside], is_[inside]
-                        first = np.union1d(first, at[win[at] == is_])
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, first + length, -1)
-                mask = np.cumsum(gone)[:-1] > 0
-                turn = np.flatnonzero(np.diff(np.r_[0, mask, 0]))
+            begins, mark = lists(batch.column(3))
+            found, start = lists(batch.column(4))
+            hashes, words = word_hashes(batch.column(1))
+            words = words.tolist()
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                n = words[i + 1] - words[i]
+                if begins[i] == begins[i + 1]:
+                    rows.append(unchanged(doc, text, n))
+                    continue
+                gone = np.zeros(n + 1, np.int64)
+                own = Anchored(hashes[words[i] : words[i + 1]], length, group)
+                a, b = begins[i], begins[i + 1]
+                full = mark["full"][a:b].astype(bool)
+                first = own.with_anchor(_valid(own, mark["pos"][a:b][full], mark["around"][a:b][full]))
+                a, b = found[i], found[i + 1]
+                if a < b:
+                    at, is_ = start["start"][a:b].astype(np.int64), start["win"][a:b].view(np.uint64)
+                    inside = at < len(own.of)
+                    at, is_ = at[inside], is_[inside]
+                    first = np.union1d(first, at[own.windows(at) == is_])
+                if not len(first):
+                    rows.append(unchanged(doc, text, n))
+                    continue
+                np.add.at(gone, first, 1)
+                np.add.at(gone, first + length, -1)
+                gaps = np.cumsum(gone)[:-1] > 0
+                turn = np.flatnonzero(np.diff(np.r_[0, gaps, 0]))
                 spans = [{"first": int(a), "words": int(b - a)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
                 if layout:
-                    kept = without_words(text, mask.tolist()) if spans else text or ""
+                    kept = without_words(text, gaps.tolist())
                 else:
-                    left = [w for w, x in zip(found, mask.tolist(), strict=True) if not x] if spans else found
+                    left = [w for w, x in zip(split_words(text), gaps.tolist(), strict=True) if not x]
                     kept = b" ".join(left).decode("utf-8", "surrogatepass")
-                rows.append((doc, len(found), int(mask.sum()), spans, kept))
+                rows.append((doc, n, int(gaps.sum()), spans, kept))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], names=target.names)
 
