@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadshelf.llm.common import WordHashes, gram_hashes, slices, type_of
+from threadshelf.llm.common import Grams, gram_hashes, slices, type_of, word_hashes
 from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import fits_broadcast
 
-_WORDS = re.compile(r"\w+")
+_SIGNS = re.compile(r"\W+")
 BLOCKS, BLOCK_ERRORS = 8, 2
 _BITS = np.arange(64, dtype=np.uint64)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -41,9 +41,13 @@ class Settings:
     item_bytes: int = 16 << 20  # items that one pass over the documents looks for
 
 
-def normal_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits."""
-    return _WORDS.findall((text or "").lower())
+def normal(word: str) -> str:
+    """The letters and digits of a word in lower case."""
+    return word.lower() if word.isalnum() else _SIGNS.sub("", word.lower())
+
+
+def normal_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(texts, normal=normal)
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -93,22 +97,54 @@ class Items:
             yield from zip((window[near] + start).tolist(), item[near].tolist(), apart[near].tolist(), strict=True)
 
 
+class Vocabulary:
+    """A set of hashes, asked for many at a time; a bitmap answers for most of those not in it."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.bitmap = np.zeros(1 << self.BITS, bool)
+        self.bitmap[self._slot(self.sorted)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are in the set."""
+        some = np.flatnonzero(self.bitmap[self._slot(hashes)])
+        at = np.minimum(np.searchsorted(self.sorted, hashes[some]), len(self.sorted) - 1)
+        return some[self.sorted[at] == hashes[some]]
+
+
 class Finder:
     """Finds a set of items in texts."""
 
     def __init__(self, texts: list[str | None], s: Settings):
-        self.s, self.known = s, WordHashes()
+        self.s = s
+        hashes, begins = normal_hashes(pa.array(texts, pa.string()))
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for number, text in enumerate(texts):
-            found = normal_words(text)
-            if found:
-                k = min(s.shingle, len(found))
-                by_length.setdefault(len(found), []).append((number, gram_hashes(self.known.of(found), k)))
+        for number, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+            if a < b:
+                by_length.setdefault(b - a, []).append((number, gram_hashes(hashes[a:b], min(s.shingle, b - a))))
         self.groups = [Items(n, s.shingle, *map(list, zip(*x, strict=True))) for n, x in sorted(by_length.items())]
         self.vocabulary = {
-            k: np.unique(np.concatenate([g.vocabulary for g in self.groups if g.k == k])) for k in {g.k for g in self.groups}
+            k: Vocabulary(np.concatenate([g.vocabulary for g in self.groups if g.k == k])) for k in {g.k for g in self.groups}
         }
 
+    def find_all(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple]]]:
+        """(row, items found) of the texts that share a shingle with any item."""
+        hashes, begins = normal_hashes(texts)
+        if not len(hashes):
+            return
+        grams = Grams(hashes)
+        # shingles that reach into the next text are asked for too, and do no harm
+        near = [np.searchsorted(begins, v.places(grams.of(k)), side="right") - 1 for k, v in self.vocabulary.items()]
+        for row in np.unique(np.concatenate([*near, np.empty(0, np.int64)])).astype(int).tolist():
+            found = self.find(hashes[begins[row] : begins[row + 1]])
+            if found:
+                yield row, found
+
     def candidates(self, group: Items, hits: np.ndarray) -> tuple[np.ndarray, int]:
         """Starts of the windows that have enough shingles of any item, and their shingle count.
 
@@ -123,11 +159,14 @@ class Finder:
         shared = total[group.n :] - total[: -group.n]
         return np.flatnonzero(shared >= 2 * p / (1 + p) * group.n - 1e-9), group.n
 
-    def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item, similarity, first word, words, distance) of the best window of each item found."""
-        hashes = self.known.of(normal_words(text))
+    def find(self, hashes: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """(item, similarity, first word, words, distance) of the best window of each item found
+        in a text, given the hashes of its words."""
         grams = {k: gram_hashes(hashes, k) for k in self.vocabulary}
-        hits = {k: np.isin(grams[k], v) for k, v in self.vocabulary.items()}
+        hits = {}
+        for k, v in self.vocabulary.items():
+            hits[k] = np.zeros(len(grams[k]), bool)
+            hits[k][v.places(grams[k])] = True
         best: dict[int, tuple] = {}
         for group in self.groups:
             if not hits[group.k].any():
@@ -158,7 +197,7 @@ def contaminated(
     """(id, item, similarity, first_word, n_words, distance): every item found in every document,
     with its best window.
 
-    Words are lower-case runs of letters and digits. Similarity is that of the weighted sets of
+    Words are divided by ASCII white space; their letters and digits count, in lower case. Similarity is that of the weighted sets of
     five-word shingles, a shingle's weight being how often it comes; an item of fewer words is
     one shingle. Null and empty texts hold nothing. An item that comes twice is one, a document
     row that comes twice gives its rows twice.
@@ -184,8 +223,7 @@ def contaminated(
             for batch in slices(batches, 1):
                 finder = finder or Finder(texts.value, settings)
                 at, out = [], []
-                for i, text in enumerate(batch.column(1)):
-                    got = finder.find(text.as_py())
+                for i, got in finder.find_all(batch.column(1)):
                     at += [i] * len(got)
                     out += got
                 if out:
