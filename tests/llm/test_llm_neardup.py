@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from threadshelf.llm import neardup
-from threadshelf.llm.common import WordHashes
+from threadshelf.llm.common import Grams, word_hashes
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -61,7 +63,7 @@ def run(spark, rows, settings):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str)
 
 
-@pytest.mark.parametrize("open_pairs", [4.0, 0.0])
+@pytest.mark.parametrize("open_pairs", [8.0, 0.0])
 def test_groups_are_those_of_brute_force(spark, open_pairs):
     # without listed pairs every bucket is worked off pivot by pivot
     rows = list(enumerate(texts(1)))
@@ -108,11 +110,31 @@ def test_sketch_and_bands_follow_similarity():
 
 
 def test_shingle_sets():
-    known = WordHashes()
-    assert len(neardup.shingle_set("a b c d e f", known)) == 2
-    assert len(neardup.shingle_set("a b", known)) == 1
-    assert len(neardup.shingle_set(None, known)) == 0
-    assert (neardup.shingle_set("A b c", known) == neardup.shingle_set("a\x0bB\nC", known)).all()
+    def sets(*texts):
+        return [x.tolist() for x in neardup.shingle_sets_of(pa.array(texts, pa.string()), 5)]
+
+    a, b, c, d = sets("a b c d e f", "a b", None, "  ")
+    assert (len(a), len(b), len(c), len(d)) == (2, 1, 0, 0)
+    a, b = sets("A b c", " a\x0bB\nC\r\n")
+    assert a == b
     # only A-Z change, and only ASCII white space divides
-    assert (neardup.shingle_set("É b c", known) != neardup.shingle_set("é b c", known)).any()
-    assert (neardup.shingle_set("a b", known) != neardup.shingle_set("a b", known)).any()
+    a, b, c, d = sets("É b c", "é b c", "a\u00a0b", "a b")
+    assert a != b and c != d
+
+
+def test_words_are_those_of_a_split():
+    texts = ["", " ", "a", " a  b\t\x0b c\x0c", "x\x1cy z\x85w", "é ü\n\n", None, "one two one", "\x00 q"]
+    hashes, begins = word_hashes(pa.array(texts, pa.string()).slice(1))
+    want = [[xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().split()] for t in texts[1:]]
+    assert [hashes[a:b].tolist() for a, b in zip(begins, begins[1:])] == want
+
+
+def test_gram_hashes_do_not_depend_on_the_place():
+    r = np.random.default_rng(1)
+    run = r.integers(0, 2**64, 20, dtype=np.uint64)
+    whole = np.concatenate([r.integers(0, 2**64, 3000, dtype=np.uint64), run, r.integers(0, 2**64, 50, dtype=np.uint64)])
+    for k in (1, 5, 13, 20):
+        found = Grams(whole).of(k)
+        assert found[3000] == Grams(run).of(k)[0] == Grams(whole).of(k, np.array([3000]))[0]
+        assert len(found) == len(whole) - k + 1 and len(set(found.tolist())) == len(found)
+    assert len(Grams(run).of(21)) == 0

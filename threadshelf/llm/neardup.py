@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form a class and go on as one. Links between classes are
 found bucket by bucket: every member of a band's bucket is compared with the smallest member,
-the groups found so far are joined, and only members of different groups stay open for the
-next smallest. No bucket is gathered and no group's pairs are listed.
+the groups found so far are joined, and only members of different groups stay open. When those
+are few they are compared with each other; until then each round takes twice as many of the
+smallest. No bucket is gathered and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadshelf.llm.common import WordHashes, gram_hashes, mix64, slices
+from threadshelf.llm.common import gram_hashes, mix64, slices, word_hashes
 from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import fits_broadcast
 
@@ -35,8 +36,8 @@ class Settings:
     bands: int = 32
     rows: int = 4
     sketch_words: int = 8  # 64 bits each
-    deviations: float = 6.0  # of the sketch's distance, beyond which a pair is sifted out
-    open_pairs: float = 4.0  # pairs per class that may be listed at once
+    deviations: float = 4.5  # of the sketch's distance, beyond which a pair is sifted out
+    open_pairs: float = 8.0  # pairs per class that may be compared at once
 
     @property
     def samples(self) -> int:
@@ -57,13 +58,13 @@ class Settings:
         return int(n * odd + self.deviations * sqrt(drawn**2 + n * odd * (1 - odd)))
 
 
-def shingle_set(text: str | None, known: WordHashes, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text, A-Z in lower case; of the
-    whole sequence if it has fewer words; nothing without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(known.of(found), min(k, len(found))))
+def shingle_sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles, A-Z in lower case;
+    of the whole sequence if it has fewer words; nothing without words."""
+    hashes, begins = word_hashes(texts, lower=True)
+    for start, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        n = end - start
+        yield np.unique(gram_hashes(hashes[start:end], min(k, n))) if n else np.empty(0, np.uint64)
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -103,13 +104,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Data
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, multipliers = WordHashes(), _multipliers(s.samples)
+        multipliers = _multipliers(s.samples)
         for batch in slices(batches, 1):
             counts, hashes = [], []
             keys = np.zeros((batch.num_rows, s.bands), np.uint64)
             sketches = np.zeros((batch.num_rows, s.sketch_words), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                shingles = shingle_set(text.as_py(), known, s.shingle)
+            for i, shingles in enumerate(shingle_sets_of(batch.column(1), s.shingle)):
                 counts.append(len(shingles))
                 hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 if len(shingles):
@@ -138,9 +138,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = WordHashes()
         for batch in slices(batches, 1, 2 << 20):
-            found = [shingle_set(t.as_py(), known, s.shingle) for t in batch.column(1)]
+            found = list(shingle_sets_of(batch.column(1), s.shingle))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
             digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
@@ -165,26 +164,32 @@ def connected(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the edges (a, b), for ids with an edge.
 
     Large-star and small-star steps in turn: a step replaces edges, never lists pairs of a
-    component, and ends in a number of rounds that grows with the logarithm of its size.
+    component, and ends in a number of rounds that grows with the logarithm of its size. The
+    smallest neighbours are written down before they are joined with the edges of a node, so
+    that adaptive execution can split a node with very many.
     """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        around = both(edges)
+    while not _are_stars(edges):
+        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = cut(large.where("a <> b").distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("low")))
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        new = cut(moved.where("a <> b").unionByName(least.select("a", F.col("low").alias("b"))).distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            roots = new.groupBy("a").agg(F.min("b").alias("component"))
-            return cut(
-                roots.select(F.col("a").alias("id"), "component")
-                .unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("component")))
-                .distinct()
-            )
-        edges = new
+        large = cut(
+            around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        )
+        # a node keeps only its smallest neighbour, and hands it to the others
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        edges = cut(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return cut(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one smaller neighbour, which has none."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("centre"))
+    )
+    odd = ends.groupBy("id").agg(F.sum("child").alias("n"), F.max("centre").alias("centre")).where("n > 1 OR n = 1 AND centre = 1")
+    return odd.isEmpty()
 
 
 class NearDuplicates:
@@ -201,24 +206,30 @@ class NearDuplicates:
         self.links = self._links()
 
     def _members(self) -> DataFrame:
-        """(key, node) for the buckets of two or more classes."""
+        """(key, node, low) for the buckets of two or more classes; low is the smallest of them."""
         spread = self.classes.select("node", F.explode("bands").alias("key"))
-        several = cut(spread.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low <> _high").select("key"))
+        several = cut(
+            spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+        )
         return cut(spread.join(several, "key"))
 
-    def _sifted(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose odd sketches and sizes allow the similarity."""
-        look = lambda side: self.classes.select(
-            F.col("node").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"),
-            F.col("set_hash").alias(f"h{side}"),
-        )
+    def _alike(self) -> Column:
+        """Sizes (na, nb) and odd sketches (sa, sb) allow the similarity."""
         low, high = F.least("na", "nb"), F.greatest("na", "nb")
-        return (
-            pairs.join(look("a"), "a").join(look("b"), "b")
-            .where((100 * low >= self.s.percent * high) & (_differing_bits("sa", "sb", self.s.sketch_words) <= self.s.largest_distance))
-            .drop("sa", "sb")
+        return (100 * low >= self.s.percent * high) & (
+            _differing_bits("sa", "sb", self.s.sketch_words) <= self.s.largest_distance
+        )
+
+    def _side(self, x: str) -> DataFrame:
+        return self.classes.select(
+            F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"),
+            F.col("set_hash").alias(f"h{x}"),
         )
 
+    def _sifted(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose odd sketches and sizes allow the similarity."""
+        return pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._alike()).drop("sa", "sb")
+
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets have the similarity."""
         pairs = cut(self._sifted(pairs))
@@ -236,47 +247,59 @@ class NearDuplicates:
     def _links(self) -> DataFrame:
         """Confirmed pairs (a, b) of classes, enough to connect every group."""
         members = self._members()
-        n_classes = max(1, self.classes.count())
-        labelled = members.withColumn("component", F.col("node"))
-        links, checked, component = None, None, None
+        most = self.s.open_pairs * max(1, self.classes.count())
+        # at first all members of a bucket meet its smallest
+        pairs = members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+        checked = cut(pairs.distinct())
+        links = cut(self._confirmed(checked))
+        component, rest, pivots = connected(links), members.where("node > low").select("key", "node"), 2
         while True:
-            per = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+            labelled = cut(
+                rest.join(component.withColumnRenamed("id", "node"), "node", "left")
+                .select("key", "node", F.coalesce("component", "node").alias("component"))
+            )
+            n = F.col("n").cast("double")
             buckets = cut(
-                per.groupBy("key").agg(
-                    F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("low").alias("pivot"), F.count("*").alias("groups"),
-                    F.max_by("component", "n").alias("main"),
+                labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+                .groupBy("key").agg(
+                    ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("open"), F.max_by("component", "n").alias("main"),
+                    F.count("*").alias("groups"),
                 ).where("groups > 1")
             )
-            open_pairs = buckets.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
+            open_pairs = buckets.agg(F.sum("open")).first()[0] or 0
             if not open_pairs:
-                break
-            labelled = cut(labelled.join(buckets.select("key", "pivot", "main"), "key"))
-            if open_pairs <= self.s.open_pairs * n_classes:
-                # members outside the bucket's largest group with all members of other groups
-                x, y = labelled.where("component <> main").alias("x"), labelled.alias("y")
-                once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-                pairs = x.join(y, F.col("x.key") == F.col("y.key")).where(
-                    (F.col("x.component") != F.col("y.component")) & once
-                ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            else:
-                pivot = labelled.where("node = pivot").select("key", F.col("component").alias("own"))
-                pairs = labelled.where("node > pivot").join(pivot, "key").where("component <> own").select(
-                    F.col("pivot").alias("a"), F.col("node").alias("b")
-                )
-            pairs = cut(pairs.distinct())
-            fresh = pairs if checked is None else cut(pairs.join(checked, ["a", "b"], "left_anti"))
+                return links
+            labelled = cut(labelled.join(buckets.select("key", "main"), "key"))
+            if open_pairs <= most:
+                fresh = cut(self._open(labelled).distinct().join(checked, ["a", "b"], "left_anti"))
+                return links.unionByName(self._confirmed(fresh))
+            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            chosen = cut(labelled.withColumn("_place", place).where(F.col("_place") <= pivots))
+            pivot = chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("own"))
+            met = labelled.join(pivot, "key").where("node > pivot AND component <> own")
+            pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+            fresh = cut(pairs.join(checked, ["a", "b"], "left_anti"))
             confirmed = cut(self._confirmed(fresh))
-            links = confirmed if links is None else cut(links.unionByName(confirmed))
-            if open_pairs <= self.s.open_pairs * n_classes:
-                break
-            checked = fresh if checked is None else checked.unionByName(fresh)
-            component = connected(links)
-            rest = labelled.where("node > pivot").select("key", "node")
-            labelled = cut(
-                rest.join(component.withColumnRenamed("id", "node"), "node", "left")
-                .select("key", "node", F.coalesce("component", "node").alias("component"))
-            )
-        return links if links is not None else self.classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+            checked = checked.unionByName(fresh)
+            if not confirmed.isEmpty():
+                links = links.unionByName(confirmed)
+                component = connected(links)
+            done = cut(chosen.groupBy("key").agg(F.max("node").alias("pivot")))
+            rest = labelled.join(done, "key").where("node > pivot").select("key", "node")
+            pivots *= 2
+
+    def _open(self, labelled: DataFrame) -> DataFrame:
+        """Pairs of members of different groups that sketches and sizes allow: those outside a
+        bucket's largest group with all members of other groups."""
+        rows = cut(labelled.join(self.classes.select("node", "sketch", "n_shingles"), "node"))
+        side = lambda x, d: d.select(
+            "key", F.col("main").alias(f"m{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"),
+            F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"),
+        )
+        x, y = side("a", rows.where("component <> main")), side("b", rows)
+        once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & self._alike())
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def components(self) -> DataFrame:
         """(id, n_shingles, component) of every row.
