@@ -5,6 +5,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from threadshelf.llm import neardup
 from threadshelf.llm.common import Grams, word_hashes
 
@@ -63,7 +65,7 @@ def run(spark, rows, settings):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str)
 
 
-@pytest.mark.parametrize("open_pairs", [8.0, 0.0])
+@pytest.mark.parametrize("open_pairs", [256.0, 0.0])
 def test_groups_are_those_of_brute_force(spark, open_pairs):
     # without listed pairs every bucket is worked off pivot by pivot
     rows = list(enumerate(texts(1)))
@@ -92,21 +94,25 @@ def test_components_of_random_graphs(spark):
     assert got == {x: c for x, c in label.items() if x in touched}
 
 
-def test_sketch_and_bands_follow_similarity():
+def test_sketch_and_bands_follow_similarity(spark):
     r, s = np.random.default_rng(4), neardup.Settings()
     multipliers = neardup._multipliers(s.samples)
-    for share, sure in ((1.0, True), (0.75, True), (0.1, False)):
-        met = near = 0
-        for _ in range(200):
-            union = r.integers(0, 2**64, 400, dtype=np.uint64)
-            n = int(400 * share)
-            extra = (400 - n) // 2
-            a, b = union[: n + extra], np.r_[union[:n], union[n + extra :]]
-            x, y = neardup.minhashes(a, multipliers), neardup.minhashes(b, multipliers)
-            met += bool((neardup.band_keys(x, s.bands) == neardup.band_keys(y, s.bands)).any())
-            bits = neardup.odd_sketch(x, s.sketch_words) ^ neardup.odd_sketch(y, s.sketch_words)
-            near += int(np.bitwise_count(bits).sum()) <= s.largest_distance
-        assert (met == 200 and near == 200) if sure else near < 10
+    for n in (40, 400, 4000):
+        for share, sure in ((1.0, True), (0.75, True), (0.6, False)):
+            size = F.lit(n * (1 + share) / 2)
+            limit = spark.range(1).select(s.largest_distance(size, size)).first()[0]
+            met = near = 0
+            for _ in range(100):
+                union = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+                r.shuffle(union)
+                same = int(np.ceil(n * share))
+                extra = (n - same) // 2
+                a, b = np.sort(union[: same + extra]), np.sort(np.r_[union[:same], union[same + extra :]])
+                x, y = neardup.minhashes(a, multipliers), neardup.minhashes(b, multipliers)
+                met += bool((neardup.band_keys(x, s.bands) == neardup.band_keys(y, s.bands)).any())
+                bits = neardup.odd_sketch(a, s.bins, s.sketch_words) ^ neardup.odd_sketch(b, s.bins, s.sketch_words)
+                near += int(np.bitwise_count(bits).sum()) <= limit
+            assert (met == 100 and near == 100) if sure else near <= (5 if n > 40 else 50), (n, share, met, near)
 
 
 def test_shingle_sets():

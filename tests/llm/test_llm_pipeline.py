@@ -29,7 +29,7 @@ def planted():
     item, passage = " ".join("b%d" % i for i in range(30)), " ".join("p%d" % i for i in range(60)) + "."
     near = clean[0].replace(clean[0].split()[7], "changed", 1)
     texts = [
-        *clean, clean[0], near, clean[4] + "\n" + item + ".", clean[5][:200] + ".\n" + prose(r, 90) + "\n" + passage,
+        *clean, clean[0], near, prose(r, 90) + "\n" + item + ".", clean[5][:200] + ".\n" + prose(r, 90) + "\n" + passage,
         prose(r, 100) + "\n" + passage, "too short", None, "", "a | b | c | d\n" * 60,
     ]
     return [(i, t, None, f"s{i % 3}" if i % 5 else None, 0) for i, t in enumerate(texts)], [(1, item), (2, None)]
@@ -46,10 +46,10 @@ def test_each_stage_catches_its_cases(spark, folder):
             assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert all(r["n_chars"] == len(r["text"]) for r in kept[name].values())
     assert set(kept["quality_rules"]) == set(range(11))
-    assert set(kept["near_duplicates"]) == set(range(11)) - {6, 7, 8} | {8} - ({8} if 8 not in kept["near_duplicates"] else set())
-    assert {0, 1, 2, 3, 4, 5, 9, 10} <= set(kept["near_duplicates"]) and not {6, 7} & set(kept["near_duplicates"])
+    assert set(kept["near_duplicates"]) == set(range(11)) - {6, 7}
     substrings = kept["substring_dedup"]
     assert "p30" in substrings[9]["text"] and "p30" not in substrings[10]["text"]
+    assert set(substrings) == set(kept["near_duplicates"])
     assert all(substrings[i]["text"] == docs[i][1] for i in range(6))
     assert set(kept["benchmark_decontamination"]) == {0, 1, 2, 3, 4, 5, 9, 10}
     mixed = kept["source_mix"]

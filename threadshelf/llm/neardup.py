@@ -3,15 +3,14 @@
 Documents with equal shingle sets form a class and go on as one. Links between classes are
 found bucket by bucket: every member of a band's bucket is compared with the smallest member,
 the groups found so far are joined, and only members of different groups stay open. When those
-are few they are compared with each other; until then each round takes twice as many of the
-smallest. No bucket is gathered and no group's pairs are listed.
+are not too many they are compared with each other, by sketch, and only those that may be alike are
+listed; until then each round takes twice as many of the smallest. No bucket is gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +27,40 @@ from threadshelf.plans.sizes import fits_broadcast
 class Settings:
     """Shingle length, similarity (in percent) and the shape of the signatures.
 
-    At the least similarity a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6.
+    At the least similarity a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is
+    sifted out with about the same.
     """
 
     shingle: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    sketch_words: int = 8  # 64 bits each
-    deviations: float = 4.5  # of the sketch's distance, beyond which a pair is sifted out
-    open_pairs: float = 8.0  # pairs per class that may be compared at once
+    bins: int = 1 << 15  # of the one-permutation samples that are folded into the sketch
+    sketch_words: int = 32  # 64 bits each
+    deviations: float = 4.5  # of the sketches' distance, beyond which a pair is sifted out
+    open_pairs: float = 256.0  # pairs per class that may be compared at once
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def largest_distance(self) -> int:
-        """Bits in which the sketches of a pair at the least similarity differ, at most.
+    def largest_distance(self, na: Column, nb: Column) -> Column:
+        """Bits in which the sketches of sets of na and nb shingles at the least similarity J
+        differ, at most.
 
-        With m samples of which a share 1 - J differs, 2m(1 - J) elements are folded into n bits;
-        each bit is odd with probability (1 - exp(-4m(1 - J) / n)) / 2. Both the number of
-        samples that differ and the bits they meet in vary.
+        The union then has u = (na + nb) / (1 + J) shingles in U of the k bins, and J U samples
+        agree; the D others are folded into n bits, each odd with probability (1 - exp(-2D / n)) / 2.
+        Samples vary by the shingles that meet in a bin, parities by the samples that meet in a bit.
         """
-        n, j = 64 * self.sketch_words, self.percent / 100
-        differ = self.samples * (1 - j)
-        odd = (1 - exp(-4 * differ / n)) / 2
-        drawn = 2 * exp(-4 * differ / n) * sqrt(differ * j)
-        return int(n * odd + self.deviations * sqrt(drawn**2 + n * odd * (1 - odd)))
+        k, n, j = float(self.bins), float(64 * self.sketch_words), self.percent / 100
+        full = lambda x: k * (1 - F.exp(-x / k))
+        u = (na + nb) / (1 + j)
+        differ = F.greatest(full(na) + full(nb) - 2 * j * full(u), F.lit(0.0))
+        odd = n * (1 - F.exp(-2 * differ / n)) / 2
+        fade = F.exp(-4 * differ / n)
+        drawn = 4 * F.least(u - full(u) + 0.25, j * (1 - j) * full(u)) * fade
+        folded = F.greatest(n * (1 - fade) / 4 - differ * fade, F.lit(0.0)) + 0.25
+        return odd + self.deviations * F.sqrt(drawn + folded)
 
 
 def shingle_sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -89,10 +94,12 @@ def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def odd_sketch(low: np.ndarray, n_words: int) -> np.ndarray:
-    """Parity bitmap of the set of (sample, minimum): each element flips one bit."""
-    element = mix64((np.arange(len(low), dtype=np.uint64) << np.uint64(32)) | low.astype(np.uint64))
-    bit = element % np.uint64(64 * n_words)
+def odd_sketch(shingles: np.ndarray, bins: int, n_words: int) -> np.ndarray:
+    """Parity bitmap of one-permutation MinHash samples: the least of the sorted hashes in each
+    bin flips one bit."""
+    place = shingles >> np.uint64(64 - (bins - 1).bit_length())
+    least = shingles[np.r_[True, place[1:] != place[:-1]]]
+    bit = mix64(least) % np.uint64(64 * n_words)
     parity = np.bincount(bit.astype(np.int64), minlength=64 * n_words) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -114,7 +121,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Data
                 hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 if len(shingles):
                     low = minhashes(shingles, multipliers)
-                    keys[i], sketches[i] = band_keys(low, s.bands), odd_sketch(low, s.sketch_words)
+                    keys[i], sketches[i] = band_keys(low, s.bands), odd_sketch(shingles, s.bins, s.sketch_words)
             lists = [
                 pa.ListArray.from_arrays(
                     pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64))
@@ -217,7 +224,7 @@ class NearDuplicates:
         """Sizes (na, nb) and odd sketches (sa, sb) allow the similarity."""
         low, high = F.least("na", "nb"), F.greatest("na", "nb")
         return (100 * low >= self.s.percent * high) & (
-            _differing_bits("sa", "sb", self.s.sketch_words) <= self.s.largest_distance
+            _differing_bits("sa", "sb", self.s.sketch_words) <= self.s.largest_distance(F.col("na"), F.col("nb"))
         )
 
     def _side(self, x: str) -> DataFrame:
