@@ -102,6 +102,24 @@ def test_approximate_search(data, monkeypatch):
     assert found(vectors.nearest_approximate(queries, indexed, 10, planes, 6)) == some
 
 
+def test_enough_probes_reach_the_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    planes = vectors.Hyperplanes(64, bits=6)
+    indexed = vectors.with_buckets(df, planes).localCheckpoint()
+    queries = df.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    exact = found(vectors.nearest(queries, indexed, 10))
+
+    def recall(probes):
+        some = found(vectors.nearest_approximate(queries, indexed, 10, planes, probes))
+        return np.mean([len(set(some.get(q, [])) & set(exact[q])) / 10 for q in exact])
+
+    enough = vectors.enough_probes(queries, indexed, 10, planes)
+    assert 24 < enough < 64
+    assert recall(enough) >= 0.9 > recall(enough - 1)
+    assert vectors.enough_probes(queries, indexed, 10, planes, recall=1.0) <= 64
+    assert vectors.enough_probes(queries.limit(0), indexed, 10, planes) == 64
+
+
 def test_an_index_by_bucket_is_read_in_part(spark, data, tmp_path, capsys):
     matrix, df = data
     planes = vectors.Hyperplanes(DIMENSIONS, bits=4)

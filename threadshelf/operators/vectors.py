@@ -233,8 +233,8 @@ class Hyperplanes:
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors @ self.matrix() > 0) @ (1 << np.arange(self.bits))
 
-    def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
-        """(query, bucket) mask of the n buckets that cost each query least to reach.
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """The buckets of each query, that which costs least to reach first.
 
         The cost of a bucket is the sum of squared distances to the planes that have to
         be crossed.
@@ -247,9 +247,12 @@ class Hyperplanes:
         for bit in range(self.bits):
             crossed = own[:, [bit]] != (sides[:, bit] == 1)[None, :]
             costs = costs + crossed * margins[:, [bit]] ** 2
-        order = np.argsort(costs, axis=1, kind="stable")[:, :n]
-        mask = np.zeros(costs.shape, bool)
-        np.put_along_axis(mask, order, True, axis=1)
+        return np.argsort(costs, axis=1, kind="stable")
+
+    def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
+        """(query, bucket) mask of the n buckets that cost each query least to reach."""
+        mask = np.zeros((len(queries), 1 << self.bits), bool)
+        np.put_along_axis(mask, self.order(queries)[:, :n], True, axis=1)
         return mask
 
 
@@ -287,3 +290,24 @@ def nearest_approximate(
     vectors = checked(indexed, dimensions)
     found = [_scan(part, vectors, k, reached) for part in _parts(queries, dimensions)]
     return ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def enough_probes(
+    queries: DataFrame, indexed: DataFrame, k: int, planes: Hyperplanes, recall: float = 0.9
+) -> int:
+    """The fewest probes at which `nearest_approximate` finds that share of the k nearest.
+
+    Measured with exact searches: pass a sample of the queries to come. Every vector of a probed
+    bucket is scored, so a neighbour is found just when its bucket is probed.
+    """
+    queries = _known_queries(queries)
+    keys = [c for c in ("id", "doc_id") if c in indexed.columns]
+    hits = nearest(queries, indexed, k).join(indexed.select(*keys, "bucket"), keys)
+    found = hits.select("qid", F.col("bucket").cast("long")).toArrow()
+    if not found.num_rows:
+        return 1 << planes.bits
+    qids, matrix = _query_matrix(queries)
+    places = np.argsort(planes.order(matrix), axis=1)
+    rows = np.searchsorted(qids, found.column("qid").to_numpy())
+    reached = np.sort(places[rows, found.column("bucket").to_numpy()])
+    return int(reached[max(1, int(np.ceil(recall * len(reached) - 1e-9))) - 1]) + 1
