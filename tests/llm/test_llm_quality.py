@@ -28,6 +28,17 @@ def test_lines_fail_by_their_kind(spark):
     assert not r("  ") and not r("A | B is one choice.")
 
 
+def test_long_lines_are_judged_by_share(spark):
+    w = [f"w{i}" for i in range(3000)]
+    w[100] = w[1500] = w[2500] = "•"
+    w[2000:2002] = ["click", "here"]
+    banner = " ".join("We use cookies, accept cookies or read our privacy policy and the terms of use." for _ in range(10))
+    short = " ".join(f"w{i}" for i in range(28)) + " click here."
+    clean, menu, notice, brief = judge(spark, " ".join(w) + ".", GOOD + "\n" + "Home | " * 200 + "End.", GOOD + "\n" + banner, GOOD + "\n" + short)
+    assert clean["kept"] and clean["loss"] == 0 and clean["clean_text"] == " ".join(w) + "."
+    assert menu["clean_text"] == notice["clean_text"] == brief["clean_text"] == GOOD
+
+
 def test_documents_that_lose_too_much_go(spark):
     menu = "\n".join("Home | News | About | More | Other things to see here" for _ in range(40))
     good, lost, some = judge(spark, GOOD, GOOD + "\n" + menu, GOOD + "\n" + menu[:200])

@@ -41,7 +41,10 @@ BOILERPLATE = (
 class Rules:
     """Limits of the line rules and of the loss a document may have."""
 
-    menu_entries: int = 3  # separators make a line a menu
+    menu_entries: int = 3  # separators make a line a menu, if there are also
+    separators_per_word: float = 0.1  # more of them
+    notice_words: int = 40  # a line of at most as many words fails for any notice, a longer one
+    notice_share: float = 0.1  # if more of its characters are in notices
     symbols_per_word: float = 0.5  # more make a line boilerplate
     marks_per_word: float = 0.5  # double exclamation marks; more make a line boilerplate
     shouted_words: int = 5  # a line of as many words without a small letter is shouted
@@ -82,7 +85,15 @@ def has_signs(text: Column) -> Column:
 
 def navigation_fails(line: Column, rules: Rules) -> Column:
     """The line is a list of entries with separators between them."""
-    return _count(line, SEPARATORS) >= rules.menu_entries
+    many = lambda n: (n >= rules.menu_entries) & (n > F.size(words(line)) * F.lit(rules.separators_per_word))
+    return let(_count(line, SEPARATORS), many)
+
+
+def notice_fails(line: Column, rules: Rules) -> Column:
+    """The line has a notice and is short, or much of it is notices."""
+    rest = F.regexp_replace(F.lower(line), "|".join(BOILERPLATE), "")
+    large = F.length(line) - F.length(rest) > F.length(line) * F.lit(rules.notice_share)
+    return has_notice(line) & ((F.size(words(line)) <= rules.notice_words) | large)
 
 
 def boilerplate_fails(line: Column, rules: Rules) -> Column:
@@ -108,7 +119,7 @@ def line_fails(line: Column, rules: Rules, signs: Column, notices: Column) -> Co
         punctuation_fails(line)
         | shouting_fails(line, rules)
         | F.when(signs, navigation_fails(line, rules) | boilerplate_fails(line, rules)).otherwise(False)
-        | F.when(notices, has_notice(line)).otherwise(False)
+        | F.when(notices, notice_fails(line, rules)).otherwise(False)
     )
 
 
