@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from threadshelf.llm import decontaminate as de
 
@@ -84,6 +85,21 @@ def test_the_index_finds_every_fingerprint_within_the_radius():
     assert found == {(w, i): apart[w, i] for w, i in zip(*np.nonzero(apart <= 23))}
 
 
+def test_a_refrain_changed_throughout_is_no_reason_to_miss():
+    r = random.Random(5)
+    items, docs = [], []
+    for i in range(40):
+        own = ["w%d" % r.randrange(10**6) for _ in range(100)]
+        items.append((i, " ".join(own + ["x%d" % i] * 16)))
+        docs.append((i, " ".join(own + ["y%d" % i] * 16)))
+    docs.append((99, " ".join(items[0][1].split()[:100] + ["u%d" % i for i in range(16)])))
+    finder = de.Finder([t for _, t in items], de.Settings())
+    found = list(finder.find_all(pa.array([t for _, t in docs])))
+    got = {(docs[row][0], items[f[0]][0]): f[1] for row, hits in found for f in hits}
+    assert got == brute(docs, items) and len(got) >= 41
+    assert max(f[4] for _, hits in found for f in hits) > de.Settings().radius
+
+
 def test_documents_that_hold_an_item_go(spark):
     docs, items = made(3)
     d, i = frames(spark, [*docs, (None, items[4][1])], items)

@@ -3,7 +3,9 @@
 A window of as many words as an item gets a 64-bit SimHash of its shingles. Fingerprints are
 cut into 8 blocks of 8 bits: two that differ in 23 bits or fewer differ in 2 or fewer in some
 block, so looking each block up with up to 2 errors finds every item within that radius.
-Candidates are confirmed by the exact similarity of the weighted shingle sets.
+Candidates are confirmed by the exact similarity of the weighted shingle sets. A shingle that
+comes again has as many votes, so the radius says little where an item or a window repeats
+shingles: such pairs are compared by their shingles alone, whatever their fingerprints.
 """
 
 from __future__ import annotations
@@ -58,6 +60,15 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray
     return (set_.astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
+def repeats(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Whether any of the `n` shingles from each start comes twice among them."""
+    order = np.argsort(shingles, kind="stable")
+    same = shingles[order][1:] == shingles[order][:-1]
+    before = np.full(len(shingles), -1)
+    before[order[1:][same]] = order[:-1][same]
+    return np.maximum.accumulate(before)[starts + n - 1] >= starts
+
+
 def _bytes(prints: np.ndarray) -> np.ndarray:
     return prints.astype("<u8").view(np.uint8).reshape(-1, 8)
 
@@ -76,10 +87,37 @@ class Items:
         self.counts = [Counter(s.tolist()) for s in sets]
         self.vocabulary = np.unique(np.concatenate(sets))
         self.prints = np.concatenate([fingerprints(s, np.zeros(1, np.int64), len(s)) for s in sets])
+        self.repeating = np.array([len(c) < self.n for c in self.counts])
+        # the items by shingle, and those alone that repeat any
+        self.held = self._by_shingle(sets, np.ones(len(sets), bool))
+        self.held_again = self._by_shingle(sets, self.repeating)
         values = np.arange(256, dtype=np.uint8)
         # near[b, v]: the items whose block b differs from v in few bits
         self.near = np.stack([_ONES[values[:, None] ^ _bytes(self.prints)[None, :, b]] <= BLOCK_ERRORS for b in range(BLOCKS)])
 
+    @staticmethod
+    def _by_shingle(sets: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, item, times) of some items, by shingle."""
+        found = [(*np.unique(s, return_counts=True), i) for i, s in enumerate(sets) if wanted[i]]
+        if not found:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        shingle, times = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        item = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+        order = np.argsort(shingle, kind="stable")
+        return shingle[order], item[order], times[order]
+
+    def common(self, window: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The items that share shingles with a window, with how many; `again`: only items that
+        repeat shingles."""
+        shingle, item, times = self.held_again if again else self.held
+        own, n = np.unique(window, return_counts=True)
+        low = np.searchsorted(shingle, own)
+        sizes = np.searchsorted(shingle, own, side="right") - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        total = np.bincount(item[at], np.minimum(np.repeat(n, sizes), times[at]), minlength=len(self.counts))
+        found = np.flatnonzero(total)
+        return found, total[found].astype(np.int64)
+
     def within(self, prints: np.ndarray, radius: int) -> Iterator[tuple[int, int, int]]:
         """(window, item, distance) of every pair within the radius."""
         if radius >= BLOCKS * (BLOCK_ERRORS + 1):
@@ -178,15 +216,26 @@ class Finder:
             low = int(starts[0])
             stretch = grams[group.k][low : int(starts[-1]) + n]
             prints = fingerprints(stretch, starts - low, n)
-            for window, item, apart in group.within(prints, self.s.radius):
-                start = int(starts[window])
-                own, its = Counter(grams[group.k][start : start + n].tolist()), group.counts[item]
-                common = sum(min(c, its[x]) for x, c in own.items() if x in its)
+            again = repeats(stretch, starts - low, n)
+
+            def keep(window: int, item: int, common: int, apart: int, group=group, starts=starts, n=n) -> None:
                 union = n + group.n - common
                 if 100 * common >= self.s.percent * union:
                     number = group.numbers[item]
-                    found = (-common / union, start, n + group.k - 1, apart)
+                    found = (-common / union, int(starts[window]), n + group.k - 1, apart)
                     best[number] = min(best.get(number, found), found)
+
+            for window, item, apart in group.within(prints, self.s.radius):
+                if not again[window] and not group.repeating[item]:
+                    start = int(starts[window])
+                    own, its = Counter(grams[group.k][start : start + n].tolist()), group.counts[item]
+                    keep(window, item, sum(min(c, its[x]) for x, c in own.items() if x in its), apart)
+            for window in (range(len(starts)) if group.repeating.any() else np.flatnonzero(again).tolist()):
+                start = int(starts[window])
+                items, common = group.common(grams[group.k][start : start + n], not again[window])
+                apart = distances(prints[window : window + 1], group.prints[items])[0]
+                for x in zip(items.tolist(), common.tolist(), apart.tolist(), strict=True):
+                    keep(window, *x)
         return [(number, -f[0], f[1], f[2], f[3]) for number, f in sorted(best.items())]
 
 
