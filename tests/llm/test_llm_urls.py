@@ -49,6 +49,25 @@ def test_verdicts_follow_the_list_as_it_stood(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(captures, log)
 
 
+def test_a_timed_log_is_followed_within_the_day(spark):
+    t = lambda d, h, m=0: datetime.datetime(2023, 1, d, h, m)
+    log = [
+        ("a.b", "block", t(5, 9)), ("a.b", "remove", t(5, 10)), ("a.b", "allow", t(6, 20)), ("b", "block", t(6, 12)),
+        ("a.b", "block", t(8, 7)), ("a.b", "remove", t(8, 7)), ("c.d", "block", t(31, 23, 59)),
+    ]
+    want = {
+        t(5, 8): "none", t(5, 9): "block", t(5, 9, 59): "block", t(5, 10): "none", t(6, 8): "none",
+        t(6, 13): "block", t(6, 20): "allow", t(7, 0): "allow", t(8, 6, 59): "allow", t(8, 7): "block",
+    }
+    df = spark.createDataFrame([(i, "http://a.b", x) for i, x in enumerate(want)], "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame(log, "domain string, action string, listed_on timestamp")
+    got = urls.filter_captures(df, entries).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == list(want.values())
+    assert got[5]["listed_domain"] == "b" and got[6]["listed_on"] == t(6, 20)
+    days = spark.createDataFrame([(1, "http://a.b", D(2023, 1, 5)), (2, "http://c.d", D(2023, 1, 31)), (3, "http://c.d", D(2023, 2, 1))], "page_id long, url string, fetched_at date")
+    assert [r["verdict"] for r in urls.filter_captures(days, entries).orderBy("page_id").collect()] == ["none", "block", "block"]
+
+
 def test_empty_tables(spark):
     captures = spark.createDataFrame([], "page_id long, url string, fetched_at timestamp")
     log = spark.createDataFrame([], "domain string, action string, listed_on date")

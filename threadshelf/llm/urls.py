@@ -1,14 +1,16 @@
-"""URL filters: dated list entries become validity intervals, captures meet those of their day.
+"""URL filters: dated list entries become validity intervals, captures meet those of their time.
 
 Only joins, windows and column expressions. Captures are first reduced to their distinct hosts
-and days, so a host that holds a third of all captures has one row per day; intervals are laid
-out by month, so that the join is on keys with at most a month's entries each.
+and days, so a host that holds a third of all captures has one row per day, with the entries
+that hold at any time of it; intervals are laid out by month, so that the join is on keys with at
+most a month's entries each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from threadshelf.plans.lineage import cut
 
@@ -34,28 +36,33 @@ def domains(name: Column) -> Column:
     )
 
 
+def moment(df: DataFrame, column: str) -> Column:
+    """A time, or the midnight a day begins with."""
+    return df[column].cast("timestamp")
+
+
 def intervals(log: DataFrame) -> DataFrame:
     """(domain, action, since, until) from a log of (domain, action, listed_on).
 
-    An entry holds from its day until the day of the domain's next one; `remove` ends what was
-    there. Of entries on one day the strictest counts. Entries without domain, action or day, and
-    with an unknown action, say nothing.
+    An entry holds from its time, or from the start of its day where the log has days, until the
+    domain's next one; `remove` ends what was there. Of entries of one time the strictest counts.
+    Entries without domain, action or time, and with an unknown action, say nothing.
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    daily = (
-        log.select(F.lower("domain").alias("domain"), rank.alias("rank"), F.col("listed_on").cast("date").alias("since"))
+    dated = (
+        log.select(F.lower("domain").alias("domain"), rank.alias("rank"), moment(log, "listed_on").alias("since"))
         .where("domain IS NOT NULL AND rank > 0 AND since IS NOT NULL")
         .groupBy("domain", "since").agg(F.min("rank").alias("rank"))
     )
     following = F.lead("since").over(Window.partitionBy("domain").orderBy("since"))
-    held = daily.withColumn("until", F.coalesce(following, F.lit(LAST_DAY).cast("date")))
+    held = dated.withColumn("until", F.coalesce(following, F.lit(LAST_DAY).cast("timestamp")))
     action = F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int"))
     return held.select("domain", action.alias("action"), "since", "until").where("action <> 'remove'")
 
 
 def verdicts(days: DataFrame, held: DataFrame) -> DataFrame:
-    """(host, day, verdict, domain, since): the active entry of the most specific domain, for
-    each (host, day) that has one."""
+    """(host, day, entries): the entries of the host and the domains above it that hold at any
+    time of the day, as (labels, action, domain, since, until), for each (host, day) that has any."""
     month = lambda c: F.trunc(c, "month")
     asked = days.withColumn("d", F.explode(domains(F.col("host")))).select(
         "host", "day", F.col("d.domain").alias("domain"), F.col("d.labels").alias("labels"), month("day").alias("month")
@@ -68,31 +75,38 @@ def verdicts(days: DataFrame, held: DataFrame) -> DataFrame:
         "month",
         F.explode(
             F.sequence(
-                F.greatest(month("since"), F.lit(first)), F.least(month(F.date_sub("until", 1)), F.lit(last)), F.expr("interval 1 month")
+                F.greatest(month("since"), F.lit(first)),
+                F.least(month(F.expr("until - interval 1 microsecond")), F.lit(last)), F.expr("interval 1 month"),
             )
         ),
     )
     return (
         asked.join(cut(spread), ["domain", "month"])
-        .where("since <= day AND day < until")
+        .where("since < date_add(day, 1) AND day < until")
         .groupBy("host", "day")
-        .agg(F.max(F.struct("labels", "action", "domain", "since")).alias("m"))
-        .select("host", "day", F.col("m.action").alias("verdict"), F.col("m.domain").alias("domain"), F.col("m.since").alias("since"))
+        .agg(F.collect_list(F.struct("labels", "action", "domain", "since", "until")).alias("entries"))
     )
 
 
 def filter_captures(captures: DataFrame, log: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """(id, host, fetched_on, verdict, listed_domain, listed_on) of every capture.
 
-    The verdict is that of the list as it stood on the day of the fetch, `none` where no entry
-    was active, the host cannot be told or the time is null. A more specific domain wins.
+    The verdict is that of the list as it stood at the time of the fetch, or at the end of its day
+    where captures have days only; `none` where no entry was active, the host cannot be told or
+    the time is null. A more specific domain wins. `listed_on` is a day where the log has days,
+    else a time.
     """
+    at = moment(captures, time_col)
+    if captures.schema[time_col].dataType == DateType():
+        at = F.date_add(captures[time_col], 1).cast("timestamp") - F.expr("interval 1 microsecond")
     asked = captures.select(
-        F.col(id_col), host(F.col(url_col)).alias("host"), F.to_date(F.col(time_col)).alias("day")
+        F.col(id_col), host(F.col(url_col)).alias("host"), F.to_date(F.col(time_col)).alias("day"), at.alias("at")
     )
     days = cut(asked.where("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct())
     told = cut(verdicts(days, intervals(log)))
-    return asked.join(told, ["host", "day"], "left").select(
-        id_col, "host", F.col("day").alias("fetched_on"), F.coalesce("verdict", F.lit("none")).alias("verdict"),
-        F.col("domain").alias("listed_domain"), F.col("since").alias("listed_on"),
+    active = F.array_max(F.filter("entries", lambda e: (e["since"] <= F.col("at")) & (F.col("at") < e["until"])))
+    listed = "date" if log.schema["listed_on"].dataType == DateType() else "timestamp"
+    return asked.join(told, ["host", "day"], "left").withColumn("m", active).select(
+        id_col, "host", F.col("day").alias("fetched_on"), F.coalesce("m.action", F.lit("none")).alias("verdict"),
+        F.col("m.domain").alias("listed_domain"), F.col("m.since").cast(listed).alias("listed_on"),
     )
