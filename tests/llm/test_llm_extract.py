@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -54,6 +55,24 @@ def test_blocks():
     )
 
 
+def test_markup_of_other_languages_and_signs_in_values():
+    text = lambda page: [b.text for b in extract.leaf_blocks(page)]
+    assert text('<p>a</p><svg class="x" href="#i" /><p>b</p><math/><p>c</p><svg><text>no</text></svg>d') == ["a", "b", "c", "d"]
+    assert text("<svg/><p>a</p><svg width/>b") == ["a", "b"] and text("<svg a=b/>no</svg><p>c") == ["c"]
+    assert text("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><annotation>x=2</annotation></math> is.</p>") == ["So x=2 is."]
+    assert text("<p>So <math><mi>x</mi><mspace/></math> is.</p>") == ["So x is."]
+    assert text("<object data=a.swf><param name=b><p>No player.</p></object><p>c</p>") == ["No player.", "c"]
+    assert text("""<p data-x="<b>" data-y='<p>c'>t<i title="a<b">u</i></p>""") == ["tu"]
+    assert text('<a href="x>y <b>z</b> <a href="u">v</a>') == ["y z v"]
+
+
+def test_long_and_broken_values_take_no_longer(model):
+    start = time.monotonic()
+    for part in ['<a x="', "<a x='<", '<a x="b" y="c" ', "<a =\"<\" x='", '="<a ']:
+        extract.leaf_blocks("<i " + part * 20_000)
+    assert time.monotonic() - start < 30
+
+
 def test_long_and_broken_pages_take_no_longer(model):
     assert extract.article_text("<" * 200_000, model) is not None
     assert len(extract.leaf_blocks("<a<b" * 50_000)) >= 0

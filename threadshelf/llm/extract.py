@@ -30,18 +30,29 @@ SEED = 7
 # Fixed values of HTML: elements without content, whose content is no markup, inline, and
 # those that end an open element of the same group.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math object select".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
+RAW = frozenset("script style noscript template title textarea iframe svg select annotation annotation-xml".split())
+MATHML = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts mtable mtr mlabeledtr mtd mstyle merror mpadded mphantom mfenced menclose maction semantics annotation "
+    "annotation-xml".split()
+)
+INLINE = MATHML | frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark object q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr br".split()
 )
+# The slash at the end belongs to an unquoted value.
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"']*/\Z""")
 ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
 SCOPES = frozenset("ul ol dl table tr div section article main aside nav header footer form blockquote body td th".split())
 
-_TAG = re.compile(r"""<(?:!--|[!?][^<>]*>|(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*|[^<>]*)>)""")
+# A quoted value may hold `<`, where what follows its end can follow a value. Broken quotes end at `>`.
+_TAG = re.compile(
+    r"""<(?:!--|[!?][^<>]*>|(/?)([a-zA-Z][\w:-]*)((?:[^<>"'=]|=(?!\s*["'])|=\s*"[^"<]*(?:"|<[^"]*"(?=[\s/>]))"""
+    r"""|=\s*'[^'<]*(?:'|<[^']*'(?=[\s/>]))|"[^"<]*"|'[^'<]*')*|[^<>]*)>)"""
+)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile(r"[a-zA-Z]+")
 
@@ -116,8 +127,11 @@ def leaf_blocks(page: str) -> list[Block]:
                 flush()
             close(tag)
             continue
+        if (tag == "svg" or tag in MATHML) and found[3].endswith("/") and not _VALUE_SLASH.search(found[3]):
+            continue
         if tag in RAW:
-            flush()
+            if tag not in INLINE:
+                flush()
             end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
