@@ -34,9 +34,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without the passages that an earlier one has; those that lose all words go."""
     configure(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = substring.dedup_substrings(docs, carry=others, layout=True).where("n_removed = 0 OR n_removed < n_words")
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # other columns may have the names of the operator's own
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{c}") for c in others]).alias("_others"))
+    found = substring.dedup_substrings(packed, carry=["_others"], layout=True).where("n_removed = 0 OR n_removed < n_words")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select([new[c] if c in new else F.col("_others")[f"_{c}"] for c in docs.columns]).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

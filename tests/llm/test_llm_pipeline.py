@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from threadshelf.plans.lineage import cut
 
@@ -57,6 +59,22 @@ def test_each_stage_catches_its_cases(spark, folder):
     assert [tuple(r) for r in sorted(corpus_pipeline.run(spark, path).collect())] == [tuple(mixed[i]) for i in sorted(mixed)]
 
 
+CLASHES = "n_words n_removed spans kept doc marks starts carried item item_id similarity first_word distance row found size source_size target taken id _others _row a b".split()
+
+
+def test_other_columns_may_have_any_name(spark, folder):
+    docs, items = planted()
+    path = folder(docs, items)
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    more = frame.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES:
+        frame, more = cut(stage(spark, frame, path)), cut(stage(spark, more, path))
+        assert sorted(map(tuple, more.select(frame.columns).collect()), key=str) == sorted(map(tuple, frame.collect()), key=str), name
+        if name != "source_mix":
+            assert more.columns == [*frame.columns, *CLASHES]
+            assert all(r[c] == f"{c} {r['doc_id']}" for r in more.collect() for c in CLASHES)
+
+
 def test_empty_tables(spark, folder):
     path = folder([], [])
     assert corpus_pipeline.run(spark, path).count() == 0
