@@ -63,7 +63,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mix", source_mix),
 ]
 
-# Fingerprints, passes over anchors and drawn blocks have no SQL; tests compare with brute force.
+# Fingerprints, passes over anchors and drawn blocks have no SQL. Tests compare run() with its stages and with
+# planted cases; the chain as a whole has no brute-force version.
 ORACLE_SQL = None
 
 
