@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables
-from threadshelf.llm import chat, decontaminate, extract, mixing, neardup, quality, sql, substring, tokens, urls, warc
+from threadshelf.llm import chat, decontaminate, extract, mixing, neardup, quality, repair, sql, substring, tokens, urls, warc
 from threadshelf.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op10_chat_format(t: Tables) -> DataFrame:
         F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@register
+def op11_structure_repair(t: Tables) -> DataFrame:
+    return repair.repair_damaged(t.conversations)

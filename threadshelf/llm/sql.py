@@ -129,3 +129,82 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+# crc32(x) of a text, bit by bit
+CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))),
+        lambda i: ('0x' || substr(hex(encode({x})), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))"""
+
+# A recursion over places keeps the least (cost, audit) of every state. Two insertions lead from a
+# state back to itself, so at most two stand before a row.
+OP11_STRUCTURE_REPAIR = """
+WITH RECURSIVE k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(""" + CRC32.format(x="k0.name") + r""", 4294967295) % 20 AS kind
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations) k0),
+r AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM k WHERE kind <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+           rtrim(text, E' \t\n\x0B\f\r') AS ended FROM r),
+judged AS (
+    SELECT *, left(role, 1) AS c,
+           CASE WHEN ended = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv_id),
+ins(f, t, m) AS (VALUES ('', '', 0), ('', 'u', 1), ('', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2),
+                        ('u', 'u', 0), ('u', 'a', 1), ('u', 'u', 2), ('a', 'a', 0), ('a', 'u', 1), ('a', 'a', 2)),
+edit(f, c, t, e, price) AS (
+    SELECT f, c, CASE WHEN e = 'D' THEN f ELSE t END, e, CASE e WHEN 'K' THEN 0 WHEN 'R' THEN 1 ELSE 2 END
+    FROM (VALUES ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) v(f, t), (VALUES ('s'), ('u'), ('a'), ('?')) w(c),
+         (VALUES ('D'), ('K'), ('R')) x(e) WHERE e <> 'K' OR c = t
+    UNION ALL SELECT '', 's', 's', 'K', 0),
+-- every step puts edits, and roles of what stays, behind the best of the place before
+path AS (
+    SELECT conv_id, 0::BIGINT AS i, '' AS state, 0 AS cost, '' AS audit FROM counts
+    UNION ALL
+    SELECT conv_id, i, state, cost, audit FROM (
+        SELECT p.conv_id, j.i, edit.t AS state,
+               p.cost + 5 * ins.m + edit.price + CASE WHEN j.fault = 'truncated' AND e <> 'D' THEN 5 ELSE 0 END AS cost,
+               p.audit || repeat('I', ins.m) || e AS audit
+        FROM path p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1
+        JOIN ins ON ins.f = p.state
+        JOIN edit ON edit.f = ins.t AND edit.c = CASE WHEN j.c IN ('s', 'u', 'a') THEN j.c ELSE '?' END
+                 AND (j.fault NOT IN ('blank', 'duplicate') OR e = 'D'))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+best AS (
+    SELECT p.conv_id, p.cost + 5 * m AS cost, p.audit || repeat('I', m) AS audit
+    FROM path p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+    JOIN ins ON ins.f = p.state AND ins.t IN ('', 'a')
+    QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + 5 * m, p.audit || repeat('I', m)) = 1),
+steps AS (
+    SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best),
+said AS (
+    SELECT *, substr(audit, p, 1) AS e, p - len(replace(left(audit, p), 'I', '')) AS skipped,
+           len(regexp_replace(left(audit, p), 'D', '', 'g')) AS place FROM steps),
+told AS (
+    SELECT s.conv_id, s.place, CASE WHEN e = 'K' THEN j.role ELSE NULL END AS kept, CASE WHEN e = 'I' THEN '' ELSE j.text END AS text
+    FROM said s LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.p - s.skipped WHERE e <> 'D'),
+systems AS (SELECT conv_id, max(CASE WHEN place = 1 AND left(kept, 1) = 's' THEN 1 ELSE 0 END) AS s FROM told GROUP BY conv_id),
+final AS (
+    SELECT t.conv_id, sha256(string_agg(
+        coalesce(kept, CASE WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place)) AS h
+    FROM told t JOIN systems y ON y.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
