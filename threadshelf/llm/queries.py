@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables
-from threadshelf.llm import chat, decontaminate, extract, mixing, neardup, quality, repair, sql, substring, tokens, urls, warc
+from threadshelf.llm import chat, decontaminate, extract, mixing, neardup, ngram_join, quality, repair, sql, substring, tokens, trie, urls, warc
 from threadshelf.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,23 @@ def op10_chat_format(t: Tables) -> DataFrame:
 @register
 def op11_structure_repair(t: Tables) -> DataFrame:
     return repair.repair_damaged(t.conversations)
+
+
+@register
+def op12_ngram_join(t: Tables) -> DataFrame:
+    return ngram_join.ngram_join(t.documents)
+
+
+@register
+def op13_prefix_trie(t: Tables) -> DataFrame:
+    nodes = trie.prefix_trie(trie.rebuilt(t.conversations))
+    return nodes.select(
+        F.col("conv").alias("conv_id"),
+        F.col("depth").cast("long").alias("depth"),
+        F.col("parent_conv").alias("parent_conv_id"),
+        F.col("n").alias("n_convs"),
+        F.col("children").alias("n_children"),
+        F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"),
+        "ends_sha256",
+    )

@@ -208,3 +208,36 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+OP13_PREFIX_TRIE = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, list(md5(octet_length(encode(role)) || ':' || role || text) ORDER BY turn NULLS FIRST, role, md5(text)) AS ks,
+           list(octet_length(encode(text)) ORDER BY turn NULLS FIRST, role, md5(text)) AS bs
+    FROM t GROUP BY conv_id),
+asked AS (SELECT *, xor(""" + CRC32.format(x="conv_id::VARCHAR") + """, 4294967295) % 9 AS h FROM own),
+built AS (
+    SELECT a.conv_id, list_concat(coalesce(b.ks[1:h], []), a.ks[h + 1:]) AS ks, list_concat(coalesce(b.bs[1:h], []), a.bs[h + 1:]) AS bs
+    FROM asked a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (
+    SELECT conv_id, d, len(ks) = d AS ends, array_to_string(ks[1:d], '') AS node,
+           CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b
+    FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM built)),
+n AS (
+    SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * any_value(b) AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM p GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+below AS (
+    SELECT p.node, sum(n.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+    FROM n LEFT JOIN k USING (node) JOIN p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN k USING (node) JOIN below USING (node) LEFT JOIN n up ON up.node = n.parent
+"""
+
+# the join of op1 at another similarity, without its last column
+OP12_NGRAM_JOIN = OP1_NEAR_DUPLICATES.replace(">= 75 *", ">= 80 *").replace(", d.doc_id = component_id AS kept", "")
