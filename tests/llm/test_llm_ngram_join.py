@@ -120,7 +120,7 @@ def test_bands_hold_all_partners():
             assert abs(bands.of(size) - bands.of(partner)) <= 1
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(open_pairs=0.4), Settings(bucket_keys=200), Settings(percent=60, open_pairs=1.0)])
+@pytest.mark.parametrize("settings", [Settings(open_pairs=0.4, bucket_keys=200), Settings(percent=60, open_pairs=1.0)])
 def test_documents_against_all_pairs(spark, settings):
     rows = planted(int(settings.open_pairs * 10) + settings.percent)
     assert run(spark, rows, settings) == model(rows, settings.percent)

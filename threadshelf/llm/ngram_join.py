@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,7 @@ class Bands:
 
     def __init__(self, s: Settings):
         self.s, self.tops = s, [0]
+        self.known: dict[int, list[tuple[int, int, int, int]]] = {}
 
     def of(self, size: int) -> int:
         while self.tops[-1] < size:
@@ -78,6 +80,11 @@ class Bands:
     def schemes(self, size: int) -> list[tuple[int, int, int, int]]:
         """(band, segments, how many of them to index, how many every partner indexes at least):
         in the own band, and as larger partner in the one below."""
+        if size not in self.known:
+            self.known[size] = self._schemes(size)
+        return self.known[size]
+
+    def _schemes(self, size: int) -> list[tuple[int, int, int, int]]:
         band = self.of(size)
         top, below = self.tops[band], self.tops[band - 1]
         least = self.s.smallest_partner(size)
@@ -91,17 +98,19 @@ class Bands:
         return found
 
 
-def _hot(keys: np.ndarray, hot: np.ndarray | None, shift: int) -> np.ndarray:
-    if hot is None or not len(hot):
+def _hot(keys: np.ndarray, hot: np.ndarray, shift: int) -> np.ndarray:
+    if not len(hot):
         return np.zeros(len(keys), bool)
     short = keys >> U(shift)
     place = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
     return hot[place] == short
 
 
-def set_keys(shingles: np.ndarray, bands: Bands, hot: np.ndarray | None = None, shift: int = 0) -> np.ndarray:
-    """Index keys of a set. With `hot` (sorted keys without their last `shift` bits) the keys
-    that make up for hot ones, if the set has any.
+def keys_of_sets(
+    sets: list[np.ndarray], bands: Bands, hot: np.ndarray | None = None, shift: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place of the set) of the index entries of some sets. With `hot` (sorted keys without
+    their last `shift` bits) the entries that make up for hot ones, of the sets that have any.
 
     Let a pair differ in at most n - 1 shingles and both index n segments. If the z >= 1 segments
     it agrees on are all skipped, at most z - 1 of the others differ in more than one shingle. So
@@ -111,52 +120,86 @@ def set_keys(shingles: np.ndarray, bands: Bands, hot: np.ndarray | None = None,
     neighbour. Where this takes more segments than every partner has, the set indexes the shingles
     of its prefix as well; the other of a pair that is lost then does too.
     """
-    found = []
-    value = mix64(shingles ^ U(0xA0761D6478BD642F))
-    spread = mix64(shingles + U(0xE7037ED1A0B428DB))
-    for band, m, n, common in bands.schemes(len(shingles)):
-        segment = (spread % U(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        order = order[segment[order] < n]
-        own, values = segment[order], value[order]
-        size = np.bincount(own, minlength=n)
-        ends = np.cumsum(size)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
-        total = sums[ends] - sums[ends - size]
-        name = mix64(np.arange(n, dtype=U) + U((band + 1) << 32))
-        whole = mix64(total + mix64(name + size.astype(U)))
-        less = mix64(total[own] - values + mix64(name[own] + size[own].astype(U) - U(1)))
-        skipped, poor = size == 0, size <= 1
-        if hot is not None:
-            hot_whole, hot_less = _hot(whole, hot, shift) & ~skipped, _hot(less, hot, shift)
-        else:
-            hot_whole = hot_less = None
-        first, prefix = _allocation(skipped, poor, common)
-        tokens = mix64(shingles[: len(shingles) - bands.s.smallest_partner(len(shingles)) + 1] + U((band + 1) << 32 | 1))
-        if hot is None:
-            found += [whole[~skipped], less[(own < first) & (size[own] > 1)]]
-            if prefix:
-                found.append(tokens)
-            continue
-        indexed = (own < first) & (size[own] > 1)
-        if not (hot_whole.any() or hot_less[indexed].any() or prefix and _hot(tokens, hot, shift).any()):
-            continue
-        bad = poor | hot_whole
-        bad[own[hot_less]] = True
-        first, prefix = _allocation(skipped | hot_whole, bad, common)
-        found.append(whole[:first][~(skipped | hot_whole)[:first]])
-        found.append(less[(own < first) & (size[own] > 1) & ~hot_less])
-        if prefix:
-            found.append(tokens)
-    return np.concatenate(found) if found else np.empty(0, U)
-
-
-def _allocation(skipped: np.ndarray, poor: np.ndarray, common: int) -> tuple[int, bool]:
-    """(first segments to index with their neighbourhoods, whether the set or some partner has too few)."""
-    wanted = 2 * int(skipped.sum())
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    schemes = [bands.schemes(len(x)) if len(x) else [] for x in sets]
+    for which in range(2):
+        some = [i for i, x in enumerate(schemes) if len(x) > which]
+        if some:
+            shape = np.array([schemes[i][which] for i in some], np.int64)
+            found += _keys(some, [sets[i] for i in some], shape, bands.s, hot, shift)
+    if not found:
+        return np.empty(0, U), np.empty(0, np.int64)
+    keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+    return keys, places
+
+
+def set_keys(shingles: np.ndarray, bands: Bands, hot: np.ndarray | None = None, shift: int = 0) -> np.ndarray:
+    return keys_of_sets([shingles], bands, hot, shift)[0]
+
+
+def _keys(
+    places: list[int], sets: list[np.ndarray], shape: np.ndarray, s: Settings, hot: np.ndarray | None, shift: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The entries of sets in one scheme each, as lists of (keys, places); `shape` has the scheme's
+    band, its segments, how many of them are indexed, and how many every partner indexes."""
+    place = np.array(places, np.int64)
+    band, m, n, common = shape.T
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shingle = np.concatenate(sets)
+    segment = (mix64(shingle + U(0xE7037ED1A0B428DB)) % m.astype(U)[owner]).astype(np.int64)
+    inside = segment < n[owner]
+    owner, segment = owner[inside], segment[inside]
+    value = mix64(shingle[inside] ^ U(0xA0761D6478BD642F))
+    base = np.concatenate([[0], np.cumsum(n)])
+    slot, slots = base[owner] + segment, int(base[-1])
+    size = np.bincount(slot, minlength=slots)
+    # sums modulo 2^64 by halves, which doubles hold exactly
+    low = np.bincount(slot, (value & U(0xFFFFFFFF)).astype(np.float64), slots).astype(U)
+    total = (np.bincount(slot, (value >> U(32)).astype(np.float64), slots).astype(U) << U(32)) + low
+    of = np.repeat(np.arange(len(sets)), n)
+    number = np.arange(slots) - base[of]
+    name = mix64(number.astype(U) + ((band[of] + 1).astype(U) << U(32)))
+    whole = mix64(total + mix64(name + size.astype(U)))
+    skipped, poor = size == 0, size <= 1
+    first, prefix = _allocation(skipped, poor, base, common)
+
+    def without(some: np.ndarray) -> np.ndarray:
+        """Keys of segments without one of their shingles."""
+        at = slot[some]
+        return mix64(total[at] - value[some] + mix64(name[at] + size[at].astype(U) - U(1)))
+
+    tokens = lambda i: mix64(
+        sets[i][: len(sets[i]) - s.smallest_partner(len(sets[i])) + 1] + U((int(band[i]) + 1) << 32 | 1)
+    )
+    near = np.flatnonzero((segment < first[owner]) & (size[slot] > 1))
+    if hot is None:
+        found = [(whole[~skipped], place[of[~skipped]]), (without(near), place[owner[near]])]
+    else:
+        less = without(np.arange(len(slot)))
+        hot_whole, hot_less = _hot(whole, hot, shift) & ~skipped, _hot(less, hot, shift) & (size[slot] > 1)
+        touched = np.bincount(of[hot_whole], minlength=len(sets)) + np.bincount(owner[near][hot_less[near]], minlength=len(sets)) > 0
+        touched[[i for i in np.flatnonzero(prefix & ~touched) if _hot(tokens(i), hot, shift).any()]] = True
+        gone, bad = skipped | hot_whole, poor | hot_whole
+        bad[slot[hot_less]] = True
+        first, prefix = _allocation(gone, bad, base, common)
+        prefix &= touched
+        kept = ~gone & (number < first[of]) & touched[of]
+        near = np.flatnonzero((segment < first[owner]) & (size[slot] > 1) & ~hot_less & touched[owner])
+        found = [(whole[kept], place[of[kept]]), (less[near], place[owner[near]])]
+    for i in np.flatnonzero(prefix):
+        found.append((own := tokens(i), np.full(len(own), place[i])))
+    return found
+
+
+def _allocation(skipped: np.ndarray, poor: np.ndarray, base: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (the first segments to index with their neighbourhoods, whether the set or some
+    partner has too few)."""
+    start, n = base[:-1], np.diff(base)
+    lost = np.concatenate([[0], np.cumsum(skipped)])
     gained = np.concatenate([[0], np.cumsum(~poor)])
-    enough = int(np.searchsorted(gained, wanted))
-    return min(enough, len(poor)), enough > min(common, len(poor))
+    wanted = gained[start] + 2 * (lost[base[1:]] - lost[start])
+    enough = np.maximum(np.searchsorted(gained, wanted) - start, 0)
+    return np.minimum(enough, n), enough > np.minimum(common, n)
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -241,16 +284,11 @@ def index(docs: DataFrame, text_col: str, s: Settings, bits: int, hot: np.ndarra
         bands = Bands(s)
         given = None if sent is None else sent.value
         for batch in slices(batches, 0):
-            keys, nodes = [], []
-            for shingles in shingle_sets_of(batch.column(0), s.shingle):
-                if len(shingles):
-                    own = set_keys(shingles, bands, given, 64 - KEY_BITS - bits)
-                    if len(own):
-                        keys.append(own)
-                        nodes.append(int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "little"))
-            if keys:
-                doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                block = _blocks(np.concatenate(keys), np.array(nodes, U), doc, bits, kind)
+            sets = list(shingle_sets_of(batch.column(0), s.shingle))
+            keys, doc = keys_of_sets(sets, bands, given, 64 - KEY_BITS - bits)
+            if len(keys):
+                digest = lambda x: int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little")
+                block = _blocks(keys, np.array([digest(x) for x in sets], U), doc, bits, kind)
                 if block is not None:
                     yield block
 
@@ -339,6 +377,7 @@ class NGramJoin:
         known = self.rows.where("set_hash IS NOT NULL AND id IS NOT NULL")
         first = known.groupBy("set_hash").agg(F.min(F.struct("id", "n_shingles", "node", "parity")).alias("m"))
         self.classes = cut(first.select("m.id", "set_hash", "m.n_shingles", "m.node", "m.parity"))
+        self.sets: list[DataFrame] = []  # of the documents compared so far
         self.links = self._links()
 
     def _bits(self) -> int:
@@ -372,17 +411,32 @@ class NGramJoin:
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the sifted pairs whose whole sets have the similarity."""
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-        wanted = cut(ends.distinct())
-        if wanted.isEmpty():
+        side = lambda x: pairs.select(F.col(x).alias("id"), F.col(f"h{x}").alias("set_hash"))
+        wanted = side("a").unionByName(side("b")).distinct()
+        for known in self.sets:
+            wanted = wanted.join(known.select("set_hash"), "set_hash", "left_anti")
+        wanted = cut(wanted)
+        if not wanted.isEmpty():
+            # the sets of a document that has several are all there; each set once
+            shingling = Shingling(shingle=self.s.shingle)
+            found = shingle_sets(self.docs, wanted.select("id").distinct(), self.id_col, self.text_col, shingling)
+            asked = wanted.select("set_hash").distinct()
+            found = found.join(F.broadcast(asked) if fits_broadcast(asked) else asked, "set_hash", "left_semi")
+            self.sets.append(cut(self._once(found)))
+        if not self.sets:
             return pairs.select("a", "b")
-        sets = cut(shingle_sets(self.docs, wanted, self.id_col, self.text_col, Shingling(shingle=self.s.shingle)).dropDuplicates(["set_hash"]))
+        sets = reduce(DataFrame.unionByName, self.sets)
         side = lambda x: sets.select(F.col("set_hash").alias(f"h{x}"), F.col("shingles").alias(f"set{x}"))
         joined = pairs.join(side("a"), "ha").join(side("b"), "hb")
         common = F.size(F.array_intersect("seta", "setb"))
         # 100 * i >= p * (na + nb - i)
         return joined.where((100 + self.s.percent) * common >= self.s.percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
+    def _once(self, found: DataFrame) -> DataFrame:
+        """One row a set: only rows that repeat an id can give a set twice."""
+        again = self.rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+        return found if again.isEmpty() else found.dropDuplicates(["set_hash"])
+
     def _apart(self, pairs: DataFrame, component: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) whose ends are not connected yet."""
         small = F.broadcast(component) if fits_broadcast(component) else component
