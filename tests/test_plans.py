@@ -96,7 +96,14 @@ def test_marks_and_sizes(spark):
     texts = spark.range(5).select(F.repeat(F.lit("x"), 20_000_000).alias("t"))
     assert fits_broadcast(texts.limit(2)) and not fits_broadcast(texts)
     assert fits_broadcast(spark.range(5), 5) and not fits_broadcast(spark.range(6), 5)
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
+
+
+def test_small_scans_are_dealt_out_by_their_bytes(spark, monkeypatch):
+    scan = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = spread(scan)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 3, true" in plan
+    monkeypatch.setattr("threadshelf.plans.sizes.SPREAD_LIMIT", 1000)
+    assert "Repartition" not in spread(scan)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_a_named_shared_folder_is_used(spark):
@@ -104,3 +111,86 @@ def test_a_named_shared_folder_is_used(spark):
 
     written = cut(spark.range(3))
     assert all(shared_dir(spark).split(":")[-1] in f for f in written.inputFiles())
+
+
+def sequential(entries):
+    """Places and roots by going through (place, asks, offers) one by one."""
+    kept, want = {}, {}
+    for place, ask, offer in entries:
+        want[place] = kept.get(ask, place) if ask is not None else place
+        if want[place] == place and offer is not None:
+            kept.setdefault(offer, place)
+    return want
+
+
+def settled(table, entries):
+    from threadshelf.plans.settle import _Settling
+
+    df = table("place int, a string, b string", *entries)
+    run = _Settling(df, "place", [Rule(F.col("a"), F.col("b"))])
+    return {x.place: x.root for x in run.run().collect()}, run.steps
+
+
+def test_a_long_chain_settles_in_few_steps(table):
+    chain = [(i, f"k{i - 1}" if i else None, f"k{i}") for i in range(1000)]
+    got, steps = settled(table, chain)
+    assert got == sequential(chain)
+    assert steps <= 12
+
+
+def test_branching_chains_and_what_is_null(table):
+    r = random.Random(1)
+    entries = [(i, f"k{r.randrange(max(1, i // 2))}" if r.random() < 0.9 else None, f"k{i // 2}" if r.random() < 0.9 else None) for i in range(400)]
+    got, _ = settled(table, entries)
+    assert got == sequential(entries)
+    nothing = [(i, None, None) for i in range(300)]
+    assert settled(table, nothing) == ({i: i for i in range(300)}, 1)
+
+
+def test_two_jobs_at_once_keep_their_files(spark):
+    """A job that ends deletes its own files and no other's."""
+    import threading
+
+    inside, over = threading.Event(), threading.Event()
+    seen = {}
+
+    def long_job():
+        with scratch(spark):
+            rows = cut(spark.range(5))
+            inside.set()
+            over.wait(60)
+            seen["rows"] = rows.count() + cut(spark.range(2)).count()
+            seen["path"] = work_path(spark, "x")
+
+    worker = threading.Thread(target=long_job)
+    worker.start()
+    assert inside.wait(60)
+    with scratch(spark):
+        mine = work_path(spark, "y")
+        cut(spark.range(3))
+    over.set()
+    worker.join()
+    assert seen["rows"] == 7
+    assert seen["path"].rsplit("/", 1)[0] != mine.rsplit("/", 1)[0]
+
+
+def test_a_folder_in_the_warehouse_where_none_is_named(spark, monkeypatch):
+    from threadshelf import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/shared/warehouse/"}.get(key, default)
+
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            Context.folder = folder
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert session.shared_dir(Session()) == "file:/shared/warehouse/threadshelf-work"

@@ -6,12 +6,14 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from threadshelf.operators import resolve
 from threadshelf.plans.ingest import Models, ingest, resolve_batch
 from threadshelf.plans.isbn import ingest_isbns
 from threadshelf.schemas import VOLUME_INFO
 from threadshelf.sources.tables import Store
+from threadshelf.sources.threads import with_origin
 from threadshelf.streaming.ingest import ingest_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -341,3 +343,75 @@ def test_books_by_isbn(spark, table, tmp_path):
     kinds = {r.match_kind for r in ingest_isbns(asked, store, landed).collect()}
     assert kinds == {"external_id", "isbn", "title_author", "not_found"}
     assert store.read("books").count() == 2
+
+
+def test_a_refused_lookup_holds_its_mentions_whatever_else_landed(spark, table):
+    """The lookup for Ann's book was refused; a record by another author under that title is not it."""
+    landed = candidates(
+        spark,
+        ("title", "", 0, volume("g9", DESCRIBED, "en", "Title", ["Other Author"])),
+        ("found", "ann", 0, volume("g1", DESCRIBED, "en", "Found", ["Ann"])),
+    )
+    said = table(
+        "external_id string, path array<int>, mention_pos int, title string, author string",
+        ("t", [0], 0, "Title", "Ann"), ("t", [1], 0, "Found", "Ann"), ("t", [2], 0, "Title", ""), ("t", [3], 0, "Lost", "Bob"),
+        ("t", [4], 0, "Known", "Ann"),
+    )
+    refused = table("title_key string, author_key string", ("title", "ann"), ("found", ""), ("lost", ""), ("known", "ann"))
+    books = spark.createDataFrame([(7, "Known", "Ann", None)], "id long, title string, author string, google_books_id string")
+    result = resolve_batch(said, books, landed, 10, over_quota=refused)
+    rows, counts = result.written()
+    assert [(list(r.path), r.outcome) for r in rows.orderBy("path").collect()] == [
+        ([0], "held"), ([1], "added"), ([2], "added"), ([3], "held"), ([4], "existing")
+    ]
+    assert counts == {"held": 2, "added": 2, "existing": 1}
+    assert {(r.title, r.author) for r in result.books.collect()} == {("Found", "Ann"), ("Title", "Other Author")}
+
+
+def test_ingest_gives_its_counters(spark, table, tmp_path):
+    told = []
+    store = Store(spark, str(tmp_path))
+    raw = table("origin string, value string", *THREADS.items())
+    ingest(raw, store, volumes_for(spark), models(), on_counts=told.append)
+    ingest(raw, store, volumes_for(spark), models(), on_counts=told.append)
+    assert told == [{"added": 2, "existing": 1, "no_description": 1}, {}]
+
+
+def test_a_batch_that_was_committed_is_not_read_again(spark, table, tmp_path):
+    from threadshelf.streaming.ingest import numbered
+
+    store = Store(spark, str(tmp_path / "store"))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(THREADS["a"])
+    read = []
+
+    def process(batch, number):
+        read.append(number)
+        ingest(batch, store, volumes_for(spark), models(), batch=("s", number))
+
+    each = numbered(process, lambda: store.snapshot().last_batch("s"))
+    raw = with_origin(spark.read.text(str(folder), wholetext=True))
+    assert store.snapshot().last_batch("s") == -1
+    each(raw, 0)
+    after = contents(store)
+    (folder / "a.json").unlink()  # a second reading would fail
+    each(raw, 0)
+    assert read == [0] and contents(store) == after and store.snapshot().last_batch("s") == 0
+    version = store.snapshot().version
+    each(spark.createDataFrame([], "origin string, value string"), 1)
+    assert read == [0, 1] and store.snapshot().last_batch("s") == 1 and store.snapshot().version == version + 1
+
+
+def test_the_index_follows_ingest(spark, table, tmp_path):
+    from threadshelf.operators.search import encode_queries
+    from threadshelf.plans import vector_index
+
+    store = Store(spark, str(tmp_path))
+    raw = table("origin string, value string", *THREADS.items())
+    ingest(raw, store, volumes_for(spark), Models(extractor, lambda: lambda texts: ["Summary: spice" for _ in texts]))
+    assert {r.doc_id for r in store.read("vectors").collect()} == {r.doc_id for r in store.read("chunks").collect()}
+    queries = encode_queries(table("qid long, text string", (1, "solaris lem")), weights=store.read("weights"))
+    best = vector_index.search_index(queries, store, 1, probes=64).first()
+    assert best.doc_id == "doc_3"
+    assert store.read("frequencies").where("place = -1").agg(F.sum("documents")).first()[0] == 2

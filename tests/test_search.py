@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions.vectors import normalised
 from threadshelf.operators import chunks, search, vectors
+from threadshelf.plans.lineage import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,7 +106,7 @@ def test_approximate_search(data, monkeypatch):
 def test_enough_probes_reach_the_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "id")
     planes = vectors.Hyperplanes(64, bits=6)
-    indexed = vectors.with_buckets(df, planes).localCheckpoint()
+    indexed = cut(vectors.with_buckets(df, planes))
     queries = df.where("id % 50 = 0").withColumnRenamed("id", "qid")
     exact = found(vectors.nearest(queries, indexed, 10))
 
@@ -289,3 +290,95 @@ def test_text_search_finds_the_text(table):
     queries = search.encode_queries(table("qid long, text string", (1, "sea ships"), (2, "Dragons, fire!")))
     hits = vectors.nearest(queries, vectors_, 1).collect()
     assert {(r.qid, r.id) for r in hits} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_signature_tables_reach_the_recall(spark, folder):
+    """Every 50th vector against all: at least 0.9 of the ten nearest, from about half of the vectors."""
+    from threadshelf.checks import vectors as bound
+
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    queries = df.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    signed = cut(vectors.signatures(df, bound.TABLES))
+    exact = found(vectors.nearest(queries, df, 10))
+    some = found(vectors.nearest_by_tables(queries, df, signed, 10, bound.TABLES, bound.PROBES))
+    assert np.mean([len(set(some[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
+    met = vectors.probed(queries.select("qid", "embedding"), bound.TABLES, bound.PROBES).join(signed, ["table_no", "bucket"])
+    share = met.select("qid", "id").distinct().count() / (queries.count() * df.count())
+    assert share < 0.6
+
+
+def test_all_buckets_of_all_tables_are_exact(data, table, monkeypatch):
+    matrix, df = data
+    tables = vectors.SignatureTables(DIMENSIONS, tables=3, bits=3)
+    queries = df.where("id < 20").withColumnRenamed("id", "qid")
+    exact = found(vectors.nearest(queries, df, 10))
+    signed = cut(vectors.signatures(df, tables))
+    assert signed.count() == 3 * 400
+    assert found(vectors.nearest_by_tables(queries, df, signed, 10, tables, 8)) == exact
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 900)
+    assert found(vectors.nearest_by_tables(queries, df, signed, 10, tables, 8)) == exact
+    assert vectors.nearest_by_tables(queries.limit(0), df, signed, 10, tables, 8).isEmpty()
+    none = table("qid long, embedding array<float>", (1, None))
+    assert vectors.nearest_by_tables(none, df, signed, 10, tables, 8).isEmpty()
+
+
+def test_only_eligible_ids_are_scored(spark, data, monkeypatch):
+    matrix, df = data
+    queries = df.where("id in (1, 5)").withColumnRenamed("id", "qid")
+    allowed = {i for i in range(400) if i % 3}
+    eligible = spark.createDataFrame([(i,) for i in allowed] + [(None,), (5,), (10**12,)], "id long")
+    want = {q: brute(matrix, matrix[q], 12, allowed) for q in (1, 5)}
+    hits = vectors.nearest(queries, df, 12, eligible)
+    assert found(hits) == want
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and all("embedding" not in line for line in plan.splitlines() if "Exchange" in line)
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 2 * vectors.BITMAP_BYTES)
+    far = spark.range(5).selectExpr("id * 40000 AS id").unionByName(eligible)
+    assert found(vectors.nearest(queries, df, 12, far)) == {q: brute(matrix, matrix[q], 12, allowed | {0}) for q in (1, 5)}
+    assert vectors.nearest(queries, df, 3, eligible.limit(0)).isEmpty()
+
+
+def test_bitmaps_of_ids_of_any_sign(spark):
+    ids = [0, 1, -1, 32767, 32768, 32769, -32768, -32767, -40000, 2**40, -(2**40), 65536, 65537]
+    held = vectors.IdSet.of(vectors._id_parts(spark.createDataFrame([(i,) for i in ids], "id long"))[0])
+    near = np.array(sorted({i + d for i in ids for d in (-1, 0, 1)} - set(ids)), np.int64)
+    assert held.has(np.array(ids, np.int64)).all() and not held.has(near).any()
+
+
+def test_scores_are_rounded_once(data):
+    matrix, df = data
+    row = vectors.nearest(df.where("id = 1").withColumnRenamed("id", "qid"), df.where("id = 2"), 1).first()
+    a, b = matrix[1] / np.linalg.norm(matrix[1]), matrix[2] / np.linalg.norm(matrix[2])
+    assert abs(row.score - a @ b) < 1e-12 and row.score != round(row.score, 9)
+
+
+def test_texts_are_encoded_once_whatever_the_readers_ask(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text")
+    embedded = chunks.embed(texts, keep=["id"])
+    read = embedded.where("size(embedding) = 256 AND embedding IS NOT NULL").select("id", F.posexplode("embedding")).where("col > 0")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_weights_follow_document_frequencies(table):
+    texts = table("id long, text string", (1, "a b a"), (2, "a c"), (3, "a"), (4, None))
+    counted = chunks.count_words(texts, ["id"])
+    frequencies = {r.place: r.documents for r in chunks.document_frequencies(counted).collect()}
+    places = {w: int(hashlib.md5(w.encode()).hexdigest()[:2], 16) for w in "abc"}
+    assert frequencies == {-1: 4, places["a"]: 3, places["b"]: 1, places["c"]: 1}
+    weights = chunks.inverse_frequencies(chunks.document_frequencies(counted))
+    by_place = {r.place: r.weight for r in weights.collect()}
+    assert len(by_place) == 256
+    assert by_place[places["a"]] == pytest.approx(np.log(5 / 4)) and by_place[places["b"]] == pytest.approx(np.log(5 / 2))
+    rows = {r.id: r.embedding for r in chunks.weigh(counted, weights).collect()}
+    want = np.zeros(256)
+    want[places["a"]], want[places["b"]] = 2 * np.log(5 / 4), np.log(5 / 2)
+    assert rows[1] == pytest.approx(list(want / np.linalg.norm(want)))
+    # batches of frequencies add up
+    part = [chunks.document_frequencies(chunks.count_words(texts.where(c), ["id"])) for c in ("id < 3", "id > 2")]
+    assert {r.place: r.weight for r in chunks.inverse_frequencies(part[0].unionByName(part[1])).collect()} == by_place
+    empty = chunks.inverse_frequencies(part[0].limit(0))
+    assert {r.weight for r in empty.collect()} == {0.0}
+    none = chunks.weigh(counted, weights.limit(0)).where("id = 1").first().embedding
+    assert none == pytest.approx(chunks.embed(texts, keep=["id"]).where("id = 1").first().embedding)

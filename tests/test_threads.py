@@ -157,3 +157,66 @@ def test_random_trees_equal_a_recursive_walk(read):
     for i, tree in enumerate(trees):
         found = [(r.comment_id, r.depth) for r in rows if r.origin == f"f{i}"]
         assert found == list(walk(tree))
+
+
+def chain_of(n):
+    """A listing in which every comment has one reply, as text; built from the inside out."""
+    node = '""'
+    for i in range(n - 1, -1, -1):
+        node = '{"data":{"children":[{"kind":"t1","data":{"id":"c%d","body":"b","replies":' % i + node + "}}]}}"
+    return '[{"data":{"children":[{"data":{"id":"t","title":"T"}}]}},' + node + "]"
+
+
+def test_numbers_and_intervals(spark):
+    rows = spark.createDataFrame([("x", chain_of(3))], "origin string, value string")
+    comments = threads.split(threads.parse(rows), paths=False).comments
+    assert "path" not in comments.columns
+    assert [(r.number, r.last, r.spot, r.depth) for r in comments.orderBy("number").collect()] == [(0, 2, 0, 0), (1, 2, 0, 1), (2, 2, 0, 2)]
+
+
+def test_branches_by_range(spark):
+    def node(name, *replies):
+        below = {"data": {"children": list(replies)}} if replies else ""
+        return {"kind": "t1", "data": {"id": name, "body": name, "replies": below}}
+
+    tree = [node("a", node("b", node("c")), {"kind": "more"}, node("d")), node("e", node("f"))]
+    listing = [{"data": {"children": [{"data": {"id": "t", "title": "T"}}]}}, {"data": {"children": tree}}]
+    comments = threads.split(threads.parse(spark.createDataFrame([("x", json.dumps(listing))], "origin string, value string"))).comments
+    rows = comments.orderBy("number").collect()
+    assert [(r.comment_id, r.number, r.last, list(r.path)) for r in rows] == [
+        ("a", 0, 3, [0]), ("b", 1, 2, [0, 0]), ("c", 2, 2, [0, 0, 0]), ("d", 3, 3, [0, 2]), ("e", 4, 5, [1]), ("f", 5, 5, [1, 0])
+    ]
+    chosen = spark.createDataFrame([("x", 1), ("x", 4), ("x", 0), ("y", 0), ("x", 99)], "origin string, number int")
+    found = threads.replies_to(comments, chosen).orderBy("branch", "number").collect()
+    assert [(r.branch, r.comment_id) for r in found] == [(0, "a"), (0, "b"), (0, "c"), (0, "d"), (1, "b"), (1, "c"), (4, "e"), (4, "f")]
+
+
+def test_a_chain_of_replies_is_linear(spark):
+    """A chain of 100,000 replies: one small row for each."""
+    row = threads._row(chain_of(2000))
+    assert row["comments"][-1]["depth"] == 1999
+    comments = threads._tree(_nested(100_000))
+    assert len(comments) == 100_000 and comments[0]["last"] == 99_999
+    assert all(c["number"] == c["depth"] and c["last"] == 99_999 for c in comments)
+    assert all(not isinstance(v, (list, dict)) for v in comments[-1].values())
+
+
+def _nested(n):
+    node = ""
+    for i in range(n - 1, -1, -1):
+        node = {"data": {"children": [{"kind": "t1", "data": {"id": f"c{i}", "body": "b", "replies": node}}]}}
+    return node["data"]["children"]
+
+
+def test_parsed_copies_are_judged_by_their_layout(spark):
+    good, bad = json.dumps({"id": "x", "title": "T"}), "{"
+    copies = spark.createDataFrame(
+        [("https://a.example/comments/k1/", "f", "fetch", good), ("https://a.example/comments/k1/", "c", "cache", bad),
+         ("https://a.example/comments/k2/", "f", "fetch", good), ("https://a.example/comments/k2/", "c", "cache", good),
+         ("https://a.example/comments/k3/", "s", "file", bad), ("https://a.example/comments/k3/", "c", "cache", good)],
+        "source string, origin string, kind string, value string",
+    )
+    chosen = {(r.thread, r.kind) for r in threads.latest_raw_copy(copies).collect()}
+    assert chosen == {("k1", "fetch"), ("k2", "cache"), ("k3", "file")}
+    parsed = {(json.loads(r.origin.rsplit("#", 1)[0])["kind"], r.layout) for r in threads.latest_parsed(copies).collect()}
+    assert parsed == {("fetch", "object"), ("cache", "object"), ("file", "unreadable")}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
 from threadshelf.operators import chunks, mentions
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import spread
 
 # the white space of the texts, for SQL
@@ -209,17 +210,26 @@ WORD_COUNTS = """SELECT {key} AS key, CAST('0x' || left(md5(word), 2) AS INTEGER
                  GROUP BY ALL"""
 
 
+# weights of the places, from the documents
+WEIGHTS = """(SELECT i, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS w FROM {counts} GROUP BY i)"""
+
+
 @query(
-    "WITH counts AS (" + WORD_COUNTS.format(key="doc_id", table="documents") + """)
-    SELECT key AS doc_id, i AS dimension,
-           round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE), 5)
-               AS weight
-    FROM counts"""
+    "WITH counts AS (" + WORD_COUNTS.format(key="doc_id", table="documents") + """),
+    weighted AS (SELECT key, i, n * w AS n FROM counts JOIN """ + WEIGHTS.format(counts="counts") + """ USING (i)),
+    unit AS (
+        SELECT key AS doc_id, i AS dimension,
+               CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS weight
+        FROM weighted)
+    SELECT doc_id, dimension, round(weight, 5) AS weight FROM unit WHERE weight > 0"""
 )
 def embed_batch(t: Tables) -> DataFrame:
-    vectors = chunks.embed(spread(t.documents).select("doc_id", "text"), keep=["doc_id"])
+    """Documents as weighted word counts; the weights come from the same counts."""
+    counted = cut(chunks.count_words(spread(t.documents).select("doc_id", "text"), keep=["doc_id"]))
+    weights = chunks.inverse_frequencies(chunks.document_frequencies(counted))
     return (
-        vectors.select("doc_id", F.posexplode("embedding").alias("dimension", "weight"))
+        chunks.weigh(counted, weights)
+        .select("doc_id", F.posexplode("embedding").alias("dimension", "weight"))
         .where(F.col("weight") > 0)
         .withColumn("weight", F.round(F.col("weight").cast("double"), 5))
     )

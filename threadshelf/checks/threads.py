@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables, query
 from threadshelf.plans.ingest import Models
-from threadshelf.plans.lineage import work_path
+from threadshelf.plans.lineage import cut, work_path
 from threadshelf.plans.sizes import spread
 from threadshelf.sources import threads, volumes
 from threadshelf.sources.tables import Store
@@ -134,7 +134,29 @@ def thread_headers(t: Tables) -> DataFrame:
 @query("WITH " + COMMENTS_SQL + " SELECT * FROM comments")
 def flatten_comments(t: Tables) -> DataFrame:
     comments = threads.split(threads.parse(listing_json(t.documents))).comments
-    return comments.withColumns({"path": dotted(), "external_id": F.col("origin")}).drop("origin")
+    shown = comments.withColumns({"path": dotted(), "external_id": F.col("origin")})
+    return shown.select("external_id", "path", "depth", "comment_id", "body", "score")
+
+
+@query(
+    "WITH " + COMMENTS_SQL + """
+    SELECT c.external_id, c.comment_id, count(r.comment_id) + 1 AS n, max(coalesce(r.score, c.score)) AS best_score
+    FROM comments c LEFT JOIN comments r
+      ON r.external_id = c.external_id AND r.depth = 1 AND starts_with(r.path, c.path || '.')
+    WHERE c.depth = 0 GROUP BY ALL"""
+)
+def comment_branches(t: Tables) -> DataFrame:
+    """Every branch of a thread by its interval of numbers: how many comments, and the best score of a reply."""
+    comments = cut(threads.split(threads.parse(listing_json(t.documents)), paths=False).comments)
+    tops = comments.where("depth = 0").select("origin", "number")
+    inside = threads.replies_to(comments, tops)
+    heads = comments.where("depth = 0").select("origin", F.col("number").alias("branch"), F.col("comment_id").alias("head"))
+    own = F.col("number") == F.col("branch")
+    sums = inside.groupBy("origin", "branch").agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.max(F.when(~own, F.col("score"))), F.max("score")).alias("best_score"),
+    )
+    return heads.join(sums, ["origin", "branch"]).select(F.col("origin").alias("external_id"), F.col("head").alias("comment_id"), "n", "best_score")
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
 from threadshelf.checks.changes import NOW, now
-from threadshelf.checks.mentions import WORD_COUNTS, stored_chunks
+from threadshelf.checks.mentions import WEIGHTS, WORD_COUNTS, stored_chunks
 from threadshelf.operators import changes, chunks, search, vectors
-from threadshelf.plans.lineage import work_path
+from threadshelf.plans.lineage import cut
 from threadshelf.plans.sizes import spread
 
 
@@ -33,10 +33,10 @@ SCORED = """means AS (
     GROUP BY label),
 scored AS (
     SELECT qid, vec_id AS book_id,
-           round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 9) AS score
+           list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score
     FROM embeddings, means),
 hits AS (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, book_id) AS rank
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, book_id) AS rank
     FROM scored)"""
 
 
@@ -53,42 +53,54 @@ def knn_topk(t: Tables) -> DataFrame:
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
 
 
-@query(
-    "WITH " + SCORED + """,
-    sides AS (
-        SELECT d, bit, CASE WHEN left(md5('7:' || d || ':' || bit), 1) < '8' THEN 1 ELSE -1 END
-                   AS sign
-        FROM range(64) AS a(d), range(6) AS b(bit)),
+# Tables of signatures, buckets by the first bits of MD5 values, and the buckets probed for each query.
+TABLES = vectors.SignatureTables(dimensions=64, tables=16, bits=8)
+PROBES = 12
+
+# (table, vector, bucket) and (table, query, bucket) of the vectors in v and the queries in q
+SIGNED = """sides AS (
+        SELECT n, d, bit, CASE WHEN left(md5('{seed}' || d || ':' || bit), 1) < '8' THEN 1 ELSE -1 END AS sign
+        FROM range({tables}) AS t(n), range(64) AS a(d), range({bits}) AS b(bit)),
     vector_bits AS (
-        SELECT vec_id, bit, sum(x * sign) > 0 AS up
-        FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS d
-              FROM embeddings) JOIN sides USING (d) GROUP BY vec_id, bit),
-    buckets AS (SELECT vec_id, sum(CASE WHEN up THEN 1 << bit ELSE 0 END) AS bucket
-                FROM vector_bits GROUP BY vec_id),
+        SELECT n, id, bit, sum(x * sign) > 0 AS up
+        FROM (SELECT id, unnest(e) AS x, unnest(range(64)) AS d FROM v) JOIN sides USING (d) GROUP BY n, id, bit),
+    buckets AS (SELECT n, id, sum(CASE WHEN up THEN 1 << bit ELSE 0 END) AS bucket FROM vector_bits GROUP BY n, id),
     margins AS (
-        SELECT qid, bit, sum(x * sign) AS margin
-        FROM (SELECT qid, unnest(v) AS x, unnest(range(64)) AS d FROM means)
-        JOIN sides USING (d) GROUP BY qid, bit),
+        SELECT n, qid, bit, sum(x * sign) AS margin
+        FROM (SELECT qid, unnest(e) AS x, unnest(range(64)) AS d FROM q) JOIN sides USING (d) GROUP BY n, qid, bit),
     costs AS (
-        SELECT qid, bucket,
-               sum(CASE WHEN (margin > 0) = ((bucket >> bit) & 1 = 1) THEN 0
-                        ELSE margin * margin END) AS cost
-        FROM margins, range(64) AS r(bucket) GROUP BY qid, bucket),
+        SELECT n, qid, bucket,
+               sum(CASE WHEN (margin > 0) = ((bucket >> bit) & 1 = 1) THEN 0 ELSE margin * margin END) AS cost
+        FROM margins, range(1 << {bits}) AS r(bucket) GROUP BY n, qid, bucket),
     probed AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cost, bucket) AS n
-                       FROM costs) WHERE n <= 24),
+        SELECT * FROM costs QUALIFY row_number() OVER (PARTITION BY n, qid ORDER BY cost, bucket) <= {probes}),
+    met AS (SELECT DISTINCT qid, id FROM probed JOIN buckets USING (n, bucket)),
     near AS (
-        SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, book_id) AS place
-        FROM scored s JOIN buckets b ON b.vec_id = s.book_id
-        JOIN probed p ON p.qid = s.qid AND p.bucket = b.bucket)
-    SELECT qid, place AS rank, book_id, round(score, 6) AS score FROM near WHERE place <= 10"""
+        SELECT qid, id, list_cosine_similarity(v.e, q.e) AS score FROM met JOIN v USING (id) JOIN q USING (qid))
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, id AS book_id,
+           round(score, 6) AS score
+    FROM near QUALIFY rank <= 10"""
+
+# unit vectors, as buckets are found from them
+UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+
+
+def every_fiftieth(t: Tables) -> DataFrame:
+    """Queries: every vector whose id is divisible by 50."""
+    return t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id AS id, {UNIT} AS e FROM embeddings),
+    q AS (SELECT id AS qid, e FROM v WHERE id % 50 = 0),
+    """
+    + SIGNED.format(seed="7:' || n || ':", tables=16, bits=8, probes=PROBES)
 )
 def knn_lsh(t: Tables) -> DataFrame:
-    planes = vectors.Hyperplanes(dimensions=64, bits=6)
-    index = work_path(t.spark, "index")
-    vectors.with_buckets(search.chunk_vectors(stored_chunks(t)), planes).write.partitionBy("bucket").parquet(index)
-    indexed = t.spark.read.parquet(index)
-    found = vectors.nearest_approximate(label_means(t), indexed, 10, planes, probes=24)
+    """Every 50th vector against all, through 16 tables of signatures."""
+    stored = search.chunk_vectors(stored_chunks(t))
+    signed = cut(vectors.signatures(stored, TABLES))
+    found = vectors.nearest_by_tables(every_fiftieth(t), stored, signed, 10, TABLES, PROBES)
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
 
 
@@ -113,7 +125,7 @@ def _search_sql(fetched: int | None, wanted: str) -> str:
                 FROM (SELECT * FROM {source}) h JOIN document_books d ON d.id = h.book_id
                 WHERE coalesce(status, 'new') {wanted}),
               ranked AS (
-                SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, book_id) AS rank
+                SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, book_id) AS rank
                 FROM shown)
               SELECT qid, rank, book_id, title, status, round(score, 6) AS score
               FROM ranked WHERE rank <= 5"""
@@ -147,7 +159,7 @@ def search_prefilter(t: Tables) -> DataFrame:
         UNION ALL SELECT 'doc_' || vec_id || '_b', vec_id, vec_id FROM embeddings WHERE vec_id % 5 = 0),
     raw AS (
         SELECT qid, c.doc_id, c.book_id, score,
-               row_number() OVER (PARTITION BY qid ORDER BY score DESC, c.book_id, c.doc_id) AS rank
+               row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, c.book_id, c.doc_id) AS rank
         FROM scored s JOIN chunk c ON c.vec_id = s.book_id)
     SELECT qid, rank, doc_id, raw.book_id, 'Title ' || raw.book_id AS title, 'Unknown' AS author,
            'Label ' || label AS source_title, printf('%.3f', score) AS similarity
@@ -207,7 +219,7 @@ def search_library_sources(t: Tables) -> DataFrame:
              JOIN document_books d ON d.id = h.book_id WHERE coalesce(status, 'new') <> 'deleted'),
          ranked AS (
              SELECT *, coalesce(nullif(summary, ''), nullif(description, ''), '') AS told,
-                    row_number() OVER (PARTITION BY qid ORDER BY score DESC, book_id) AS rank
+                    row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, book_id) AS rank
              FROM shown)
          SELECT qid, rank, book_id, title, coalesce(author, 'Unknown') AS author,
                 nullif(CASE WHEN contains(told, '. ') THEN string_split(told, '. ')[1] || '.'
@@ -226,7 +238,7 @@ def search_report(t: Tables) -> DataFrame:
     b.ctes(b.DOCUMENT_BOOKS, SCORED)
     + f""", shown AS (
               SELECT qid, book_id, score,
-                     row_number() OVER (PARTITION BY qid ORDER BY score DESC, book_id) AS place
+                     row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, book_id) AS place
               FROM (SELECT * FROM hits WHERE rank <= 15) h
               JOIN document_books d ON d.id = h.book_id
               WHERE coalesce(status, 'new') <> 'deleted'),
@@ -243,8 +255,11 @@ def mark_viewed(t: Tables) -> DataFrame:
 
 
 @query(
-    "WITH q AS (" + WORD_COUNTS.format(key="item_id", table="benchmark") + "), d AS ("
-    + WORD_COUNTS.format(key="doc_id", table="documents") + """),
+    "WITH q0 AS (" + WORD_COUNTS.format(key="item_id", table="benchmark") + "), d0 AS ("
+    + WORD_COUNTS.format(key="doc_id", table="documents") + "), weights AS " + WEIGHTS.format(counts="d0") + """,
+    -- a place that is in no document
+    q AS (SELECT key, i, n * coalesce(w, ln((SELECT count(*) FROM documents) + 1)) AS n FROM q0 LEFT JOIN weights USING (i)),
+    d AS (SELECT key, i, n * w AS n FROM d0 JOIN weights USING (i)),
     qf AS (SELECT key, i, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS n FROM q),
     df AS (SELECT key, i, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS n FROM d),
     qn AS (SELECT key, sqrt(sum(n * n)) AS length FROM qf GROUP BY key),
@@ -253,16 +268,22 @@ def mark_viewed(t: Tables) -> DataFrame:
              FROM qf q JOIN df d ON d.i = q.i GROUP BY q.key, d.key),
     every AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents),
     scored AS (
-        SELECT e.qid, e.id, round(coalesce(dot / (qn.length * dn.length), 0), 9) AS score
+        SELECT e.qid, e.id, coalesce(dot / (qn.length * dn.length), 0) AS score
         FROM every e LEFT JOIN dots USING (qid, id)
         LEFT JOIN qn ON qn.key = e.qid LEFT JOIN dn ON dn.key = e.id)
     SELECT qid, rank, id, round(score, 6) AS score
-    FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored)
+    FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM scored)
     WHERE rank <= 10"""
 )
 def search_text_tf(t: Tables) -> DataFrame:
-    """Benchmark texts as queries over all documents. Stored vectors are FLOAT in both engines."""
-    texts = spread(t.benchmark).select(F.col("item_id").alias("qid"), "text")
+    """Benchmark texts as queries over all documents, weighted by the documents' frequencies.
+
+    Stored vectors are FLOAT in both engines.
+    """
+    texts = t.benchmark.select(F.col("item_id").alias("qid"), "text")
     documents = spread(t.documents).select(F.col("doc_id").alias("id"), "text")
-    found = vectors.nearest(search.encode_queries(texts), chunks.embed(documents, keep=["id"]), 10)
+    counted = cut(chunks.count_words(documents, keep=["id"]))
+    weights = cut(chunks.inverse_frequencies(chunks.document_frequencies(counted)))
+    queries = search.encode_queries(texts, weights=weights)
+    found = vectors.nearest(queries, chunks.weigh(counted, weights), 10)
     return found.select("qid", "rank", "id", _rounded())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scores closer than this many digits are ties, broken by id. Sums taken in another
+# Scores that agree to this many digits are ties, broken by id. Sums taken in another
 # order differ in the last bits; without the rounding equal vectors would not tie.
 SCORE_DIGITS = 9
 
@@ -22,7 +22,7 @@ def norm(a: Column) -> Column:
 def cosine_to_unit(a: Column, unit: Column) -> Column:
     """Similarity in [-1, 1] to a vector of length 1; 0 when the other has no length."""
     length = norm(a)
-    return F.round(F.when(length > 0, dot(a, unit) / length).otherwise(0.0), SCORE_DIGITS)
+    return F.when(length > 0, dot(a, unit) / length).otherwise(0.0)
 
 
 def normalised(a: Column) -> Column:

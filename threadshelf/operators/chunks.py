@@ -111,6 +111,65 @@ def word_counts(texts: Column) -> Column:
     return F.transform(F.array(ordered), counted)[0]
 
 
+def count_words(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns and `counts` of the words of `text`.
+
+    Every text is counted once: the counts come out of a generator, into which the optimizer
+    moves no filter and copies no expression of their readers.
+    """
+    keep = keep or texts.columns
+    return texts.select(*keep, F.explode(F.array(word_counts(F.col("text")))).alias("counts"))
+
+
+# The place that holds the number of texts.
+ALL_TEXTS = -1
+
+
+def document_frequencies(counted: DataFrame) -> DataFrame:
+    """(place, documents): in how many texts each place occurs, and how many texts there are."""
+    found = F.filter(
+        F.transform("counts", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull()
+    )
+    places = counted.select(F.explode(F.concat(F.array(F.lit(ALL_TEXTS)), found)).alias("place"))
+    return places.groupBy("place").agg(F.count("*").alias("documents"))
+
+
+def inverse_frequencies(frequencies: DataFrame) -> DataFrame:
+    """(place, weight) of all places, from counts (place, documents) that may come in several rows.
+
+    A place in d of n texts weighs ln((n + 1) / (d + 1)).
+    """
+    total = frequencies.groupBy("place").agg(F.sum("documents").alias("documents"))
+    spark = frequencies.sparkSession
+    n = F.coalesce(F.max(F.when(F.col("place") == ALL_TEXTS, F.col("documents"))), F.lit(0))
+    texts = total.agg(n.alias("texts"))
+    places = spark.range(WORD_DIMENSIONS).select(F.col("id").cast("int").alias("place"))
+    # one row of texts, and at most as many rows as there are places
+    known = places.join(F.broadcast(total), "place", "left").join(F.broadcast(texts), F.lit(True))
+    weight = F.log((F.col("texts") + 1) / (F.coalesce("documents", F.lit(0)) + 1))
+    return known.select("place", weight.alias("weight"))
+
+
+def weigh(counted: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Counts to `embedding`, the unit vector of the weighted counts; no weights weigh 1 each."""
+    keep = [c for c in counted.columns if c != "counts"]
+    factors = _factors(weights)
+    weighted = F.col("counts")
+    if factors:
+        # one number a place
+        literal = F.array(*map(F.lit, factors))
+        weighted = F.transform("counts", lambda n, i: n * F.get(literal, i))
+    made = counted.select(*keep, weighted.alias("_weighted"))
+    return made.select(*keep, normalised(F.col("_weighted")).alias("embedding"))
+
+
+def _factors(weights: DataFrame | None) -> list[float]:
+    if weights is None:
+        return []
+    rows = {row["place"]: row["weight"] for row in weights.limit(WORD_DIMENSIONS).collect()}
+    return [rows.get(place, 1.0) for place in range(WORD_DIMENSIONS)] if rows else []
+
+
 def word_encoder() -> Encoder:
     """The offline default as a model: counts of words hashed to a fixed number of dimensions."""
     raise TypeError("the offline encoder is an expression; `embed` computes it without a model")
@@ -120,18 +179,16 @@ def embed(
     texts: DataFrame,
     load_encoder: Callable[[], Encoder] = word_encoder,
     keep: list[str] | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Add `embedding`, the unit vector of `text`, to the kept columns (all by default).
 
-    The offline encoder is an expression. Any other encodes in Arrow batches, every text once,
-    and is loaded once per task.
+    The offline encoder is an expression, and takes the weights (place, weight) of its places.
+    Any other encodes in Arrow batches, every text once, and is loaded once per task.
     """
     keep = keep or texts.columns
     if load_encoder is word_encoder:
-        counts = word_counts(F.col("text"))
-        return texts.select(*keep, counts.alias("_counts")).select(
-            *keep, normalised(F.col("_counts")).alias("embedding")
-        )
+        return weigh(count_words(texts, keep), weights)
     schema = texts.select(*keep).schema
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +209,16 @@ def embed(
     return given.mapInArrow(encode, T.StructType(fields))
 
 
-def encode_chunks(made: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
+def encode_chunks(
+    made: DataFrame, load_encoder: Callable[[], Encoder], weights: DataFrame | None = None
+) -> DataFrame:
     """Chunk texts as rows of the chunk table.
 
     They are written down first: the encoder then has one task per part of a file, however
     few partitions the joins before it were put together to.
     """
     metadata = F.struct("title", "author", "source_title")
-    return embed(spread(cut(made)), load_encoder).select(
+    return embed(spread(cut(made)), load_encoder, weights=weights).select(
         text.chunk_key(F.col("book_id")).alias("doc_id"),
         "book_id",
         "text",
@@ -173,9 +232,10 @@ def build_chunks(
     links: DataFrame,
     sources: DataFrame,
     load_encoder: Callable[[], Encoder] = word_encoder,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Chunk rows for the given books."""
-    return encode_chunks(chunk_texts(books, links, sources), load_encoder)
+    return encode_chunks(chunk_texts(books, links, sources), load_encoder, weights)
 
 
 def _same_text(made: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -193,6 +253,7 @@ def reindex(
     load_encoder: Callable[[], Encoder] = word_encoder,
     only_changed: bool = False,
     prune: bool = False,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Next chunk table: text and vector of every listed book with a description rebuilt.
 
@@ -209,5 +270,5 @@ def reindex(
         same = cut(_same_text(made, chunks))
         made = made.join(same, "book_id", "left_anti")
         written = written.join(same, "book_id", "left_anti")
-    rebuilt = encode_chunks(made, load_encoder).select(*chunks.columns)
+    rebuilt = encode_chunks(made, load_encoder, weights).select(*chunks.columns)
     return chunks.join(written, "book_id", "left_anti").unionByName(rebuilt)

@@ -24,15 +24,15 @@ DEFAULT_LIBRARY_LIMIT = 10
 
 
 def encode_queries(
-    queries: DataFrame, load_encoder: Callable[[], Encoder] = word_encoder
+    queries: DataFrame, load_encoder: Callable[[], Encoder] = word_encoder, weights: DataFrame | None = None
 ) -> DataFrame:
-    """Query texts (qid, text) to query vectors (qid, embedding)."""
-    return embed(queries, load_encoder, keep=["qid"])
+    """Query texts (qid, text) to query vectors (qid, embedding); with the weights the chunks have."""
+    return embed(queries, load_encoder, keep=["qid"], weights=weights)
 
 
-def chunk_vectors(chunks: DataFrame) -> DataFrame:
-    """Vectors to search, as (id, embedding), id being the book."""
-    return chunks.where(F.col("embedding").isNotNull()).select(_book(chunks).alias("id"), "embedding")
+def chunk_vectors(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Vectors to search, as (id, kept columns, embedding), id being the book."""
+    return chunks.where(F.col("embedding").isNotNull()).select(_book(chunks).alias("id"), *(keep or []), "embedding")
 
 
 def _book(chunks: DataFrame) -> Column:
@@ -79,8 +79,7 @@ def search(
     """
     if mode == "prefilter":
         eligible = books.where(_showable(new_only)).select("id")
-        vectors = chunk_vectors(chunks).join(eligible, "id", "left_semi")
-        return hits_to_catalogue(nearest(queries, vectors, limit), books)
+        return hits_to_catalogue(nearest(queries, chunk_vectors(chunks), limit, eligible), books)
     if mode != "postfilter":
         raise ValueError("mode is postfilter or prefilter")
     factor = FETCH_FACTOR_NEW_ONLY if new_only else FETCH_FACTOR

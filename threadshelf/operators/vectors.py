@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from threadshelf.plans.lineage import cut
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Queries of one scoring step.
 QUERY_BLOCK = 1024
+# Fixed value: bytes of one of Spark's bitmaps.
+BITMAP_BYTES = 4096
+
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -49,7 +53,10 @@ def checked(vectors: DataFrame, dimensions: int) -> DataFrame:
 
 @dataclass
 class Best:
-    """Running k best rows of each query: higher score first, then lower id, then document."""
+    """Running k best rows of each query: higher score first, then lower id, then document.
+
+    Scores are compared rounded and handed on as they are, so that a reader rounds once.
+    """
 
     k: int
     q: np.ndarray
@@ -66,7 +73,7 @@ class Best:
         ids = np.concatenate([self.ids, ids])
         scores = np.concatenate([self.scores, scores])
         docs = np.concatenate([self.docs, docs])
-        order = np.lexsort((docs, ids, -scores, q))
+        order = np.lexsort((docs, ids, -np.round(scores, SCORE_DIGITS), q))
         q = q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         kept = order[place < self.k]
@@ -83,15 +90,14 @@ def _score(
     allowed: np.ndarray | None,
 ) -> None:
     """Offer a batch of vectors to a block of queries; `allowed` masks (query, bucket) pairs."""
-    scores = np.round(queries @ vectors.T, SCORE_DIGITS)
+    scores = queries @ vectors.T
     if allowed is not None:
         scores[~allowed[:, batch.column("bucket").to_numpy()]] = -np.inf
+    wanted = np.isfinite(scores)
     if scores.shape[1] > best.k:
         last = scores.shape[1] - best.k
-        cutoff = np.partition(scores, last, axis=1)[:, last]
-        wanted = (scores >= cutoff[:, None]) & np.isfinite(scores)
-    else:
-        wanted = np.isfinite(scores)
+        compared = np.round(scores, SCORE_DIGITS)
+        wanted &= compared >= np.partition(compared, last, axis=1)[:, [last]]
     q, v = np.nonzero(wanted)
     docs = np.full(len(v), "", "U1")
     if "doc_id" in batch.schema.names and len(v):
@@ -102,26 +108,44 @@ def _score(
 def ranked(hits: DataFrame, k: int) -> DataFrame:
     """Number the hits of each query from 1 and keep the first k."""
     ties = ["id", "doc_id"] if "doc_id" in hits.columns else ["id"]
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), *ties)
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", SCORE_DIGITS)), *ties)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, eligible: DataFrame | None = None) -> DataFrame:
     """Exact k nearest vectors (id, embedding) of every query (qid, embedding).
 
     Gives (qid, rank, id, score), and doc_id where the vectors have one; vectors without an id
     are passed over. Vectors are scored where they lie, by matrix product; each task passes on
-    its k best per query. Queries beyond the size sent to every task take further scans.
+    its k best per query. Queries beyond the size sent to every task take further scans. With
+    `eligible` (id) only these are scored: bitmaps of their ids go to the scan, in parts of that
+    size too, and no vector is moved.
     """
+    return _nearest(queries, vectors, k, None, eligible)
+
+
+def _nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None = None, eligible: DataFrame | None = None
+) -> DataFrame:
+    """Every part of the queries against every part of the eligible ids, one scan after the other:
+    what a scan found is written down before the next part is sent."""
     _check_k(k)
     queries = _known_queries(queries)
     dimensions = _dimensions(queries)
     if dimensions is None:
         return _no_hits(queries, vectors)
-    found = [
-        _scan(part, checked(vectors, dimensions), k) for part in _parts(queries, dimensions)
-    ]
-    return ranked(reduce(DataFrame.unionByName, found), k)
+    vectors = checked(vectors, dimensions)
+    parts = _parts(queries, dimensions)
+    allowed = [None] if eligible is None else _id_parts(eligible)
+    if len(parts) * len(allowed) == 1:
+        return ranked(_scan(parts[0], vectors, k, probes, allowed[0])[0], k)
+    found = []
+    for part in parts:
+        for ids in allowed:
+            hits, sent = _scan(part, vectors, k, probes, ids)
+            found.append(cut(ranked(hits, k).drop("rank")))
+            sent.destroy()
+    return ranked(reduce(DataFrame.unionByName, found), k) if found else _no_hits(queries, vectors)
 
 
 def _check_k(k: int) -> None:
@@ -148,6 +172,41 @@ def _parts(queries: DataFrame, dimensions: int) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
+def _id_parts(eligible: DataFrame) -> list[DataFrame]:
+    """Bitmaps (bucket, bits) of the ids, in parts of a size that can be sent to every task."""
+    ids = eligible.select(F.col("id").cast("long").alias("id")).where(F.col("id").isNotNull())
+    bitmaps = cut(
+        ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    )
+    n = max(1, -(-bitmaps.count() * BITMAP_BYTES // MAX_BROADCAST_BYTES))
+    return [bitmaps.where(F.pmod(F.xxhash64("bucket"), F.lit(n)) == i) for i in range(n)]
+
+
+@dataclass
+class IdSet:
+    """Ids as the bitmaps of `_id_parts`."""
+
+    buckets: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, bitmaps: DataFrame) -> IdSet:
+        table = bitmaps.orderBy("bucket").toArrow()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8)
+        return cls(table.column("bucket").to_numpy(), bits.reshape(-1, BITMAP_BYTES))
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.buckets):
+            return np.zeros(len(ids), bool)
+        span = 8 * BITMAP_BYTES
+        above = ids > 0
+        # Java's division and remainder of negative numbers go towards zero
+        bucket = np.where(above, 1 + (ids - 1) // span, -(-ids // span))
+        place = np.where(above, (ids - 1) % span, -ids % span)
+        row = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        return (self.buckets[row] == bucket) & (self.bits[row, place >> 3] >> (place & 7) & 1 == 1)
+
+
 def _hit_columns(vectors: DataFrame) -> list[str]:
     return ["id", "embedding", *[c for c in ("doc_id", "bucket") if c in vectors.columns]]
 
@@ -165,10 +224,13 @@ def _query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("qid").to_numpy(), _matrix(table.column("embedding"))
 
 
-def _scan(queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None = None) -> DataFrame:
-    """Score every vector against a query matrix of checked size that all tasks hold."""
+def _scan(
+    queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None = None, eligible: DataFrame | None = None
+) -> tuple[DataFrame, Broadcast]:
+    """Score the vectors against a query matrix of checked size that all tasks hold."""
     vectors = vectors.select(*_hit_columns(vectors))
     qids, matrix = _query_matrix(queries)
+    ids = None if eligible is None else IdSet.of(eligible)
     if probes and len(matrix):
         # buckets that no query probes are not read
         reached = np.zeros(0, np.int64)
@@ -176,27 +238,33 @@ def _scan(queries: DataFrame, vectors: DataFrame, k: int, probes: Probes | None
             some = probes(matrix[start : start + QUERY_BLOCK]).any(axis=0)
             reached = np.union1d(reached, np.flatnonzero(some))
         vectors = vectors.where(F.col("bucket").isin(reached.tolist()))
-    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix, ids))
     named = "doc_id" in vectors.columns
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = sent.value
+        qids, matrix, ids = sent.value
         starts = range(0, len(matrix), QUERY_BLOCK)
         blocks = [matrix[start : start + QUERY_BLOCK] for start in starts]
         masks = [probes(block) if probes else None for block in blocks]
         best = Best.none(k)
         for batch in batches:
+            if ids is not None:
+                batch = batch.filter(pa.array(ids.has(batch.column("id").to_numpy())))
             if batch.num_rows:
                 rows = _matrix(batch.column("embedding"))
                 for start, block, mask in zip(starts, blocks, masks):
                     _score(best, start, block, batch, rows, mask)
-        columns = [pa.array(qids[best.q], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.scores)]
-        names = ["qid", "id", "score"]
-        if named:
-            columns, names = [*columns, pa.array(best.docs.tolist(), pa.string())], [*names, "doc_id"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        yield _hits(best, qids, named)
 
-    return vectors.mapInArrow(scan, _schema(vectors))
+    return vectors.mapInArrow(scan, _schema(vectors)), sent
+
+
+def _hits(best: Best, qids: np.ndarray, named: bool) -> pa.RecordBatch:
+    columns = [pa.array(qids[best.q], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.scores)]
+    names = ["qid", "id", "score"]
+    if named:
+        columns, names = [*columns, pa.array(best.docs.tolist(), pa.string())], [*names, "doc_id"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
@@ -207,7 +275,7 @@ def nearest_to_one(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
     scored = vectors.where(F.col("embedding").isNotNull()).select(
         "id", cosine_to_unit(F.col("embedding"), literal).alias("score")
     )
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    return scored.orderBy(F.desc(F.round("score", SCORE_DIGITS)), "id").limit(k)
 
 
 # --- approximate search -------------------------------------------------------------
@@ -219,7 +287,7 @@ class Hyperplanes:
 
     dimensions: int
     bits: int = 8
-    seed: int = 7
+    seed: int | str = 7
 
     def matrix(self) -> np.ndarray:
         def sign(dimension: int, bit: int) -> float:
@@ -278,18 +346,10 @@ def nearest_approximate(
 
     `indexed` has (id, embedding, bucket). With all buckets probed the result is exact.
     """
-    _check_k(k)
-    queries = _known_queries(queries)
-    dimensions = _dimensions(queries)
-    if dimensions is None:
-        return _no_hits(queries, indexed)
-
     def reached(matrix: np.ndarray) -> np.ndarray:
         return planes.probes(matrix, probes)
 
-    vectors = checked(indexed, dimensions)
-    found = [_scan(part, vectors, k, reached) for part in _parts(queries, dimensions)]
-    return ranked(reduce(DataFrame.unionByName, found), k)
+    return _nearest(queries, indexed, k, reached)
 
 
 def enough_probes(
@@ -311,3 +371,111 @@ def enough_probes(
     rows = np.searchsorted(qids, found.column("qid").to_numpy())
     reached = np.sort(places[rows, found.column("bucket").to_numpy()])
     return int(reached[max(1, int(np.ceil(recall * len(reached) - 1e-9))) - 1]) + 1
+
+
+# --- several signature tables ---------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class SignatureTables:
+    """Several sets of hyperplanes; a vector has a bucket in the table of each.
+
+    A neighbour is a candidate if one table has it in a probed bucket, so buckets can be small:
+    the more tables and probes, the higher the recall.
+    """
+
+    dimensions: int
+    tables: int = 16
+    bits: int = 8
+    seed: int = 7
+
+    def planes(self) -> list[Hyperplanes]:
+        return [Hyperplanes(self.dimensions, self.bits, f"{self.seed}:{i}") for i in range(self.tables)]
+
+
+def signatures(vectors: DataFrame, tables: SignatureTables) -> DataFrame:
+    """(table_no, bucket, id): one row for every vector (id, embedding) and table."""
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = tables.planes()
+        for batch in batches:
+            if batch.num_rows:
+                matrix = _matrix(batch.column("embedding"))
+                buckets = np.stack([p.buckets(matrix) for p in planes], axis=1).astype(np.int32)
+                starts = np.arange(0, buckets.size + 1, len(planes), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(starts, buckets.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "buckets"])
+
+    known = checked(vectors, tables.dimensions).select("id", "embedding")
+    signed = known.mapInArrow(sign, "id long, buckets array<int>")
+    return signed.select("id", F.posexplode("buckets").alias("table_no", "bucket")).select("table_no", "bucket", "id")
+
+
+def probed(queries: DataFrame, tables: SignatureTables, probes: int) -> DataFrame:
+    """(table_no, bucket, qid): the buckets that cost each query (qid, embedding) least to reach."""
+
+    def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = tables.planes()
+        for batch in batches:
+            if batch.num_rows:
+                matrix = _matrix(batch.column("embedding"))
+                buckets = np.stack([p.order(matrix)[:, :probes] for p in planes], axis=1).astype(np.int32)
+                n = buckets.shape[1] * buckets.shape[2]
+                rows = np.broadcast_to(np.arange(len(planes), dtype=np.int32)[None, :, None], buckets.shape)
+                qids = np.repeat(batch.column("qid").to_numpy(), n)
+                columns = [pa.array(rows.ravel()), pa.array(buckets.ravel()), pa.array(qids, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["table_no", "bucket", "qid"])
+
+    return queries.select("qid", "embedding").mapInArrow(order, "table_no int, bucket int, qid long")
+
+
+def nearest_by_tables(
+    queries: DataFrame, vectors: DataFrame, signed: DataFrame, k: int, tables: SignatureTables, probes: int
+) -> DataFrame:
+    """k nearest among the vectors that share a probed bucket of some table with the query.
+
+    `signed` are the `signatures` of the vectors, kept from before. Queries meet signatures by
+    (table, bucket); each pair is taken once, and ranked by the stored vector, which is joined to
+    the pairs by id. The query vectors are sent to all tasks, part by part.
+    """
+    _check_k(k)
+    queries = _known_queries(queries)
+    dimensions = _dimensions(queries)
+    if dimensions is None:
+        return _no_hits(queries, vectors)
+    stored = checked(vectors, dimensions).select("id", "embedding")
+    met = probed(queries, tables, probes).join(signed, ["table_no", "bucket"]).select("qid", "id")
+    pairs = cut(met.dropDuplicates().join(stored, "id").select("qid", "id", "embedding"))
+    found = []
+    parts = _parts(queries, dimensions)
+    for part in parts:
+        hits, sent = _rerank(part, pairs, k)
+        if len(parts) == 1:
+            return ranked(hits, k)
+        found.append(cut(ranked(hits, k).drop("rank")))
+        sent.destroy()
+    return ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def _rerank(queries: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The k best pairs (qid, id, embedding) of each of the queries, a task at a time."""
+    qids, matrix = _query_matrix(queries)
+    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+
+    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix = sent.value
+        best = Best.none(k)
+        for batch in batches:
+            if not batch.num_rows or not len(qids):
+                continue
+            asked = batch.column("qid").to_numpy()
+            place = np.minimum(np.searchsorted(qids, asked), len(qids) - 1)
+            own = qids[place] == asked
+            place = place[own]
+            rows = _matrix(batch.column("embedding"))[own]
+            scores = np.einsum("ij,ij->i", matrix[place], rows)
+            ids = batch.column("id").to_numpy()[own]
+            best.add(place, ids, scores, np.full(len(ids), "", "U1"))
+        yield _hits(best, qids, False)
+
+    return pairs.mapInArrow(rank, "qid long, id long, score double"), sent

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadshelf.functions import metadata, text
 from threadshelf.operators import changes, mentions, resolve
 from threadshelf.operators.catalog import searchable
-from threadshelf.operators.chunks import Encoder, build_chunks, word_encoder
+from threadshelf.operators.chunks import Encoder, build_chunks, count_words, document_frequencies, word_encoder
+from threadshelf.plans import vector_index
 from threadshelf.plans.ids import number_rows
-from threadshelf.plans.lineage import cut
+from threadshelf.plans.lineage import cut, handed_on, job
 from threadshelf.plans.settle import Rule, settle
 from threadshelf.plans.skew import lookup_join
 from threadshelf.sources import threads
@@ -23,6 +24,8 @@ from threadshelf.sources.volumes import Volumes
 KEY = resolve.KEY
 ORDER = ["external_id", "path", "mention_pos"]
 RECORD = ["description", "google_books_id", "isbn", "cover_url", "amazon_url"]
+# no_description: stored, but not searchable; held: made no book, as a lookup was over quota
+OUTCOMES = ["added", "no_description", "existing", "held"]
 
 
 @dataclass
@@ -32,9 +35,17 @@ class Resolution:
     mentions: DataFrame
     books: DataFrame
 
+    def written(self) -> tuple[DataFrame, dict[str, int]]:
+        """The mentions, written down, and how many had each outcome, counted as they were written."""
+        seen = Observation()
+        counts = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
+        rows = handed_on(self.mentions.observe(seen, *counts))
+        return rows, {name: n for name, n in seen.get.items() if n}
+
     def counters(self) -> DataFrame:
-        """Mentions per outcome: added, no_description (stored, not searchable), existing, held."""
-        return self.mentions.groupBy("outcome").agg(F.count("*").alias("n"))
+        """Mentions per outcome, one row each that occurs; the resolution runs once, for its rows."""
+        _, counts = self.written()
+        return self.mentions.sparkSession.createDataFrame(list(counts.items()), "outcome string, n long")
 
 
 def resolve_batch(
@@ -89,14 +100,12 @@ def resolve_batch(
     )
     roots = cut(_settled(fresh))
     kept = fresh.join(roots.where(F.col("place") == F.col("root")).select("place"), "place", "left_semi")
-    numbered = cut(number_rows(kept.drop(*KEY, "final_title", "final_author"), ["place"], last_id))
+    numbered = number_rows(kept.drop(*KEY, "final_title", "final_author"), ["place"], last_id)
     made = roots.join(
         numbered.select(F.col("place").alias("root"), F.col("id").alias("book_id")), "root"
     ).select(F.col("place.first_order").alias("first_order"), *[F.col("place")[k].alias(k) for k in KEY], "book_id")
     new_books = changes.shaped_books(numbered, now)
-    settled = cut(
-        _first_mentions(made, new_books).unionByName(known, allowMissingColumns=True)
-    )
+    settled = _first_mentions(made, new_books).unionByName(known, allowMissingColumns=True)
     outcome = (
         F.when(F.col("book_id").isNull(), "held")
         .when(F.col("made_at") == order, F.col("made"))
@@ -121,15 +130,15 @@ def _records(keys: DataFrame, volumes: DataFrame, live_links: DataFrame | None)
 
 
 def _not_refused(enriched: DataFrame, over_quota: DataFrame) -> DataFrame:
-    """Keys without those that have no record because a lookup for them was refused.
+    """Keys without those for which a lookup was refused that was needed.
 
-    A key is looked up with its author, then by title alone.
+    A key is looked up with its author, then, if that finds nothing, by title alone. If the
+    first lookup was refused the key waits, whatever has landed for its title.
     """
     refused = over_quota.select(*KEY).distinct()
-    missing = enriched.where(~F.col("enriched"))
-    told = lookup_join(missing, refused, KEY, "left_semi")
+    told = lookup_join(enriched, refused, KEY, "left_semi")
     alone = refused.where(F.col("author_key") == "").select("title_key")
-    untold = lookup_join(missing, alone, ["title_key"], "left_semi")
+    untold = lookup_join(enriched.where(~F.col("enriched")), alone, ["title_key"], "left_semi")
     held = told.select(*KEY).unionByName(untold.select(*KEY)).distinct()
     return lookup_join(enriched, held, KEY, "left_anti")
 
@@ -179,7 +188,10 @@ class Models:
 
 
 def extract(texts: DataFrame, load_extractor: Callable[[], mentions.Model]) -> DataFrame:
-    """Mentions (external_id, path, mention_pos, title, author) in texts (external_id, path, text)."""
+    """Mentions (external_id, path, mention_pos, title, author) in texts (external_id, path, text).
+
+    `path` orders the texts of a thread; it may be a number.
+    """
     answers = mentions.infer(texts, "text", load_extractor)
     parsed = mentions.parse_extractions(
         answers.select("external_id", "path", F.col("text").alias("source_text"), "response")
@@ -201,6 +213,7 @@ def summarise(books: DataFrame, load_summariser: Callable[[], mentions.Model] |
     return mentions.clean_summaries(answered).select(*books.columns)
 
 
+@job
 def ingest(
     raw: DataFrame,
     store: Store,
@@ -209,9 +222,14 @@ def ingest(
     live_links: DataFrame | None = None,
     force: bool = False,
     now: Column | None = None,
+    batch: tuple[str, int] | None = None,
+    on_counts: Callable[[dict[str, int]], object] | None = None,
 ) -> DataFrame:
     """Add raw threads (origin, value) to the store and give the outcome of each mention.
 
+    `on_counts` is told how many mentions had each outcome, once they are written. `batch` is
+    the stream and number this call stands for; it goes into the log with the same commit.
+
     Raw copies (source, origin, kind, value) are also taken; one copy of each thread is read.
     Threads already indexed are skipped unless forced, those whose source names them before
     they are parsed. All tables change in one commit: a run that stops leaves nothing behind,
@@ -227,9 +245,13 @@ def ingest(
     with store.commit() as commit:
         before = commit.before
         known_sources = before.read("sources")
+        if batch:
+            commit.mark(*batch)
         if "kind" in raw.columns:
-            raw = threads.latest_raw_copy(_unread(raw, known_sources, force))
-        read = threads.split(threads.parse_once(raw.select("origin", "value")))
+            parsed = threads.latest_parsed(_unread(raw, known_sources, force))
+        else:
+            parsed = threads.parse_once(raw.select("origin", "value"))
+        read = threads.split(parsed, paths=False)
         named = F.col("external_id").isNotNull() & F.col("title").isNotNull()
         one_copy = (
             read.headers.where(named)
@@ -239,8 +261,8 @@ def ingest(
         )
         headers = cut(changes.unseen_sources(one_copy, known_sources, force))
         ids = headers.select("origin", "external_id")
-        comments = cut(read.comments.join(ids, "origin").drop("origin"))
-        texts = threads.comment_texts(headers, comments, key="external_id")
+        comments = cut(read.comments.join(ids, "origin").drop("origin", "spot"))
+        texts = threads.comment_texts(headers, comments, "external_id", "number").withColumnRenamed("number", "path")
         resolved = resolve_batch(
             extract(texts, models.load_extractor),
             before.read("books"),
@@ -250,7 +272,7 @@ def ingest(
             now,
             refused,
         )
-        outcomes = cut(resolved.mentions)
+        outcomes, counts = resolved.written()
         added = commit.append("books", summarise(resolved.books, models.load_summariser))
 
         described = headers.withColumn(
@@ -273,9 +295,12 @@ def ingest(
         first_links = placed.where(F.col("outcome") != "existing").select(
             "book_id", "source_id", F.col("source_id").alias("id")
         )
-        commit.append(
-            "chunks", build_chunks(searchable(added), first_links, sources, models.load_encoder)
-        )
+        weights = before.read("weights")
+        made = build_chunks(searchable(added), first_links, sources, models.load_encoder, weights)
+        fresh_chunks = commit.append("chunks", made)
+        vector_index.extend(commit, fresh_chunks)
+        if models.load_encoder is word_encoder:
+            commit.append("frequencies", document_frequencies(count_words(fresh_chunks, ["doc_id"])))
         if force:
             again = headers.select("external_id")
             kept = lookup_join(before.read("comments"), again, ["external_id"], "left_anti")
@@ -285,6 +310,8 @@ def ingest(
         aside = cut(_set_aside(read, read.headers.where(~named), outcomes, before.read("set_aside")))
         if not aside.isEmpty():
             commit.append("set_aside", aside)
+    if on_counts:
+        on_counts(counts)
     return outcomes
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from threadshelf.functions import metadata
 from threadshelf.operators import changes, resolve
 from threadshelf.operators.catalog import searchable
-from threadshelf.operators.chunks import Encoder, build_chunks, word_encoder
+from threadshelf.operators.chunks import Encoder, build_chunks, count_words, document_frequencies, word_encoder
+from threadshelf.plans import vector_index
 from threadshelf.plans.ids import number_rows
 from threadshelf.plans.ingest import RECORD
-from threadshelf.plans.lineage import cut
+from threadshelf.plans.lineage import cut, handed_on, job
 from threadshelf.plans.settle import Rule, settle
 from threadshelf.plans.skew import lookup_join
 from threadshelf.schemas import SOURCES
@@ -55,9 +56,7 @@ def resolve_requests(
     kept = fresh.join(
         roots.where(F.col("position") == F.col("root")).select("position"), "position", "left_semi"
     )
-    numbered = cut(
-        number_rows(kept.select("position", "title", "author", *RECORD), ["position"], last_id)
-    )
+    numbered = number_rows(kept.select("position", "title", "author", *RECORD), ["position"], last_id)
     made = roots.join(
         numbered.select(F.col("position").alias("root"), F.col("id").alias("new_id")), "root"
     ).select("position", "new_id", (F.col("position") == F.col("root")).alias("first"))
@@ -99,6 +98,7 @@ def _answered_by_earlier(fresh: DataFrame) -> DataFrame:
     return settle(resolve.with_keys(fresh), "position", rules)
 
 
+@job
 def ingest_isbns(
     requests: DataFrame,
     store: Store,
@@ -116,7 +116,11 @@ def ingest_isbns(
         answers, books = resolve_requests(
             requests, before.read("books"), volumes, before.last_id("books"), live_links, now
         )
-        answers = cut(answers)
+        answers = handed_on(answers)
         added = commit.append("books", books)
-        commit.append("chunks", build_chunks(searchable(added), no_links, no_sources, load_encoder))
+        made = build_chunks(searchable(added), no_links, no_sources, load_encoder, before.read("weights"))
+        fresh_chunks = commit.append("chunks", made)
+        vector_index.extend(commit, fresh_chunks)
+        if load_encoder is word_encoder:
+            commit.append("frequencies", document_frequencies(count_words(fresh_chunks, ["doc_id"])))
     return answers

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, fits_broadcast
+from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, cut_and_fits
 
 
 def lookup_join(
@@ -24,10 +24,10 @@ def lookup_join(
     execution splits the partitions of a frequent key and copies its few lookup rows. Rows of
     a `wide` lookup hold texts of any length and are never broadcast.
     """
-    lookup = cut(lookup)
-    if not wide and fits_broadcast(lookup, max_broadcast_rows):
-        lookup = F.broadcast(lookup)
-    return facts.join(lookup, on, how)
+    if wide:
+        return facts.join(cut(lookup), on, how)
+    written, small = cut_and_fits(lookup, max_broadcast_rows)
+    return facts.join(F.broadcast(written) if small else written, on, how)
 
 
 def numbered_lists(rows: DataFrame, key: str, order_id: str, value: Column, name: str) -> DataFrame:

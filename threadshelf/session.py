@@ -34,7 +34,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(app: str = "threadshelf", cores: int | str = 8) -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+    """A single-machine session for tests and the benchmark, with a folder of its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -42,6 +42,7 @@ def local_session(app: str = "threadshelf", cores: int | str = 8) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="threadshelf-"))
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -51,13 +52,14 @@ def local_session(app: str = "threadshelf", cores: int | str = 8) -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
+    """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
+
+    Where it is not set, a folder in the warehouse, which all executors share as well.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="threadshelf-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/threadshelf-work"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named

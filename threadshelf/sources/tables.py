@@ -13,7 +13,8 @@ from threadshelf import schemas
 COMMENTS = T.StructType(
     [
         T.StructField("external_id", T.StringType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
+        T.StructField("number", T.IntegerType()),
+        T.StructField("last", T.IntegerType()),
         T.StructField("depth", T.IntegerType()),
         T.StructField("comment_id", T.StringType()),
         T.StructField("body", T.StringType()),
@@ -32,6 +33,24 @@ SET_ASIDE = T.StructType(
     ]
 )
 
+# Vectors of the chunks by bucket, for approximate search; and in how many chunk texts each place
+# of the offline encoder occurs, with the weights its vectors were made with.
+VECTORS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+FREQUENCIES = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("documents", T.LongType())])
+WEIGHTS = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+# Tables laid out in a folder per value.
+FOLDERS = {"vectors": "bucket"}
+# Parquet keeps Bloom filters of these columns, so that a lookup of few keys skips most row groups.
+LOOKUPS = {"books": ["google_books_id", "isbn"], "sources": ["external_id"]}
+
 TABLES = {
     "books": schemas.BOOKS,
     "sources": schemas.SOURCES,
@@ -39,9 +58,14 @@ TABLES = {
     "chunks": schemas.CHUNKS,
     "comments": COMMENTS,
     "set_aside": SET_ASIDE,
+    "vectors": VECTORS,
+    "frequencies": FREQUENCIES,
+    "weights": WEIGHTS,
 }
 
 LOG = "name string, versions array<long>, last_id long"
+# Log entries of streams: the number of their last batch instead of an id.
+BATCH_OF = "batch of "
 
 
 class Store:
@@ -100,6 +124,10 @@ class Snapshot:
     def read(self, name: str) -> DataFrame:
         return self.store._files(name, self.versions.get(name, []))
 
+    def last_batch(self, stream: str) -> int:
+        """Number of the last batch of a stream that was committed; -1 before the first."""
+        return self.last_ids.get(BATCH_OF + stream, -1)
+
     def last_id(self, name: str) -> int:
         """Highest id ever given out; ids of deleted rows stay used up."""
         return self.last_ids.get(name, 0)
@@ -111,18 +139,26 @@ class Commit:
     def __init__(self, store: Store):
         self.store, self.before = store, store.snapshot()
         self.entries: dict[str, tuple[str, list[int], int]] = {}
+        self.marks: dict[str, tuple[str, list[int], int]] = {}
+
+    def mark(self, stream: str, batch: int) -> None:
+        """Say that this commit holds all of a batch of a stream."""
+        name = BATCH_OF + stream
+        self.marks[name] = (name, [], batch)
 
     def __enter__(self) -> Commit:
         return self
 
     def __exit__(self, kind, _error, _trace) -> None:
-        if kind is None and self.entries:
+        if kind is None and (self.entries or self.marks):
             spark = self.store.spark
+            if self.store.snapshot().version > self.before.version:
+                raise RuntimeError("another writer has committed in the meantime")
             state = {
-                name: (name, versions, self.before.last_id(name))
+                name: (name, versions, self.before.last_ids[name])
                 for name, versions in self.before.versions.items()
             }
-            rows = spark.createDataFrame(list((state | self.entries).values()), LOG).coalesce(1)
+            rows = spark.createDataFrame(list((state | self.entries | self.marks).values()), LOG).coalesce(1)
             rows.write.mode("overwrite").parquet(f"{self.store.path}/log/v={self.before.version + 1}")
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
@@ -139,10 +175,18 @@ class Commit:
         version = self.before.version + 1
         schema = self.store.tables[name]
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.store.path}/{name}/v={version}")
+        shaped = rows.select(*columns)
+        if name in FOLDERS:
+            shaped = shaped.repartition(FOLDERS[name])
+        writer = shaped.write.mode("overwrite")
+        for column in LOOKUPS.get(name, []):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        if name in FOLDERS:
+            writer = writer.partitionBy(FOLDERS[name])
+        writer.parquet(f"{self.store.path}/{name}/v={version}")
         written = self.store._files(name, [version])
         last_id = 0
-        if "id" in schema.names:
+        if "id" in schema.names and name not in FOLDERS:
             last_id = written.agg(F.max("id")).first()[0] or 0
         older = [] if replaces else self.before.versions.get(name, [])
         self.entries[name] = (name, [*older, version], max(last_id, self.before.last_id(name)))

@@ -4,7 +4,7 @@ Two layouts are read: the site's listing (a two-element array, the comments bein
 recursive tree) and a normalised object with a flat comment list.
 
 Replies nest without bound, which no column type describes, so each document is walked in
-an Arrow batch function. One narrow pass turns it into a row with a comment array; all
+an Arrow batch function, which numbers the comments. One narrow pass turns it into a row with a comment array; all
 else is column expressions on that.
 """
 
@@ -15,7 +15,6 @@ import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +29,10 @@ THREADS_AT_ONCE = 256
 
 HEADER_COLUMNS = ["external_id", "title", "selftext", "subreddit", "url"]
 
+COMMENT = "number int, last int, spot int, depth int, comment_id string, body string, score int"
 THREAD_ROW = (
     "origin string, layout string, external_id string, title string, selftext string, "
-    "subreddit string, url string, comments array<struct<path array<int>, depth int, "
-    "comment_id string, body string, score int>>, value string"
+    f"subreddit string, url string, comments array<struct<{COMMENT}>>, value string"
 )
 THREAD_BATCH = pa.schema(
     [
@@ -45,7 +44,9 @@ THREAD_BATCH = pa.schema(
             pa.list_(
                 pa.struct(
                     [
-                        ("path", pa.list_(pa.int32())),
+                        ("number", pa.int32()),
+                        ("last", pa.int32()),
+                        ("spot", pa.int32()),
                         ("depth", pa.int32()),
                         ("comment_id", pa.string()),
                         ("body", pa.string()),
@@ -59,6 +60,12 @@ THREAD_BATCH = pa.schema(
 )
 
 
+_COMMENTS = THREAD_BATCH.field("comments").type.value_type
+PATHS_BATCH = pa.schema(
+    [("origin", pa.string()), ("comments", pa.list_(pa.struct([("path", pa.list_(pa.int32())), *_COMMENTS])))]
+)
+
+
 @dataclass
 class Threads:
     """Tables of one scan; `origin` (the file of a thread) links them."""
@@ -81,7 +88,9 @@ def with_origin(lines: DataFrame) -> DataFrame:
 def parse(raw: DataFrame) -> DataFrame:
     """Raw threads (origin, value) as one row each: layout, header fields and comments.
 
-    `layout` is listing, object or unreadable; only unreadable rows keep their `value`.
+    `layout` is listing, object or unreadable; only unreadable rows keep their `value`. Comments
+    are numbered from 0 in reading order; `last` is the largest number among a comment and its
+    replies at any depth, and `spot` its position among its siblings.
     """
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +108,62 @@ def parse_once(raw: DataFrame) -> DataFrame:
 
     Several threads may come from one file, and the same one more than once.
     """
+    return _own_origins(parse(raw))
+
+
+def _own_origins(parsed: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().cast("string")
-    return cut(parse(raw).withColumn("origin", F.concat_ws("#", "origin", row)))
+    return cut(parsed.withColumn("origin", F.concat_ws("#", "origin", row)))
 
 
-def split(parsed: DataFrame) -> Threads:
+def split(parsed: DataFrame, paths: bool = True) -> Threads:
     """Headers, comments and unreadable documents of parsed threads.
 
-    Ordering the comments by (origin, path) gives the reading order: `path` holds the
-    positions of a comment and of the comments above it among their siblings.
+    Numbers tell the reading order and, as intervals, what belongs to which branch (`replies_to`).
+    With `paths` every comment also has the positions of itself and of the comments above it
+    among their siblings; all paths of a chain of replies are quadratic in its length.
     """
     readable = parsed.where(F.col("layout") != "unreadable")
+    listed = with_paths(readable.select("origin", "comments")) if paths else readable
     return Threads(
         headers=readable.select("origin", *HEADER_COLUMNS),
-        comments=readable.select("origin", F.inline("comments")),
+        comments=listed.select("origin", F.inline("comments")),
         quarantined=parsed.where(F.col("layout") == "unreadable").select("origin", "value"),
     )
 
 
+def with_paths(threads: DataFrame) -> DataFrame:
+    """(origin, comments) with the `path` of each comment, from the intervals."""
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, THREADS_AT_ONCE):
+                rows = batch.slice(start, THREADS_AT_ONCE).select(["origin", "comments"]).to_pylist()
+                for row in rows:
+                    above: list[dict] = []
+                    for comment in row["comments"] or []:
+                        while above and above[-1]["last"] < comment["number"]:
+                            above.pop()
+                        comment["path"] = [*(above[-1]["path"] if above else []), comment["spot"]]
+                        above.append(comment)
+                yield pa.RecordBatch.from_pylist(rows, schema=PATHS_BATCH)
+
+    return threads.mapInArrow(walk, f"origin string, comments array<struct<path array<int>, {COMMENT}>>")
+
+
+def replies_to(comments: DataFrame, chosen: DataFrame, key: str = "origin") -> DataFrame:
+    """The branches of the chosen comments (key, number): each with all its replies in order.
+
+    Gives (key, branch, and the comments' columns); a range join inside the thread, with the few
+    chosen comments next to their thread's.
+    """
+    columns = [c for c in comments.columns if c != key]
+    heads = comments.join(chosen.select(key, "number").distinct(), [key, "number"], "left_semi")
+    heads = heads.select(F.col(key).alias("_key"), F.col("number").alias("branch"), F.col("last").alias("_end"))
+    inside = (F.col(key) == F.col("_key")) & F.col("number").between(F.col("branch"), F.col("_end"))
+    return comments.join(heads, inside).select(key, "branch", *columns)
+
+
 def _row(value: str) -> dict:
     return _read(value) or {"layout": "unreadable", "value": value}
 
@@ -163,7 +210,7 @@ def _walk(doc) -> dict | None:
     if isinstance(doc, dict) and doc:
         row = _header(doc, "object", doc.get("url"))
         listed = doc.get("comments") or []
-        row["comments"] = [_comment([i], c.get("depth") or 0, c) for i, c in enumerate(listed)]
+        row["comments"] = [_comment(i, i, i, c.get("depth") or 0, c) for i, c in enumerate(listed)]
         return row
     return None
 
@@ -181,24 +228,32 @@ def _header(post: dict, layout: str, url: str | None) -> dict:
 
 def _tree(children: list) -> list[dict]:
     """All comments below; a node that is no comment is left out with its replies."""
-    rows = []
-    waiting = [([i], child) for i, child in enumerate(children)][::-1]
+    rows: list[dict] = []
+    waiting = [(i, 0, child) for i, child in enumerate(children)][::-1]
+    above: list[dict] = []
     while waiting:
-        path, node = waiting.pop()
+        spot, depth, node = waiting.pop()
         if node.get("kind") != "t1":
             continue
         data = node.get("data") or {}
-        rows.append(_comment(path, len(path) - 1, data))
+        while len(above) > depth:
+            above.pop()["last"] = len(rows) - 1
+        rows.append(_comment(len(rows), len(rows), spot, depth, data))
+        above.append(rows[-1])
         replies = data.get("replies")
         if isinstance(replies, dict):
             below = replies.get("data", {}).get("children", [])
-            waiting.extend([(path + [i], child) for i, child in enumerate(below)][::-1])
+            waiting.extend([(i, depth + 1, child) for i, child in enumerate(below)][::-1])
+    for comment in above:
+        comment["last"] = len(rows) - 1
     return rows
 
 
-def _comment(path: list[int], depth: int, data: dict) -> dict:
+def _comment(number: int, last: int, spot: int, depth: int, data: dict) -> dict:
     return {
-        "path": path,
+        "number": number,
+        "last": last,
+        "spot": spot,
         "depth": depth,
         "comment_id": data.get("id"),
         "body": data.get("body") or "",
@@ -215,40 +270,57 @@ def latest_raw_copy(copies: DataFrame) -> DataFrame:
 
     A supplied file wins over a cached copy, which wins over a fetched one. A cached copy
     that cannot be read is passed over; a malformed supplied file is not. A copy is known by
-    its source, origin and kind.
+    its source, origin and kind. `latest_parsed` gives the threads themselves.
     """
+    return lookup_join(copies, _best_copies(copies, _judged(copies)), COPY, "inner").select("thread", *COPY, "value")
+
+
+COPY = ["source", "origin", "kind"]
+
+
+def _judged(copies: DataFrame) -> DataFrame:
+    """The names of the copies, cached ones only if they can be read."""
     cached = F.col("kind") == "cache"
-    copy = ["source", "origin", "kind"]
-    # each cached copy is read once, and only names are compared
-    readable = copies.where(cached).where(_is_thread("value")).select(*copy)
-    usable = copies.where(~cached).select(*copy).unionByName(readable)
+    readable = parse(copies.where(cached).select(F.to_json(F.struct(*COPY)).alias("origin"), "value"))
+    names = F.from_json("origin", copies.select(*COPY).schema).alias("copy")
+    known = readable.where(F.col("layout") != "unreadable").select(names).select("copy.*")
+    return copies.where(~cached).select(*COPY).unionByName(known)
+
+
+def _best_copies(copies: DataFrame, usable: DataFrame) -> DataFrame:
     priority = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in COPY_PRIORITY.items()])
     source = F.col("source")
     address = F.when(F.startswith(source, F.lit("http")), text.json_url(source)).otherwise(source)
     thread = F.coalesce(text.external_id(source), address)
-    best = (
-        usable.groupBy(thread.alias("thread"))
-        .agg(F.min_by(F.struct(*copy), F.struct(priority, "origin")).alias("best"))
-        .select("thread", "best.*")
-    )
-    return lookup_join(copies, best, copy, "inner").select("thread", *copy, "value")
+    best = usable.groupBy(thread.alias("thread")).agg(F.min_by(F.struct(*COPY), F.struct(priority, "origin")).alias("best"))
+    return best.select("thread", "best.*")
+
 
+def latest_parsed(copies: DataFrame) -> DataFrame:
+    """The chosen copy of each thread as a parsed row, written down; every copy is read once.
 
-@F.pandas_udf(T.BooleanType())
-def _is_thread(values: pd.Series) -> pd.Series:
-    return values.map(lambda value: _read(value) is not None)
+    A copy is judged by the layout it was parsed with, as in `latest_raw_copy`.
+    """
+    names = F.to_json(F.struct(*COPY))
+    parsed = cut(parse(copies.select(names.alias("origin"), "value")))
+    told = parsed.select("origin", "layout", F.from_json("origin", copies.select(*COPY).schema).alias("copy"))
+    usable = told.where((F.col("copy.kind") != "cache") | (F.col("layout") != "unreadable")).select("copy.*")
+    best = _best_copies(copies, usable).select(names.alias("origin"))
+    chosen = lookup_join(parsed, best.distinct(), ["origin"], "left_semi")
+    return _own_origins(chosen)
 
 
-def comment_texts(headers: DataFrame, comments: DataFrame, key: str = "origin") -> DataFrame:
-    """Texts to read for mentions, as (key, path, text): the post body, then each comment.
+def comment_texts(headers: DataFrame, comments: DataFrame, key: str = "origin", place: str = "path") -> DataFrame:
+    """Texts to read for mentions, as (key, place, text): the post body, then each comment.
 
-    The post body is taken as it is; comment bodies are trimmed, and empty ones and those
-    taken away are dropped.
+    `place` orders the comments: their path or their number. The post body is taken as it is;
+    comment bodies are trimmed, and empty ones and those taken away are dropped.
     """
+    before = F.lit(-1) if place == "number" else F.array(F.lit(-1))
     posts = headers.where(F.col("selftext") != "").select(
-        key, F.array(F.lit(-1)).alias("path"), F.col("selftext").alias("text")
+        key, before.alias(place), F.col("selftext").alias("text")
     )
-    bodies = comments.select(key, "path", text.strip(F.col("body")).alias("text"))
+    bodies = comments.select(key, place, text.strip(F.col("body")).alias("text"))
     kept = bodies.where((F.col("text") != "") & ~F.col("text").isin(text.REMOVED_BODIES))
     return posts.unionByName(kept)
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadshelf.plans.ingest import Models, ingest
 from threadshelf.plans.lineage import scratch
+from threadshelf.plans.maintenance import tidy
 from threadshelf.sources.tables import Store
 from threadshelf.sources.threads import with_origin
 from threadshelf.sources.volumes import Volumes
@@ -21,26 +22,37 @@ def thread_stream(spark: SparkSession, landing: str, whole_files: bool = True) -
 
 
 def start(
-    stream: DataFrame, checkpoint: str, process: Callable[[DataFrame], object]
+    stream: DataFrame,
+    checkpoint: str,
+    process: Callable[[DataFrame, int], object],
+    last_batch: Callable[[], int] | None = None,
 ) -> StreamingQuery:
     """Process all files that are new since the last run, then stop.
 
-    A micro-batch that is run again after a failure must change nothing the second time.
+    A micro-batch that is run again after it was committed is known by its number and passed
+    over before any of it is read.
     """
-
-    def each(batch: DataFrame, _batch_id: int) -> None:
-        # nothing of a batch stays but what it commits
-        with scratch(batch.sparkSession):
-            process(batch)
-
     return (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(numbered(process, last_batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def numbered(
+    process: Callable[[DataFrame, int], object], last_batch: Callable[[], int] | None = None
+) -> Callable[[DataFrame, int], None]:
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if last_batch and batch_id <= last_batch():
+            return
+        # nothing of a batch stays but what it commits
+        with scratch(batch.sparkSession):
+            process(batch, batch_id)
+
+    return each
+
+
 def ingest_stream(
     spark: SparkSession,
     landing: str,
@@ -51,8 +63,14 @@ def ingest_stream(
     whole_files: bool = True,
     force: bool = False,
 ) -> StreamingQuery:
-    """Index the threads that landed since the last run; those already indexed are skipped."""
+    """Index the threads that landed since the last run; those already indexed are skipped.
+
+    The stream is known by its checkpoint. Tables of many small batches are put together.
+    """
     stream = thread_stream(spark, landing, whole_files)
-    return start(
-        stream, checkpoint, lambda batch: ingest(batch, store, volumes, models, force=force)
-    )
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        ingest(batch, store, volumes, models, force=force, batch=(checkpoint, batch_id))
+        tidy(store)
+
+    return start(stream, checkpoint, process, lambda: store.snapshot().last_batch(checkpoint))
