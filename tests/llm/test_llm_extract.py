@@ -92,3 +92,82 @@ def test_extraction_of_a_table(spark, model):
 def test_labelled_pages_are_made_again_the_same(spark):
     a, b = (extract.labelled_pages(spark, 5).collect() for _ in range(2))
     assert a == b and all(r["article"] for r in a)
+
+
+def test_elements_that_are_left_open_lose_no_text():
+    text = lambda page: [b.text for b in extract.leaf_blocks(page)]
+    for tag in ("svg", "select", "iframe", "noscript", "template"):
+        assert text(f"<p>one</p><{tag}><p>two</p><div>three</div>") == ["one", "two", "three"], tag
+    assert text("<p>one</p><svg><path d=x><p>two</p><svg><g>no</g></svg>three") == ["one", "no", "three"]
+    assert text("<p>one</p><script>var x = '<p>two</p>'") == ["one"]
+    assert text("<p>a<select><option>b</select>c") == ["a", "c"]
+
+
+def test_nested_and_unmatched_tags_take_linear_time():
+    pages = (
+        lambda n: "<x>" * n + "t", lambda n: "<b>" * n + "</i>" * n + "t", lambda n: "<b><div>" * n + "</b>" * n + "t",
+        lambda n: "<svg><path>" * n + "t", lambda n: "<ul><li>" + "<x>" * n + "<li>t" * n,
+        lambda n: "".join(f'<div class="{chr(97 + i % 26) * (1 + i // 26)}">' for i in range(n // 8)) + "t",
+    )
+    for page in pages:
+        taken = []
+        for n in (8_000, 32_000):
+            start = time.process_time()
+            assert extract.leaf_blocks(page(n))[-1].text == "t"
+            taken.append(time.process_time() - start)
+        assert taken[1] < 9 * taken[0] + 0.2
+
+
+def test_names_of_open_elements_are_shared():
+    blocks = extract.leaf_blocks('<div class="a b"><p class="a">x<p class="c">y</p></div>z')
+    assert [b.path for b in blocks] == [
+        frozenset({"in:div", "is:a", "is:b", "in:p"}), frozenset({"in:div", "is:a", "is:b", "in:p", "is:c"}), frozenset()
+    ]
+    deep = extract.leaf_blocks("".join(f'<div class="n{"x" * (i % 40)}{"y" * (i // 40)}">t' for i in range(2000)))
+    assert sum(len(b.around.own) for b in deep) < 2 * len(deep) + 2 and len(deep[-1].path) == 2001
+
+
+def test_extraction_against_a_plain_reader(model):
+    """Blocks of made pages, against the library's own HTML reader where pages are well formed."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found, self.now, self.hidden = [], "", 0
+
+        def flush(self):
+            if self.now.split():
+                self.found.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title"):
+                self.hidden += 1
+            if tag == "br":
+                self.now += " "
+            elif tag not in extract.INLINE:
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title"):
+                self.hidden -= 1
+            if tag not in extract.INLINE:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.now += data
+
+    compared = 0
+    for seed in range(300):
+        page, _ = extract.PageMaker(seed).page()
+        if any(f"<{t}" in page for t in extract.RAW - {"script", "style", "title"}):
+            continue
+        reader = Plain()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        assert [b.text for b in extract.leaf_blocks(page)] == reader.found, seed
+        compared += 1
+    assert compared > 50

@@ -70,3 +70,12 @@ def test_spans_hold_the_words_that_are_taken(spark):
 def test_empty_table(spark):
     assert run(spark, [])[1] == []
     assert run(spark, [(1, None, None)])[1] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_slots_are_dealt_to_many_tasks(spark, monkeypatch):
+    rows = rows_of(3)
+    _, once = run(spark, rows)
+    monkeypatch.setattr(mixing, "EXPANDED_SLOTS", 10)
+    mix, got = run(spark, rows)
+    assert sorted(map(str, got)) == sorted(map(str, once))
+    assert mix.slot_blocks().rdd.getNumPartitions() == int(mix.slots.sum()) // 10 > 8

@@ -32,3 +32,14 @@ def test_long_pieces_and_batches():
     assert "".join(tokens.long_pieces(text)) == text and len(tokens.long_pieces(text)) > 1
     batches = list(tokens.batches_by_bytes(["x" * 10] * 25, 100))
     assert [len(b) for b in batches] == [10, 10, 5]
+
+
+def test_long_pieces_are_not_remembered():
+    """Text without spaces: what a task keeps does not grow with it."""
+    counter = tokens.Counter(PATH)
+    library = Tokenizer.from_file(PATH)
+    for i in range(40):
+        text = " ".join(chr(0x4E00 + (i * 7 + j) % 2000) * 1000 for j in range(3)) + " short words come again"
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False))]
+    assert len(counter.known) < 10
+    assert sum(len(x) for x in counter.known) < 200

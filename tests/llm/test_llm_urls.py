@@ -74,3 +74,22 @@ def test_empty_tables(spark):
     assert urls.filter_captures(captures, log).count() == 0
     one = spark.createDataFrame([(1, "http://a.b", D(2023, 5, 5))], "page_id long, url string, fetched_at date")
     assert [tuple(r) for r in urls.filter_captures(one, log).collect()] == [(1, "a.b", D(2023, 5, 5), "none", None, None)]
+
+
+def test_hosts_cannot_be_dodged(spark):
+    cases = {
+        "http://a@b@h.com/": "h.com", "http://h.com\\@evil.com/": "h.com", "http://[2001:db8::1]:80/x": "[2001:db8::1]",
+        "HTTP://User:p%40q@Ex.COM.:8080?x@y": "ex.com", "http:///ex.com/x": "ex.com", "http:\\\\ex.com\\x": "ex.com",
+        "ht\ntp://e\tx.com/": "ex.com", "http://e%78.com/": "ex.com", "http://a+b.com/": "a+b.com", "http://ex%zz.com/": "ex%zz.com",
+        "http://ex.com..": "ex.com", "http://?q": None, "//ex.com/": None, "mailto:a@b.c": None,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {r["url"]: r["h"] for r in df.select("url", urls.host(df["url"]).alias("h")).collect()} == cases
+
+
+def test_entries_are_written_in_many_ways(spark):
+    day = D(2023, 5, 5)
+    captures = spark.createDataFrame([(1, "http://x@a.Ex.com.:80/", day)], "page_id long, url string, fetched_at date")
+    for name in ("ex.com.", " ex.com ", "EX.COM", "e%78.com", "a.ex.com"):
+        log = spark.createDataFrame([(name, "block", day)], "domain string, action string, listed_on date")
+        assert [r["verdict"] for r in urls.filter_captures(captures, log).collect()] == ["block"], name

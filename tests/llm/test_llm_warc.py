@@ -87,3 +87,44 @@ def read_frame(spark, records):
 def test_parse_needs_a_header_name():
     with pytest.raises(warc.BadRecord):
         warc.parse_record(b"WARC/1.1\r\nnothing here\r\n\r\n\r\n\r\n")
+
+
+def test_frame_ends_are_those_of_the_library():
+    """Frames of every kind of header and block, one behind the other."""
+    import os
+    import random
+
+    r = random.Random(3)
+    datas = [b"", b"a", b"a" * 300_000, os.urandom(200_000), b"ab" * 200, bytes(r.randrange(4) for _ in range(70_000))]
+    for options in ({}, {"write_checksum": True}, {"write_content_size": False}, {"level": 19}):
+        packed = [zstandard.ZstdCompressor(**options).compress(d) for d in datas]
+        streamed = []
+        for d in datas:
+            one = zstandard.ZstdCompressor(**options).compressobj()
+            streamed.append(one.compress(d) + one.flush())
+        content = b"".join([*packed, *streamed])
+        at, found = 0, []
+        while at < len(content):
+            end = warc.frame_end(content, at)
+            found.append(end - at)
+            at = end
+        assert found == [len(x) for x in [*packed, *streamed]]
+    assert [d for _, d in warc.frames(content)] == [*datas, *datas]
+    for cut_off in (3, 6, len(packed[3]) - 1):
+        with pytest.raises(warc.BadRecord):
+            list(warc.frames(packed[3][:cut_off]))
+
+
+def test_reading_is_linear_in_the_archive():
+    import time
+
+    taken = []
+    for n in (4_000, 16_000):
+        writer = warc.ArchiveWriter(1 << 40)
+        for i in range(n):
+            writer.add(warc.record(i, f"http://x/{i}", b"<p>page %d</p>" % i * 40))
+        content = writer.close()
+        start = time.process_time()
+        assert sum(1 for _ in warc.frames(content)) == n
+        taken.append(time.process_time() - start)
+    assert taken[1] < 7 * taken[0] + 0.1

@@ -36,6 +36,8 @@ MATHML = frozenset(
     "mprescripts mtable mtr mlabeledtr mtd mstyle merror mpadded mphantom mfenced menclose maction semantics annotation "
     "annotation-xml".split()
 )
+# Those that hold all that follows where their end tag is missing.
+TO_THE_END = frozenset("script style title textarea".split())
 INLINE = MATHML | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark object q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr br".split()
@@ -46,6 +48,7 @@ ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
+NO_BLOCKS = frozenset({"p"})
 SCOPES = frozenset("ul ol dl table tr div section article main aside nav header footer form blockquote body td th".split())
 
 # A quoted value may hold `<`, where what follows its end can follow a value. Broken quotes end at `>`.
@@ -57,19 +60,83 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _LETTERS = re.compile(r"[a-zA-Z]+")
 
 
+class Path:
+    """Names of an element and of those around it, shared with the element around it."""
+
+    __slots__ = ("around", "own")
+
+    def __init__(self, around: Path | None, own: set[str]):
+        self.around, self.own = around, own
+
+    def names(self) -> frozenset[str]:
+        found: set[str] = set()
+        path: Path | None = self
+        while path:
+            found |= path.own
+            path = path.around
+        return frozenset(found)
+
+
 @dataclass
 class Block:
     text: str
-    path: frozenset[str]
+    around: Path
     leaf: str
     linked: float  # share of the characters inside links
 
+    @property
+    def path(self) -> frozenset[str]:
+        return self.around.names()
+
 
-class _Element:
-    __slots__ = ("tag", "path")
+class _Open:
+    """The open elements of a page, known by place and by tag, so that no end tag has to look
+    through them."""
 
-    def __init__(self, tag: str, path: frozenset[str]):
-        self.tag, self.path = tag, path
+    def __init__(self):
+        self.tags, self.paths = [""], [Path(None, set())]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of the elements that are not inline
+        self.names: set[str] = set()  # of all open elements
+
+    def push(self, tag: str, names: set[str]) -> None:
+        fresh = names - self.names
+        self.names |= fresh
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(Path(self.paths[-1], fresh) if fresh else self.paths[-1])
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            path = self.paths.pop()
+            if path is not self.paths[-1]:
+                self.names -= path.own
+            if self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the last open element with one of the tags; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its element; an inline one only up to the block it is in."""
+        place = self.last((tag,))
+        if place > 0 and not (tag in INLINE and self.blocks[-1] > place):
+            self.cut(place)
+
+    def make_room(self, tag: str) -> None:
+        """A block closes those that cannot hold it, up to the nearest element that shields them."""
+        ends = ENDS.get(tag) or (NO_BLOCKS if tag not in VOID else frozenset())
+        place = self.last(ends)
+        if place > 0 and place > self.last(t for t in SCOPES if t not in ends):
+            self.cut(place)
 
 
 def _hints(attributes: str) -> set[str]:
@@ -79,30 +146,35 @@ def _hints(attributes: str) -> set[str]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, references decoded and white space made single."""
-    stack = [_Element("", frozenset())]
+    """The text blocks of a page in order, references decoded and white space made single.
+
+    Takes time in proportion to the page, however elements are nested or left open.
+    """
+    opened = _Open()
     blocks: list[Block] = []
     pending: list[str] = []
-    linked = links = 0
+    linked = 0
+    endless: set[str] = set()  # tags whose end does not come any more
 
     def flush() -> None:
         nonlocal pending, linked
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             if text:
-                leaf = next((e.tag for e in reversed(stack) if e.tag not in INLINE), "")
-                blocks.append(Block(text, stack[-1].path, leaf, min(1.0, linked / len(text))))
+                blocks.append(Block(text, opened.paths[-1], opened.tags[opened.blocks[-1]], min(1.0, linked / len(text))))
             pending, linked = [], 0
 
-    def close(tag: str) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                links -= sum(e.tag == "a" for e in stack[i:])
-                del stack[i:]
-                return
-            if tag in INLINE and stack[i].tag not in INLINE:
-                return
+    def after(tag: str, at: int) -> int:
+        """Where the page goes on behind an element whose content is no text."""
+        if tag not in endless:
+            end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
+            if end:
+                return end.end()
+            endless.add(tag)
+        if tag in TO_THE_END:
+            return len(page)
+        # its end tag is missing: it ends where a block begins or ends
+        return next((m.start() for m in _TAG.finditer(page, at) if m[2] and m[2].lower() not in INLINE), len(page))
 
     at = 0
     while True:
@@ -110,7 +182,7 @@ def leaf_blocks(page: str) -> list[Block]:
         said = page[at : found.start() if found else len(page)]
         if said:
             pending.append(said)
-            if links:
+            if opened.links():
                 linked += len(said.strip())
         if not found:
             break
@@ -125,35 +197,24 @@ def leaf_blocks(page: str) -> list[Block]:
         if found[1]:
             if tag not in INLINE:
                 flush()
-            close(tag)
+            opened.end(tag)
             continue
         if (tag == "svg" or tag in MATHML) and found[3].endswith("/") and not _VALUE_SLASH.search(found[3]):
             continue
         if tag in RAW:
             if tag not in INLINE:
                 flush()
-            end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = after(tag, at)
             continue
         if tag == "br":
             pending.append(" ")
             continue
         if tag not in INLINE:
             flush()
-            ends = ENDS.get(tag) or ({"p"} if tag not in VOID else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    links -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES and stack[i].tag not in ends:
-                    break
+            opened.make_room(tag)
         if tag in VOID:
             continue
-        new = {"in:" + tag} | _hints(found[3]) if tag not in INLINE else set()
-        path = stack[-1].path
-        stack.append(_Element(tag, path if new <= path else path | new))
-        links += tag == "a"
+        opened.push(tag, {"in:" + tag} | _hints(found[3]) if tag not in INLINE else set())
     flush()
     return blocks
 
@@ -360,9 +421,9 @@ class Model:
         out = inside = 0.0
         back: list[tuple[int, int]] = []
         for i, block in enumerate(blocks):
-            score = paths.get(block.path)
+            score = paths.get(block.around)
             if score is None:
-                score = paths[block.path] = sum(weights.get(f, 0.0) for f in block.path)
+                score = paths[block.around] = sum(weights.get(f, 0.0) for f in block.path)
             score += sum(weights.get(f, 0.0) for f in text_features(block, i, len(blocks)))
             if i == 0:
                 out, inside = self.start[0], self.start[1] + score

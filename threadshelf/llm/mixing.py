@@ -26,6 +26,11 @@ WEIGHTS = (5, 2, 1)
 SEED = 20240
 
 
+# Slots that one task expands, about.
+EXPANDED_SLOTS = 100_000
+MOST_PARTS = 20_000
+
+
 @dataclass(frozen=True)
 class Mix:
     """Sizes of a mix. `share` is the mix's size against all words, `most` a source's largest repeat."""
@@ -214,7 +219,9 @@ class Mixture:
                         }
                     )
 
-        return order.mapInPandas(expand, "shard long, slot long, source_no int, block long, take long")
+        # the rows are few and small, the slots they stand for are not: dealt by slots
+        parts = max(1, min(int(self.slots.sum()) // EXPANDED_SLOTS, MOST_PARTS))
+        return order.repartition(parts, "shard").mapInPandas(expand, "shard long, slot long, source_no int, block long, take long")
 
     def _joined(self, how: str) -> DataFrame:
         pieces, slots = self.pieces(), self.slot_blocks()

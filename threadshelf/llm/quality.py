@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from threadshelf.llm.common import let, words
 
-# Signs that end a sentence, and what may close behind them.
-SENTENCE_END = r"(?s)^.*[.!?…:;。！？][\"'”’»)\]]*\s*\z"
+# Signs that end a sentence in Latin, Chinese, Japanese, Indic and Arabic script, and
+# what may close behind them.
+SENTENCE_END = r"(?s)^.*[.!?…:;。！？।॥۔؟][\"'”’»)\]]*\s*\z"
 # A sentence that ends inside the line: the line is then a paragraph that was cut short.
-SENTENCE_INSIDE = r"[.!?…。！？][\"'”’»)\]]*\s"
+SENTENCE_INSIDE = r"[.!?…。！？।॥۔؟][\"'”’»)\]]*\s"
 # Signs between the entries of a menu or of a path of pages.
 SEPARATORS = "|›»•·→"
 # The symbols counted per document.

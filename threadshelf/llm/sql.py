@@ -83,14 +83,15 @@ cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) AS
 split AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 line AS (
     SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw,
-           length(line) AS chars
+           length(line) AS chars, length(line) - length(translate(line, '|›»•·→', '')) AS separators
     FROM split),
 judged AS (
     SELECT r, line, chars,
         NOT regexp_matches(line, '[.!?…:;。！？]+["''”’»)\]]*\s*$')
-        AND NOT regexp_matches(line, '[.!?…。！？]["''”’»)\]]*\s')
-        OR length(line) - length(translate(line, '|›»•·→', '')) >= 3
+        AND NOT regexp_matches(line, '[.!?…。！？।॥۔؟]["''”’»)\]]*\s')
+        OR (separators >= 3 AND separators > len(lw) * 0.1)
         OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in to|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of use|use of cookies')
+            AND (len(lw) <= 40 OR length(line) - length(regexp_replace(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in to|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of use|use of cookies', '', 'g')) > length(line) * 0.1)
         OR length(line) - length(translate(line, '#*$%&|<>', '')) > len(lw) * 0.5
         OR (length(line) - length(replace(line, '!!', ''))) / 2 > len(lw) * 0.5
         OR (len(lw) >= 5 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))

@@ -17,8 +17,10 @@ from threadshelf.llm.common import slices, type_of
 BATCH_BYTES = 1 << 20
 # A piece without white space that is longer is split further.
 LONG_PIECE = 1 << 16
-# Pieces whose lengths a task remembers.
+# Pieces whose lengths a task remembers, and the characters such a piece has at most: text
+# without spaces is one long piece, which hardly comes again.
 REMEMBERED = 500_000
+REMEMBERED_CHARS = 24
 
 # A space after white space: there a cut would divide a run of white space.
 _DIVIDED = re.compile(r"\s ")
@@ -97,8 +99,9 @@ class Counter:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list({x for p in split for x in p[1:] if x not in self.known})
-        self.known.update(zip(new, self.whole([" " + x for x in new]), strict=True))
-        look = self.known.__getitem__
+        here = dict(zip(new, self.whole([" " + x for x in new]), strict=True))
+        self.known.update((x, n) for x, n in here.items() if len(x) <= REMEMBERED_CHARS)
+        look = lambda x: self.known[x] if x in self.known else here[x]
         return [n + sum(map(look, p[1:])) for n, p in zip(firsts, split, strict=True)]
 
 
@@ -115,7 +118,7 @@ def count_tokens(
     `path` names the tokenizer's file on the executors. No shuffle: a scan's tasks are
     balanced by bytes, and within a task every call of the library gets about `BATCH_BYTES`.
     Texts are cut at boundaries no token crosses, and a piece that comes again is not encoded
-    again, so memory is bounded by a slice of texts and `REMEMBERED` pieces. Rows are neither
+    again, so memory is bounded by a slice of texts and `REMEMBERED` short pieces. Rows are neither
     merged nor dropped; other columns are left out, whatever their names.
     """
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_bytes long, n_tokens long"

@@ -19,10 +19,25 @@ ACTIONS = ("block", "allow", "remove")
 LAST_DAY = "9999-12-31"
 
 
+def clean_host(name: Column) -> Column:
+    """A host or domain as both sides are compared: percent signs decoded, in lower case, without
+    white space around it and without final dots; null if nothing is left."""
+    # `+` stands for itself in a host; what cannot be decoded stays as it is
+    plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    plain = F.lower(F.regexp_replace(plain, r"^[\s\x00-\x20]+|[\s\x00-\x20]+$", ""))
+    return F.nullif(F.regexp_replace(plain, r"\.+$", ""), F.lit(""))
+
+
 def host(url: Column) -> Column:
-    """The host of a URL in lower case, without user, port and final dot; null if there is none."""
-    found = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1)
-    return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
+    """The host of a URL, as `clean_host` gives it, without user and port; null if there is none.
+
+    As readers of URLs do, a backslash counts as a slash, tabs and line breaks as nothing, and
+    the user ends at the last `@`; an address in brackets is one host.
+    """
+    plain = F.translate(F.trim(F.regexp_replace(url, r"[\t\r\n]", "")), "\\", "/")
+    authority = F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*:/+([^/?#]*)", 1)
+    place = F.regexp_replace(authority, r"(?s)^.*@", "")
+    return clean_host(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
 
 
 def domains(name: Column) -> Column:
@@ -50,7 +65,7 @@ def intervals(log: DataFrame) -> DataFrame:
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     dated = (
-        log.select(F.lower("domain").alias("domain"), rank.alias("rank"), moment(log, "listed_on").alias("since"))
+        log.select(clean_host(F.col("domain").cast("string")).alias("domain"), rank.alias("rank"), moment(log, "listed_on").alias("since"))
         .where("domain IS NOT NULL AND rank > 0 AND since IS NOT NULL")
         .groupBy("domain", "since").agg(F.min("rank").alias("rank"))
     )

@@ -124,8 +124,34 @@ class ArchiveWriter:
         return out.getvalue()
 
 
+def frame_end(content: bytes, at: int) -> int:
+    """Where the Zstandard frame at a place ends, from its header and the headers of its blocks."""
+    end = len(content)
+    if at + 5 > end or content[at : at + 4] != ZSTD_MAGIC:
+        raise BadRecord(f"offset {at}: no Zstandard frame")
+    described = content[at + 4]
+    single = described >> 5 & 1
+    at_size = (single, 2, 4, 8)[described >> 6]
+    place = at + 5 + (1 - single) + (0, 1, 2, 4)[described & 3] + at_size
+    last = False
+    while not last:
+        if place + 3 > end:
+            raise BadRecord(f"offset {at}: the frame is cut off")
+        block = int.from_bytes(content[place : place + 3], "little")
+        last, kind = bool(block & 1), block >> 1 & 3
+        # a run of one byte is stored as that byte
+        place += 3 + (1 if kind == 1 else block >> 3)
+    place += 4 * (described >> 2 & 1)
+    if place > end:
+        raise BadRecord(f"offset {at}: the frame is cut off")
+    return place
+
+
 def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each frame, decoded with the dictionary of the leading frame."""
+    """(offset, record) of each frame, decoded with the dictionary of the leading frame.
+
+    Every byte is read once: a frame's end is known before it is decoded.
+    """
     import zstandard
 
     at, dictionary = 0, None
@@ -143,15 +169,16 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
         if len(content) - at >= 8 and struct.unpack_from("<I", content, at)[0] in SKIPPABLE_FRAMES:
             at += 8 + struct.unpack_from("<I", content, at + 4)[0]
             continue
+        end = frame_end(content, at)
         one = reader.decompressobj()
         try:
-            data = one.decompress(view[at:])
+            data = one.decompress(view[at:end])
         except zstandard.ZstdError as error:
             raise BadRecord(f"offset {at}: {error}") from error
         if not one.eof:
             raise BadRecord(f"offset {at}: the frame is cut off")
         yield at, data
-        at = len(content) - len(one.unused_data)
+        at = end
 
 
 def parse_record(data: bytes) -> dict:
