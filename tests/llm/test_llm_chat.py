@@ -57,3 +57,53 @@ def test_flat_conversations(spark):
     df = spark.createDataFrame([(1, 5, "user", "a", 1), (1, 9, "assistant", "b", 1), (1, 9, "assistant", "a", 1), (1, None, "system", "s", 1)], "conv_id long, turn long, role string, text string, node long")
     (row,) = chat.format_paths(chat.chains(df)).select(chat.read_turns(F.col("formatted")).alias("read")).collect()
     assert turns(row) == [("system", "s"), ("user", "a"), ("assistant", "a"), ("assistant", "b")]
+
+
+def brute_paths(rows):
+    """{tree: [(leaf, nodes from the root)]} of all branches, the best first."""
+    nodes = {}
+    for tree, node, parent, *_, score in rows:
+        nodes.setdefault(tree, {})[node] = (parent, score or 0.0)
+    out = {}
+    for tree, own in nodes.items():
+        parents = {p for p, _ in own.values() if p is not None}
+        found = []
+        for leaf in own:
+            if leaf in parents:
+                continue
+            path, at = [], leaf
+            while at in own and at not in path:
+                path.append(at)
+                at = own[at][0]
+            if at in path:
+                continue  # a circle has no root
+            mean = sum(own[x][1] for x in path) / len(path)
+            found.append((-mean, -len(path), leaf, path[::-1]))
+        out[tree] = [(leaf, path) for _, _, leaf, path in sorted(found)]
+    return out
+
+
+def test_random_trees_against_all_paths(spark):
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for tree in range(40):
+        n = r.randrange(1, 14)
+        for node in range(n):
+            parent = None if node == 0 or r.random() < 0.1 else r.randrange(node)
+            rows.append((f"t{tree}", node, parent, r.choice(("user", "assistant")), f"{tree} {node}", float(r.randrange(3))))
+    got = run(spark, rows, None)
+    want = brute_paths(rows)
+    assert set(got) == {(tree, i + 1) for tree, paths in want.items() for i in range(len(paths))}
+    for tree, paths in want.items():
+        for i, (leaf, path) in enumerate(paths):
+            assert got[tree, i + 1]["leaf"] == leaf
+            assert [t for _, t in turns(got[tree, i + 1])] == [f"{tree[1:]} {x}" for x in path]
+
+
+def test_other_columns_do_no_harm(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS up", "1 AS depth", "'y' AS formatted", "2 AS leaf", "'z' AS pieces")
+    (row,) = chat.format_paths(df, 1).select(chat.read_turns(F.col("formatted")).alias("read")).collect()
+    assert turns(row) == [("user", "q"), ("assistant", "a")]

@@ -98,7 +98,8 @@ def test_elements_that_are_left_open_lose_no_text():
     text = lambda page: [b.text for b in extract.leaf_blocks(page)]
     for tag in ("svg", "select", "iframe", "noscript", "template"):
         assert text(f"<p>one</p><{tag}><p>two</p><div>three</div>") == ["one", "two", "three"], tag
-    assert text("<p>one</p><svg><path d=x><p>two</p><svg><g>no</g></svg>three") == ["one", "no", "three"]
+    assert text("<p>one</p><svg><path d=x><p>two</p><svg><g>no</g></svg>three") == ["one", "two", "three"]
+    assert text("<svg><foreignObject><p>no</p></foreignObject></svg><p>one") == ["one"]
     assert text("<p>one</p><script>var x = '<p>two</p>'") == ["one"]
     assert text("<p>a<select><option>b</select>c") == ["a", "c"]
 

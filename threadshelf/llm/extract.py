@@ -57,6 +57,8 @@ _TAG = re.compile(
     r"""|=\s*'[^'<]*(?:'|<[^']*'(?=[\s/>]))|"[^"<]*"|'[^'<]*')*|[^<>]*)>)"""
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Tags that cannot be in a drawing, unless it holds a page (the first alternative) before.
+_NO_DRAWING = re.compile(r"<foreignObject\b|<(p|div|h[1-6]|ul|ol|li|dl|table|section|article|blockquote|pre)\b[^<>]*>", re.I)
 _LETTERS = re.compile(r"[a-zA-Z]+")
 
 
@@ -154,7 +156,7 @@ def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     pending: list[str] = []
     linked = 0
-    endless: set[str] = set()  # tags whose end does not come any more
+    ends: dict[str, tuple[int, int]] = {}  # the next end tag of elements without text; -1: none
 
     def flush() -> None:
         nonlocal pending, linked
@@ -166,13 +168,17 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def after(tag: str, at: int) -> int:
         """Where the page goes on behind an element whose content is no text."""
-        if tag not in endless:
+        if ends.get(tag, (-1, -1))[0] < at:
             end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
-            if end:
-                return end.end()
-            endless.add(tag)
-        if tag in TO_THE_END:
-            return len(page)
+            ends[tag] = end.span() if end else (len(page), -1)
+        start, behind = ends[tag]
+        if tag == "svg" and behind >= 0:
+            # text of a page ends a drawing that is left open
+            other = _NO_DRAWING.search(page, at, start)
+            if other and other[1]:
+                return other.start()
+        if behind >= 0 or tag in TO_THE_END:
+            return behind if behind >= 0 else len(page)
         # its end tag is missing: it ends where a block begins or ends
         return next((m.start() for m in _TAG.finditer(page, at) if m[2] and m[2].lower() not in INLINE), len(page))
 
