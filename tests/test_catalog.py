@@ -285,3 +285,24 @@ def test_removal_on_random_links(books, links, table):
         sorted(p for p in pairs if p[1] not in gone),
         sorted(f"doc_{b}" for b in kept),
     )
+
+
+def test_links_by_book_join_and_count_where_they_lie(spark):
+    from threadshelf.plans.colocate import bucketed
+
+    links = spark.range(3000).select(F.col("id"), (F.col("id") % 700).alias("book_id"), (F.col("id") % 13).alias("source_id"))
+    books = spark.range(0, 900, 2).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near, shelf = bucketed(links, "book_id", 4), bucketed(books, "id", 4)
+        for found, plain in (
+            (catalog.source_counts(near), catalog.source_counts(links)),
+            (catalog.source_counts(near, shelf), catalog.source_counts(links, books)),
+            (catalog.books_of_sources(near, shelf), catalog.books_of_sources(links, books)),
+        ):
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select(found.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]

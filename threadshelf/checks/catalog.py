@@ -7,6 +7,7 @@ from threadshelf.checks import Tables, query
 from threadshelf.checks import bindings as b
 from threadshelf.functions import text
 from threadshelf.operators import catalog, search
+from threadshelf.plans.colocate import bucketed
 
 
 @query(
@@ -131,6 +132,18 @@ def source_count(t: Tables) -> DataFrame:
     return catalog.source_counts(b.order_links(t), b.order_books(t))
 
 
+@query(
+    """SELECT o_orderkey AS book_id, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'P' THEN 'deleted' END AS status,
+              count(DISTINCT l_suppkey) AS n_sources
+       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus"""
+)
+def co_located_counts(t: Tables) -> DataFrame:
+    """Links and books laid out by book: counted and joined without an exchange."""
+    links, books = bucketed(b.order_links(t), "book_id", 16), bucketed(b.order_books(t), "id", 16)
+    counts = catalog.source_counts(links, books)
+    return counts.join(books.select(F.col("id").alias("book_id"), "status"), "book_id")
+
+
 @query(
     b.ctes(b.ORDER_LINKS, b.ORDER_BOOKS, b.SUPPLIER_SOURCES)
     + f"""SELECT s.id AS source_id, s.external_id, s.url, count(k.id) AS n_books,

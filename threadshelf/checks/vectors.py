@@ -8,8 +8,10 @@ from threadshelf.checks import bindings as b
 from threadshelf.checks.changes import NOW, now
 from threadshelf.checks.mentions import WEIGHTS, WORD_COUNTS, stored_chunks
 from threadshelf.operators import changes, chunks, search, vectors
-from threadshelf.plans.lineage import cut
+from threadshelf.plans import maintenance, vector_index
+from threadshelf.plans.lineage import cut, work_path
 from threadshelf.plans.sizes import spread
+from threadshelf.sources.tables import Store
 
 
 def label_means(t: Tables) -> DataFrame:
@@ -104,6 +106,25 @@ def knn_lsh(t: Tables) -> DataFrame:
     return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
 
 
+@query(
+    f"""WITH v AS (SELECT vec_id AS id, {UNIT} AS e FROM embeddings WHERE vec_id % 11 <> 0),
+    q AS (SELECT vec_id AS qid, {UNIT} AS e FROM embeddings WHERE vec_id % 50 = 0),
+    """
+    + SIGNED.format(seed="7:", tables=1, bits=vector_index.BITS, probes=vector_index.PROBES)
+)
+def knn_index(t: Tables) -> DataFrame:
+    """The index of a store after an append, an upsert and a deletion; reads the probed buckets."""
+    store = Store(t.spark, work_path(t.spark, "store"))
+    stored = stored_chunks(t)
+    third = F.col("book_id") % 3 == 0
+    with store.commit() as commit:
+        vector_index.extend(commit, commit.append("chunks", stored.where(~third)))
+    maintenance.upsert_chunks(store, stored.where(third | (F.col("book_id") % 7 == 0)))
+    maintenance.delete_books(store, stored.where(F.col("book_id") % 11 == 0).select(F.col("book_id").alias("id")))
+    found = vector_index.search_index(every_fiftieth(t), store, 10)
+    return found.select("qid", "rank", F.col("id").alias("book_id"), _rounded())
+
+
 @query(
     b.ctes(b.DOCUMENT_BOOKS, SCORED)
     + """SELECT qid, rank, book_id, title, coalesce(nullif(status, ''), 'new') AS status,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +178,10 @@ class Commit:
         shaped = rows.select(*columns)
         if name in FOLDERS:
             shaped = shaped.repartition(FOLDERS[name])
+        # the highest id is taken as the rows are written
+        numbered, seen = "id" in schema.names and name not in FOLDERS, Observation()
+        if numbered:
+            shaped = shaped.observe(seen, F.max("id").alias("id"))
         writer = shaped.write.mode("overwrite")
         for column in LOOKUPS.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -185,9 +189,7 @@ class Commit:
             writer = writer.partitionBy(FOLDERS[name])
         writer.parquet(f"{self.store.path}/{name}/v={version}")
         written = self.store._files(name, [version])
-        last_id = 0
-        if "id" in schema.names and name not in FOLDERS:
-            last_id = written.agg(F.max("id")).first()[0] or 0
+        last_id = (seen.get["id"] or 0) if numbered else 0
         older = [] if replaces else self.before.versions.get(name, [])
         self.entries[name] = (name, [*older, version], max(last_id, self.before.last_id(name)))
         return written
