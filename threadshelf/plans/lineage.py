@@ -60,7 +60,7 @@ def _application(spark: SparkSession) -> str:
     folder = f"{shared_dir(spark).rstrip('/')}/threadshelf/{spark.sparkContext.applicationId}"
     if folder not in _applications:
         _applications.add(folder)
-        atexit.register(_delete_quietly, spark, folder)
+        atexit.register(_delete_quietly, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
     return folder
 
 
@@ -98,12 +98,16 @@ def _session(value) -> SparkSession | None:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system Spark can write to."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
 
 
-def _delete_quietly(spark: SparkSession, path: str) -> None:
+def _delete(jvm, configuration, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(configuration).delete(target, True)
+
+
+def _delete_quietly(jvm, configuration, path: str) -> None:
     try:
-        delete(spark, path)
+        _delete(jvm, configuration, path)
     except Exception:  # noqa: BLE001 - the JVM may have ended before
         pass
