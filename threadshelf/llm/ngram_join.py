@@ -367,6 +367,10 @@ def _grouped(bucket: int, held: list) -> np.ndarray:
     return np.stack([full[rows], nodes[rows], lows[rows]])
 
 
+def _semi(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    return rows.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, key, "left_semi")
+
+
 class NGramJoin:
     """Links between documents with alike sets of n-grams, enough to connect every group."""
 
@@ -404,28 +408,32 @@ class NGramJoin:
             F.col("set_hash").alias(f"h{x}"),
         )
 
-    def _sifted(self, pairs: DataFrame, by: str) -> DataFrame:
-        """Pairs (_a, _b) of nodes or ids as (a, b, na, nb, ha, hb), where sizes and parities allow it."""
-        joined = pairs.join(self._side("a", by), "_a").join(self._side("b", by), "_b").where(self._alike() & (F.col("a") != F.col("b")))
-        return joined.drop("_a", "_b", "pa", "pb")
+    def _sifted(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (_a, _b) of nodes as (a, b, na, nb, ha, hb), a < b, where sizes and parities allow it."""
+        joined = pairs.join(self._side("a", "node"), "_a").join(self._side("b", "node"), "_b")
+        joined = joined.where(self._alike() & (F.col("a") != F.col("b")))
+        turned = F.col("a") > F.col("b")
+        swapped = [
+            F.when(turned, F.col(n + other)).otherwise(F.col(n + own)).alias(n + own) for n in "nh" for own, other in ("ab", "ba")
+        ]
+        return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *swapped).distinct()
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the sifted pairs whose whole sets have the similarity."""
         side = lambda x: pairs.select(F.col(x).alias("id"), F.col(f"h{x}").alias("set_hash"))
-        wanted = side("a").unionByName(side("b")).distinct()
+        needed = cut(side("a").unionByName(side("b")).distinct())
+        wanted = needed
         for known in self.sets:
             wanted = wanted.join(known.select("set_hash"), "set_hash", "left_anti")
-        wanted = cut(wanted)
+        wanted = cut(wanted) if self.sets else needed
         if not wanted.isEmpty():
             # the sets of a document that has several are all there; each set once
             shingling = Shingling(shingle=self.s.shingle)
             found = shingle_sets(self.docs, wanted.select("id").distinct(), self.id_col, self.text_col, shingling)
-            asked = wanted.select("set_hash").distinct()
-            found = found.join(F.broadcast(asked) if fits_broadcast(asked) else asked, "set_hash", "left_semi")
-            self.sets.append(cut(self._once(found)))
+            self.sets.append(cut(self._once(_semi(found, wanted.select("set_hash").distinct(), "set_hash"))))
         if not self.sets:
             return pairs.select("a", "b")
-        sets = reduce(DataFrame.unionByName, self.sets)
+        sets = _semi(reduce(DataFrame.unionByName, self.sets), needed.select("set_hash").distinct(), "set_hash")
         side = lambda x: sets.select(F.col("set_hash").alias(f"h{x}"), F.col("shingles").alias(f"set{x}"))
         joined = pairs.join(side("a"), "ha").join(side("b"), "hb")
         common = F.size(F.array_intersect("seta", "setb"))
@@ -437,27 +445,28 @@ class NGramJoin:
         again = self.rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
         return found if again.isEmpty() else found.dropDuplicates(["set_hash"])
 
-    def _apart(self, pairs: DataFrame, component: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) whose ends are not connected yet."""
+    @staticmethod
+    def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) whose ends are not connected yet, with the components of the ends."""
         small = F.broadcast(component) if fits_broadcast(component) else component
         side = lambda x: small.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
         joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    def _stars(self, found: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(links, components) after every node met the smallest of its buckets."""
-        stars = found.where("node <> low").select(F.col("low").alias("_a"), F.col("node").alias("_b")).distinct()
-        pairs = cut(self._sifted(stars, "node"))
-        if links is None:
-            # one partner each first: most groups then hang together
-            chosen = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb", "ha", "hb")).alias("m")).select("b", "m.*")
-            links = cut(self._confirmed(cut(chosen)))
-        component = connected(links)
-        rest = cut(self._apart(pairs, component))
-        if not rest.isEmpty():
-            links = cut(links.unionByName(self._confirmed(rest)))
-            component = connected(links)
-        return links, component
+        return joined.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+    def _joined(self, component: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after further links: only what these connect is looked at."""
+        apart = cut(self._apart(links, component))
+        if apart.isEmpty():
+            return component
+        over = connected(apart.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        ends = apart.select(F.col("ca").alias("id")).unionByName(apart.select(F.col("cb").alias("id"))).distinct()
+        single = ends.join(component, "id", "left_anti").select("id", F.col("id").alias("component"))
+        merged = component.unionByName(single).join(over.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left")
+        return cut(merged.select("id", F.coalesce("_to", "component").alias("component")))
+
+    def _stars(self, found: DataFrame) -> DataFrame:
+        """Every node with the smallest of its buckets, sifted."""
+        return self._sifted(found.where("node <> low").select(F.col("low").alias("_a"), F.col("node").alias("_b")).distinct())
 
     def _open(self, found: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(members of buckets that hold several components as (key, id, component), buckets)."""
@@ -484,22 +493,38 @@ class NGramJoin:
         return met.select("a", "b", "na", "nb", "ha", "hb").distinct()
 
     def _links(self) -> DataFrame:
-        """Confirmed pairs (a, b) of classes."""
+        """Confirmed pairs (a, b) of classes; `component` are the groups they form."""
         bits = self._bits()
         found = cut(members(index(self.docs, self.text_col, self.s, bits)))
-        links, component = self._stars(found, None)
-        rows, buckets = self._open(found, component)
+        checked = cut(self._stars(found))
+        links = cut(self._confirmed(checked))
+        self.component = connected(links)
+        rows, buckets = self._open(found, self.component)
         hot = cut(buckets.where(F.col("open") > self.s.open_pairs * F.col("members")).orderBy(F.desc("open"), "key").limit(self.s.hot_keys).select("key"))
-        few = rows.join(F.broadcast(hot), "key", "left_anti")
-        links = cut(links.unionByName(self._confirmed(cut(self._met(few)))))
+        few = self._met(rows.join(F.broadcast(hot), "key", "left_anti"))
+        links = self._with(links, cut(few.join(checked.select("a", "b"), ["a", "b"], "left_anti")))
         if hot.isEmpty():
             return links
         # at most `hot_keys` of them
         skipped = np.sort(hot.toArrow().column("key").to_numpy().view(U))
-        more = cut(members(index(self.docs, self.text_col, self.s, bits, skipped)))
-        links, component = self._stars(more, links)
-        rows, _ = self._open(more, component)
-        return cut(links.unionByName(self._confirmed(cut(self._met(rows)))))
+        # only members of hot buckets have such keys; where they are many all texts are read again
+        touched = cut(rows.join(F.broadcast(hot), "key", "left_semi").select(F.col("id").alias(self.id_col)).distinct())
+        docs = self.docs.select(F.col(self.id_col).cast("long").alias(self.id_col), self.text_col)
+        if fits_broadcast(touched):
+            docs = docs.join(F.broadcast(touched), self.id_col, "left_semi")
+        more = cut(members(index(docs, self.text_col, self.s, bits, skipped)))
+        stars = self._apart(self._stars(more), self.component).drop("ca", "cb")
+        links = self._with(links, cut(stars.join(checked.select("a", "b"), ["a", "b"], "left_anti")))
+        rows, _ = self._open(more, self.component)
+        return self._with(links, cut(self._met(rows)))
+
+    def _with(self, links: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The links with those of the pairs that are confirmed."""
+        if pairs.isEmpty():
+            return links
+        fresh = cut(self._confirmed(pairs))
+        self.component = self._joined(self.component, fresh)
+        return links.unionByName(fresh)
 
     def components(self) -> DataFrame:
         """(id, n_shingles, component) of every row.
@@ -511,10 +536,10 @@ class NGramJoin:
         stands = self.classes.select("set_hash", F.col("id").alias("first"))
         held = self.rows.select("id", "n_shingles", "set_hash").join(stands, "set_hash", "left")
         held = cut(held.withColumn("first", F.coalesce("first", "id")))
-        own = held.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+        # rows of one id with different sets link their classes
         several = held.groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high")
-        own = own.join(several.select(F.col("id").alias("a")), "a", "left_semi")
-        component = connected(self.links.unionByName(own))
+        own = held.where("id <> first").join(several.select("id"), "id", "left_semi")
+        component = self._joined(self.component, cut(own.select(F.col("id").alias("a"), F.col("first").alias("b"))))
         return held.join(component.withColumnRenamed("id", "first"), "first", "left").select(
             "id", "n_shingles", F.coalesce("component", "first").alias("component")
         )
