@@ -113,3 +113,14 @@ def test_empty_tables(spark):
     docs, items = made(4)
     assert de.contaminated(*frames(spark, [], items)).count() == 0
     assert de.contaminated(*frames(spark, docs, [])).count() == 0
+
+
+def test_very_long_texts_repeated_rows_and_ties(spark):
+    """An item twice in a text of 100,000 words: its first window counts; rows and items that repeat."""
+    item = " ".join(f"b{i}" for i in range(30))
+    plain = [f"w{i}" for i in range(100_000)]
+    long = " ".join([*plain[:60_000], item, *plain[60_000:], item])
+    docs = spark.createDataFrame([(1, long, 0, "x"), (1, long, 0, "x"), (2, " ".join(plain), 0, "x"), (3, "la " * 50_000, 0, "x")], SCHEMA)
+    items = spark.createDataFrame([(7, item), (7, item), (8, item), (9, "la " * 20)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in de.contaminated(docs, items).collect())
+    assert got == sorted([(1, i, 1.0, 60_000, 30) for i in (7, 8)] * 2 + [(3, 9, 1.0, 0, 20)])

@@ -144,3 +144,12 @@ def test_gram_hashes_do_not_depend_on_the_place():
         assert found[3000] == Grams(run).of(k)[0] == Grams(whole).of(k, np.array([3000]))[0]
         assert len(found) == len(whole) - k + 1 and len(set(found.tolist())) == len(found)
     assert len(Grams(run).of(21)) == 0
+
+
+def test_very_long_texts(spark):
+    """Sets that fill the sketch: 60,000 words, a tenth of a hundredth changed, and as many others."""
+    a = [f"w{i}" for i in range(60_000)]
+    b = [w if i % 1000 else f"x{i}" for i, w in enumerate(a)]
+    c = [f"y{i}" for i in range(60_000)]
+    got = neardup.near_duplicates(spark.createDataFrame([(5, " ".join(a)), (3, " ".join(b)), (9, " ".join(c))], "doc_id long, text string"))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == {(5, 59_996, 3), (3, 59_996, 3), (9, 59_996, 9)}

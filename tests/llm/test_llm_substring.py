@@ -76,3 +76,14 @@ def test_layout_and_other_columns(spark):
     got = substring.dedup_substrings(df.withColumnRenamed("kept", "source"), carry=["source", "doc"], layout=True)
     found = {r["doc_id"]: (r["kept"], r["source"], r["doc"]) for r in got.collect()}
     assert found == {1: (f"a\n\n{same}", "k", 3), 2: ("  b\t\tc\nend of  it ", "k", 4), 3: ("", None, 5)}
+
+
+def test_very_long_texts(spark):
+    """150,000 words with a passage of another document at both ends, and in the middle."""
+    passage = [f"p{i}" for i in range(40)]
+    plain = [f"w{i}" for i in range(150_000)]
+    long = passage + plain[:75_000] + passage + plain[75_000:] + passage
+    rows = [(1, " ".join(["a", *passage, "b"])), (2, " ".join(long)), (3, " ".join(plain[500:600]))]
+    got = {r[0]: r for r in run(spark, rows)}
+    assert got[2][1:3] == (150_120, 120) and got[2][3].split() == plain
+    assert got[1][2] == 0 and got[3][2] == 100
