@@ -43,7 +43,7 @@ class Settings:
     percent: int = 80
     open_pairs: float = 8.0
     hot_keys: int = 2_000_000
-    bucket_keys: int = 2_000_000  # index entries one task holds at a time
+    bucket_keys: int = 4_000_000  # index entries one task holds at a time
 
     def differing(self, total):
         """Bound on the shingles two sets with `total` shingles together may differ in."""
