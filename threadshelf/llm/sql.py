@@ -87,7 +87,7 @@ line AS (
     FROM split),
 judged AS (
     SELECT r, line, chars,
-        NOT regexp_matches(line, '[.!?…:;。！？]+["''”’»)\]]*\s*$')
+        NOT regexp_matches(line, '[.!?…:;。！？।॥۔؟]["''”’»)\]]*\s*$')
         AND NOT regexp_matches(line, '[.!?…。！？।॥۔؟]["''”’»)\]]*\s')
         OR (separators >= 3 AND separators > len(lw) * 0.1)
         OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|log in to|lorem ipsum|privacy policy|sign up for|subscribe to our|terms of use|use of cookies')
