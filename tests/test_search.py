@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadshelf.functions.vectors import normalised
 from threadshelf.operators import chunks, search, vectors
+from threadshelf.plans import lineage
 from threadshelf.plans.lineage import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -323,6 +324,52 @@ def test_all_buckets_of_all_tables_are_exact(data, table, monkeypatch):
     assert vectors.nearest_by_tables(none, df, signed, 10, tables, 8).isEmpty()
 
 
+def test_table_search_writes_no_pairs(data, monkeypatch):
+    """Rows written grow with vectors and queries, not with the pairs that meet."""
+    _, df = data
+    tables = vectors.SignatureTables(DIMENSIONS, tables=3, bits=3)
+    queries = df.where("id < 20").withColumnRenamed("id", "qid")
+    signed = cut(vectors.signatures(df, tables))
+    rows, written = [], lineage._written
+
+    def counted(some, path):
+        rows.append(some.count())
+        return written(some, path)
+
+    monkeypatch.setattr(lineage, "_written", counted)
+    assert len(found(vectors.nearest_by_tables(queries, df, signed, 10, tables, 8))) == 20
+    assert sum(rows) <= 2 * 20 + 400
+
+
+@pytest.mark.parametrize("probes", [1, 3])
+def test_table_search_scores_every_row_of_a_reached_id(data, spark, probes, monkeypatch):
+    """Ids that come twice, with other vectors, are reached by either; blocks and tasks do not matter."""
+    matrix, df = data
+    tables = vectors.SignatureTables(DIMENSIONS, tables=2, bits=4)
+    twice = df.unionByName(df.where("id >= 300").withColumn("id", F.col("id") - 100)).unionByName(
+        spark.createDataFrame([(None, [1.0] * DIMENSIONS), (900, None)], "id long, embedding array<float>")
+    )
+    ids = np.concatenate([np.arange(400), np.arange(200, 300)])
+    rows = np.concatenate([matrix, matrix[300:]])
+    queries = df.where("id < 30").withColumnRenamed("id", "qid")
+    want = {}
+    unit = vectors.unit_rows(rows)
+    for q in range(30):
+        met = set()
+        for planes in tables.planes():
+            mask = planes.probes(unit[[q]], probes)[0]
+            met |= set(ids[mask[planes.buckets(unit)]].tolist())
+        scores = np.round(unit @ unit[q], 9)
+        order = sorted((i for i in range(500) if ids[i] in met), key=lambda i: (-scores[i], ids[i]))
+        want[q] = ids[order][:10].tolist()
+    signed = cut(vectors.signatures(twice, tables))
+    asked = queries.unionByName(queries.where("qid < 5"))
+    assert found(vectors.nearest_by_tables(asked, twice, signed, 10, tables, probes)) == want
+    for name, size in (("QUERY_BLOCK", 7), ("VECTOR_BLOCK", 150), ("PAIR_BLOCK", 11), ("TASK_VECTORS", 260)):
+        monkeypatch.setattr(vectors, name, size)
+    assert found(vectors.nearest_by_tables(asked, twice, signed, 10, tables, probes)) == want
+
+
 def test_only_eligible_ids_are_scored(spark, data, monkeypatch):
     matrix, df = data
     queries = df.where("id in (1, 5)").withColumnRenamed("id", "qid")

@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.functions.vectors import SCORE_DIGITS, cosine_to_unit
-from threadshelf.plans.lineage import cut
+from threadshelf.plans.lineage import cut, cut_counted
 
 # Query vectors sent to every task at a time; more are looked for in further scans.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Queries of one scoring step.
+# Queries and vectors of one scoring step, and pairs scored in DOUBLE at a time.
 QUERY_BLOCK = 1024
+VECTOR_BLOCK = 4096
+PAIR_BLOCK = 65_536
+# Vectors a task compares with every query; the more, the fewer rows are left to rank.
+TASK_VECTORS = 16_384
+# Vectors looked up first for a query without k hits, as a multiple of k.
+SEEDS = 8
 # Fixed value: bytes of one of Spark's bitmaps.
 BITMAP_BYTES = 4096
 
@@ -166,9 +172,9 @@ def _dimensions(queries: DataFrame) -> int | None:
     return most
 
 
-def _parts(queries: DataFrame, dimensions: int) -> list[DataFrame]:
-    """The queries in parts of a size that can be sent to every task."""
-    n = max(1, -(-queries.count() * dimensions * 8 // MAX_BROADCAST_BYTES))
+def _parts(queries: DataFrame, dimensions: int, more: int = 0) -> list[DataFrame]:
+    """The queries, of `more` bytes beside the vector, in parts of a size that can be sent to every task."""
+    n = max(1, -(-queries.count() * (dimensions * 8 + more) // MAX_BROADCAST_BYTES))
     return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
@@ -434,22 +440,26 @@ def nearest_by_tables(
 ) -> DataFrame:
     """k nearest among the vectors that share a probed bucket of some table with the query.
 
-    `signed` are the `signatures` of the vectors, kept from before. Queries meet signatures by
-    (table, bucket); each pair is taken once, and ranked by the stored vector, which is joined to
-    the pairs by id. The query vectors are sent to all tasks, part by part.
+    `signed` are the `signatures` of the vectors, kept from before; they are joined to the vectors
+    by id. The queries and the buckets they probe are sent to all tasks, part by part, and the
+    vectors scored where they lie: no pair of a query and a vector is written or moved but the k
+    best of a task.
     """
     _check_k(k)
     queries = _known_queries(queries)
     dimensions = _dimensions(queries)
     if dimensions is None:
         return _no_hits(queries, vectors)
+    code = F.col("table_no") * F.lit(1 << tables.bits) + F.col("bucket")
+    codes = signed.groupBy("id").agg(F.collect_set(code).alias("codes"))
     stored = checked(vectors, dimensions).select("id", "embedding")
-    met = probed(queries, tables, probes).join(signed, ["table_no", "bucket"]).select("qid", "id")
-    pairs = cut(met.dropDuplicates().join(stored, "id").select("qid", "id", "embedding"))
+    coded, size = cut_counted(stored.join(codes, "id"), n=F.count("*"))
+    coded = coded.repartition(max(1, -(-size["n"] // TASK_VECTORS)))
+    reaching = cut(_reaching(queries, tables, probes))
     found = []
-    parts = _parts(queries, dimensions)
+    parts = _parts(reaching, dimensions, _reach_bytes(tables))
     for part in parts:
-        hits, sent = _rerank(part, pairs, k)
+        hits, sent = _scan_coded(part, coded, k, tables)
         if len(parts) == 1:
             return ranked(hits, k)
         found.append(cut(ranked(hits, k).drop("rank")))
@@ -457,25 +467,112 @@ def nearest_by_tables(
     return ranked(reduce(DataFrame.unionByName, found), k)
 
 
-def _rerank(queries: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    """The k best pairs (qid, id, embedding) of each of the queries, a task at a time."""
-    qids, matrix = _query_matrix(queries)
-    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+def _reach_bytes(tables: SignatureTables) -> int:
+    return -(-(tables.tables << tables.bits) // 8)
 
-    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = sent.value
-        best = Best.none(k)
+
+def _reaching(queries: DataFrame, tables: SignatureTables, probes: int) -> DataFrame:
+    """Queries with `reach`: a bit for every bucket of every table, set if the query probes it."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = tables.planes()
         for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            asked = batch.column("qid").to_numpy()
-            place = np.minimum(np.searchsorted(qids, asked), len(qids) - 1)
-            own = qids[place] == asked
-            place = place[own]
-            rows = _matrix(batch.column("embedding"))[own]
-            scores = np.einsum("ij,ij->i", matrix[place], rows)
-            ids = batch.column("id").to_numpy()[own]
-            best.add(place, ids, scores, np.full(len(ids), "", "U1"))
-        yield _hits(best, qids, False)
-
-    return pairs.mapInArrow(rank, "qid long, id long, score double"), sent
+            if batch.num_rows:
+                matrix = _matrix(batch.column("embedding"))
+                reach = np.packbits(np.hstack([p.probes(matrix, probes) for p in planes]), axis=1)
+                yield batch.append_column("reach", pa.array([row.tobytes() for row in reach], pa.binary()))
+
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
+    return queries.mapInArrow(mark, f"{layout}, reach binary")
+
+
+def _scan_coded(queries: DataFrame, coded: DataFrame, k: int, tables: SignatureTables) -> tuple[DataFrame, Broadcast]:
+    """The k best of the vectors (id, embedding, codes) that each of the queries reaches, by task."""
+    table = queries.orderBy("qid").toArrow()
+    marks = np.frombuffer(b"".join(table.column("reach").to_pylist()), np.uint8)
+    marks = marks.reshape(table.num_rows, _reach_bytes(tables))
+    # a qid that comes again asks once, and reaches what any of its rows does
+    qids, first = np.unique(table.column("qid").to_numpy(), return_index=True)
+    marks = np.bitwise_or.reduceat(marks, first) if len(first) else marks
+    matrix = _matrix(table.column("embedding").take(pa.array(first)))
+    sent = queries.sparkSession.sparkContext.broadcast((qids, matrix, marks))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix, marks = sent.value
+        starts = range(0, len(qids), QUERY_BLOCK)
+        blocks = [_Block(k, matrix[i : i + QUERY_BLOCK], marks[i : i + QUERY_BLOCK]) for i in starts]
+        for some in _gathered(batches, VECTOR_BLOCK):
+            rows = _matrix(some.column("embedding"))
+            ids, codes = some.column("id").to_numpy(), _padded(some.column("codes"))
+            for block in blocks:
+                block.offer(ids, rows, codes)
+        for start, block in zip(starts, blocks):
+            yield _hits(block.best, qids[start : start + QUERY_BLOCK], False)
+
+    return coded.mapInArrow(scan, "qid long, id long, score double"), sent
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """Batches put together until they have so many rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held, rows = [*held, batch], rows + batch.num_rows
+        if rows >= n:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _padded(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists that are not empty as rows of one length, the last item repeated."""
+    column = column.combine_chunks()
+    lengths = column.value_lengths().to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    places = starts[:, None] + np.minimum(np.arange(lengths.max()), lengths[:, None] - 1)
+    return column.flatten().to_numpy()[places]
+
+
+class _Block:
+    """Queries that are scored together, their buckets as bits, and their best rows so far.
+
+    Products of FLOAT matrices tell which pairs may be among the best. Only those are looked up in
+    the buckets and scored in DOUBLE, so that blocks of any shape give the same scores.
+    """
+
+    def __init__(self, k: int, queries: np.ndarray, marks: np.ndarray):
+        self.queries, self.marks = queries, marks
+        self.short = queries.astype(np.float32)
+        # rounding of unit vectors to FLOAT, of their products, and of scores to SCORE_DIGITS
+        self.slack = (queries.shape[1] + 4) * 2.0**-22
+        self.best = Best.none(k)
+        self.floor = np.full(len(queries), -np.inf, np.float32)
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> None:
+        scores = self.short @ rows.astype(np.float32).T
+        tried = np.zeros(scores.shape, bool)
+        some = SEEDS * self.best.k
+        unset = np.flatnonzero(np.isneginf(self.floor))
+        if len(unset) and some < scores.shape[1]:
+            # the highest scores come first, as they set a floor to the others
+            last = scores.shape[1] - some
+            tried[unset] = scores[unset] >= np.partition(scores[unset], last, axis=1)[:, [last]]
+            self._take(*np.nonzero(tried), ids, rows, codes)
+        # a score that is no number passes
+        wanted = ~(scores < self.floor[:, None])
+        self._take(*np.nonzero(wanted & ~tried), ids, rows, codes)
+
+    def _take(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> None:
+        reached = np.zeros(len(q), bool)
+        for code in codes.T:
+            spot = code[v]
+            reached |= (self.marks[q, spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)
+        q, v = q[reached], v[reached]
+        if not len(q):
+            return
+        steps = range(0, len(q), PAIR_BLOCK)
+        scores = [np.einsum("ij,ij->i", self.queries[q[i : i + PAIR_BLOCK]], rows[v[i : i + PAIR_BLOCK]]) for i in steps]
+        self.best.add(q, ids[v], np.concatenate(scores), np.full(len(q), "", "U1"))
+        counts = np.bincount(self.best.q, minlength=len(self.floor))
+        full = counts == self.best.k
+        self.floor[full] = self.best.scores[np.cumsum(counts)[full] - 1] - self.slack
