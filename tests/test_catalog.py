@@ -229,6 +229,28 @@ def test_removal_preview(whole, table):
     assert rows == {10: (0, 2, None), 12: (1, 1, ["other by Unknown"]), 5: (0, 0, None)}
 
 
+def test_removal_preview_of_many_books(whole, table, monkeypatch):
+    """Books that are too many to be sent are dealt out in parts of so many rows, with the same result."""
+    from threadshelf.operators import catalog as operators
+    from threadshelf.plans import sizes
+
+    links = whole.links.select("id", "book_id", "source_id").unionByName(
+        table("id long, book_id long, source_id long", (90, 3, 12), (91, 2, None), (92, None, 12), (93, 50, 12), (94, 4, None))
+    )
+    wanted = table("id long", (10,), (11,), (12,), (5,))
+
+    def rows():
+        return sorted(map(tuple, catalog.removal_preview(wanted, links, whole.books).collect()))
+
+    sent = rows()
+    parts, dealt = [], sizes.dealt
+    monkeypatch.setattr(sizes, "DEALT_ROWS", 2)
+    monkeypatch.setattr(operators, "MAX_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(operators, "dealt", lambda *given: parts.append(dealt(*given)) or parts[-1])
+    assert rows() == sent
+    assert {p.rdd.getNumPartitions() for p in parts} == {-(-links.count() // 2)}
+
+
 def test_deleting_a_book_leaves_its_links(whole, table):
     books, chunks = changes.delete_books(whole.books, whole.chunks, table("id long", (2,), (50,)))
     assert (ids(books), ids(chunks, "doc_id")) == ([1, 3, 4], ["doc_1", "doc_4"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.checks import Tables
+from threadshelf.plans.sizes import dealt_scan
 
 
 def part_books(t: Tables) -> DataFrame:
@@ -52,8 +53,8 @@ PART_LINKS = """part_links AS (
 
 
 def order_links(t: Tables) -> DataFrame:
-    """Orders as books; many have lines of a single supplier."""
-    return _pairs(t.lineitem, "l_orderkey")
+    """Orders as books; many have lines of a single supplier. The lines of an order are few."""
+    return _pairs(dealt_scan(t.lineitem, "l_orderkey"), "l_orderkey")
 
 
 ORDER_LINKS = """order_links AS (

@@ -8,6 +8,7 @@ from threadshelf.checks import bindings as b
 from threadshelf.functions import text
 from threadshelf.operators import catalog, search
 from threadshelf.plans.colocate import bucketed
+from threadshelf.plans.lineage import cut
 
 
 @query(
@@ -246,6 +247,6 @@ def book_detail_sources(t: Tables) -> DataFrame:
 )
 def removal_preview(t: Tables) -> DataFrame:
     preview = catalog.removal_preview(
-        b.supplier_sources(t).select("id"), b.order_links(t), b.order_books(t)
+        b.supplier_sources(t).select("id"), cut(b.order_links(t)), b.order_books(t)
     )
     return preview.withColumn("names", F.array_join("names", "; "))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
-from threadshelf.plans.lineage import cut
+from threadshelf.plans.lineage import cut, cut_counted
+from threadshelf.plans.sizes import MAX_BROADCAST_ROWS, dealt
 from threadshelf.plans.skew import lookup_join, numbered_lists
 
 NAMES_SHOWN = 10
@@ -175,13 +176,24 @@ def book_sources(books: DataFrame, links: DataFrame, sources: DataFrame) -> Data
 def removal_preview(source_ids: DataFrame, links: DataFrame, books: DataFrame) -> DataFrame:
     """What removing each source would delete and keep, with the first names to go."""
     wanted = source_ids.select(F.col("id").alias("source_id")).distinct()
-    theirs = cut(lookup_join(links, wanted, ["source_id"], "left_semi").select("source_id", "book_id"))
+    theirs, size = cut_counted(
+        lookup_join(links, wanted, ["source_id"], "left_semi").select("source_id", "book_id"), n=F.count("*")
+    )
     named = books.select(F.col("id").alias("book_id"), "title", "author")
+    if size["n"] > MAX_BROADCAST_ROWS:
+        # too many books to send to the links: all three by book, in parts of bounded size
+        rows = max(size["n"], links.count())
+        theirs, named = dealt(theirs, "book_id", rows), dealt(named, "book_id", rows)
+        judged_links = dealt(links.select("book_id", "source_id"), "book_id", rows)
+    else:
+        judged_links = links_of(links, theirs)
+    # a book without a second source; sources that are NULL are none
+    alone = F.coalesce(F.min("source_id") == F.max("source_id"), F.lit(True))
     name = F.concat("title", F.lit(" by "), text.display_author(F.col("author")))
     judged = cut(
         theirs.join(named, "book_id")
-        .join(source_counts(links_of(links, theirs)), "book_id")
-        .select("source_id", "book_id", name.alias("name"), (F.col("n_sources") <= 1).alias("goes"))
+        .join(judged_links.groupBy("book_id").agg(alone.alias("goes")), "book_id")
+        .select("source_id", "book_id", name.alias("name"), "goes")
     )
     goes = F.col("goes")
     totals = judged.groupBy("source_id").agg(

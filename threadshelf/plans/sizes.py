@@ -42,12 +42,35 @@ SPREAD_BYTES = 512 * 1024
 SPREAD_LIMIT = 4 * 1024**3
 
 
+def _file_bytes(scan: DataFrame) -> int:
+    return int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A small table scan dealt out to many tasks by the bytes of its files, for costly work.
 
     Depends on the files only, not on how many cores have registered so far.
     """
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = _file_bytes(scan)
     if size >= SPREAD_LIMIT:
         return scan
     return scan.repartition(max(1, min(-(-size // SPREAD_BYTES), 512)))
+
+
+# A task of `dealt` rows holds about so many, or so many bytes of files, however large the table is.
+DEALT_ROWS = 500_000
+DEALT_BYTES = 8 * 1024 * 1024
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A table of so many rows, dealt out by key in parts that do not grow with it.
+
+    Tables dealt by keys of the same type with the same `rows` join and group where they lie. Rows of
+    one key stay together, so this is for keys of bounded weight, such as the links of a book.
+    """
+    return df.repartition(max(1, -(-rows // DEALT_ROWS)), key)
+
+
+def dealt_scan(scan: DataFrame, key: str) -> DataFrame:
+    """The same for a table scan, by the bytes of its files."""
+    return scan.repartition(max(1, -(-_file_bytes(scan) // DEALT_BYTES)), key)
