@@ -269,6 +269,28 @@ def test_ingest_is_whole_and_repeatable(spark, table, tmp_path):
     assert store.read("comments").count() == 5
 
 
+def test_an_ingest_writes_texts_once(spark, table, tmp_path, monkeypatch):
+    """Comments are written as parsed and as stored, and never as texts to ask about or to join."""
+    from threadshelf.plans import lineage
+
+    columns, written = [], lineage._written
+
+    def noted(df, *given):
+        columns.append(set(df.columns))
+        return written(df, *given)
+
+    monkeypatch.setattr(lineage, "_written", noted)
+    store = Store(spark, str(tmp_path))
+    raw = table("origin string, value string", *THREADS.items(), ("twin", THREADS["b"]))
+    ingest(raw, store, volumes_for(spark), models())
+    assert contents(store) == EXPECTED
+    assert not [c for c in columns if c & {"body", "_text", "source_text"}]
+    rows = {(r.external_id, r.number, r.body) for r in store.read("comments").collect()}
+    assert rows == {("a", 0, "Dune by Herbert\nEmma by Austen"), ("a", 1, "[deleted]"), ("a", 2, "nothing"),
+                    ("b", 0, "dune by herbert"), ("b", 1, "Solaris by Lem")}
+    assert store.read("comments").count() == 5
+
+
 def test_a_run_that_stops_leaves_nothing(spark, table, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     raw = table("origin string, value string", *THREADS.items())

@@ -323,7 +323,7 @@ def incremental_ingest(t: Tables) -> DataFrame:
         [], f"title_key string, author_key string, pos int, id string, volumeInfo {info}"
     )
     for lot in (t.documents.where(F.col("lang") == "en"), t.documents):
-        listing_json(lot).select("value").write.mode("append").text(landing)
+        listing_json(lot).select("value").write.mode("append").option("compression", "gzip").text(landing)
         streams.ingest_stream(
             spark, landing, checkpoint, store, no_volumes, Models(_first_words), whole_files=False
         ).awaitTermination()

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadshelf.functions import text
 from threadshelf.plans.lineage import cut
-from threadshelf.plans.sizes import spread
 from threadshelf.plans.skew import lookup_join
 
 Model = Callable[[list[str]], list[str]]
@@ -23,9 +22,37 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
     takes and returns lists. A failing batch is retried text by text, so one bad text
     costs one row.
     """
-    keyed = texts.withColumn("_key", F.sha2(column, 256))
+    keyed = texts.withColumn("_key", _key(column))
+    answers = _answered(_distinct(keyed, column), load_model).drop("_text")
+    # `lookup_join` writes the answers down, so that no later use runs the model again
+    return lookup_join(keyed, answers, ["_key"], wide=True).drop("_key")
+
+
+def extract(texts: DataFrame, load_model: Callable[[], Model]) -> DataFrame:
+    """Valid, grounded mentions (mention_pos, title, author) in the column `text`, with the others.
+
+    What a text mentions is the same wherever it stands, so answers are read and judged once for
+    each distinct text, and no text is moved to the rows it stands in.
+    """
+    keyed = texts.withColumn("_key", _key("text"))
+    answers = _answered(_distinct(keyed, "text"), load_model)
+    parsed = parse_extractions(answers.select("_key", F.col("_text").alias("source_text"), "response"))
+    said = cut(grounded_mentions(valid_mentions(parsed)).drop("source_text"))
+    return keyed.drop("text").join(said, "_key").drop("_key")
+
+
+def _key(column: str) -> Column:
+    """128 bits of SHA-256 as bytes, as keys in hex are longer than many a text."""
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+
+def _distinct(keyed: DataFrame, column: str) -> DataFrame:
     distinct = keyed.groupBy("_key").agg(F.any_value(column).alias("_text"))
-    distinct = distinct.where(F.col("_key").isNotNull())
+    return distinct.where(F.col("_key").isNotNull())
+
+
+def _answered(distinct: DataFrame, load_model: Callable[[], Model]) -> DataFrame:
+    """Distinct texts (_key, _text) with `response` and `error`, from the exchange that found them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
@@ -34,18 +61,9 @@ def infer(texts: DataFrame, column: str, load_model: Callable[[], Model]) -> Dat
                 answers = [(answer, None) for answer in model(list(batch["_text"]))]
             except Exception:
                 answers = [_one(model, value) for value in batch["_text"]]
-            yield pd.DataFrame(
-                {
-                    "_key": batch["_key"],
-                    "response": [a for a, _ in answers],
-                    "error": [e for _, e in answers],
-                }
-            )
-
-    # the texts lie in files of the size of a scan task; only few small ones are dealt out
-    answers = spread(cut(distinct)).mapInPandas(run, "_key string, response string, error string")
-    # `lookup_join` writes the answers down, so that no later use runs the model again
-    return lookup_join(keyed, answers, ["_key"], wide=True).drop("_key")
+            yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
+
+    return distinct.mapInPandas(run, "_key binary, _text string, response string, error string")
 
 
 def _one(model: Model, value: str) -> tuple[str | None, str | None]:

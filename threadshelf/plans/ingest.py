@@ -192,11 +192,7 @@ def extract(texts: DataFrame, load_extractor: Callable[[], mentions.Model]) -> D
 
     `path` orders the texts of a thread; it may be a number.
     """
-    answers = mentions.infer(texts, "text", load_extractor)
-    parsed = mentions.parse_extractions(
-        answers.select("external_id", "path", F.col("text").alias("source_text"), "response")
-    )
-    return mentions.grounded_mentions(mentions.valid_mentions(parsed)).drop("source_text")
+    return mentions.extract(texts, load_extractor)
 
 
 def summarise(books: DataFrame, load_summariser: Callable[[], mentions.Model] | None) -> DataFrame:
@@ -260,8 +256,16 @@ def ingest(
             .select("row.*")
         )
         headers = cut(changes.unseen_sources(one_copy, known_sources, force))
-        ids = headers.select("origin", "external_id")
-        comments = cut(read.comments.join(ids, "origin").drop("origin", "spot"))
+        # whole threads are joined, not each comment with the name of its file
+        chosen = parsed.join(headers.select("origin"), "origin", "left_semi")
+        comments = chosen.select("external_id", F.inline("comments")).drop("spot")
+        if force:
+            again = headers.select("external_id")
+            comments = cut(comments)
+            kept = lookup_join(before.read("comments"), again, ["external_id"], "left_anti")
+            commit.replace("comments", kept.unionByName(comments))
+        else:
+            comments = commit.append("comments", comments)
         texts = threads.comment_texts(headers, comments, "external_id", "number").withColumnRenamed("number", "path")
         resolved = resolve_batch(
             extract(texts, models.load_extractor),
@@ -301,12 +305,6 @@ def ingest(
         vector_index.extend(commit, fresh_chunks)
         if models.load_encoder is word_encoder:
             commit.append("frequencies", document_frequencies(count_words(fresh_chunks, ["doc_id"])))
-        if force:
-            again = headers.select("external_id")
-            kept = lookup_join(before.read("comments"), again, ["external_id"], "left_anti")
-            commit.replace("comments", kept.unionByName(comments))
-        else:
-            commit.append("comments", comments)
         aside = cut(_set_aside(read, read.headers.where(~named), outcomes, before.read("set_aside")))
         if not aside.isEmpty():
             commit.append("set_aside", aside)

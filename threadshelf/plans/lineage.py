@@ -19,13 +19,14 @@ _scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 _applications: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
     Lost executors then cost no recomputation, every reader sees the same rows, and the
-    size of the files tells the planner what it may broadcast.
+    size of the files tells the planner what it may broadcast. Texts are worth a stronger codec
+    than the session's.
     """
-    return _written(df, work_path(df.sparkSession, "cut"))
+    return _written(df, work_path(df.sparkSession, "cut"), codec)
 
 
 def cut_counted(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
@@ -41,8 +42,8 @@ def handed_on(df: DataFrame) -> DataFrame:
     return _written(df, _below(df.sparkSession, outer, "result"))
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -182,7 +182,8 @@ class Commit:
         numbered, seen = "id" in schema.names and name not in FOLDERS, Observation()
         if numbered:
             shaped = shaped.observe(seen, F.max("id").alias("id"))
-        writer = shaped.write.mode("overwrite")
+        # most of what is stored are texts
+        writer = shaped.write.mode("overwrite").option("compression", "zstd")
         for column in LOOKUPS.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         if name in FOLDERS:

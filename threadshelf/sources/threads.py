@@ -113,7 +113,7 @@ def parse_once(raw: DataFrame) -> DataFrame:
 
 def _own_origins(parsed: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().cast("string")
-    return cut(parsed.withColumn("origin", F.concat_ws("#", "origin", row)))
+    return cut(parsed.withColumn("origin", F.concat_ws("#", "origin", row)), "zstd")
 
 
 def split(parsed: DataFrame, paths: bool = True) -> Threads:
