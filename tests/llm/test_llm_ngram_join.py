@@ -147,3 +147,28 @@ def test_nulls_empty_long_repeated_and_clashing(spark):
     want = model([r for r in rows if r[0] != 9] + [(9, "x y z"), (9, "q r s")])
     assert run(spark, rows, extra=True) == want
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_index_entries_keep_keys_nodes_and_marks_in_few_bytes(spark, bits):
+    """A block gives its entries back; an entry has its key and a bit, not the place of its document."""
+    rng = np.random.default_rng(bits)
+    own = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    own[7] = own[8]
+    doc = np.sort(rng.integers(0, 40, 20_000))
+    doc[:600] = 0
+    keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) << np.uint64(1)
+    keys[5000:6000] = keys[:1000]
+    block = ngram_join._blocks(keys, own, doc, bits, ngram_join.arrow_schema(ngram_join.BLOCK)).to_pylist()
+    short = keys >> np.uint64(64 - ngram_join.KEY_BITS - bits)
+    want = {}
+    for key, node in zip(short.tolist(), own[doc].tolist()):
+        want.setdefault(key, set()).add(node)
+    found = {}
+    for row in block:
+        if row["rest"] is None:
+            for key, node, mark in zip(*(x.tolist() for x in ngram_join._unpacked(row))):
+                assert found.setdefault((row["bucket"] << ngram_join.KEY_BITS) | key, (node, mark)) == (node, mark)
+    assert found == {key: (min(nodes), len(nodes) > 1) for key, nodes in want.items()}
+    held = sum(len(x) for row in block if row["rest"] is None for x in row.values() if isinstance(x, bytes))
+    assert held < 5.5 * len(found) + 9 * 40 * 2**bits

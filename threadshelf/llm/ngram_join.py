@@ -231,7 +231,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sign, schema)
 
 
-BLOCK = "bucket long, keys binary, nodes binary, places binary, rest binary"
+BLOCK = "bucket long, keys binary, nodes binary, counts binary, marks binary, rest binary"
 
 
 def _blocks(keys: np.ndarray, nodes: np.ndarray, doc: np.ndarray, bits: int, kind: pa.Schema) -> pa.RecordBatch | None:
@@ -253,20 +253,22 @@ def _blocks(keys: np.ndarray, nodes: np.ndarray, doc: np.ndarray, bits: int, kin
     low = own[np.repeat(start, np.diff(np.r_[start, len(keys)]))]
     rows = []
     bucket = (keys[start] >> U(KEY_BITS)).astype(np.int64)
-    mark = np.where(several, 0x8000, 0).astype(np.uint16)
+    marked = np.zeros(len(keys), bool)
+    marked[start] = several
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(edges, np.r_[edges[1:], len(start)], strict=True):
-        at = start[a:b]
-        held, place = np.unique(doc[at], return_inverse=True)
+        # a node stands once before all of its keys, with their number in a byte where that is enough
+        at = start[a:b][np.argsort(doc[start[a:b]], kind="stable")]
+        held, counts = np.unique(doc[at], return_counts=True)
         short = keys[at] & U((1 << KEY_BITS) - 1)
         rows.append((
             int(bucket[a]), (short >> U(8)).astype(np.uint32).tobytes() + short.astype(np.uint8).tobytes(), nodes[held].tobytes(),
-            (place.astype(np.uint16) | mark[a:b]).tobytes(), None,
+            counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), np.packbits(marked[at]).tobytes(), None,
         ))
     others = np.flatnonzero(~new)
     if len(others):
         rest = np.stack([keys[others], own[others], low[others]])
-        rows.append((int(rest[0, 0] ^ rest[1, 0]) % (1 << bits) + (1 << bits), None, None, None, rest.tobytes()))
+        rows.append((int(rest[0, 0] ^ rest[1, 0]) % (1 << bits) + (1 << bits), None, None, None, None, rest.tobytes()))
     if not rows:
         return None
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
@@ -329,11 +331,13 @@ def _longs(columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    places = np.frombuffer(row["places"], np.uint16)
-    n = len(places)
+    n = len(row["keys"]) // 5
     upper = np.frombuffer(row["keys"], np.uint32, n).astype(U)
     lower = np.frombuffer(row["keys"], np.uint8, n, 4 * n).astype(U)
-    return upper << U(8) | lower, np.frombuffer(row["nodes"], U)[places & 0x7FFF], places >= 0x8000
+    nodes = np.frombuffer(row["nodes"], U)
+    counts = np.frombuffer(row["counts"], np.uint8 if len(row["counts"]) == len(nodes) else np.uint32)
+    marks = np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=n).astype(bool)
+    return upper << U(8) | lower, np.repeat(nodes, counts), marks
 
 
 def _grouped(bucket: int, held: list) -> np.ndarray:
