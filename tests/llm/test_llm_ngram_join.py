@@ -172,3 +172,48 @@ def test_index_entries_keep_keys_nodes_and_marks_in_few_bytes(spark, bits):
     assert found == {key: (min(nodes), len(nodes) > 1) for key, nodes in want.items()}
     held = sum(len(x) for row in block if row["rest"] is None for x in row.values() if isinstance(x, bytes))
     assert held < 5.5 * len(found) + 9 * 40 * 2**bits
+
+
+def test_fine_parities_bound_the_difference_and_fold():
+    """Of large sets too, they differ in no more bits than the sets, and tell unlike sets apart."""
+    rng = random.Random(12)
+    s = Settings()
+    for size in (513, 700, 1024, 1500, 5000):
+        other = s.largest_partner(size)
+        least = -(-80 * (size + other) // 180)
+        for common, alike in ((least, True), (size // 2, False)):
+            sets = sets_at(rng, size, other, common)
+            a, b = (ngram_join.fine_parity(x) for x in sets)
+            assert 64 * len(b) >= other and len(b) in (len(a), 2 * len(a))
+            a, b = (np.bitwise_xor.reduce(x.reshape(-1, len(a)), axis=0) for x in (a, b))
+            assert (int(np.bitwise_count(a ^ b).sum()) <= size + other - 2 * least) == alike
+        for x in sets:
+            assert (np.bitwise_xor.reduce(ngram_join.fine_parity(x).reshape(-1, ngram_join.PARITY_WORDS), axis=0) == parity(x)).all()
+    assert ngram_join.fine_parity(sets[0][:512]) is None
+
+
+def test_whole_sets_of_large_unlike_documents_are_not_read(spark):
+    """Halves in common meet in many buckets and fill the short parity; only alike sets are gathered."""
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared, small = words(1500), words(505)
+    rows = [(i, " ".join(shared + words(1500 + 10 * i))) for i in range(6)]
+    rows += [(6, rows[0][1] + " end"), (7, " ".join(small)), (8, " ".join(small + words(20))), (9, " ".join(small[:300] + words(300)))]
+    rows += [(10, rows[1][1]), (None, rows[2][1]), (2, rows[2][1])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    join = ngram_join.NGramJoin(df)
+    held = {len(r["shingles"]) for part in join.sets for r in part.select("shingles").collect()}
+    assert held == {len(shingles(rows[i][1])) for i in (0, 6, 7, 8)}
+    # the row without an id belongs to its set
+    assert run(spark, rows) == model(rows)
+
+
+@pytest.mark.parametrize("percent", [30, 60, 80])
+def test_large_documents_against_all_pairs(spark, percent):
+    rng = random.Random(percent)
+    base = [f"b{i}" for i in range(2200)]
+    rows = []
+    for i in range(24):
+        words = near(rng, base[: rng.choice((500, 540, 1020, 1100, 2200))], rng.choice((0, 0.005, 0.02, 0.04, 0.07)))
+        rows.append((i, " ".join(words + [f"t{rng.randrange(10**6)}" for _ in range(rng.choice((0, 30, 200)))])))
+    assert run(spark, rows, Settings(percent=percent)) == model(rows, percent)

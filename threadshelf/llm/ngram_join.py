@@ -202,30 +202,50 @@ def _allocation(skipped: np.ndarray, poor: np.ndarray, base: np.ndarray, common:
     return np.minimum(enough, n), enough > np.minimum(common, n)
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
+def parity(shingles: np.ndarray, n_words: int = PARITY_WORDS) -> np.ndarray:
     """Parity bitmap of a set; those of two sets never differ in more bits than the sets do."""
-    bit = (mix64(shingles ^ U(0x8EBC6AF09C88C6E3)) % U(64 * PARITY_WORDS)).astype(np.int64)
-    odd = np.bincount(bit, minlength=64 * PARITY_WORDS) & 1
+    bit = (mix64(shingles ^ U(0x8EBC6AF09C88C6E3)) % U(64 * n_words)).astype(np.int64)
+    odd = np.bincount(bit, minlength=64 * n_words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
 
 
+def fine_parity(shingles: np.ndarray) -> np.ndarray | None:
+    """The parity bitmap of a set that fills the usual one up: with a bit a shingle at least, by
+    doubling, so that folding it gives the shorter ones; None for the others."""
+    n_words = PARITY_WORDS
+    while 64 * n_words < len(shingles):
+        n_words *= 2
+    return parity(shingles, n_words) if n_words > PARITY_WORDS else None
+
+
+def _folded(bitmap: Column, n_words: Column) -> Column:
+    """A parity bitmap of a multiple of `n_words` words as the one of `n_words` words."""
+    parts = F.sequence(F.lit(1), F.size(bitmap), n_words)
+    none = F.array_repeat(F.lit(0).cast("long"), n_words)
+    return F.aggregate(parts, none, lambda sum_, at: F.zip_with(sum_, F.slice(bitmap, at, n_words), lambda x, y: x.bitwiseXOR(y)))
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, n_shingles, set_hash, node, parity) of every row; the last three are null for an empty set."""
-    schema = "id long, n_shingles long, set_hash binary, node long, parity array<long>"
+    """(id, n_shingles, set_hash, node, parity, fine) of every row; from set_hash on they are null for
+    an empty set, and the fine parity for one that the other does for."""
+    schema = "id long, n_shingles long, set_hash binary, node long, parity array<long>, fine array<long>"
     kind = arrow_schema(schema)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, 1):
-            counts, hashes, nodes, bits = [], [], [], []
+            counts, hashes, nodes, bits, finer = [], [], [], [], []
             for shingles in shingle_sets_of(batch.column(1), s.shingle):
                 digest = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
                 counts.append(len(shingles))
                 hashes.append(digest)
                 nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
-                bits.append(parity(shingles).view(np.int64) if digest else None)
-            columns = [batch.column(0), *[pa.array(x, t) for x, t in zip((counts, hashes, nodes, bits), kind.types[1:], strict=True)]]
+                fine = fine_parity(shingles)
+                short = parity(shingles) if fine is None else np.bitwise_xor.reduce(fine.reshape(-1, PARITY_WORDS), axis=0)
+                bits.append(short.view(np.int64) if digest else None)
+                finer.append(None if fine is None else fine.view(np.int64))
+            columns = [batch.column(0), *[pa.array(x, t) for x, t in zip((counts, hashes, nodes, bits, finer), kind.types[1:], strict=True)]]
             yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sign, schema)
@@ -399,12 +419,36 @@ class NGramJoin:
             total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
         return total
 
+    def _most(self) -> Column:
+        """Bound on the shingles two sets of the similarity, of sizes (na, nb), may differ in."""
+        p, total = self.s.percent, F.col("na") + F.col("nb")
+        return total - 2 * F.ceil(p * total / (100 + p))
+
     def _alike(self) -> Column:
         """Sizes (na, nb) and parities (pa, pb) allow the similarity."""
-        p, total = self.s.percent, F.col("na") + F.col("nb")
-        least = F.ceil(p * total / (100 + p))
-        sizes = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
-        return sizes & (self._differing("pa", "pb") <= total - 2 * least)
+        sizes = 100 * F.least("na", "nb") >= self.s.percent * F.greatest("na", "nb")
+        return sizes & (self._differing("pa", "pb") <= self._most())
+
+    def _finer(self, pairs: DataFrame) -> DataFrame:
+        """Those of the sifted pairs that the fine parities allow as well.
+
+        Sets with more shingles than their parity has bits pass by it whatever they hold.
+        """
+        large = F.greatest("na", "nb") > 64 * PARITY_WORDS
+        some = pairs.where(large)
+        needed = cut(some.select(F.col("ha").alias("set_hash")).unionByName(some.select(F.col("hb").alias("set_hash"))).distinct())
+        if needed.isEmpty():
+            return pairs
+        known = self.rows.where("set_hash IS NOT NULL").select("set_hash", F.coalesce("fine", "parity").alias("fine"))
+        fine = _semi(known, needed, "set_hash").dropDuplicates(["set_hash"])
+        side = lambda x: fine.select(F.col("set_hash").alias(f"h{x}"), F.col("fine").alias(f"f{x}"))
+        n_words = F.least(F.size("fa"), F.size("fb"))
+        differing = F.zip_with(
+            _folded(F.col("fa"), n_words), _folded(F.col("fb"), n_words), lambda x, y: F.bit_count(x.bitwiseXOR(y))
+        )
+        met = some.join(side("a"), "ha").join(side("b"), "hb")
+        met = met.where(F.aggregate(differing, F.lit(0), lambda n, more: n + more) <= self._most())
+        return cut(pairs.where(~large).unionByName(met.select(*pairs.columns)))
 
     def _side(self, x: str, by: str) -> DataFrame:
         return self.classes.select(
@@ -424,6 +468,7 @@ class NGramJoin:
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the sifted pairs whose whole sets have the similarity."""
+        pairs = self._finer(pairs)
         side = lambda x: pairs.select(F.col(x).alias("id"), F.col(f"h{x}").alias("set_hash"))
         needed = cut(side("a").unionByName(side("b")).distinct())
         wanted = needed
